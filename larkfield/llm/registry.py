@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from larkfield.llm import near_dedup
+from larkfield.llm import decontaminate, language, line_quality, near_dedup, secrets, url_filter
 
-QUERIES = {"op8_near_dedup": near_dedup.op8_near_dedup}
-SQL = {"op8_near_dedup": near_dedup.OP8_SQL}
+QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_language_id": language.op2_language_id,
+    "op4_line_quality": line_quality.op4_line_quality,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_url_filter": url_filter.op10_url_filter,
+}
+SQL = {
+    "op4_line_quality": line_quality.OP4_SQL,
+    "op8_near_dedup": near_dedup.OP8_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
+}

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from larkfield.plans import cases, corpora, retrieval
+
+QUERIES: dict = {**retrieval.QUERIES, **corpora.QUERIES, **cases.QUERIES}
+SQL: dict = {**retrieval.SQL, **corpora.SQL, **cases.SQL}

@@ -14,8 +14,9 @@ def meta_table(docs: DataFrame, id_col: str, keys: Iterable[str]) -> DataFrame:
     kinds = dict(docs.dtypes)
     parts = []
     for key in keys:
-        value = F.explode(F.col(key)) if kinds[key].startswith("array") else F.col(key)
-        parts.append(docs.select(F.col(id_col).alias("doc_id"), F.lit(key).alias("key"), normalize(value.cast("string")).alias("value")))
+        values = F.col(key) if kinds[key].startswith("array") else F.array(key)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(key).alias("key"), F.explode(values).alias("value"))
+        parts.append(rows.withColumn("value", normalize(F.col("value").cast("string"))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

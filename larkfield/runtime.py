@@ -91,11 +91,18 @@ class Scratch:
 
 
 _shipped: set[str] = set()
+#: bytes of one Arrow batch that goes to a Python worker, where the session has Spark's own default
+BATCH_BYTES = 16 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give executors this package as a zip, once per application, so Python workers can import it."""
+    """Give executors this package as a zip, once per application, so Python workers can import it.
+
+    Batches are bounded by bytes, as long texts would make those of 10,000 rows too large.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "").rstrip("b") == str(64 << 20):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))

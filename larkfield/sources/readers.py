@@ -103,8 +103,9 @@ LEDGER = "site_id string, actuator string, command string, params string, work_o
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger records; corrupt lines are skipped."""
-    return spark.read.schema(LEDGER + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
+    """Ledger records; corrupt lines are skipped. Lines are parsed as text, so that any column may be counted alone."""
+    rows = spark.read.text(path).select(F.from_json("value", LEDGER, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return rows.where("site_id is not null")
 
 
 SEPARATOR = "\n\n<!-- ENTRY_END -->\n\n"
@@ -115,7 +116,7 @@ def read_decision_log(spark: SparkSession, path: str, separator: str = SEPARATOR
     """(as_of, site, disposition, status, decision, outcome, reflection) of a log of tagged text blocks."""
     block = F.col("value")
     section = lambda name: F.trim(F.regexp_extract(block, rf"(?s){name}:\n(.*?)(?=\n(?:DECISION|OUTCOME|REFLECTION):|$)", 1))
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", separator.strip())).alias("value")).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("value"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", separator.strip())).alias("value")).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("value"))
     rows = rows.where(F.rlike("value", F.lit(_TAG)))
     return rows.select(*[F.trim(F.regexp_extract(block, _TAG, k)).alias(c) for k, c in enumerate(("as_of", "site", "disposition", "status"), 1)],
                        section("DECISION").alias("decision"), section("OUTCOME").alias("outcome"), section("REFLECTION").alias("reflection"))

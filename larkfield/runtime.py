@@ -101,7 +101,7 @@ def ship_package(spark: SparkSession) -> None:
     Batches are bounded by bytes, as long texts would make those of 10,000 rows too large.
     """
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "").rstrip("b") == str(64 << 20):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
-from larkfield.functions.vector import dot, is_valid
+from larkfield.functions.vector import is_valid
 from larkfield.operators.lexical import ranked
+from larkfield.runtime import ship_package
 
 CANDIDATES, LEAST = 30, 0.15
+#: query vectors that are held at once
+BLOCK = 4096
 
 
 def validity(vectors: DataFrame, vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -21,17 +27,62 @@ def validity(vectors: DataFrame, vector_col: str = "embedding", dim: int | None
     )
 
 
+def _nearest(ids: pa.Array, matrix: np.ndarray, most: int):
+    """The ``most`` best rows of a partition for each query of a block, kept while the batches go by."""
+
+    def run(batches):
+        best_score, best_id, kind = [np.zeros(0)] * len(matrix), [None] * len(matrix), pa.int64()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            width = np.array(batch.column(1).value_lengths().fill_null(-1))
+            fits = np.flatnonzero(width == matrix.shape[1])
+            rows = batch.take(pa.array(fits))
+            key = rows.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")  # ties go to the lesser id, as every further sort is stable
+            values = np.asarray(rows.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(fits), matrix.shape[1])[order]
+            key = key[order]
+            scores = np.round(values @ matrix.T, 6)
+            scores[np.isnan(scores)] = -np.inf
+            for q in range(len(matrix)):
+                top = np.argsort(-scores[:, q], kind="stable")[:most]
+                s, i = scores[top, q], key[top]
+                if best_id[q] is not None:
+                    s, i = np.concatenate([best_score[q], s]), np.concatenate([best_id[q], i])
+                    by_id = np.argsort(i, kind="stable")
+                    top = by_id[np.argsort(-s[by_id], kind="stable")[:most]]
+                    s, i = s[top], i[top]
+                best_score[q], best_id[q] = s, i
+        for q in range(len(matrix)):
+            if best_id[q] is not None and len(best_id[q]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[q].as_py()] * len(best_id[q]), ids.type), pa.array(best_id[q], kind), pa.array(best_score[q])], names=["query_id", "doc_id", "dense_score"]
+                )
+
+    return run
+
+
 def dense_top(
     queries: DataFrame, vectors: DataFrame, query_id: str = "query_id", query_vector: str = "query_vector", id_col: str = "doc_id",
     vector_col: str = "embedding", most: int = CANDIDATES, least: float = LEAST,
 ) -> DataFrame:
     """(query_id, doc_id, dense_score, dense_rank): the ``most`` nearest, and of those the ones over ``least``.
 
-    Queries are a stated set: they meet all rows as one broadcast side, which the planner only does as a
-    nested loop over the row side's partitions. Ranks are pruned before they are shuffled.
+    Queries are a stated set that meets all rows in blocks of ``BLOCK`` vectors: each block goes to the
+    rows, and every partition sends its ``most`` best for each query, so no row is made for a pair. Rows of
+    another width than the block's are skipped; scores are rounded to six places before they are ranked.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))
-    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("_v"))
-    scored = rows.crossJoin(q).where(F.size("_q") == F.size("_v")).select("query_id", "doc_id", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("dense_score"))
-    top = ranked(scored, "dense_score", most=most, name="dense_rank")
-    return top.where(~F.isnan("dense_score") & (F.col("dense_score") > max(0.0, least)))
+    ship_package(vectors.sparkSession)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null")
+    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    schema = T.StructType([asked.schema["query_id"], rows.schema["doc_id"], T.StructField("dense_score", T.DoubleType())])
+    sizes = {r.n: r.c for r in asked.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).collect()}  # one row a width
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for width, n in sorted(sizes.items()):
+        blocks = -(-n // BLOCK)
+        for k in range(blocks):
+            part = asked.where((F.size("v") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow()
+            matrix = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, width)
+            ids = part.column("query_id").combine_chunks()
+            found = found.unionByName(rows.mapInArrow(_nearest(ids, matrix, most), schema))
+    top = ranked(found, "dense_score", most=most, name="dense_rank")
+    return top.where(F.col("dense_score") > max(0.0, least))

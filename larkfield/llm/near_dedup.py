@@ -1,18 +1,20 @@
 """Near-duplicate groups by a multi-index Hamming join over b-bit MinHash signatures.
 
 A document is the set of its distinct five-word shingles. Documents with the same set form one class
-at once, whatever the size of the group. Classes get 64 symbols of 8 bits (b-bit MinHash). Pigeonhole:
+at once, whatever the size of the group. Classes get 64 symbols of 16 bits (b-bit MinHash). Pigeonhole:
 the first 32 symbols are cut into seven chunks; if at most 13 symbols differ, some chunk has at most one
 error, so each chunk is keyed once per position with that position left out. All pairs under the
-signature distance share such a key. Each pair is looked at only under its first such key, so no pair
-appears twice. Candidates are confirmed on the full shingle sets:
+signature distance share such a key. Candidates are confirmed on the full shingle sets:
 
-1. every class proposes its nearest signatures under each key; confirmed links give components;
-2. every pair under the distance that still lies in different components is confirmed as well.
+1. every class proposes its nearest signatures under each key (a pair only under its first such key);
+   confirmed links give components;
+2. classes that are near under some key, but in different components, form clusters; each cluster's sets
+   meet in units of two blocks, where every near pair across components is counted in memory.
 
 Pairs inside a component need no test, as they can't change the result. So a group of thousands of
-copies costs a few links for each member, and no link between different texts that matters is lost.
-Keys with many members are cut into blocks, and each pair of blocks is one unit of work.
+copies costs a few links for each member, no row is made for a pair that isn't a link, and no link
+between different texts that matters is lost. Keys and clusters with many members are cut into blocks,
+and each pair of blocks is one unit of work of bounded size.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ KEYED, SYMBOLS = 32, 64
 CHUNKS = (5, 5, 5, 5, 4, 4, 4)
 STARTS = tuple(int(x) for x in np.cumsum((0, *CHUNKS[:-1])))
 #: nearest signatures that a class proposes in the first pass, for keys of more members than SMALL
-NEAREST, SMALL = 8, 16
+NEAREST, SMALL = 3, 16
 BLOCK = 4096
-#: members of a verification unit's block
+#: members of a block whose full sets meet in one unit
 SETS = 512
+#: bytes of the bit matrix that a unit counts shared shingles with; beyond, sets are intersected pair by pair
+BITS = 96 << 20
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -51,17 +55,17 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """64 symbols: the low byte of the least value of each multiply-add hash over the set."""
+    """64 symbols: 16 bits of the least value of each multiply-add hash over the set."""
     low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 4096):
         low = np.minimum(low, (s[None, i : i + 4096] * _A[:, None] + _B[:, None]).min(axis=1))
-    return (kernels.splitmix(low) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+    return (kernels.splitmix(low) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def most_distance(percent: int) -> int:
-    """Signature distance that a pair of that similarity exceeds about once in a hundred thousand times."""
+def most_distance(percent: int, deviations: float = 4.5) -> int:
+    """Signature distance that a pair of that similarity exceeds, by default, once in a hundred thousand times."""
     p = 1 - percent / 100
-    return min(SYMBOLS, int(np.ceil(SYMBOLS * p + 4.5 * np.sqrt(SYMBOLS * p * (1 - p)))))
+    return min(SYMBOLS, int(np.ceil(SYMBOLS * p + deviations * np.sqrt(SYMBOLS * p * (1 - p)))))
 
 
 def _features(batches):
@@ -109,94 +113,199 @@ def _canonical(differ: np.ndarray) -> np.ndarray:
     return out
 
 
-def _propose(percent: int, nearest: bool):
-    """Candidate pairs of the units in a partition sorted by unit; nearest: the first pass."""
-    limit = most_distance(percent)
+def _by_unit(work, names: list[str], rows: int):
+    """mapInArrow function: ``work(table)`` gets whole units of a partition sorted by unit, some ``rows`` at a time."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < rows:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column("unit").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last unit may go on in the next batch
+            if cut:
+                yield _pairs(work(table.slice(0, cut).combine_chunks()), names)
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield _pairs(work(pa.Table.from_batches(held).combine_chunks()), names)
+
+    return run
+
+
+def _pairs(ab, names) -> pa.RecordBatch:
+    a, b = ab
+    both = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1) if len(a) else np.zeros((0, 2), np.int64)
+    both = np.unique(both, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=names)
+
 
-    def near(sig, n, comp, pat, blk, cross, i, j):
+class _Rows:
+    """The columns of some units as arrays, with where each unit begins and ends."""
+
+    def __init__(self, table: pa.Table):
+        has = set(table.column_names)
+        key = table.column("unit").to_numpy()
+        self.cid = table.column("cid").to_numpy()
+        self.n = table.column("n_shingles").to_numpy()
+        self.blk = table.column("blk").to_numpy()
+        self.pat = table.column("pat").to_numpy().astype(np.int16) if "pat" in has else None
+        self.comp = table.column("comp").to_numpy() if "comp" in has else None
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        self.sets = table.column("shingles") if "shingles" in has else None
+        self.begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        self.end = np.r_[self.begin[1:], len(key)]
+        self.cross = np.zeros(len(key), bool)  # a unit of two blocks looks at pairs between them only
+        if self.blk.any():
+            for b, e in zip(self.begin, self.end, strict=True):
+                self.cross[b:e] = self.blk[b:e].min() != self.blk[b:e].max()
+
+    def near(self, i, j, percent: int, limit: int):
+        """The pairs under the signature distance that may be similar enough and are of this unit: (i, j, distance, differ)."""
+        n = self.n
         keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-        if comp is not None:
-            keep &= comp[i] != comp[j]
-        keep &= (blk[i] != blk[j]) | ~cross
+        if self.comp is not None:
+            keep &= self.comp[i] != self.comp[j]
+        keep &= (self.blk[i] != self.blk[j]) | ~self.cross[i]
         i, j = i[keep], j[keep]
-        differ = sig[i] != sig[j]
+        differ = self.sig[i] != self.sig[j]
         d = differ.sum(axis=1)
         keep = d <= limit
-        i, j, d, differ = i[keep], j[keep], d[keep], differ[keep]
-        keep = _canonical(differ) == pat[i]
-        return i[keep], j[keep], d[keep]
-
-    def unit_pairs(sig, n, comp, pat, blk, cross, lo, hi):
-        """Of one unit with many members, in blocks of rows."""
-        size, step = hi - lo, max(1, 200_000 // (hi - lo))
-        found = []
+        return i[keep], j[keep], d[keep], differ[keep]
+
+    def blocks(self, lo: int, hi: int, ordered: bool):
+        """Pairs of one unit's rows, some 200,000 at a time; ordered: each pair from both sides."""
+        size = hi - lo
+        step = max(1, 200_000 // size)
         for at in range(lo, hi, step):
             rows = np.arange(at, min(hi, at + step))
-            if nearest:
+            if ordered:
                 i, j = np.repeat(rows, size), np.tile(np.arange(lo, hi), len(rows))
-                i, j = i[i != j], j[i != j]
+                yield i[i != j], j[i != j]
             else:
                 i = np.repeat(rows, hi - 1 - rows)
-                j = np.concatenate([np.arange(r + 1, hi) for r in rows]) if len(rows) else i
-            i, j, d = near(sig, n, comp, pat, blk, cross, i, j)
-            if nearest and len(i):
+                yield i, np.concatenate([np.arange(r + 1, hi) for r in rows])
+
+    def small(self, percent: int, limit: int):
+        """Near pairs of all units of at most SMALL rows."""
+        size = self.end - self.begin
+        few, last = np.repeat(size <= SMALL, size), np.repeat(self.end, size)
+        for off in range(1, SMALL):
+            at = np.arange(len(few) - off)
+            i = at[few[: len(few) - off] & (at + off < last[: len(few) - off])]
+            if not len(i):
+                return
+            yield self.near(i, i + off, percent, limit)
+
+    def large(self):
+        size = self.end - self.begin
+        return zip(self.begin[size > SMALL].tolist(), self.end[size > SMALL].tolist(), strict=True)
+
+
+def _propose(percent: int):
+    """First pass: the nearest signatures of each row, where its key is the pair's first; likely links only, as the second pass takes all."""
+    limit = most_distance(percent, 1.0)
+
+    def work(table: pa.Table):
+        rows = _Rows(table)
+        out = []
+        for i, j, _, differ in rows.small(percent, limit):
+            first = _canonical(differ) == rows.pat[i]
+            out.append((i[first], j[first]))
+        for lo, hi in rows.large():
+            for i, j in rows.blocks(lo, hi, True):
+                i, j, d, differ = rows.near(i, j, percent, limit)
+                first = _canonical(differ) == rows.pat[i] if len(i) else np.zeros(0, bool)
+                i, j, d = i[first], j[first], d[first]
                 order = np.lexsort((j, d, i))
                 i, j = i[order], j[order]
-                begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
                 rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.r_[begin, len(i)]))
-                i, j = i[rank < NEAREST], j[rank < NEAREST]
-            found.append((i, j))
-        return [np.concatenate(x) for x in zip(*found, strict=True)]
+                out.append((i[rank < NEAREST], j[rank < NEAREST]))
+        i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return rows.cid[i], rows.cid[j]
 
-    def units(table: pa.Table):
-        key = table.column("unit").to_numpy()
-        cid = table.column("cid").to_numpy()
-        pat = table.column("pat").to_numpy().astype(np.int16)
-        n = table.column("n_shingles").to_numpy()
-        comp = None if nearest else table.column("comp").to_numpy()
-        blk = table.column("blk").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        end = np.r_[begin[1:], len(key)]
-        size = end - begin
-        cross = np.zeros(len(key), bool)
-        if blk.any():  # a unit of two blocks looks at pairs between them only
-            for b, e in zip(begin, end, strict=True):
-                cross[b:e] = blk[b:e].min() != blk[b:e].max()
-        out_a, out_b = [], []
-        small = np.repeat(size <= SMALL, size)
-        last = np.repeat(end, size)
-        for off in range(1, SMALL):
-            i = np.flatnonzero(small[: len(key) - off] & (np.arange(len(key) - off) + off < last[: len(key) - off]))
-            if not len(i):
-                break
-            i, j, _ = near(sig, n, comp, pat, blk, cross[i], i, i + off)
-            out_a.append(cid[i])
-            out_b.append(cid[j])
-        for b, e in zip(begin[size > SMALL], end[size > SMALL], strict=True):
-            i, j = unit_pairs(sig, n, comp, pat, blk, cross[b], b, e)
-            out_a.append(cid[i])
-            out_b.append(cid[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return _by_unit(work, ["a", "b"], 20_000)
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) < 20_000:
+
+def _join_near(percent: int):
+    """Second pass: ties the rows of a unit that near pairs across components connect, by a star each."""
+    limit = most_distance(percent)
+
+    def work(table: pa.Table):
+        rows = _Rows(table)
+        out = [(i, j) for i, j, _, _ in rows.small(percent, limit)]
+        for lo, hi in rows.large():
+            touch = np.zeros((hi - lo, hi - lo), bool)
+            for i, j in rows.blocks(lo, hi, False):
+                i, j, _, _ = rows.near(i, j, percent, limit)
+                touch[i - lo, j - lo] = touch[j - lo, i - lo] = True
+            todo = touch.any(axis=1)
+            while todo.any():
+                first = int(todo.argmax())
+                group = np.zeros(hi - lo, bool)
+                edge = np.array([first])
+                group[first] = True
+                while len(edge):
+                    new = touch[edge].any(axis=0) & ~group
+                    group |= new
+                    edge = np.flatnonzero(new)
+                todo &= ~group
+                rest = np.flatnonzero(group)[1:]
+                out.append((np.full(len(rest), lo + np.flatnonzero(group)[0]), lo + rest))
+        i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return rows.cid[i], rows.cid[j]
+
+    return _by_unit(work, ["a", "b"], 20_000)
+
+
+def _settle(percent: int):
+    """Second pass: counts the shared shingles of every near pair across components of a unit; a link for each two components."""
+    limit = most_distance(percent)
+
+    def links(rows: _Rows, i, j):
+        """Which of the pairs, of one unit, are links."""
+        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+        sets = [np.frombuffer(rows.sets[int(r)].as_py(), np.uint64) for r in used]
+        x, y = back[: len(i)], back[len(i) :]
+        size = np.array([len(s) for s in sets])
+        values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        width = -(-int((count > 1).sum()) // 8)
+        both = np.zeros(len(i), np.int64)
+        if width * len(sets) <= BITS:
+            bits = np.zeros((len(sets), max(width, 1)), np.uint8)
+            owner = np.repeat(np.arange(len(sets)), size)
+            shared = count[at] > 1
+            owner, column = owner[shared], place[at[shared]]
+            np.bitwise_or.at(bits, (owner, column >> 3), (1 << (column & 7)).astype(np.uint8))
+            step = max(1, (4 << 20) // max(width, 1))
+            for k in range(0, len(i), step):
+                both[k : k + step] = np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(axis=1, dtype=np.int64)
+        else:
+            for k, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                both[k] = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        return 100 * both >= percent * (size[x] + size[y] - both)
+
+    def work(table: pa.Table):
+        rows = _Rows(table)
+        out = []
+        for lo, hi in zip(rows.begin.tolist(), rows.end.tolist(), strict=True):
+            if hi - lo < 2:
                 continue
-            table = pa.Table.from_batches(held)
-            key = table.column("unit").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last unit may go on in the next batch
-            if cut:
-                yield units(table.slice(0, cut).combine_chunks())
-                held = table.slice(cut).combine_chunks().to_batches()
-        if held and sum(x.num_rows for x in held):
-            yield units(pa.Table.from_batches(held).combine_chunks())
+            near = [rows.near(i, j, percent, limit)[:2] for i, j in rows.blocks(lo, hi, False)]
+            i, j = (np.concatenate(x) for x in zip(*near, strict=True))
+            if len(i):
+                yes = links(rows, i, j)
+                i, j = i[yes], j[yes]
+                a, b = np.minimum(rows.comp[i], rows.comp[j]), np.maximum(rows.comp[i], rows.comp[j])
+                _, one = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+                out.append((i[one], j[one]))
+        i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return rows.cid[i], rows.cid[j]
 
-    return run
+    return _by_unit(work, ["a", "b"], 1_000)
 
 
 def _confirm(percent: int):
@@ -236,24 +345,39 @@ def _keys(classes: DataFrame) -> DataFrame:
     out = []
     for at, size in zip(STARTS, CHUNKS, strict=True):
         for p in range(at, at + size):
-            parts = [F.substring("sig", at + 1, p - at)] if p > at else []
-            parts += [F.substring("sig", p + 2, at + size - p - 1)] if p < at + size - 1 else []
+            parts = [F.substring("sig", 2 * at + 1, 2 * (p - at))] if p > at else []
+            parts += [F.substring("sig", 2 * p + 3, 2 * (at + size - p - 1))] if p < at + size - 1 else []
             out.append(F.struct(F.lit(p).cast("short").alias("pat"), F.xxhash64(F.lit(p), *parts).alias("key")))
     return classes.select("cid", F.explode(F.array(*out)).alias("k")).select("cid", "k.pat", "k.key")
 
 
-def _units(keyed: DataFrame, classes: DataFrame, percent: int, nearest: bool, scratch: Scratch) -> DataFrame:
-    """Candidate pairs under the shared keys; a key of many members becomes pairs of blocks."""
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = (
-        keyed.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+def _in_blocks(rows: DataFrame, group: str, members, block: int) -> DataFrame:
+    """Adds blk and unit: a group of many members becomes one unit for each pair of its blocks."""
+    blocks = F.ceil(members / F.lit(block)).cast("int")
+    return (
+        rows.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("unit", F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")))
-        .select("unit", "cid", "pat", "blk", *([] if nearest else ["comp"]))
-        .join(classes.select("cid", "n_shingles", "sig"), "cid")
+        .withColumn("unit", F.xxhash64(group, F.least("blk", "other"), F.greatest("blk", "other")))
+        .drop("other", group)
     )
+
+
+def _units(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the shared keys with signatures, each unit's together."""
+    rows = _in_blocks(keyed, "key", F.col("members"), BLOCK).drop("members").join(classes.select("cid", "n_shingles", "sig"), "cid")
+    return rows.repartition("unit").sortWithinPartitions("unit")
+
+
+def _settled(near: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The links across components in the clusters that ``near`` ties together."""
+    clusters = connected_components(near, scratch)
+    size = clusters.groupBy("root").agg(F.count("*").alias("members"))
+    rows = clusters.join(size, "root").select(F.col("node").alias("cid"), "root", "members")
+    rows = _in_blocks(rows, "root", F.col("members"), SETS).drop("members")
+    rows = rows.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    rows = rows.join(classes.select("cid", "n_shingles", "sig"), "cid").join(sets, "cid")
     rows = rows.repartition("unit").sortWithinPartitions("unit")
-    return scratch.save(rows.mapInArrow(_propose(percent, nearest), "a long, b long").distinct(), "pairs")
+    return scratch.save(rows.mapInArrow(_settle(percent), "a long, b long"), "links")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -303,16 +427,13 @@ def near_duplicates(
         .where(F.length("shingles") > 0).dropDuplicates(["cid"]),
         "sets",
     )
-    first = _units(multi, classes, percent, True, scratch)
-    links = _confirmed(first, sets, percent, scratch)
-    comps = connected_components(links, scratch)
-    labelled = multi.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "cid", "pat", "key", "members", F.coalesce("root", "cid").alias("comp")
-    )
+    pairs = scratch.save(_units(multi, classes).mapInArrow(_propose(percent), "a long, b long").distinct(), "pairs")
+    links = _confirmed(pairs, sets, percent, scratch)
+    comps = connected_components(links, scratch).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
+    labelled = multi.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    second = _units(labelled.join(mixed, "key"), classes, percent, False, scratch)
-    second = scratch.save(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(second, sets, percent, scratch)
+    near = _units(labelled.join(mixed, "key"), classes).mapInArrow(_join_near(percent), "a long, b long").distinct()
+    more = _settled(scratch.save(near, "near"), comps, classes, sets, percent, scratch)
 
     several = rows.where("cid is not null and doc_id is not null").groupBy("doc_id").agg(
         F.min("cid").alias("a"), F.max("cid").alias("z")

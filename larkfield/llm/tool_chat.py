@@ -133,7 +133,7 @@ def format_chat(
     arguments = F.coalesce(F.to_json(F.try_parse_json("m.arguments")), F.to_json(F.struct(F.col("m.arguments").alias("text"))))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     body = F.concat(
-        F.lit('{"arguments":'), arguments, F.lit(',"id":'), F.coalesce(quoted(F.col("m.call_id")), F.lit("null")), F.lit(',"name":'), quoted(F.col("m.name")),
+        F.lit('{"arguments":'), arguments, F.lit(',"id":'), F.when(F.col("m.call_id").isNull(), "null").otherwise(quoted(F.col("m.call_id"))), F.lit(',"name":'), quoted(F.col("m.name")),
         F.lit(',"result":'), F.when(F.col("g.content").isNull(), "null").otherwise(quoted(F.col("g.content"))),
         F.lit(',"role":"assistant","turn":'), F.coalesce(F.col("m.turn").cast("string"), F.lit("null")), F.lit("}"),
     )

@@ -1,0 +1,66 @@
+import hashlib
+import re
+
+from larkfield.llm import secrets
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    out = []
+    for m in ASSIGN.finditer(text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(out)
+
+
+TEXTS = [
+    None, "", "plain prose without any secret", "étoile token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" après",
+    "PassWord: hunter2 then password='longenough1'", "token=api_key: \"abcdefgh1\" secret=short", "token=secret=abcdefgh",
+    "AKIAABCDEFGHIJKL and AKIA123 and AKIAAKIAAKIAAKIA1", "f" * 31 + " " + "0" * 32 + "g" + "a" * 40,
+    "😀 api-key apikey = ABCDEFGHIJ", "xtokenx: abcdefgh token:\nabcdefgh", "a" * 50_000 + " token = " + "Z9" * 20_000,
+    "key kQ7xZ2mVp9LwT4bNc8RjY5hD and list_item_2024_name_of_group_index", "getUserAccountSettings2023 https/path/to/some/thing/v2",
+]
+
+
+def test_base_spans(spark):
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, secrets int")
+    out = secrets.scan_secrets(df)
+    assert out.columns[-1] == "secrets_1"
+    for r in out.collect():
+        got = [(s.start, s.kind, s.end) for s in r.secrets_1]
+        assert [s for s in got if s[1] < 3] == base(r.text or ""), r.doc_id
+        assert got == sorted(got)
+        for s in got:  # what the models add never overlaps a base span
+            assert s[1] < 3 or all(s[2] <= b[0] or b[2] <= s[0] for b in got if b[1] < 3)
+
+
+def test_models_tell_random_from_ordinary(spark):
+    rows = [(0, "see kQ7xZ2mVp9LwT4bNc8RjY5hD now"), (1, "list_item_2024_name_of_group_index"), (2, "getUserAccountSettings2023 and ORDER_ITEM_TOTAL_2020"), (3, "x9Gk2LqZ8vTn4RwB7mYc3HdJ6")]
+    out = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: [3], 1: [], 2: [], 3: [3]}
+
+
+def test_held_out_accuracy(spark):
+    """Ratios trained on even samples decide odd ones."""
+    from pyspark.sql import functions as F
+
+    s = secrets._samples(spark).where(F.length("text") >= 20)
+    ratios = secrets.train_ratios(s.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 0))
+    right = total = 0
+    for r in s.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 1).limit(3000).collect():
+        codes = [0, *(ord(c) for c in r.text)]
+        score = sum(ratios[128 * a + b] for a, b in zip(codes, codes[1:], strict=False))
+        right += (score >= secrets.THRESHOLD) == r.random
+        total += 1
+    assert right / total > 0.97
+
+
+def test_empty_and_digest(spark, sf):
+    from larkfield.llm import registry
+
+    assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    r = next(x for x in registry.QUERIES["op1_secret_scan"](spark, sf).collect() if not x.n_assign + x.n_hex + x.n_access)
+    assert r.base_sha256 == hashlib.sha256(b"").hexdigest()

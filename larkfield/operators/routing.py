@@ -39,11 +39,11 @@ def after_execution(status: Column, rollbacks: Column) -> Column:
     return F.when((F.trim(F.coalesce(status, F.lit(""))) == "failed") & (rollbacks < ROLLBACK), "rollback").otherwise("finalize")
 
 
-def approval_gate(mode: Column, dry_run: Column, human: Column) -> Column:
-    """struct(approved, waits): automatic, dry-run or human approval."""
-    return F.when(mode == "auto", F.struct(F.lit(True).alias("approved"), F.lit(False).alias("waits"))).when(
-        dry_run, F.struct(F.lit(True).alias("approved"), F.lit(False).alias("waits"))
-    ).otherwise(F.struct(F.coalesce(human, F.lit(False)).alias("approved"), human.isNull().alias("waits")))
+def approval_gate(require_human: Column, dry_run: Column, human: Column) -> Column:
+    """struct(approved, waits, basis): a person where one is required, else a dry run's or the caller's own risk."""
+    by = lambda approved, waits, basis: F.struct(approved.alias("approved"), waits.alias("waits"), F.lit(basis).alias("basis"))
+    yes, no = F.lit(True), F.lit(False)
+    return F.when(require_human, by(F.coalesce(human, no), human.isNull(), "human")).when(dry_run, by(yes, no, "dry run")).otherwise(by(yes, no, "automatic"))
 
 
 def final_status(execution: Column, rollback_plan: Column) -> Column:

@@ -81,8 +81,9 @@ def test_routers(spark):
     assert v(routing.after_safety(F.lit("revise"), F.lit(2))) == "coordinator" and v(routing.after_safety(F.lit("block"), F.lit(0))) == "coordinator"
     assert v(routing.after_execution(F.lit("failed"), F.lit(1))) == "finalize" and v(routing.after_approval(none)) == "coordinator"
     assert v(routing.final_status(F.lit("unknown"), F.lit(None).cast("string"))) == "executed" and v(routing.lifecycle(F.lit(False), F.lit(2))) == "paused"
-    gate = v(routing.approval_gate(F.lit("human"), F.lit(False), none))
-    assert (gate.approved, gate.waits) == (False, True)
+    gate = lambda need, dry, human: tuple(v(routing.approval_gate(F.lit(need), F.lit(dry), human)))
+    assert gate(True, True, none) == (False, True, "human") and gate(True, False, F.lit(True)) == (True, False, "human")
+    assert gate(False, True, none) == (True, False, "dry run") and gate(False, False, none) == (True, False, "automatic")
 
 
 def test_vendor_chain():
@@ -142,3 +143,43 @@ def test_diagnosis(spark):
     g = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, identity string, rank int")
     h = spark.createDataFrame([(1, "y", 1), (1, "y", 2), (1, "z", 3)], "query_id int, identity string, rank int")
     assert [(r.identity, r.best) for r in domain.diagnose(g, h).orderBy("rank").collect()] == [("y", 1), ("x", 1), ("z", 2)]
+
+
+def test_states(spark):
+    from larkfield.operators import cases
+
+    full = ("s", "field", "2024-01-01", "", "", ("rep", "screen", "high", True, 1), ("", "", None, "", None, 1), ("n", "close", "", "wo", None, "pass", "ok", None, "", 1, 0, 0), None, "f", "closed_no_action")
+    df = spark.createDataFrame([full], cases.STATE)
+    r = cases.respond(cases.project_state(df)).first()
+    assert r.severity == "high" and r.description == "screen" and r.coordination.approved is False and r.execution.status == "" and r.perception.has_anomaly
+    v = lambda a, n: tuple(spark.range(1).select(cases.close(F.lit(a), F.lit(n))).first()[0])
+    assert v("close", "处置等级：尽快处置") == ("Soon", False) and v("", "nothing here") == ("Monitor", False) and v("plan_work_order", "处置等级：尽快处置") == ("REVIEW", True)
+    ev = spark.createDataFrame([("a", 1, "queued"), ("a", 2, "running"), ("a", 3, "awaiting_approval"), ("a", 4, "completed"), ("b", 1, "running")], "case_id string, seq int, status string")
+    assert {(x.case_id, x.seq) for x in cases.bad_transitions(ev).collect()} == {("a", 4), ("b", 1)}
+    ok = lambda *x: spark.range(1).select(cases.valid_request(*map(F.lit, x))).first()[0]
+    assert ok("F-1", "2024-01-01", "", True) and not ok("../x", "2024-01-01", "", True) and not ok("F", "2024-1-1", "", True) and not ok("F", "2024-01-01", "", False)
+
+
+def test_settings():
+    from larkfield import config
+
+    c = config.with_environment(config.DEFAULTS, {"LARKFIELD_TOP_K": "7", "LARKFIELD_DRY_RUN": "no", "LARKFIELD_MIN_DENSE": "0.2", "LARKFIELD_AUTO_CLOSE": ""})
+    assert (c["top_k"], c["dry_run"], c["min_dense"], c["auto_close"]) == (7, False, 0.2, True)
+    with pytest.raises(ValueError):
+        config.with_environment(config.DEFAULTS, {"LARKFIELD_DRY_RUN": "maybe"})
+    assert config.merged({"a": {"x": 1}, "b": 2}, {"a": {"y": 2}, "b": None}) == {"a": {"x": 1, "y": 2}, "b": 2}
+    assert config.split_paths("a: b:a") == ["a", "b"]
+
+
+def test_vendors(spark):
+    from larkfield import config
+    from larkfield.sources import vendors
+    from larkfield.sources.errors import NoDataError
+
+    assert vendors.call("get_device_status", config.DEFAULTS, spark, "s", "2024-01-01").count() == 4
+    assert vendors.call("get_resource_inventory", config.DEFAULTS, spark, "s").where("item = '叶面肥 Y' AND amount = 0.5").count() == 1
+    with pytest.raises(NoDataError):
+        vendors.call("check_safety_policy", config.DEFAULTS, "a", "b")
+    gone = config.merged(config.DEFAULTS, {"tools": {"get_camera_snapshot": "placeholder"}})
+    assert vendors.call("get_camera_snapshot", gone, spark, "s", "2024-01-01") is None
+    assert vendors.call("get_camera_snapshot", config.DEFAULTS, spark, "s", "2024-01-01").count() == 1

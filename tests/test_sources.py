@@ -149,3 +149,62 @@ def test_components(spark, edges):
     df = spark.createDataFrame(edges, "a long, b long")
     got = connected_components(df, Scratch(spark, "cc")).collect()
     assert {(r.node, r.root) for r in got} == {(x, find(x)) for x in list(root)} and len(got) == len(root)
+
+
+def test_downloads(tmp_path):
+    from larkfield.sources import download as d
+
+    calls = []
+
+    def opener(url):
+        calls.append(url)
+        if len(calls) < 3:
+            raise d.HttpError(429) if len(calls) == 1 else ConnectionError()
+        return b"data"
+
+    path = str(tmp_path / "x" / "f")
+    assert d.download("u", path, lambda u: d.get_bytes(u, opener, sleep=lambda s: None)) == path and len(calls) == 3
+    d.download("u", path, opener)
+    assert len(calls) == 3 and not (tmp_path / "x" / "f.part").exists()
+
+    def gone(url):
+        calls.append(url)
+        raise d.HttpError(404)
+
+    with pytest.raises(d.HttpError):
+        d.get_bytes("u", gone, sleep=lambda s: None)
+    assert len(calls) == 4
+    with pytest.raises(OSError):
+        d.download("u", path, lambda u: b"new", complete=lambda p: False)
+    assert open(path, "rb").read() == b"data"
+    assert d.first_endpoint(["/a"], ["m", "h"], lambda u: b"ok" if u == "h/a" else gone(u)) == b"ok"
+    assert d.parquet_urls(b'{"c": {"train": ["1", "2"]}}', "c", "train") == ["1", "2"] and d.parquet_urls(b'{"parquet_files": [{"config": "c", "split": "s", "url": "3"}]}', "c", "s") == ["3"]
+
+
+def test_knowledge_base(spark, tmp_path):
+    from larkfield.operators.knowledge import KnowledgeBase, dataset_provenance
+    from larkfield.operators.terms import Dictionary
+
+    rows = [
+        ("a", "cards", "symptom", "late blight", "tomato leaves show water-soaked spots. " * 30 + "The stem turns brown.", "late blight", None, None, None, "ref-a"),
+        ("b", "qa", "qa_pair", "watering", "water the tomato daily", None, None, None, None, ""),
+        ("s", "seed", "soil_reference", "soil", "ph 6", None, "GH-1", None, None, "r"),
+        ("e", "local", "equipment_manual", "pump", "fault E04: check the valve", None, None, "P-2", "E04", "r"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, kind string, title string, text string, disease string, site_id string, device_id string, fault_code string, source_ref string")
+    store = publish.Store(spark, str(tmp_path / "kb"))
+    store.publish({"documents": docs}, {})
+    kb = KnowledgeBase.open(store)
+    kb.dictionary = Dictionary({"t": ["番茄", "tomato"]})
+    kb.symptoms = spark.createDataFrame([("late blight", 1, "water-soaked spots"), ("rust", 2, "orange dust")], "entity string, symptom_id int, symptom string")
+    q = spark.createDataFrame([(1, "番茄 brown stem"), (2, "moon travel")], "query_id int, query_text string")
+    got = kb.evidence(q).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in got} == {1} and got[0].doc_id == "a" and "brown" in got[0].snippet and got[0].citation == "ref-a" and len(got[0].snippet) <= 320
+    assert kb.missing(["cards", "nope"], ["x"]) == ["source nope is not loaded", "kind x is not loaded"]
+    assert kb.document("b").count() == 1 and kb.document("B").count() == 0 and kb.catalog().count() == 4
+    assert kb.soil_reference(" gh-1").first().doc_id == "s" and kb.soil_reference("").count() == 0
+    assert kb.equipment_manual("p-2", "e04").first().doc_id == "e" and kb.equipment_manual("p-2", "").count() == 0
+    d = kb.diagnose(spark.createDataFrame([(1, "water-soaked spots")], "query_id int, query_text string")).collect()
+    assert d[0].identity == "late blight" and kb.probe(["watering", "moon"]) == ["moon"]
+    p = spark.createDataFrame([("a", "D1", [("D2", "x"), ("d1", "y")])], "doc_id string, dataset string, also_seen_in array<struct<dataset:string,doc_id:string>>")
+    assert {tuple(r) for r in dataset_provenance(p).collect()} == {("a", "D1", "a"), ("a", "D2", "x")}

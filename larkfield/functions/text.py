@@ -80,6 +80,20 @@ def sentences(text: str) -> list[str]:
     return [p for p in map(str.strip, pieces) if p]
 
 
+def _packed(pieces: list[str], max_chars: int, overlap: int):
+    held = ""
+    for piece in pieces:
+        long = len(piece) > max_chars
+        if held and (long or len(held) + len(piece) > max_chars):
+            yield held
+            held = "" if long else held[max(len(held) - overlap, 0) :]
+        if long:
+            yield from (piece[at : at + max_chars] for at in range(0, len(piece), max_chars - overlap))
+        else:
+            held += piece
+    yield held
+
+
 def chunks(text: str | None, max_chars: int = 520, overlap: int = 80) -> list[str]:
     """Sentences packed into chunks of at most ``max_chars``; a new chunk begins with the end of the last.
 
@@ -88,25 +102,7 @@ def chunks(text: str | None, max_chars: int = 520, overlap: int = 80) -> list[st
     text = (text or "").strip()
     if len(text) <= max_chars:
         return [text] if text else []
-    out, held = [], ""
-
-    def flush(s: str) -> None:
-        if s.strip():
-            out.append(s.strip())
-
-    for sentence in sentences(text):
-        if len(sentence) > max_chars:
-            flush(held)
-            held = "" if held.strip() else held
-            for at in range(0, len(sentence), max_chars - overlap):
-                flush(sentence[at : at + max_chars])
-        elif held and len(held) + len(sentence) > max_chars:
-            out.append(held.strip())
-            held = (held[-overlap:] if overlap > 0 else "") + sentence
-        else:
-            held += sentence
-    flush(held)
-    return out
+    return [c.strip() for c in _packed(sentences(text), max_chars, overlap) if c.strip()]
 
 
 def chunk_udf(max_chars: int = 520, overlap: int = 80):

@@ -2,9 +2,9 @@
 
 Normalised lines are hashed; for every host the distinct documents that hold a line are counted over all
 rows. Lines above the limit are removed, and a document that keeps too little of itself is rejected.
-The counts of a text need no shuffle. Lines move as (host, hash, document) with a partial count before the
-second exchange, so a line that a third of the documents share is spread by document first; the join back
-is salted for the same reason.
+The counts of a text need no shuffle. Lines move as 64-bit hashes (of host and line, and of the document),
+dealt by both before they are counted by line, so a line that a third of the documents share is spread by
+document first; the join back is salted for the same reason.
 """
 
 from __future__ import annotations
@@ -75,8 +75,8 @@ def line_quality(
 
     quality holds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_cut (words in lines of
     the host that more than ``line_docs`` documents hold), base_failed, kept and left (the text without
-    those lines). A null text counts as empty, a null host as a host of its own, and rows that repeat an
-    id as one document. kept is false if base_failed (fewer than 10 words, or over 20 percent of them
+    those lines). A null text counts as empty, a null host as a host of its own, and rows that repeat id,
+    text and host as one document. kept is false if base_failed (fewer than 10 words, or over 20 percent of them
     repeat), or if less than ``least_left`` of the words is left. No row is dropped.
     """
     k, name = 0, "quality"
@@ -85,30 +85,28 @@ def line_quality(
     names = [f"c{i}" for i in range(len(docs.columns))]
     of = lambda c: F.col(names[docs.columns.index(c)])
     text = F.coalesce(of(text_col).cast("string"), F.lit(""))
-    keyed = docs.toDF(*names).select(
-        "*", F.coalesce(of(id_col).cast("string"), F.lit("")).alias("lf_id"), F.xxhash64(text, of(host_col)).alias("lf_text"),
-        F.xxhash64(F.coalesce(of(host_col).cast("string"), F.lit("\0"))).alias("lf_host"),
-    )
+    host = F.coalesce(of(host_col).cast("string"), F.lit("\0"))
+    keyed = docs.toDF(*names).select("*", F.xxhash64(of(id_col).cast("string"), text, host).alias("lf_row"))
     lines = F.transform(
         F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))),
-        lambda x: _let(normal_line(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.size(F.split(y, " ")).alias("n"))),
+        lambda x: _let(normal_line(x), lambda y: F.struct(F.xxhash64(host, y).alias("h"), F.size(F.split(y, " ")).alias("n"))),
     )
-    long = keyed.select("lf_id", "lf_text", "lf_host", F.explode(lines).alias("l")).select("lf_id", "lf_text", "lf_host", "l.h", "l.n")
-    frequent = long.groupBy("lf_host", "h").agg(F.count_distinct("lf_id").alias("docs")).where(F.col("docs") > line_docs)
-    frequent = frequent.select("lf_host", "h", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    long = keyed.select("lf_row", F.explode(lines).alias("l")).select("lf_row", "l.h", "l.n")
+    frequent = long.groupBy("h").agg(F.count_distinct("lf_row").alias("docs")).where(F.col("docs") > line_docs)
+    frequent = frequent.select("h", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     cut = (
-        long.withColumn("salt", F.pmod(F.xxhash64("lf_id", "lf_text"), F.lit(SALTS)).cast("int"))
-        .join(frequent, ["lf_host", "h", "salt"])
-        .groupBy("lf_id", "lf_text").agg(F.sum("n").alias("lf_cut"), F.collect_set("h").alias("lf_lines"))
+        long.withColumn("salt", F.pmod("lf_row", F.lit(SALTS)).cast("int"))
+        .join(frequent, ["h", "salt"])
+        .groupBy("lf_row").agg(F.sum("n").alias("lf_cut"), F.collect_set("h").alias("lf_lines"))
     )
     # rows that repeat were summed together: their number divides the sum again
-    times = keyed.groupBy("lf_id", "lf_text").agg(F.count("*").alias("lf_times")).where("lf_times > 1")
-    out = keyed.withColumn("lf_q", text_counts(text)).join(cut, ["lf_id", "lf_text"], "left").join(times, ["lf_id", "lf_text"], "left")
+    times = keyed.groupBy("lf_row").agg(F.count("*").alias("lf_times")).where("lf_times > 1")
+    out = keyed.withColumn("lf_q", text_counts(text)).join(cut, "lf_row", "left").join(times, "lf_row", "left")
     n_words, repeat = F.col("lf_q.w.n_words"), F.col("lf_q.w.n_repeat_words")
     n_cut = F.coalesce(F.col("lf_cut") / F.coalesce("lf_times", F.lit(1)), F.lit(0)).cast("long")
     failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
     gone = F.coalesce(F.col("lf_lines"), F.array().cast("array<bigint>"))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normal_line(x)))), "\n")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(host, normal_line(x)))), "\n")
     quality = F.struct(
         n_words.alias("n_words"), F.col("lf_q.w.word_chars").alias("word_chars"), F.col("lf_q.n_symbols").alias("n_symbols"),
         F.col("lf_q.n_dup_lines").alias("n_dup_lines"), repeat.alias("n_repeat_words"), n_cut.alias("n_cut"),

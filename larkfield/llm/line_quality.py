@@ -4,14 +4,15 @@ Normalised lines are hashed; for every host the distinct documents that hold a l
 rows. Lines above the limit are removed, and a document that keeps too little of itself is rejected.
 The counts of a text need no shuffle. Lines move as 64-bit hashes (of host and line, and of the document),
 dealt by both before they are counted by line, so a line that a third of the documents share is spread by
-document first; the join back is salted for the same reason.
+document first. The lines above the limit are written and joined back: broadcast where the planner finds
+them short, else by a join that is salted for the same reason.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larkfield.runtime import read_table
+from larkfield.runtime import Scratch, read_table
 
 #: fixed definitions of words and symbols
 SPACE = r"[\x20\x09-\x0D]+"
@@ -93,6 +94,8 @@ def line_quality(
     )
     long = keyed.select("lf_row", F.explode(lines).alias("l")).select("lf_row", "l.h", "l.n")
     frequent = long.groupBy("h").agg(F.count_distinct("lf_row").alias("docs")).where(F.col("docs") > line_docs)
+    # written first, so that the planner knows its size: a short list is broadcast and the lines stay where they are
+    frequent = Scratch(docs.sparkSession, "lines").save(frequent.select("h"), "frequent")
     frequent = frequent.select("h", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     cut = (
         long.withColumn("salt", F.pmod("lf_row", F.lit(SALTS)).cast("int"))

@@ -18,7 +18,7 @@ from larkfield.runtime import read_table, ship_package
 
 WINDOW = 10
 BLOCK_CHARS = 32 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class TestSide:
@@ -207,7 +207,7 @@ def benchmark_matches(
     out = out.select("*", F.lit(0).cast("long").alias("lf_n"), F.lit(None).cast("binary").alias("lf_hit"),
                      F.array().cast("array<string>").alias("lf_items"), F.lit(0).cast("long").alias("lf_long"))
     for test in test_blocks(benchmark, item_col, item_text_col, window):
-        out = out.mapInArrow(_scan(test, text_at, len(names)), T.StructType(types.fields + extra.fields))
+        out = out.mapInArrow(kernels.tidied(_scan(test, text_at, len(names))), T.StructType(types.fields + extra.fields))
     k, name = 0, "match"
     while name.lower() in {c.lower() for c in docs.columns}:
         k, name = k + 1, f"match_{k + 1}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -74,6 +76,19 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
         yield batch.slice(start)
 
 
+def tidied(run):
+    """``run`` for mapInArrow, giving freed memory back at the end: idle workers stay beside later stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def hash_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     """Words of several texts laid end to end.
 

@@ -21,7 +21,7 @@ SEGMENT = 24
 #: labelled documents for each language that the network is fitted on at most
 TRAIN_DOCS = 200
 STEPS, BATCH, RATE = 500, 192, 0.01
-CACHE = 400_000
+CACHE = 200_000
 _BOUNDARY = 0
 _TABLE = kernels.byte_table([9, 10, 11, 12, 13, 32])
 
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
     if net is not None:
         digest = str(hash(tuple(float(w.sum()) for w in net.w.values())))
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-        out = out.mapInArrow(_predict(net, digest, names.index(text), len(names)), schema)
+        out = out.mapInArrow(kernels.tidied(_predict(net, digest, names.index(text), len(names))), schema)
     known = F.col(text).rlike(r"\p{L}") & F.col("lf_lang").isNotNull()
     answer = F.struct(
         F.when(known, F.col("lf_lang")).otherwise("und").alias("lang"), F.when(known, F.col("lf_score")).otherwise(0.0).alias("score")

@@ -62,6 +62,12 @@ def signature(s: np.ndarray) -> bytes:
     return (kernels.splitmix(low) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
+def class_id(s: np.ndarray) -> int:
+    """One 64-bit name for equal sets."""
+    total = np.sum(kernels.splitmix(s ^ np.uint64(0x5BD1E995)), dtype=np.uint64)
+    return int(kernels.splitmix(np.array([total ^ np.uint64(len(s))]))[0].view(np.int64))
+
+
 def most_distance(percent: int, deviations: float = 4.5) -> int:
     """Signature distance that a pair of that similarity exceeds, by default, once in a hundred thousand times."""
     p = 1 - percent / 100
@@ -78,8 +84,7 @@ def _features(batches):
                 s = shingle_set(h[first[i] : first[i + 1]])
                 n.append(len(s))
                 if len(s):
-                    total = np.sum(kernels.splitmix(s ^ np.uint64(0x5bd1e995)), dtype=np.uint64)
-                    cid.append(int(kernels.splitmix(np.array([total ^ np.uint64(len(s))]))[0].view(np.int64)))
+                    cid.append(class_id(s))
                     sig.append(signature(s))
                 else:
                     cid.append(None)
@@ -91,13 +96,15 @@ def _features(batches):
 
 
 def _sets(batches):
-    """(cid, set) for the rows whose text still gives the wanted class."""
+    """(cid, set) of the rows whose text gives the wanted class: an id that repeats may carry other texts as well."""
     for batch in batches:
         for part in kernels.slices(batch, "text"):
             raw, offsets = kernels.string_views(part.column(1))
             h, _, _, first = kernels.hash_words(raw, offsets, kernels.SPACE_WORDS)
-            sets = [shingle_set(h[first[i] : first[i + 1]]).tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["cid", "shingles"])
+            sets = [shingle_set(h[first[i] : first[i + 1]]) for i in range(part.num_rows)]
+            fits = [len(s) > 0 and class_id(s) == c for s, c in zip(sets, part.column(0).to_pylist(), strict=True)]
+            sets = [s.tobytes() for s, f in zip(sets, fits, strict=True) if f]
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(fits)), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 
 
 def _canonical(differ: np.ndarray) -> np.ndarray:
@@ -158,8 +165,8 @@ class _Rows:
         self.end = np.r_[self.begin[1:], len(key)]
         self.cross = np.zeros(len(key), bool)  # a unit of two blocks looks at pairs between them only
         if self.blk.any():
-            for b, e in zip(self.begin, self.end, strict=True):
-                self.cross[b:e] = self.blk[b:e].min() != self.blk[b:e].max()
+            two = np.minimum.reduceat(self.blk, self.begin) != np.maximum.reduceat(self.blk, self.begin)
+            self.cross = np.repeat(two, self.end - self.begin)
 
     def near(self, i, j, percent: int, limit: int):
         """The pairs under the signature distance that may be similar enough and are of this unit: (i, j, distance, differ)."""
@@ -377,7 +384,7 @@ def _settled(near: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFr
     rows = rows.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     rows = rows.join(classes.select("cid", "n_shingles", "sig"), "cid").join(sets, "cid")
     rows = rows.repartition("unit").sortWithinPartitions("unit")
-    return scratch.save(rows.mapInArrow(_settle(percent), "a long, b long"), "links")
+    return scratch.save(rows.mapInArrow(kernels.tidied(_settle(percent)), "a long, b long"), "links")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -391,7 +398,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     rows = need.join(sets, "cid").select("unit", F.col("cid").alias("a"), "shingles", F.lit(None).cast("long").alias("b"))
     rows = rows.unionByName(units.select("unit", "a", F.lit(None).cast("binary").alias("shingles"), "b"))
     rows = rows.repartition("unit").sortWithinPartitions("unit", F.col("b").asc_nulls_first())
-    return scratch.save(rows.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    return scratch.save(rows.mapInArrow(kernels.tidied(_confirm(percent)), "a long, b long"), "links")
 
 
 def near_duplicates(
@@ -409,7 +416,7 @@ def near_duplicates(
     ship_package(spark)
     scratch = scratch or Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.save(texts.mapInArrow(_features, "doc_id long, n_shingles long, cid long, sig binary"), "features")
+    rows = scratch.save(texts.mapInArrow(kernels.tidied(_features), "doc_id long, n_shingles long, cid long, sig binary"), "features")
 
     classes = scratch.save(
         rows.where("cid is not null").groupBy("cid").agg(
@@ -417,22 +424,22 @@ def near_duplicates(
         ),
         "classes",
     )
-    keys = _keys(classes).repartition("key")
+    keys = _keys(classes.where("rep is not null")).repartition("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     multi = scratch.save(keys.join(shared, "key"), "keys")
 
-    wanted = multi.select("cid").distinct().join(classes.where("rep is not null").select("cid", "rep"), "cid")
+    wanted = multi.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
     sets = scratch.save(
-        texts.join(wanted, texts.doc_id == wanted.rep).select("cid", "text").mapInArrow(_sets, "cid long, shingles binary")
-        .where(F.length("shingles") > 0).dropDuplicates(["cid"]),
+        texts.join(wanted, texts.doc_id == wanted.rep).select("cid", "text").mapInArrow(kernels.tidied(_sets), "cid long, shingles binary")
+        .dropDuplicates(["cid"]),
         "sets",
     )
-    pairs = scratch.save(_units(multi, classes).mapInArrow(_propose(percent), "a long, b long").distinct(), "pairs")
+    pairs = scratch.save(_units(multi, classes).mapInArrow(kernels.tidied(_propose(percent)), "a long, b long").distinct(), "pairs")
     links = _confirmed(pairs, sets, percent, scratch)
     comps = connected_components(links, scratch).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
     labelled = multi.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    near = _units(labelled.join(mixed, "key"), classes).mapInArrow(_join_near(percent), "a long, b long").distinct()
+    near = _units(labelled.join(mixed, "key"), classes).mapInArrow(kernels.tidied(_join_near(percent)), "a long, b long").distinct()
     more = _settled(scratch.save(near, "near"), comps, classes, sets, percent, scratch)
 
     several = rows.where("cid is not null and doc_id is not null").groupBy("doc_id").agg(

@@ -88,6 +88,14 @@ def test_edge_rows(spark):
     assert all(c is None and k for _, c, k in got[None])
 
 
+def test_repeated_ids_and_null_ids_among_copies(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, a + " z"), (None, "only nulls " + b[:200]), (None, "only nulls " + b[:204])]
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in run(spark, rows, 85) if r.doc_id)
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    assert all(r.kept and r.component_id is None for r in run(spark, rows, 85) if r.doc_id is None)
+
+
 def test_empty(spark):
     assert run(spark, [], 85) == []
 

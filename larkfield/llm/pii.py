@@ -4,8 +4,8 @@ Fixed patterns give the base spans. Beyond them, candidate spans are voted on by
 context labelers; expectation-maximisation over the counts of all vote patterns estimates how reliable
 each labeler is, and the resulting soft labels train a logistic span classifier in numpy. Candidates that
 the classifier accepts are added; base spans always stay. The corpus is scanned twice, without a shuffle
-of texts: what the driver gets is one count for each vote pattern (3 ** labelers at most) and at most
-``TRAIN_SPANS`` candidates.
+of texts: what the driver gets is one count for each vote pattern (3 ** labelers at most) and about
+``TRAIN_SPANS`` distinct candidates with their counts.
 """
 
 from __future__ import annotations
@@ -149,16 +149,17 @@ def reliabilities(counts: dict[int, int], rounds: int = 50):
     return prior, table, dict(zip(codes.tolist(), post.tolist(), strict=True))
 
 
-def fit_spans(rows: list[tuple[list[int], float]], rounds: int = 200) -> np.ndarray:
-    """Logistic regression on soft labels; the last weight is the bias."""
+def fit_spans(rows: list[tuple[list[int], float, float]], rounds: int = 200) -> np.ndarray:
+    """Logistic regression on (features, soft label, weight); the last weight is the bias."""
     w = np.zeros(FEATURES + 1)
-    flat = np.concatenate([[*f, FEATURES] for f, _ in rows]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(f) + 1 for f, _ in rows])
-    y = np.array([p for _, p in rows])
+    flat = np.concatenate([[*f, FEATURES] for f, _, _ in rows]).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(f) + 1 for f, _, _ in rows])
+    y, share = np.array([p for _, p, _ in rows]), np.array([n for *_, n in rows], float)
+    share /= share.sum()
     step = np.zeros_like(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[flat], len(rows)), -30, 30)))
-        grad = np.bincount(flat, (p - y)[row], len(w)) / len(rows) + 1e-4 * w
+        grad = np.bincount(flat, ((p - y) * share)[row], len(w)) + 1e-4 * w
         step = 0.9 * step - 1.0 * grad
         w += step
     return w
@@ -185,14 +186,16 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
     """Weights of the span classifier; None where the corpus has no candidates."""
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.save(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_gather, "votes int, features array<int>"), "spans")
-    counts = {r.votes: r.n for r in found.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # 3 ** 7 rows at most
-    if not counts:
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(kernels.tidied(_gather), "votes int, features array<int>")
+    found = scratch.save(found.groupBy("votes", "features").agg(F.count("*").alias("n")), "spans")
+    rows = found.groupBy("votes").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # 3 ** 7 rows at most
+    if not rows:
         return None
-    _, _, post = reliabilities(counts)
-    sample = found.orderBy(F.xxhash64("features", "votes"), "votes").limit(TRAIN_SPANS).collect()
+    _, _, post = reliabilities({r.votes: r.n for r in rows})
+    part = min(1.0, TRAIN_SPANS / sum(r.kinds for r in rows))  # of the distinct candidates, chosen by hash
+    sample = found.where(F.pmod(F.xxhash64("features", "votes"), F.lit(1 << 30)) < int((1 << 30) * part)).collect()
     scratch.close()
-    return fit_spans([(list(r.features), post[r.votes]) for r in sample])
+    return fit_spans(sorted((list(r.features), post[r.votes], r.n) for r in sample)) if sample else None
 
 
 def _apply(weights, text_at: int, width: int):
@@ -244,7 +247,7 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text"
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     out = out.select("*", none.alias("lf_spans"), F.lit(None).cast("string").alias("lf_clean"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-    out = out.mapInArrow(_apply(weights, names.index(text), len(names)), schema)
+    out = out.mapInArrow(kernels.tidied(_apply(weights, names.index(text), len(names))), schema)
     answer = F.struct(F.col("lf_spans").alias("spans"), F.col("lf_clean").alias("redacted"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], answer.alias(name))
 

@@ -59,7 +59,7 @@ def test_em_finds_reliable_labelers():
 
 
 def test_classifier_learns_the_votes():
-    rows = [([1, 5], 0.95)] * 40 + [([2, 5], 0.03)] * 60
+    rows = [([1, 5], 0.95, 40), ([2, 5], 0.03, 60)]
     w = pii.fit_spans(rows)
     assert w[[1, 5]].sum() + w[-1] > 1 and w[[2, 5]].sum() + w[-1] < -1
 

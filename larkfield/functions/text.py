@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+from larkfield.runtime import ship_active
+
 # The word lists that decide which tokens count.
 STOP_WORDS = (
     "a an the of in on for to and or is are was were be been being with by from as at it its this that these those "
@@ -41,11 +43,16 @@ def normalize_text(text: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def normalize_nfkc(text: pd.Series) -> pd.Series:
-    """``normalize_text`` for a column that may hold full-width or composed forms."""
+def _normalize_nfkc(text: pd.Series) -> pd.Series:
     return text.map(normalize_text)
 
 
+def normalize_nfkc(text: Column | str) -> Column:
+    """``normalize_text`` for a column that may hold full-width or composed forms."""
+    ship_active()
+    return _normalize_nfkc(text)
+
+
 def tokenize(text: Column, normal: bool = False) -> Column:
     """Tokens of a text: characters and neighbouring pairs of each CJK run, then ASCII words that are no stop words."""
     text = text if normal else normalize(text)
@@ -106,6 +113,8 @@ def chunks(text: str | None, max_chars: int = 520, overlap: int = 80) -> list[st
 
 
 def chunk_udf(max_chars: int = 520, overlap: int = 80):
+    ship_active()
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: chunks(t, max_chars, overlap))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 from larkfield.functions.text import normalize_text
+from larkfield.runtime import ship_active
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,10 +47,16 @@ def hashed_vector(text: str | None, dim: int = 512, sizes: tuple[int, ...] = (2,
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hash_embed(text: pd.Series) -> pd.Series:
+def _hash_embed(text: pd.Series) -> pd.Series:
     return text.map(hashed_vector)
 
 
+def hash_embed(text: Column | str) -> Column:
+    """``hashed_vector`` of a column."""
+    ship_active()
+    return _hash_embed(text)
+
+
 def hash_embed_name(dim: int = 512, sizes: tuple[int, ...] = (2, 3)) -> str:
     """Names the configuration, so that vectors of different encoders are never compared."""
     return f"hashing-{dim}-{'-'.join(map(str, sizes))}"

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from larkfield.runtime import ship_package
 from larkfield.sources.errors import NoDataError
 
 MOST_DAYS = 62
@@ -111,6 +112,7 @@ def weather_day(site: str, day: date) -> dict:
 
 
 def _days(spark: SparkSession, start: str, end: str) -> DataFrame:
+    ship_package(spark)
     s, e = parse_window(start, end)
     return spark.sql(f"SELECT explode(sequence(DATE '{s}', DATE '{e}', INTERVAL 1 DAY)) AS day")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from larkfield.functions.text import label_pattern, normalize_text
+from larkfield.runtime import ship_package
 
 # Descriptions of symptoms that stand for each other in queries.
 SYMPTOMS = (
@@ -74,6 +75,7 @@ class Dictionary:
 
 def expand_queries(queries: DataFrame, dictionary: Dictionary, text_col: str = "query_text", max_terms: int = 4) -> DataFrame:
     """Every query expanded; the dictionary travels with the function, so it has to be a small one."""
+    ship_package(queries.sparkSession)
 
     @F.pandas_udf(T.StringType())
     def run(text: pd.Series) -> pd.Series:

@@ -117,3 +117,10 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(full, os.path.join("larkfield", os.path.relpath(full, here)))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+def ship_active() -> None:
+    """``ship_package`` for the session at hand, for functions that only see columns."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from larkfield.runtime import ship_package
+
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
 
 
@@ -29,6 +31,7 @@ def decode_any(raw: bytes) -> str:
 
 def read_text_any(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole small files of any known encoding, each tried in order."""
+    ship_package(spark)
 
     @F.pandas_udf(T.StringType())
     def decode(content: pd.Series) -> pd.Series:

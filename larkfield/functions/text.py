@@ -56,8 +56,7 @@ def normalize_nfkc(text: Column | str) -> Column:
 def tokenize(text: Column, normal: bool = False) -> Column:
     """Tokens of a text: characters and neighbouring pairs of each CJK run, then ASCII words that are no stop words."""
     text = text if normal else normalize(text)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    words = F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    words = F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
     runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]+"), F.lit(0))
 
     def grams(run: Column) -> Column:
@@ -73,8 +72,7 @@ def tokenize(text: Column, normal: bool = False) -> Column:
 def query_terms(text: Column) -> Column:
     """Distinct tokens that may serve as evidence: fillers become spaces, two characters at least."""
     clean = F.regexp_replace(normalize(text), "|".join(sorted(QUERY_FILLER_ZH, key=QUERY_FILLER_ZH.index)), " ")
-    filler = F.array(*map(F.lit, QUERY_FILLER_EN))
-    return F.filter(F.array_distinct(tokenize(clean)), lambda w: (F.length(w) >= 2) & ~F.array_contains(filler, w))
+    return F.filter(F.array_distinct(tokenize(clean)), lambda w: (F.length(w) >= 2) & ~w.isin(QUERY_FILLER_EN))
 
 
 def has_cjk(text: Column) -> Column:

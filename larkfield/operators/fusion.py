@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larkfield.functions.text import normalize
 from larkfield.operators.dense import dense_top
 from larkfield.operators.lexical import bm25, ranked
+from larkfield.runtime import Scratch
 
 RRF = 60
 
@@ -49,7 +50,8 @@ def hybrid_search(
     A query without any gated lexical hit returns nothing, however close a vector may be.
     """
     lexical = bm25(queries, docs, candidates, id_col=id_col, text_col=text_col, title_col=title_col)
-    lexical = ranked(lexical, "bm25_score", most=candidate_k, name="bm25_rank")
+    # a few rows a query, read by the dense branch and by the fusion: written once rather than scored again
+    lexical = Scratch(docs.sparkSession, "lexical").save(ranked(lexical, "bm25_score", most=candidate_k, name="bm25_rank"), "ranked")
     if vectors is None:
         dense = lexical.select("query_id", "doc_id").where(F.lit(False)).withColumn("dense_score", F.lit(0.0)).withColumn("dense_rank", F.lit(0))
     else:

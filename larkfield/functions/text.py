@@ -54,8 +54,11 @@ def normalize_nfkc(text: Column | str) -> Column:
 
 
 def tokenize(text: Column, normal: bool = False) -> Column:
-    """Tokens of a text: characters and neighbouring pairs of each CJK run, then ASCII words that are no stop words."""
-    text = text if normal else normalize(text)
+    """Tokens of a text: characters and neighbouring pairs of each CJK run, then ASCII words that are no stop words.
+
+    Lower case is all that tokens need of ``normalize``, as white space only separates them.
+    """
+    text = text if normal else F.lower(F.coalesce(text, F.lit("")))
     words = F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
     runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]+"), F.lit(0))
 

@@ -6,7 +6,9 @@ a token's class; the token within its class has the probability of the corpus co
 log P(token | both sides) = log P(class | both sides) + log P(token | class). The most frequent words are
 classes of their own, all others are classed by their ending.
 
-Counts are over all documents. Training is data parallel: in each of two rounds every task trains on its
+Counts are over all documents. The VOCABULARY most frequent words are broadcast; every other word's own count
+stays in a distributed table. As log n(word) is a plain term of the sum, it is joined to the words of each row
+and added to what the network gives. Training is data parallel: in each of two rounds every task trains on its
 share of a sixteenth of the documents (chosen by hash, so it grows with the corpus) from the same start,
 and the weights are averaged by the words that each task has seen. The average is a DataFrame aggregate,
 so what reaches the driver is one network, whatever the number of tasks.
@@ -43,26 +45,32 @@ def ending(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """What is broadcast: the most frequent words, VOCABULARY at most, and a few numbers for each class."""
 
-    def __init__(self, words: np.ndarray, classes: np.ndarray, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray):
-        """words sorted by hash; totals: tokens of each class; kinds: distinct words of each class, with those of its rest."""
+    def __init__(self, words: np.ndarray, classes: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+        """totals: tokens of each class, of its listed words and of its rest."""
         order = np.argsort(words)
         self.words, self.classes = words[order], classes[order]
-        in_rest = totals[:, 1]
+        self.has_rest = bool(totals[:, 1].any())
         all_of = np.maximum(totals.sum(1), 1)
         self.log_word = np.log(np.maximum(counts[order], 1) / all_of[self.classes])
-        self.log_rest = np.log(np.maximum(in_rest, 1) / np.maximum(kinds, 1) / all_of)
+        self.log_rest = -np.log(all_of)
 
     def look_up(self, h: np.ndarray, by_ending: np.ndarray):
-        """(class, log-probability within the class) of each word."""
+        """(class, log-probability within the class) of each word; for a word that isn't listed, less the log of its count."""
         classes = OWN + by_ending
         inner = self.log_rest[classes]
+        at, known = self.find(h)
         if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            known = self.words[at] == h
             classes = np.where(known, self.classes[at], classes)
             inner = np.where(known, self.log_word[at], inner)
         return classes, inner
 
+    def find(self, h: np.ndarray):
+        """(place among the listed words, whether it is listed) of each word."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return at, self.words[at] == h
+
 
 def start(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -127,36 +135,59 @@ def _count(batches):
             )
 
 
-def count_words(docs: DataFrame, scratch: Scratch) -> Vocabulary:
-    """Counts over the whole corpus; the driver gets at most VOCABULARY words and a row for each class.
+def _counted(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(word, n, ending) of every word of the corpus."""
+    rows = docs.select("text").mapInArrow(kernels.tidied(_count), "word long, ending long, n long")
+    return scratch.save(rows.groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")), "counts")
+
+
+def _crossing(rows: DataFrame, key, room: int, down: bool):
+    """(key at which a running count of the rows passes ``room``, room left before it); the key is null where all fit."""
+    for r in sorted(rows.groupBy(key.alias("k")).agg(F.count("*").alias("c")).collect(), reverse=down):
+        if r.c > room:
+            return r.k, room
+        room -= r.c
+    return None, room
+
+
+def _most_frequent(counts: DataFrame) -> list:
+    """The VOCABULARY rows of the greatest n, ties by word.
 
-    The least count that is listed comes from a histogram of counts in eighths of a power of two (a few
-    hundred rows), so the corpus is never sorted and no task sends candidates of its own.
+    Where they end comes from histograms, of n in eighths of a power of two, then of n itself, then of the
+    words' first bits, so the corpus is never sorted, no task sends candidates of its own, and what
+    reaches the driver beyond the list is one bucket of words of equal n.
     """
-    counts = scratch.save(
-        docs.select("text").mapInArrow(kernels.tidied(_count), "word long, ending long, n long").groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")), "counts"
-    )
     eighth = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    least, held = None, 0
-    for r in sorted(counts.groupBy(eighth.alias("k")).agg(F.count("*").alias("c")).collect(), reverse=True):
-        held += r.c
-        if held > VOCABULARY:
-            break
-        least = r.k
-    top = [] if least is None else counts.where(eighth >= least).collect()
-    top.sort(key=lambda r: (-r.n, r.word))
+    bits = F.shiftright("word", 48)
+    k, room = _crossing(counts, eighth, VOCABULARY, True)
+    if k is None:
+        top = counts.collect()
+    else:
+        n, room = _crossing(counts.where(eighth == k), F.col("n"), room, True)
+        b, _ = _crossing(counts.where(F.col("n") == n), bits, room, False)
+        top = counts.where((F.col("n") > n) | ((F.col("n") == n) & (bits <= b))).collect()
+    return sorted(top, key=lambda r: (-r.n, r.word))[:VOCABULARY]
+
+
+def _listed(counts: DataFrame) -> Vocabulary:
+    """The driver gets VOCABULARY words, with those of one bucket more, and a row for each class."""
+    top = _most_frequent(counts)
     classes = np.array([k if k < OWN else OWN + r.ending for k, r in enumerate(top)], np.int64)
     words = np.array([r.word for r in top], np.int64).view(np.uint64)
     n = np.array([r.n for r in top], np.float64)
-    totals, kinds = np.zeros((CLASSES, 2)), np.zeros(CLASSES)
+    totals = np.zeros((CLASSES, 2))
     np.add.at(totals[:, 0], classes, n)
-    by_class = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # ENDINGS rows
-    for r in by_class:
-        listed = [k for k in range(len(top)) if top[k].ending == r.ending]
-        totals[OWN + r.ending, 1] = r.n - sum(top[k].n for k in listed)
-        kinds[OWN + r.ending] = r.kinds - len(listed)
+    for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect():  # ENDINGS rows
+        totals[OWN + r.ending, 1] = r.n - sum(x.n for x in top if x.ending == r.ending)
+    return Vocabulary(words, classes, n, totals)
+
+
+def count_words(docs: DataFrame, scratch: Scratch) -> Vocabulary:
+    """Counts over the whole corpus."""
+    counts = _counted(docs, scratch)
+    vocabulary = _listed(counts)
     scratch.drop(counts)
-    return Vocabulary(words, classes, n, totals, kinds)
+    return vocabulary
 
 
 def _local_training(vocabulary: Vocabulary, weights: dict):
@@ -211,12 +242,45 @@ def _score(vocabulary: Vocabulary, weights: dict, text_at: int, width: int):
                     logs[i : i + 8192] = z[np.arange(len(z)), classes[i : i + 8192]]
                 total = np.diff(np.concatenate([[0.0], np.cumsum(logs + inner)])[first])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:width], pa.array(np.diff(first), pa.int64()), pa.array(np.round(total, 4))], names=batch.schema.names
+                    [*part.columns[:width], pa.array(np.diff(first), pa.int64()), pa.array(total)], names=batch.schema.names
+                )
+
+    return run
+
+
+def _rest(vocabulary: Vocabulary):
+    """(row, word, times in the row) of the words that aren't listed."""
+
+    def run(batches):
+        for batch in batches:
+            for part in kernels.slices(batch, "text", 2 << 20):
+                h, _, first = _words(part, 1)
+                at = np.flatnonzero(~vocabulary.find(h)[1])
+                doc, h = np.repeat(np.arange(len(first) - 1), np.diff(first))[at], h[at]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)])
+                times = np.diff(np.r_[new, len(h)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(doc[new])), pa.array(h[new].view(np.int64)), pa.array(times, pa.int64())], names=["lf_row", "word", "k"]
                 )
 
     return run
 
 
+def _with_rest(out: DataFrame, texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Adds log n(word) of every word that isn't listed to its row's lf_log.
+
+    Such a word is at most one in VOCABULARY of all tokens, and a row has it once with its times, so no key
+    of the join is heavy. Rows that are alike in all columns are summed together: their number divides again.
+    """
+    rest = texts.mapInArrow(kernels.tidied(_rest(vocabulary)), "lf_row long, word long, k long")
+    sums = rest.join(counts.select("word", "n"), "word").groupBy("lf_row").agg(F.sum(F.col("k") * F.log("n")).alias("lf_rest"))
+    times = texts.groupBy("lf_row").agg(F.count("*").alias("lf_times")).where("lf_times > 1")
+    share = F.coalesce(F.col("lf_rest"), F.lit(0.0)) / F.coalesce("lf_times", F.lit(1))
+    return out.join(sums, "lf_row", "left").join(times, "lf_row", "left").withColumn("lf_log", F.col("lf_log") + share)
+
+
 def score_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``lm`` (``lm_1``, ... if docs has that name): n_tokens, log_prob and per_token.
 
@@ -227,7 +291,8 @@ def score_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lm")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    vocabulary = count_words(texts, scratch)
+    counts = _counted(texts, scratch)
+    vocabulary = _listed(counts)
     weights = train(texts, vocabulary)
     k, name = 0, "lm"
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -235,9 +300,15 @@ def score_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
     out = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
+    plain = [f.name for f in out.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    out = out.select("*", F.xxhash64(*plain).alias("lf_row"))
+    keyed = out.select("lf_row", F.col(text).alias("text"))
     out = out.select("*", F.lit(0).cast("long").alias("lf_n"), F.lit(0.0).alias("lf_log"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-    out = out.mapInArrow(kernels.tidied(_score(vocabulary, weights, names.index(text), len(names))), schema)
+    out = out.mapInArrow(kernels.tidied(_score(vocabulary, weights, names.index(text), len(names) + 1)), schema)
+    if vocabulary.has_rest:
+        out = _with_rest(out, keyed, counts, vocabulary)
+    out = out.withColumn("lf_log", F.round("lf_log", 4))
     answer = F.struct(
         F.col("lf_n").alias("n_tokens"), F.col("lf_log").alias("log_prob"),
         F.when(F.col("lf_n") > 0, F.round(F.col("lf_log") / F.col("lf_n"), 6)).alias("per_token"),

@@ -88,3 +88,32 @@ def test_training_helps(spark):
     x = lm.contexts(classes, first)
     mean = lambda w: lm.forward(w, x)[1][np.arange(len(x)), classes].mean()
     assert mean(trained) > mean(fresh) + 0.5
+
+
+def test_words_that_are_not_listed_keep_their_own_count(spark, monkeypatch):
+    """Exactly the most frequent words are listed, ties included, and the rest is scored by its own counts."""
+    monkeypatch.setattr(lm, "VOCABULARY", 50)
+    texts = [" ".join(f"w{j}" for j in range(200) for _ in range(1 + (j % 7 == k) + (j > 190))) for k in range(6)] + ["w1 w2 rare", "rare w3 w3"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (99, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm._counted(df.select("text"), Scratch(spark, "t"))
+    n = {r.word: r.n for r in counts.collect()}
+    v = lm._listed(counts)
+    assert v.words.view(np.int64).tolist() == sorted(sorted(n, key=lambda w: (-n[w], w))[:50], key=lambda w: w % 2**64)
+    totals = np.zeros(lm.CLASSES)
+    words = {}
+    for _, text in rows:
+        h, by_ending, _ = parts(text)
+        classes, _ = v.look_up(h, by_ending)
+        words |= dict(zip(h.view(np.int64).tolist(), classes.tolist(), strict=True))
+    for w, c in words.items():
+        totals[c] += n[w]
+    weights = lm.train(df.select("text"), v)
+    got = {(r.doc_id, r.lm.log_prob) for r in lm.score_documents(df).collect()}
+    assert len(got) == len(rows) - 1
+    for i, p in got:
+        h, by_ending, first = parts(dict(rows)[i])
+        classes, _ = v.look_up(h, by_ending)
+        _, z = lm.forward(weights, lm.contexts(classes, first))
+        inner = sum(math.log(n[w] / totals[words[w]]) for w in h.view(np.int64).tolist())
+        assert abs(p - z[np.arange(len(h)), classes].sum() - inner) < 1e-2

@@ -8,9 +8,8 @@ classes of their own, all others are classed by their ending.
 
 Counts are over all documents. The VOCABULARY most frequent words are broadcast; every other word's own count
 stays in a distributed table. As log n(word) is a plain term of the sum, it is joined to the words of each row
-and added to what the network gives. Training is data parallel: in each of two rounds every task trains on its
-share of a sixteenth of the documents (chosen by hash, so it grows with the corpus) from the same start,
-and the weights are averaged by the words that each task has seen. The average is a DataFrame aggregate,
+and added to what the network gives. Training is data parallel: in each of two rounds every task trains on all
+of its documents from the same start, and the weights are averaged by the words that each task has seen. The average is a DataFrame aggregate,
 so what reaches the driver is one network, whatever the number of tasks.
 """
 
@@ -27,8 +26,8 @@ from larkfield.runtime import Scratch, read_table, ship_package
 OWN, ENDINGS, VOCABULARY = 39, 24, 8192
 CLASSES = OWN + ENDINGS
 SIDE, HIDDEN = 3, 32
-#: a share of the documents trains in each round
-SHARE, ROUNDS = 16, 2
+#: passes over all documents
+ROUNDS = 2
 BATCH, RATE = 1024, 0.01
 _PAD = CLASSES
 SHAPES = {"e": (2 * SIDE, CLASSES + 1, HIDDEN), "b": (HIDDEN,), "o": (HIDDEN, CLASSES), "c": (CLASSES,)}
@@ -212,11 +211,10 @@ def _local_training(vocabulary: Vocabulary, weights: dict):
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """The averaged network after ROUNDS rounds over their shares of the documents."""
+    """The averaged network after ROUNDS rounds over all documents."""
     weights = start()
-    for k in range(ROUNDS):
-        share = docs.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == k).select("text")
-        parts = share.mapInArrow(kernels.tidied(_local_training(vocabulary, weights)), "at int, sum double, seen double")
+    for _ in range(ROUNDS):
+        parts = docs.select("text").mapInArrow(kernels.tidied(_local_training(vocabulary, weights)), "at int, sum double, seen double")
         got = parts.groupBy("at").agg((F.sum("sum") / F.sum("seen")).alias("w")).collect()  # one network
         if got:
             flat = np.zeros(len(got), np.float32)

@@ -117,3 +117,16 @@ def test_words_that_are_not_listed_keep_their_own_count(spark, monkeypatch):
         _, z = lm.forward(weights, lm.contexts(classes, first))
         inner = sum(math.log(n[w] / totals[words[w]]) for w in h.view(np.int64).tolist())
         assert abs(p - z[np.arange(len(h)), classes].sum() - inner) < 1e-2
+
+
+def test_every_document_trains(spark, monkeypatch):
+    """Whatever their hashes, all tokens of all rows are trained on in each round, copies included."""
+    df = spark.range(40).selectExpr("concat('word', id, ' and then some') AS text")
+    df = df.where("pmod(xxhash64(text), 16) > 1").limit(5)
+    df = df.unionByName(df.limit(1))
+    v = lm.count_words(df, Scratch(spark, "t"))
+    rows = df.toArrow().to_batches()
+    got = pa.Table.from_batches(lm._local_training(v, lm.start())(iter(rows)))
+    assert set(got.column("seen").to_pylist()) == {24.0}
+    trained, fresh = lm.train(df, v), lm.start()
+    assert all(np.abs(trained[k] - fresh[k]).max() > 0.005 for k in lm.SHAPES)

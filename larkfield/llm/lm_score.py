@@ -1,10 +1,12 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 Every token of a document is predicted from the three tokens on either side by a bidirectional window
-network, trained in numpy; the score is the sum of the conditional log-probabilities. The network predicts
-a token's class; the token within its class has the probability of the corpus counts:
-log P(token | both sides) = log P(class | both sides) + log P(token | class). The most frequent words are
-classes of their own, all others are classed by their ending.
+network, trained in numpy; the score is the sum of the conditional log-probabilities. The softmax has two
+levels, both given the context, and adds up to one over all words of the corpus:
+log P(token | both sides) = log P(class | both sides) + log P(token | class, both sides). The most frequent
+words are classes of their own, all others are classed by their ending; within a class every listed word has
+an output of its own, and one output stands for the words that aren't listed, which share its probability by
+their counts. Listed words have embeddings of their own as context.
 
 Counts are over all documents. The VOCABULARY most frequent words are broadcast; every other word's own count
 stays in a distributed table. As log n(word) is a plain term of the sum, it is joined to the words of each row
@@ -25,11 +27,13 @@ from larkfield.runtime import Scratch, read_table, ship_package
 #: words that are classes of their own; classes by ending; words with a count of their own
 OWN, ENDINGS, VOCABULARY = 39, 24, 8192
 CLASSES = OWN + ENDINGS
-SIDE, HIDDEN = 3, 32
+SIDE, HIDDEN, EMBEDDING = 3, 32, 16
 #: passes over all documents
 ROUNDS = 2
-BATCH, RATE = 1024, 0.01
+BATCH, RATE, WORD_RATE = 1024, 0.01, 0.05
 _PAD = CLASSES
+#: weights that leave a task together
+CHUNK = 4096
 SHAPES = {"e": (2 * SIDE, CLASSES + 1, HIDDEN), "b": (HIDDEN,), "o": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
 
@@ -48,10 +52,23 @@ class Vocabulary:
         """totals: tokens of each class, of its listed words and of its rest."""
         order = np.argsort(words)
         self.words, self.classes = words[order], classes[order]
+        # outputs by class: its listed words in the order of their hashes, then one for its rest where it has any
+        kinds = np.bincount(self.classes, minlength=CLASSES) if len(words) else np.zeros(CLASSES, np.int64)
+        rest = totals[:, 1] > 0
+        self.begin = np.concatenate([[0], np.cumsum(kinds + rest)])
+        by_class = np.argsort(self.classes, kind="stable")
+        self.output = np.zeros(len(words), np.int64)
+        self.output[by_class] = self.begin[self.classes[by_class]] + np.arange(len(words)) - (np.cumsum(kinds) - kinds)[self.classes[by_class]]
+        self.of_rest = self.begin[1:] - 1
         self.has_rest = bool(totals[:, 1].any())
         all_of = np.maximum(totals.sum(1), 1)
         self.log_word = np.log(np.maximum(counts[order], 1) / all_of[self.classes])
         self.log_rest = -np.log(all_of)
+        #: log-probability of each output within its class by counts alone; log of the tokens of each class's rest
+        self.prior = np.zeros(self.begin[-1])
+        self.prior[self.output] = self.log_word
+        self.log_tokens = np.log(np.maximum(totals[:, 1], 1))
+        self.prior[self.of_rest[rest]] = (self.log_tokens - np.log(all_of))[rest]
 
     def look_up(self, h: np.ndarray, by_ending: np.ndarray):
         """(class, log-probability within the class) of each word; for a word that isn't listed, less the log of its count."""
@@ -63,6 +80,17 @@ class Vocabulary:
             inner = np.where(known, self.log_word[at], inner)
         return classes, inner
 
+    def targets(self, h: np.ndarray, classes: np.ndarray):
+        """(embedding, output, log-probability within the output less the log of its count) of each word.
+
+        Embedding 0 is that of words that are classes of their own or aren't listed.
+        """
+        at, known = self.find(h)
+        if not len(self.words):
+            return at, self.of_rest[classes], -self.log_tokens[classes]
+        own = np.where(known & (classes >= OWN), at + 1, 0)
+        return own, np.where(known, self.output[at], self.of_rest[classes]), np.where(known, 0.0, -self.log_tokens[classes])
+
     def find(self, h: np.ndarray):
         """(place among the listed words, whether it is listed) of each word."""
         if not len(self.words):
@@ -76,9 +104,18 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
     return {k: (rng.normal(0, 0.1, s) if k in "eo" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
-def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def start_words(vocabulary: Vocabulary, seed: int = 6) -> dict[str, np.ndarray]:
+    """Weights of the words: embeddings, what each neighbour makes of them, and the outputs, which begin as counts alone."""
+    rng = np.random.default_rng(seed)
+    out = {"v": rng.normal(0, 0.1, (len(vocabulary.words) + 1, EMBEDDING)), "m": rng.normal(0, 0.1, (2 * SIDE, EMBEDDING, HIDDEN))}
+    out |= {"u": np.zeros((len(vocabulary.prior), HIDDEN)), "p": vocabulary.prior}
+    out["v"][0] = 0
+    return {k: v.astype(np.float32) for k, v in out.items()}
+
+
+def contexts(classes: np.ndarray, first: np.ndarray, pad: int = _PAD) -> np.ndarray:
     """The 2 * SIDE neighbours' classes of every token; beyond a text's ends, the padding class."""
-    out = np.full((len(classes), 2 * SIDE), _PAD, np.int64)
+    out = np.full((len(classes), 2 * SIDE), pad, np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for k in range(1, SIDE + 1):
         if len(classes) > k:
@@ -88,8 +125,9 @@ def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward(w: dict, x: np.ndarray):
-    a = w["b"] + sum(w["e"][k][x[:, k]] for k in range(2 * SIDE))
+def forward(w: dict, x: np.ndarray, more=0):
+    """(hidden, log-probabilities of the classes); more: what the neighbours' words add."""
+    a = w["b"] + sum(w["e"][k][x[:, k]] for k in range(2 * SIDE)) + more
     h = np.tanh(a)
     z = h @ w["o"] + w["c"]
     z -= z.max(1, keepdims=True)
@@ -97,16 +135,70 @@ def forward(w: dict, x: np.ndarray):
     return h, z
 
 
-def train_on(w: dict, x: np.ndarray, y: np.ndarray, state: dict) -> None:
-    """Adam steps over the batches of (x, y), in place."""
+def within(words: dict, begin: np.ndarray, h: np.ndarray, classes: np.ndarray, outputs: np.ndarray, learn: bool = False):
+    """Log-probability of each token's output within its class.
+
+    learn: also (its gradient by h, by u and by p), of the mean of the negative log-probabilities.
+    """
+    logs = np.zeros(len(h), h.dtype)
+    gh, gu, gp = (np.zeros_like(x) for x in (h, words["u"], words["p"])) if learn else (None,) * 3
+    order = np.argsort(classes, kind="stable")
+    edge = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    for c in np.flatnonzero((np.diff(edge) > 0) & (np.diff(begin) > 1)):
+        at, lo, hi = order[edge[c] : edge[c + 1]], begin[c], begin[c + 1]
+        u, hc, y = words["u"][lo:hi], h[at], outputs[at] - lo
+        z = hc @ u.T
+        z += words["p"][lo:hi]
+        z -= z.max(1, keepdims=True)
+        picked = z[np.arange(len(at)), y]
+        np.exp(z, out=z)
+        total = z.sum(1, keepdims=True)
+        logs[at] = picked - np.log(total[:, 0])
+        if learn:
+            z /= total
+            z[np.arange(len(at)), y] -= 1
+            z /= len(h)
+            gh[at], gu[lo:hi], gp[lo:hi] = z @ u, z.T @ hc, z.sum(0)
+    return logs, gh, gu, gp
+
+
+def _adagrad(w: np.ndarray, sums: np.ndarray, grad: np.ndarray) -> None:
+    sums += grad * grad
+    w -= WORD_RATE * grad / (np.sqrt(sums) + 1e-8)
+
+
+def train_on(w: dict, x: np.ndarray, y: np.ndarray, state: dict, words: dict | None = None, begin=None, near=None, outputs=None) -> None:
+    """Adam steps over the batches of (x, y), in place. With words also steps of these: near has the neighbours' embeddings."""
     eye = np.eye(CLASSES + 1, dtype=np.float32)
     for i in range(0, len(y), BATCH):
         bx, by = x[i : i + BATCH], y[i : i + BATCH]
-        h, z = forward(w, bx)
+        more, v = 0, None
+        if words is not None:
+            v = words["v"][near[i : i + BATCH]]
+            more = sum(v[:, k] @ words["m"][k] for k in range(2 * SIDE))
+        h, z = forward(w, bx, more)
         g = np.exp(z)
         g[np.arange(len(by)), by] -= 1
         g /= len(by)
-        gh = (g @ w["o"].T) * (1 - h * h)
+        gh = g @ w["o"].T
+        if words is not None:
+            _, gw, gu, gp = within(words, begin, h, by, outputs[i : i + BATCH], True)
+            gh = gh + gw
+        gh = gh * (1 - h * h)
+        if words is not None:
+            at, back = np.unique(near[i : i + BATCH], return_inverse=True)
+            back, gv = back.reshape(-1, 2 * SIDE), np.zeros((len(at), EMBEDDING), np.float32)
+            for k in range(2 * SIDE):
+                by_word = gh @ words["m"][k].T
+                gv += np.stack([np.bincount(back[:, k], by_word[:, d], len(at)) for d in range(EMBEDDING)], axis=1)
+            gm = np.stack([v[:, k].T @ gh for k in range(2 * SIDE)])
+            gv[at == 0] = 0  # the embedding of no word stays zero
+            sums, sv = state["words"], state["words"]["v"][at]
+            new = words["v"][at]
+            _adagrad(new, sv, gv)
+            words["v"][at], sums["v"][at] = new, sv
+            for k, grad in (("m", gm), ("u", gu), ("p", gp)):
+                _adagrad(words[k], sums[k], grad)
         grad = {"o": h.T @ g, "c": g.sum(0), "b": gh.sum(0), "e": np.stack([eye[bx[:, k]].T @ gh for k in range(2 * SIDE)])}
         state["t"] += 1
         t = state["t"]
@@ -189,55 +281,80 @@ def count_words(docs: DataFrame, scratch: Scratch) -> Vocabulary:
     return vocabulary
 
 
-def _local_training(vocabulary: Vocabulary, weights: dict):
+def _local_training(vocabulary: Vocabulary, weights: dict, words: dict | None = None):
+    words = start_words(vocabulary) if words is None else words
+
     def run(batches):
-        w = {k: v.copy() for k, v in weights.items()}
+        w, ww = ({k: v.copy() for k, v in x.items()} for x in (weights, words))
         state = {"t": 0, "m": {k: np.zeros_like(v) for k, v in w.items()}, "v": {k: np.zeros_like(v) for k, v in w.items()}}
+        state["words"] = {k: np.zeros_like(v) for k, v in ww.items()}
         seen, rng = 0, np.random.default_rng(1)
         for batch in batches:
             for part in kernels.slices(batch, "text", 2 << 20):
                 h, by_ending, first = _words(part, 0)
                 classes, _ = vocabulary.look_up(h, by_ending)
+                own, outputs, _ = vocabulary.targets(h, classes)
                 order = rng.permutation(len(h))
-                train_on(w, contexts(classes, first)[order], classes[order], state)
+                train_on(w, contexts(classes, first)[order], classes[order], state, ww, vocabulary.begin, contexts(own, first, 0)[order], outputs[order])
                 seen += len(h)
         if seen:
-            flat = np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["at", "sum", "seen"]
-            )
+            flat = np.concatenate([x.ravel() for x in (*(w[k] for k in SHAPES), *ww.values())])
+            for i in range(0, len(flat), CHUNK):
+                yield _chunk(i // CHUNK, flat[i : i + CHUNK] * np.float64(seen), seen)
 
     return run
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+def _chunk(at: int, total: np.ndarray, seen: float) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([float(seen)])], names=["at", "sum", "seen"])
+
+
+def _summed(part: pa.Table) -> pa.Table:
+    """One chunk of the tasks' weights, summed."""
+    total = sum(np.frombuffer(x.as_py()) for x in part.column("sum"))
+    return pa.Table.from_batches([_chunk(part.column("at")[0].as_py(), total, sum(part.column("seen").to_pylist()))])
+
+
+class Network(dict):
+    """The weights by name; those of the words beside them."""
+
+    words: dict
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     """The averaged network after ROUNDS rounds over all documents."""
-    weights = start()
+    weights = Network(start())
+    weights.words = start_words(vocabulary)
     for _ in range(ROUNDS):
-        parts = docs.select("text").mapInArrow(kernels.tidied(_local_training(vocabulary, weights)), "at int, sum double, seen double")
-        got = parts.groupBy("at").agg((F.sum("sum") / F.sum("seen")).alias("w")).collect()  # one network
+        work = _local_training(vocabulary, dict(weights), weights.words)
+        parts = docs.select("text").mapInArrow(kernels.tidied(work), "at int, sum binary, seen double")
+        got = parts.groupBy("at").applyInArrow(_summed, "at int, sum binary, seen double").collect()  # one network
         if got:
-            flat = np.zeros(len(got), np.float32)
-            flat[[r["at"] for r in got]] = [r["w"] for r in got]
+            flat = np.concatenate([np.frombuffer(r["sum"]) / r["seen"] for r in sorted(got, key=lambda r: r["at"])]).astype(np.float32)
             done = 0
-            for name, shape in SHAPES.items():
-                size = int(np.prod(shape))
-                weights[name] = flat[done : done + size].reshape(shape)
-                done += size
+            for into in (weights, weights.words):
+                for name, old in list(into.items()):
+                    into[name] = flat[done : done + old.size].reshape(old.shape)
+                    done += old.size
     return weights
 
 
-def _score(vocabulary: Vocabulary, weights: dict, text_at: int, width: int):
+def _score(vocabulary: Vocabulary, weights: Network, text_at: int, width: int):
+    plain, words = dict(weights), weights.words
+    m = np.stack([words["v"] @ words["m"][k] for k in range(2 * SIDE)])
+
     def run(batches):
         for batch in batches:
             for part in kernels.slices(batch, batch.schema.names[text_at], 1 << 20):
                 h, by_ending, first = _words(part, text_at)
-                classes, inner = vocabulary.look_up(h, by_ending)
-                x = contexts(classes, first)
+                classes, _ = vocabulary.look_up(h, by_ending)
+                own, outputs, inner = vocabulary.targets(h, classes)
+                x, near = contexts(classes, first), contexts(own, first, 0)
                 logs = np.empty(len(h))
                 for i in range(0, len(h), 8192):
-                    _, z = forward(weights, x[i : i + 8192])
-                    logs[i : i + 8192] = z[np.arange(len(z)), classes[i : i + 8192]]
+                    some = slice(i, i + 8192)
+                    hidden, z = forward(plain, x[some], sum(m[k][near[some, k]] for k in range(2 * SIDE)))
+                    logs[some] = z[np.arange(len(z)), classes[some]] + within(words, vocabulary.begin, hidden, classes[some], outputs[some])[0]
                 total = np.diff(np.concatenate([[0.0], np.cumsum(logs + inner)])[first])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:width], pa.array(np.diff(first), pa.int64()), pa.array(total)], names=batch.schema.names

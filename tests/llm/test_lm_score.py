@@ -100,23 +100,36 @@ def test_words_that_are_not_listed_keep_their_own_count(spark, monkeypatch):
     n = {r.word: r.n for r in counts.collect()}
     v = lm._listed(counts)
     assert v.words.view(np.int64).tolist() == sorted(sorted(n, key=lambda w: (-n[w], w))[:50], key=lambda w: w % 2**64)
-    totals = np.zeros(lm.CLASSES)
-    words = {}
-    for _, text in rows:
-        h, by_ending, _ = parts(text)
-        classes, _ = v.look_up(h, by_ending)
-        words |= dict(zip(h.view(np.int64).tolist(), classes.tolist(), strict=True))
-    for w, c in words.items():
-        totals[c] += n[w]
     weights = lm.train(df.select("text"), v)
     got = {(r.doc_id, r.lm.log_prob) for r in lm.score_documents(df).collect()}
     assert len(got) == len(rows) - 1
+    rest = np.zeros(lm.CLASSES)
+    for w, c in {(w, c) for _, text in rows for w, c in _unlisted(v, text)}:
+        rest[c] += n[w]
     for i, p in got:
-        h, by_ending, first = parts(dict(rows)[i])
-        classes, _ = v.look_up(h, by_ending)
-        _, z = lm.forward(weights, lm.contexts(classes, first))
-        inner = sum(math.log(n[w] / totals[words[w]]) for w in h.view(np.int64).tolist())
-        assert abs(p - z[np.arange(len(h)), classes].sum() - inner) < 1e-2
+        text = dict(rows)[i]
+        own = sum(math.log(n[w] / rest[c]) for w, c in _unlisted(v, text))
+        assert abs(p - network(v, weights, text).sum() - own) < 1e-2
+
+
+def _unlisted(v, text):
+    h, by_ending, _ = parts(text)
+    return [(w, lm.OWN + e) for w, e, known in zip(h.view(np.int64).tolist(), by_ending.tolist(), v.find(h)[1], strict=True) if not known]
+
+
+def network(v, weights, text):
+    """log P(class) + log P(output | class) of every token, one at a time."""
+    h, by_ending, first = parts(text)
+    classes, _ = v.look_up(h, by_ending)
+    own, outputs, _ = v.targets(h, classes)
+    x, near, out = lm.contexts(classes, first), lm.contexts(own, first, 0), []
+    for t in range(len(h)):
+        a = weights["b"] + sum(weights["e"][k][x[t, k]] + weights.words["v"][near[t, k]] @ weights.words["m"][k] for k in range(2 * lm.SIDE))
+        z = np.tanh(a) @ weights["o"] + weights["c"]
+        lo, hi = v.begin[classes[t]], v.begin[classes[t] + 1]
+        y = weights.words["u"][lo:hi] @ np.tanh(a) + weights.words["p"][lo:hi]
+        out.append(z[classes[t]] - np.log(np.exp(z).sum()) + y[outputs[t] - lo] - np.log(np.exp(y).sum()))
+    return np.array(out)
 
 
 def test_every_document_trains(spark, monkeypatch):
@@ -130,3 +143,49 @@ def test_every_document_trains(spark, monkeypatch):
     assert set(got.column("seen").to_pylist()) == {24.0}
     trained, fresh = lm.train(df, v), lm.start()
     assert all(np.abs(trained[k] - fresh[k]).max() > 0.005 for k in lm.SHAPES)
+
+
+def test_gradients_of_words_match_differences():
+    rng = np.random.default_rng(3)
+    sizes = np.where(np.arange(lm.CLASSES) < lm.OWN, 1, 5)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    words = {"v": rng.normal(0, 0.3, (30, lm.EMBEDDING)), "m": rng.normal(0, 0.3, (6, lm.EMBEDDING, lm.HIDDEN)), "u": rng.normal(0, 0.3, (begin[-1], lm.HIDDEN)), "p": rng.normal(0, 0.3, begin[-1])}
+    words["v"][0] = 0
+    w = {k: v.astype(np.float64) for k, v in lm.start().items()}
+    x, y, near = rng.integers(0, lm.CLASSES + 1, (40, 6)), rng.integers(0, lm.CLASSES, 40), rng.integers(0, 30, (40, 6))
+    outputs = begin[y] + rng.integers(0, 5, 40) % sizes[y]
+
+    def loss():
+        h, z = lm.forward(w, x, sum(words["v"][near[:, k]] @ words["m"][k] for k in range(6)))
+        return -(z[np.arange(40), y] + lm.within(words, begin, h, y, outputs)[0]).mean()
+
+    both = {**w, **words}
+    before = {k: v.copy() for k, v in both.items()}
+    state = {"t": 0, "m": {k: np.zeros_like(v) for k, v in w.items()}, "v": {k: np.zeros_like(v) for k, v in w.items()}, "words": {k: np.zeros_like(v) for k, v in words.items()}}
+    lm.train_on(w, x, y, state, words, begin, near, outputs)
+    for k in both:  # the first step of Adagrad has the gradient's sign, and its sum the square
+        grad = state["m"][k] * 10 if k in w else np.sign(before[k] - both[k]) * np.sqrt(state["words"][k])
+        both[k][...] = before[k]
+        state["m" if k in w else "words"][k] = grad
+    for k in both:
+        grad = state["m" if k in w else "words"][k]
+        for i in np.argsort(-np.abs(grad).ravel())[:3]:
+            at = np.unravel_index(i, grad.shape)
+            keep, eps = both[k][at], 1e-5
+            both[k][at] = keep + eps
+            up = loss()
+            both[k][at] = keep - eps
+            down = loss()
+            both[k][at] = keep
+            assert abs((up - down) / (2 * eps) - grad[at]) < 1e-4, k
+
+
+def test_context_chooses_among_words_of_one_ending(spark):
+    """Two words of like frequency and ending: the one that fits its neighbours is likelier."""
+    common = " ".join(f"f{k}" for k in range(lm.OWN)) + " "
+    texts = [common * 4 + ("redding kaffing sunning " if k % 2 else "bluding kuffing mooning ") * 2 for k in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    v = lm.count_words(df, Scratch(spark, "t"))
+    weights = lm.train(df, v)
+    fits, swapped = "redding kaffing sunning redding kaffing sunning", "redding kuffing sunning redding kuffing sunning"
+    assert network(v, weights, fits).sum() > network(v, weights, swapped).sum() + 2

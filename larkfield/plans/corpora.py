@@ -127,11 +127,17 @@ def exact_lookup(spark, sf):
 
 
 def alias_components(spark, sf):
-    """Names that orders tie together: a customer and the clerks' priority of its last digit."""
+    """Residues of customers and orders that orders of like residue tie together: a small graph for its recursive SQL."""
     pairs = read_table(spark, sf, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 97).cast("string")).alias("a"), F.concat(F.lit("o"), (F.col("o_orderkey") % 1013).cast("string")).alias("b")).where("substring(a, 2) % 3 = substring(b, 2) % 3")
     return identity.alias_groups(pairs.distinct(), Scratch(spark, "alias"))
 
 
+def alias_components_whole(spark, sf):
+    """Customers and orders by whole keys over the whole table. It has no SQL; tests hold it against brute force."""
+    pairs = read_table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("b"))
+    return identity.alias_groups(pairs.distinct(), Scratch(spark, "alias"))
+
+
 def kg_profile(spark, sf):
     """Brands as entities with sizes and types as relations; values in order of first appearance."""
     p = _parts(spark, sf)
@@ -210,4 +216,4 @@ l AS (SELECT entity, relation, string_agg(v, ', ' ORDER BY o, v) AS zh, string_a
 SELECT entity, string_agg(relation || ': ' || zh || ' / ' || en, chr(10) ORDER BY relation) AS text FROM l GROUP BY 1""",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, count(DISTINCT k) AS n_values FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "chunk_docs", "hash_embeddings", "expanded_queries"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "alias_components_whole", "chunk_docs", "hash_embeddings", "expanded_queries"]}

@@ -28,3 +28,23 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_ranks_are_cut_before_the_shuffle(spark, sf):
     p = plan(catalog.QUERIES["bm25_topk"](spark, sf))
     assert p.count("WindowGroupLimit") == 2
+
+
+def test_alias_components_over_whole_keys(spark, sf):
+    """Every customer and order of the table is a name, in the group that brute force finds."""
+    from larkfield.plans import catalog
+
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        x, y = sorted((find(f"c{r.o_custkey}"), find(f"o{r.o_orderkey}")))
+        root[y] = x
+    got = {r.name: r.group_id for r in catalog.QUERIES["alias_components_whole"](spark, sf).collect()}
+    assert got == {x: find(x) for x in list(root)}
+    assert len(got) == len({r.o_custkey for r in rows}) + len({r.o_orderkey for r in rows})

@@ -20,19 +20,36 @@ HIDDEN = 16
 SEGMENT = 24
 #: labelled documents for each language that the network is fitted on at most
 TRAIN_DOCS = 200
+#: words of these, chosen at random, for each language that the network is fitted on at most
+TRAIN_WORDS = 20_000
 STEPS, BATCH, RATE = 500, 192, 0.01
 CACHE = 200_000
 _BOUNDARY = 0
 _TABLE = kernels.byte_table([9, 10, 11, 12, 13, 32])
 
 
+def _pieces(raw: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """(word, first byte, length) of each segment: SEGMENT bytes, or the whole characters that fit."""
+    words, los, lengths = [np.arange(len(begin))], [begin], [np.minimum(end - begin, SEGMENT)]
+    while True:
+        more = np.flatnonzero(los[-1] + lengths[-1] < end[words[-1]])
+        cut = los[-1][more] + lengths[-1][more]
+        for _ in range(3):  # a character has three continuation bytes at most
+            cut -= (raw[cut] & 0xC0) == 0x80
+        lengths[-1][more] = cut - los[-1][more]
+        if not len(more):
+            break
+        words.append(words[-1][more])
+        los.append(cut)
+        lengths.append(np.minimum(end[words[-1]] - cut, SEGMENT))
+    word, lo, n = (np.concatenate(x) for x in (words, los, lengths))
+    order = np.lexsort((lo, word))
+    return word[order], lo[order], n[order]
+
+
 def segments(raw: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    """(byte matrix padded with -1, length, segment's word) with boundary bytes; long words are cut."""
-    pieces = np.maximum(1, -(-(end - begin) // SEGMENT))
-    word = np.repeat(np.arange(len(begin)), pieces)
-    part = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    lo = begin[word] + part * SEGMENT
-    n = np.minimum(end[word] - lo, SEGMENT)
+    """(byte matrix padded with -1, length, segment's word) with boundary bytes; long words are cut between characters."""
+    word, lo, n = _pieces(raw, begin, end)
     at = np.arange(SEGMENT + 2)[None, :] - 1
     take = np.clip(lo[:, None] + at, 0, max(len(raw) - 1, 0))
     out = _TABLE[raw[take]].astype(np.int16)
@@ -167,12 +184,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn) -> Network | None:
-    """Fits on at most ``TRAIN_DOCS`` documents of each language, chosen by a hash of their text."""
+    """Fits on at most ``TRAIN_DOCS`` distinct texts of each language, chosen by their hash, and ``TRAIN_WORDS`` of their words."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h")
     )
     order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS).select("lang", "h").distinct()
+    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS).select("lang", "h")
     chosen = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # bounded: TRAIN_DOCS a language
     got = sorted((r.lang, r.text) for r in chosen.select("lang", "text").collect())
     languages = sorted({lang for lang, _ in got})
@@ -181,7 +198,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn)
         texts = [t for one, t in got if one == lang]
         raw, offsets = kernels.string_views(pa.array(texts, pa.large_string()))
         _, begin, end, _ = kernels.hash_words(raw, offsets, _TABLE)
-        pick = np.random.default_rng(k).permutation(len(begin))[:20_000]
+        pick = np.random.default_rng(k).permutation(len(begin))[:TRAIN_WORDS]
         if len(pick):
             x, n, _ = segments(raw, begin[pick], end[pick])
             xs.append(x)

@@ -85,3 +85,29 @@ def test_every_position_counts():
         p = want[first[r] : first[r + 1]].sum(0)
         assert abs(got.column(2)[r].as_py() - (p / p.sum()).max()) < 1e-5
     assert sum(n[word == 3]) == 100 + 2 * 5
+
+
+def test_long_words_are_cut_between_characters():
+    from larkfield.llm import kernels
+    import pyarrow as pa
+
+    words = ["x" * 23 + "\u00e9" * 20, "\u65e5\u672c\u8a9e" * 40, "a", "z" * 100, "y" * 22 + "\U0001f600" * 9]
+    raw, offsets = kernels.string_views(pa.array([" ".join(words)]))
+    _, begin, end, _ = kernels.hash_words(raw, offsets, language._TABLE)
+    word, lo, n = language._pieces(raw, begin, end)
+    pieces = [bytes(raw[a : a + k]).decode() for a, k in zip(lo, n, strict=True)]
+    assert n.max() <= language.SEGMENT
+    assert ["".join(p for p, w in zip(pieces, word, strict=True) if w == k) for k in range(len(words))] == words
+
+
+def test_copies_take_no_places_of_other_texts(spark, monkeypatch):
+    """The network is fitted on TRAIN_DOCS distinct texts, however often one of them occurs."""
+    monkeypatch.setattr(language, "TRAIN_DOCS", 4)
+    df = spark.createDataFrame([(k, f"only{k}", "en") for k in range(6)], "doc_id long, text string, lang string")
+    least = df.orderBy(language.F.xxhash64("text")).limit(1)
+    for _ in range(4):
+        least = least.unionByName(least)
+    seen = []
+    monkeypatch.setattr(language.Network, "fit", lambda self, x, n, label: seen.append(len(x)) or self)
+    language.train(df.unionByName(least), "doc_id", "text", "lang", language.F.lit(True))
+    assert seen == [4]

@@ -2,19 +2,20 @@
 
 A document is the set of its distinct five-word shingles. Documents with the same set form one class
 at once, whatever the size of the group. Classes get 64 symbols of 16 bits (b-bit MinHash). Pigeonhole:
-the first 32 symbols are cut into seven chunks; if at most 13 symbols differ, some chunk has at most one
-error, so each chunk is keyed once per position with that position left out. All pairs under the
+for a distance limit of d symbols, all 64 are cut into d // 2 + 1 chunks, so that some chunk has at most
+one error, and each chunk is keyed once per position with that position left out. All pairs under the
 signature distance share such a key. Candidates are confirmed on the full shingle sets:
 
-1. every class proposes its nearest signatures under each key (a pair only under its first such key);
-   confirmed links give components;
+1. under each key every class proposes its nearest signature; confirmed links give components;
 2. classes that are near under some key, but in different components, form clusters; each cluster's sets
    meet in units of two blocks, where every near pair across components is counted in memory.
 
 Pairs inside a component need no test, as they can't change the result. So a group of thousands of
-copies costs a few links for each member, no row is made for a pair that isn't a link, and no link
-between different texts that matters is lost. Keys and clusters with many members are cut into blocks,
-and each pair of blocks is one unit of work of bounded size.
+copies costs about a link for each member, no row is made for a pair that isn't a link, and no link
+between different texts that matters is lost. A key of many members is peeled: one block of members meets
+all others, confirmed links merge them, and only what is left outside of the key's largest component
+leads the next round. The members of that component never meet each other again, so the rows that move
+grow with the members, and with the square only of those that no link ties to the rest.
 """
 
 from __future__ import annotations
@@ -28,12 +29,10 @@ from larkfield.operators.components import connected_components
 from larkfield.runtime import Scratch, read_table, ship_package
 
 SHINGLE = 5
-KEYED, SYMBOLS = 32, 64
-#: sizes of the chunks that the keyed symbols are cut into
-CHUNKS = (5, 5, 5, 5, 4, 4, 4)
-STARTS = tuple(int(x) for x in np.cumsum((0, *CHUNKS[:-1])))
-#: nearest signatures that a class proposes in the first pass, for keys of more members than SMALL
-NEAREST, SMALL = 3, 16
+SYMBOLS = 64
+#: rows of a unit whose pairs are laid out one after the other; larger units are matrices
+SMALL = 8
+#: members of a block of one key, whose signatures meet another block's in one unit
 BLOCK = 4096
 #: members of a block whose full sets meet in one unit
 SETS = 512
@@ -62,16 +61,22 @@ def signature(s: np.ndarray) -> bytes:
     return (kernels.splitmix(low) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def class_id(s: np.ndarray) -> int:
+def class_id(s: np.ndarray, seed: int = 0x5BD1E995) -> int:
     """One 64-bit name for equal sets."""
-    total = np.sum(kernels.splitmix(s ^ np.uint64(0x5BD1E995)), dtype=np.uint64)
+    total = np.sum(kernels.splitmix(s ^ np.uint64(seed)), dtype=np.uint64)
     return int(kernels.splitmix(np.array([total ^ np.uint64(len(s))]))[0].view(np.int64))
 
 
 def most_distance(percent: int, deviations: float = 4.5) -> int:
     """Signature distance that a pair of that similarity exceeds, by default, once in a hundred thousand times."""
     p = 1 - percent / 100
-    return min(SYMBOLS, int(np.ceil(SYMBOLS * p + deviations * np.sqrt(SYMBOLS * p * (1 - p)))))
+    return min(SYMBOLS - 1, int(np.ceil(SYMBOLS * p + deviations * np.sqrt(SYMBOLS * p * (1 - p)))))
+
+
+def chunks(limit: int) -> list[tuple[int, int]]:
+    """(start, size) of the chunks; ``limit`` errors can't put two into each."""
+    edges = np.linspace(0, SYMBOLS, limit // 2 + 2).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _features(batches):
@@ -79,19 +84,16 @@ def _features(batches):
         for part in kernels.slices(batch, "text"):
             raw, offsets = kernels.string_views(part.column(1))
             h, _, _, first = kernels.hash_words(raw, offsets, kernels.SPACE_WORDS)
-            n, cid, sig = [], [], []
+            n, cid, chk, sig = [], [], [], []
             for i in range(part.num_rows):
                 s = shingle_set(h[first[i] : first[i + 1]])
                 n.append(len(s))
-                if len(s):
-                    cid.append(class_id(s))
-                    sig.append(signature(s))
-                else:
-                    cid.append(None)
-                    sig.append(None)
+                cid.append(class_id(s) if len(s) else None)
+                chk.append(class_id(s, 0x2545F491) if len(s) else None)
+                sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "cid", "sig"],
+                [part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(chk, pa.int64()), pa.array(sig, pa.binary())],
+                names=["doc_id", "n_shingles", "cid", "chk", "sig"],
             )
 
 
@@ -107,19 +109,6 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(fits)), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 
 
-def _canonical(differ: np.ndarray) -> np.ndarray:
-    """Key under which a pair is looked at: the position left out in its first chunk of at most one error, or -1."""
-    errors = np.add.reduceat(differ[:, :KEYED], STARTS, axis=1, dtype=np.int16)
-    fine = errors <= 1
-    chunk = fine.argmax(axis=1)
-    out = np.full(len(differ), -1, np.int16)
-    for c, (at, size) in enumerate(zip(STARTS, CHUNKS, strict=True)):
-        here = np.flatnonzero(fine[:, c] & (chunk == c))
-        if len(here):
-            out[here] = at + differ[here, at : at + size].argmax(axis=1)
-    return out
-
-
 def _by_unit(work, names: list[str], rows: int):
     """mapInArrow function: ``work(table)`` gets whole units of a partition sorted by unit, some ``rows`` at a time."""
 
@@ -142,9 +131,7 @@ def _by_unit(work, names: list[str], rows: int):
 
 
 def _pairs(ab, names) -> pa.RecordBatch:
-    a, b = ab
-    both = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1) if len(a) else np.zeros((0, 2), np.int64)
-    both = np.unique(both, axis=0)
+    both = np.unique(np.stack(ab, axis=1), axis=0) if len(ab[0]) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=names)
 
 
@@ -157,7 +144,6 @@ class _Rows:
         self.cid = table.column("cid").to_numpy()
         self.n = table.column("n_shingles").to_numpy()
         self.blk = table.column("blk").to_numpy()
-        self.pat = table.column("pat").to_numpy().astype(np.int16) if "pat" in has else None
         self.comp = table.column("comp").to_numpy() if "comp" in has else None
         self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         self.sets = table.column("shingles") if "shingles" in has else None
@@ -169,30 +155,34 @@ class _Rows:
             self.cross = np.repeat(two, self.end - self.begin)
 
     def near(self, i, j, percent: int, limit: int):
-        """The pairs under the signature distance that may be similar enough and are of this unit: (i, j, distance, differ)."""
+        """The pairs under the signature distance that may be similar enough and are of this unit: (i, j, distance)."""
         n = self.n
         keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
         if self.comp is not None:
             keep &= self.comp[i] != self.comp[j]
         keep &= (self.blk[i] != self.blk[j]) | ~self.cross[i]
         i, j = i[keep], j[keep]
-        differ = self.sig[i] != self.sig[j]
-        d = differ.sum(axis=1)
+        d = (self.sig[i] != self.sig[j]).sum(axis=1)
         keep = d <= limit
-        return i[keep], j[keep], d[keep], differ[keep]
-
-    def blocks(self, lo: int, hi: int, ordered: bool):
-        """Pairs of one unit's rows, some 200,000 at a time; ordered: each pair from both sides."""
-        size = hi - lo
-        step = max(1, 200_000 // size)
-        for at in range(lo, hi, step):
-            rows = np.arange(at, min(hi, at + step))
-            if ordered:
-                i, j = np.repeat(rows, size), np.tile(np.arange(lo, hi), len(rows))
-                yield i[i != j], j[i != j]
-            else:
-                i = np.repeat(rows, hi - 1 - rows)
-                yield i, np.concatenate([np.arange(r + 1, hi) for r in rows])
+        return i[keep], j[keep], d[keep]
+
+    def matrix(self, lo: int, hi: int, percent: int, limit: int):
+        """(first row, distances of some rows to all of the unit): FAR where a pair isn't near; some 400,000 pairs at a time."""
+        sig, n, size = np.ascontiguousarray(self.sig[lo:hi].T), self.n[lo:hi], hi - lo
+        comp, blk = self.comp[lo:hi] if self.comp is not None else None, self.blk[lo:hi] if self.cross[lo] else None
+        step = max(1, 400_000 // size)
+        for at in range(0, size, step):
+            some = slice(at, min(size, at + step))
+            d = np.zeros((some.stop - at, size), np.uint8)
+            for symbol in sig:
+                d += symbol[some, None] != symbol
+            far = (d > limit) | (100 * np.minimum(n[some, None], n) < percent * np.maximum(n[some, None], n))
+            for same in (comp, blk):
+                if same is not None:
+                    far |= same[some, None] == same
+            far[np.arange(len(d)), np.arange(at, some.stop)] = True
+            d[far] = FAR
+            yield at, d
 
     def small(self, percent: int, limit: int):
         """Near pairs of all units of at most SMALL rows."""
@@ -210,27 +200,38 @@ class _Rows:
         return zip(self.begin[size > SMALL].tolist(), self.end[size > SMALL].tolist(), strict=True)
 
 
+#: in a matrix of distances, a pair that isn't near
+FAR = 255
+
+
+def _joined(out):
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+
 def _propose(percent: int):
-    """First pass: the nearest signatures of each row, where its key is the pair's first; likely links only, as the second pass takes all."""
+    """First pass: (row, its nearest signature in the unit); likely links only, as the second pass takes all.
+
+    Of several that are as near, the smallest class, so that a row proposes the same one under most of its keys.
+    """
     limit = most_distance(percent, 1.0)
 
     def work(table: pa.Table):
         rows = _Rows(table)
         out = []
-        for i, j, _, differ in rows.small(percent, limit):
-            first = _canonical(differ) == rows.pat[i]
+        if few := list(rows.small(percent, limit)):
+            i, j, d = (np.concatenate(x) for x in zip(*few, strict=True))
+            i, j, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
+            order = np.lexsort((rows.cid[j], d, i))
+            i, j = i[order], j[order]
+            first = np.r_[True, i[1:] != i[:-1]][: len(i)]
             out.append((i[first], j[first]))
         for lo, hi in rows.large():
-            for i, j in rows.blocks(lo, hi, True):
-                i, j, d, differ = rows.near(i, j, percent, limit)
-                first = _canonical(differ) == rows.pat[i] if len(i) else np.zeros(0, bool)
-                i, j, d = i[first], j[first], d[first]
-                order = np.lexsort((j, d, i))
-                i, j = i[order], j[order]
-                begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
-                rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.r_[begin, len(i)]))
-                out.append((i[rank < NEAREST], j[rank < NEAREST]))
-        i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            by_cid = np.argsort(rows.cid[lo:hi])
+            for at, d in rows.matrix(lo, hi, percent, limit):
+                best = by_cid[d[:, by_cid].argmin(axis=1)]
+                some = np.flatnonzero(d[np.arange(len(d)), best] < FAR)
+                out.append((lo + at + some, lo + best[some]))
+        i, j = _joined(out)
         return rows.cid[i], rows.cid[j]
 
     return _by_unit(work, ["a", "b"], 20_000)
@@ -242,12 +243,9 @@ def _join_near(percent: int):
 
     def work(table: pa.Table):
         rows = _Rows(table)
-        out = [(i, j) for i, j, _, _ in rows.small(percent, limit)]
+        out = [(i, j) for i, j, _ in rows.small(percent, limit)]
         for lo, hi in rows.large():
-            touch = np.zeros((hi - lo, hi - lo), bool)
-            for i, j in rows.blocks(lo, hi, False):
-                i, j, _, _ = rows.near(i, j, percent, limit)
-                touch[i - lo, j - lo] = touch[j - lo, i - lo] = True
+            touch = np.concatenate([d < FAR for _, d in rows.matrix(lo, hi, percent, limit)])
             todo = touch.any(axis=1)
             while todo.any():
                 first = int(todo.argmax())
@@ -259,9 +257,11 @@ def _join_near(percent: int):
                     group |= new
                     edge = np.flatnonzero(new)
                 todo &= ~group
-                rest = np.flatnonzero(group)[1:]
-                out.append((np.full(len(rest), lo + np.flatnonzero(group)[0]), lo + rest))
-        i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+                rest = np.flatnonzero(group)
+                least = rest[rows.cid[lo + rest].argmin()]
+                rest = rest[rest != least]
+                out.append((np.full(len(rest), lo + least), lo + rest))
+        i, j = _joined(out)
         return rows.cid[i], rows.cid[j]
 
     return _by_unit(work, ["a", "b"], 20_000)
@@ -301,15 +301,16 @@ def _settle(percent: int):
         for lo, hi in zip(rows.begin.tolist(), rows.end.tolist(), strict=True):
             if hi - lo < 2:
                 continue
-            near = [rows.near(i, j, percent, limit)[:2] for i, j in rows.blocks(lo, hi, False)]
-            i, j = (np.concatenate(x) for x in zip(*near, strict=True))
+            near = [np.nonzero(d < FAR) + (at,) for at, d in rows.matrix(lo, hi, percent, limit)]
+            i, j = np.concatenate([lo + at + i for i, _, at in near]), np.concatenate([lo + j for _, j, _ in near])
+            i, j = i[i < j], j[i < j]
             if len(i):
                 yes = links(rows, i, j)
                 i, j = i[yes], j[yes]
                 a, b = np.minimum(rows.comp[i], rows.comp[j]), np.maximum(rows.comp[i], rows.comp[j])
                 _, one = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
                 out.append((i[one], j[one]))
-        i, j = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        i, j = _joined(out)
         return rows.cid[i], rows.cid[j]
 
     return _by_unit(work, ["a", "b"], 1_000)
@@ -347,53 +348,76 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """A row for each class and key: ``pat`` is the symbol left out."""
+def _keys(classes: DataFrame, limit: int) -> DataFrame:
+    """A row for each class and key: one chunk with one symbol left out."""
     out = []
-    for at, size in zip(STARTS, CHUNKS, strict=True):
+    for at, size in chunks(limit):
         for p in range(at, at + size):
             parts = [F.substring("sig", 2 * at + 1, 2 * (p - at))] if p > at else []
             parts += [F.substring("sig", 2 * p + 3, 2 * (at + size - p - 1))] if p < at + size - 1 else []
-            out.append(F.struct(F.lit(p).cast("short").alias("pat"), F.xxhash64(F.lit(p), *parts).alias("key")))
-    return classes.select("cid", F.explode(F.array(*out)).alias("k")).select("cid", "k.pat", "k.key")
+            out.append(F.xxhash64(F.lit(p), *parts))
+    return classes.select("cid", F.explode(F.array(*out)).alias("key"))
 
 
-def _in_blocks(rows: DataFrame, group: str, members, block: int) -> DataFrame:
-    """Adds blk and unit: a group of many members becomes one unit for each pair of its blocks."""
-    blocks = F.ceil(members / F.lit(block)).cast("int")
+def _in_blocks(rows: DataFrame, group: str, lead, leaders, others, block: int) -> DataFrame:
+    """Adds blk and unit, a unit for each two blocks that meet.
+
+    The blocks of the ``leaders`` rows where ``lead`` holds meet all blocks; those of the ``others`` meet only them.
+    """
+    first = F.ceil(leaders / F.lit(block)).cast("int")
+    rest = F.ceil(others / F.lit(block)).cast("int")
+    place = F.xxhash64("cid", F.lit(group))
+    blk = F.when(lead, F.pmod(place, F.greatest(first, F.lit(1)))).otherwise(first + F.pmod(place, F.greatest(rest, F.lit(1)))).cast("int")
     return (
-        rows.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows.withColumns({"blk": blk, "last": F.when(lead, first + rest).otherwise(first) - 1})
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .withColumn("unit", F.xxhash64(group, F.least("blk", "other"), F.greatest("blk", "other")))
-        .drop("other", group)
+        .drop("other", "last", group)
     )
 
 
-def _units(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+def _units(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of the shared keys with signatures, each unit's together."""
-    rows = _in_blocks(keyed, "key", F.col("members"), BLOCK).drop("members").join(classes.select("cid", "n_shingles", "sig"), "cid")
-    return rows.repartition("unit").sortWithinPartitions("unit")
+    return rows.join(classes.select("cid", "n_shingles", "sig"), "cid").repartition("unit").sortWithinPartitions("unit")
+
+
+def _divided(rows: DataFrame, group: str, block: int, scratch: Scratch) -> DataFrame:
+    """Rows (group, cid, comp) of the groups with more than one component, with how to cut them.
+
+    outside counts the members beyond the largest component. lead holds for these, and for all members of a group
+    of one block.
+    """
+    size = rows.groupBy(group, "comp").agg(F.count("*").alias("n")).groupBy(group).agg(
+        F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main")
+    )
+    cut = size.where("most < members").select(group, "members", "main", (F.col("members") - F.col("most")).alias("outside"))
+    cut = scratch.save(cut, "cut")  # written, so that the join is one that Spark splits where a group is hot
+    few = F.col("members") <= block
+    return rows.join(cut, group).select(
+        group, "cid", "comp", "members", "outside", (few | (F.col("comp") != F.col("main"))).alias("lead"),
+        F.when(few, F.col("members")).otherwise(F.col("outside")).alias("leaders"),
+    )
 
 
 def _settled(near: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The links across components in the clusters that ``near`` ties together."""
-    clusters = connected_components(near, scratch)
-    size = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    rows = clusters.join(size, "root").select(F.col("node").alias("cid"), "root", "members")
-    rows = _in_blocks(rows, "root", F.col("members"), SETS).drop("members")
+    rows = connected_components(near, scratch).select(F.col("node").alias("cid"), "root")
     rows = rows.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    rows = rows.join(classes.select("cid", "n_shingles", "sig"), "cid").join(sets, "cid")
+    rows = _divided(rows, "root", SETS, scratch)
+    rows = _in_blocks(rows, "root", F.col("lead"), F.col("leaders"), F.col("members") - F.col("leaders"), SETS)
+    rows = rows.select("unit", "cid", "comp", "blk").join(classes.select("cid", "n_shingles", "sig"), "cid").join(sets, "cid")
     rows = rows.repartition("unit").sortWithinPartitions("unit")
     return scratch.save(rows.mapInArrow(kernels.tidied(_settle(percent)), "a long, b long"), "links")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs that are links. Each set travels once to each unit that needs it."""
-    roots = connected_components(pairs, scratch)
-    size = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(SETS)).cast("int").alias("k"))
-    placed = pairs.join(roots, pairs.a == roots.node).join(size, "root").select("a", "b", "root", "k")
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
-    units = placed.select(F.xxhash64("root", block("a"), block("b")).alias("unit"), "a", "b")
+    """The proposals (a, its nearest b) that are links: a unit for each b, or for some SETS proposals of one b.
+
+    The set of b travels once to each unit, that of a once for each proposal, of which it makes about one.
+    """
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SETS).select("b", F.ceil(F.col("n") / SETS).alias("k"))
+    part = F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1)))
+    units = pairs.join(hubs, "b", "left").select(F.xxhash64("b", part).alias("unit"), "a", "b")
     need = units.select("unit", F.explode(F.array("a", "b")).alias("cid")).distinct()
     rows = need.join(sets, "cid").select("unit", F.col("cid").alias("a"), "shingles", F.lit(None).cast("long").alias("b"))
     rows = rows.unionByName(units.select("unit", "a", F.lit(None).cast("binary").alias("shingles"), "b"))
@@ -401,6 +425,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     return scratch.save(rows.mapInArrow(kernels.tidied(_confirm(percent)), "a long, b long"), "links")
 
 
+def _linked(multi: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch):
+    """(links, components, rows of the keys that still hold several components) after rounds of proposals.
+
+    Another round follows while some key has more than a block of members outside of its largest component and the
+    last round found a link.
+    """
+    propose = lambda rows: scratch.save(
+        _units(rows, classes).mapInArrow(kernels.tidied(_propose(percent)), "a long, b long").distinct(), "pairs"
+    )
+    leaders = F.least("members", F.lit(BLOCK))
+    first_block = lambda of: F.pmod(F.xxhash64("cid"), F.ceil(of / F.lit(BLOCK)).cast("int")) == 0
+    rows = _in_blocks(multi, "key", first_block(F.col("members")), leaders, F.col("members") - leaders, BLOCK)
+    links = _confirmed(propose(rows.select("unit", "cid", "blk")), sets, percent, scratch)
+    while True:
+        comps = connected_components(links, scratch).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
+        labelled = multi.select("key", "cid").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        mixed = scratch.save(_divided(labelled, "key", BLOCK, scratch), "mixed")
+        crowded = mixed.where((F.col("outside") > BLOCK) & (F.col("members") > BLOCK))
+        if crowded.isEmpty():
+            return links, comps, mixed
+        rows = _in_blocks(crowded, "key", F.col("lead") & first_block(F.col("outside")), leaders, F.col("members") - leaders, BLOCK)
+        new = _confirmed(propose(rows.select("unit", "cid", "comp", "blk")), sets, percent, scratch)
+        if new.isEmpty():
+            return links, comps, mixed
+        links = links.unionByName(new)
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None
 ) -> DataFrame:
@@ -416,16 +467,16 @@ def near_duplicates(
     ship_package(spark)
     scratch = scratch or Scratch(spark, "near")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.save(texts.mapInArrow(kernels.tidied(_features), "doc_id long, n_shingles long, cid long, sig binary"), "features")
+    rows = scratch.save(texts.mapInArrow(kernels.tidied(_features), "doc_id long, n_shingles long, cid long, chk long, sig binary"), "features")
 
     classes = scratch.save(
         rows.where("cid is not null").groupBy("cid").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
+            F.min("doc_id").alias("rep"), F.min("chk").alias("chk"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
         ),
         "classes",
     )
-    keys = _keys(classes.where("rep is not null")).repartition("key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    keys = _keys(classes.where("rep is not null"), most_distance(percent))
+    shared = scratch.save(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     multi = scratch.save(keys.join(shared, "key"), "keys")
 
     wanted = multi.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
@@ -434,12 +485,9 @@ def near_duplicates(
         .dropDuplicates(["cid"]),
         "sets",
     )
-    pairs = scratch.save(_units(multi, classes).mapInArrow(kernels.tidied(_propose(percent)), "a long, b long").distinct(), "pairs")
-    links = _confirmed(pairs, sets, percent, scratch)
-    comps = connected_components(links, scratch).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
-    labelled = multi.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    near = _units(labelled.join(mixed, "key"), classes).mapInArrow(kernels.tidied(_join_near(percent)), "a long, b long").distinct()
+    links, comps, mixed = _linked(multi, classes, sets, percent, scratch)
+    near = _in_blocks(mixed, "key", F.col("lead"), F.col("leaders"), F.col("members") - F.col("leaders"), BLOCK).select("unit", "cid", "comp", "blk")
+    near = _units(near, classes).mapInArrow(kernels.tidied(_join_near(percent)), "a long, b long").distinct()
     more = _settled(scratch.save(near, "near"), comps, classes, sets, percent, scratch)
 
     several = rows.where("cid is not null and doc_id is not null").groupBy("doc_id").agg(
@@ -448,13 +496,14 @@ def near_duplicates(
     again = rows.join(several, "doc_id").where("cid != a").select("a", F.col("cid").alias("b"))
     comps = connected_components(links.unionByName(more).unionByName(again), scratch)
     label = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "cid", "rep", F.coalesce("root", "cid").alias("root")
+        "cid", "rep", F.col("chk").alias("class_chk"), F.coalesce("root", "cid").alias("root")
     )
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
     salts = 8  # a class may hold a third of the rows
-    label = label.join(least, "root").select("cid", "component_id", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
+    label = label.join(least, "root").select("cid", "class_chk", "component_id", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"))
     out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(label, ["cid", "salt"], "left")
-    component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(
+    # two sets of the same 64 bits but another 64 that differ are no copies: the greater stays by itself
+    component = F.when(F.col("cid").isNull() | (F.col("chk") != F.col("class_chk")), F.col("doc_id")).otherwise(
         F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     )
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(

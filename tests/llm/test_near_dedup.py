@@ -100,12 +100,38 @@ def test_empty(spark):
     assert run(spark, [], 85) == []
 
 
-def test_guaranteed_distance():
-    """Pigeonhole: with at most thirteen of the keyed symbols wrong, a pair has a key in common."""
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_guaranteed_distance(percent):
+    """Pigeonhole: whatever symbols differ, under the limit some chunk has one error at most, so a pair has a key in common."""
     import numpy as np
 
+    limit = near_dedup.most_distance(percent)
+    cut = near_dedup.chunks(limit)
+    assert sum(size for _, size in cut) == near_dedup.SYMBOLS and [at for at, _ in cut] == list(np.cumsum([0] + [n for _, n in cut])[:-1])
     rng = np.random.default_rng(3)
     for _ in range(2000):
-        differ = np.zeros((1, near_dedup.SYMBOLS), bool)
-        differ[0, rng.choice(near_dedup.KEYED, 13, replace=False)] = True
-        assert near_dedup._canonical(differ)[0] >= 0
+        differ = np.zeros(near_dedup.SYMBOLS, bool)
+        differ[rng.choice(near_dedup.SYMBOLS, limit, replace=False)] = True
+        assert min(differ[at : at + size].sum() for at, size in cut) <= 1
+
+
+def test_a_large_family_moves_few_rows(spark, monkeypatch):
+    """A key of many blocks: rows grow with the members, and the result is that of brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "SETS", 8)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    first, second = [word() for _ in range(90)], [word() for _ in range(90)]
+    second[:70] = first[:70]  # near by signature, but no link
+    texts = []
+    for base in (first, second):
+        for _ in range(60):
+            w = list(base)
+            w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in run(spark, rows, 80)} == brute(rows, 80)
+    members = spark.range(400).selectExpr("id AS cid", "1L AS key", "400L AS members")
+    units = near_dedup._in_blocks(members, "key", near_dedup.F.expr("cid < 16"), near_dedup.F.lit(16), near_dedup.F.lit(384), 16)
+    assert units.count() <= 400 + 16 * 25

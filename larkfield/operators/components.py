@@ -24,20 +24,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     )
     while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join with it is one that Spark splits where a node is a hub
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = (
             both.where("v > u").join(low, "u").where("v != m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(least, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
             .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
             .where("u != v").distinct()
         )
         new = scratch.save(small, "edges")
         scratch.drop(now)
+        scratch.drop(low)
         now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

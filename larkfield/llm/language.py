@@ -1,149 +1,144 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time. It reads the bytes of one
-whitespace-delimited segment at a time (cut at ``SEGMENT`` bytes, with a boundary byte on both sides),
-forwards and backwards, and labels every byte position. A document's probabilities are the mean over all
-its positions. As a segment is read on its own, equal segments give equal probabilities, so each worker
-computes a segment once and keeps the answer in a bounded cache; every position of the whole text counts.
+The network is trained in numpy by backpropagation through time. It reads a whole text forwards and
+backwards, blanks and all, and labels every byte position; a document's probabilities are the mean over
+all its positions. So that long texts run side by side, a text is read in windows: each labels ``STEP``
+positions of its own, and its states have read ``CONTEXT`` bytes before these (from either side) when they
+begin. Windows of many texts advance together, one byte at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from larkfield.llm import kernels
 from larkfield.runtime import read_table, ship_package
 
-HIDDEN = 16
-SEGMENT = 24
-#: labelled documents for each language that the network is fitted on at most
-TRAIN_DOCS = 200
-#: words of these, chosen at random, for each language that the network is fitted on at most
-TRAIN_WORDS = 20_000
-STEPS, BATCH, RATE = 500, 192, 0.01
-CACHE = 200_000
-_BOUNDARY = 0
+HIDDEN = 8
+STEP, CONTEXT = 480, 32
+#: labelled documents of each language that the network is fitted on at most, and bytes of these
+TRAIN_DOCS, TRAIN_BYTES = 200, 4 << 20
+#: steps, windows of each language in a step, their bytes
+STEPS, EACH, TRAIN_STEP, RATE = 300, 16, 96, 0.02
+#: of the way from chance to what the least certain texts of the sample get, where a text counts as no language's
+LEAST_SHARE = 0.25
 _TABLE = kernels.byte_table([9, 10, 11, 12, 13, 32])
 
 
-def _pieces(raw: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    """(word, first byte, length) of each segment: SEGMENT bytes, or the whole characters that fit."""
-    words, los, lengths = [np.arange(len(begin))], [begin], [np.minimum(end - begin, SEGMENT)]
-    while True:
-        more = np.flatnonzero(los[-1] + lengths[-1] < end[words[-1]])
-        cut = los[-1][more] + lengths[-1][more]
-        for _ in range(3):  # a character has three continuation bytes at most
-            cut -= (raw[cut] & 0xC0) == 0x80
-        lengths[-1][more] = cut - los[-1][more]
-        if not len(more):
-            break
-        words.append(words[-1][more])
-        los.append(cut)
-        lengths.append(np.minimum(end[words[-1]] - cut, SEGMENT))
-    word, lo, n = (np.concatenate(x) for x in (words, los, lengths))
-    order = np.lexsort((lo, word))
-    return word[order], lo[order], n[order]
-
-
-def segments(raw: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    """(byte matrix padded with -1, length, segment's word) with boundary bytes; long words are cut between characters."""
-    word, lo, n = _pieces(raw, begin, end)
-    at = np.arange(SEGMENT + 2)[None, :] - 1
-    take = np.clip(lo[:, None] + at, 0, max(len(raw) - 1, 0))
-    out = _TABLE[raw[take]].astype(np.int16)
-    out[(at < 0) | (at >= n[:, None])] = _BOUNDARY
-    out[at > n[:, None]] = -1
-    return out, n + 2, word
+def windows(offsets: np.ndarray, step: int = STEP):
+    """(first byte, bytes, bytes before its own, own bytes, text) of each window; a text without bytes has none."""
+    n = np.diff(offsets)
+    k = -(-n // step)
+    text = np.repeat(np.arange(len(n)), k)
+    own = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)) * step
+    end = np.minimum(own + step, offsets[1:][text])
+    lo, hi = np.maximum(own - CONTEXT, offsets[:-1][text]), np.minimum(end + CONTEXT, offsets[1:][text])
+    return lo, hi - lo, own - lo, end - own, text
 
 
 class Network:
-    """Weights by name: for each direction an input row per byte, recurrent weights and bias; then the label layer."""
+    """Weights by name: for each direction an input column per byte and recurrent weights, by gate (update, reset, new); then the label layer.
+
+    Arrays run [step, unit, row], so that every operation works on long contiguous runs. Rows are ordered by
+    length, longest first: at step t only the first ``live[t]`` rows go on.
+    """
 
     def __init__(self, languages: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.languages = languages
+        #: a best probability below this is no language's
+        self.least = 0.0
         h, c = HIDDEN, len(languages)
         self.w = {}
         for d in "fb":
-            self.w[d + "x"] = rng.normal(0, 0.3, (256, 3 * h)).astype(np.float32)
-            self.w[d + "u"] = rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)).astype(np.float32)
-            self.w[d + "b"] = np.zeros(3 * h, np.float32)
-        self.w["o"] = rng.normal(0, 0.3, (2 * h, c)).astype(np.float32)
-        self.w["c"] = np.zeros(c, np.float32)
-
-    def _run(self, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States at every step: [steps, rows, hidden]."""
-        wx, u, b = self.w[d + "x"] + self.w[d + "b"], self.w[d + "u"], HIDDEN
-        state = np.zeros((x.shape[1], b), np.float32)
-        out = np.empty((*x.shape, b), np.float32)
-        for t in range(x.shape[0]):
-            a = wx[x[t]]
-            g = state @ u[:, : 2 * b]
-            g += a[:, : 2 * b]
-            g = 0.5 * np.tanh(0.5 * g) + 0.5
-            z, r = g[:, :b], g[:, b:]
-            rs = r * state
-            n = np.tanh(a[:, 2 * b :] + rs @ u[:, 2 * b :])
-            new = state + z * (n - state)
+            self.w[d + "x"] = rng.normal(0, 0.3, (3 * h, 256)).astype(np.float32)
+            self.w[d + "u"] = rng.normal(0, 1 / np.sqrt(h), (3 * h, h)).astype(np.float32)
+        self.w["o"] = rng.normal(0, 0.3, (c, 2 * h)).astype(np.float32)
+        self.w["c"] = np.zeros((c, 1), np.float32)
+
+    def _run(self, d: str, x: np.ndarray, live: np.ndarray, logits: np.ndarray, keep: list | None = None) -> None:
+        """Adds a direction's part to logits [steps, languages, rows]; keep gets what going back needs."""
+        h, wx, u = HIDDEN, self.w[d + "x"], self.w[d + "u"]
+        o = self.w["o"][:, :h] if d == "f" else self.w["o"][:, h:]
+        state = np.zeros((h, x.shape[1]), wx.dtype)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            k = live[t]
+            s = state[:, :k]
+            a, q = wx[:, x[t, :k]], u @ s
+            g = a[: 2 * h] + q[: 2 * h]
+            g *= 0.5
+            np.tanh(g, out=g)
+            g += 1
+            g *= 0.5
+            z, r = g[:h], g[h:]
+            n = r * q[2 * h :]
+            n += a[2 * h :]
+            np.tanh(n, out=n)
+            new = n - s
+            new *= z
+            new += s
             if keep is not None:
-                keep.append((state, z, r, rs, n))
-            out[t] = state = new
-        return out
-
-    def _back(self, d: str, x: np.ndarray, keep: list, grad: np.ndarray, into: dict) -> None:
-        u, b = self.w[d + "u"], HIDDEN
-        gx, gu = np.zeros((256, 3 * b), np.float32), np.zeros_like(u)
-        carry = np.zeros_like(grad[0])
-        for t in range(x.shape[0] - 1, -1, -1):
-            state, z, r, rs, n = keep[t]
-            g = grad[t] + carry
+                keep.append((t, s.copy(), z, r, q[2 * h :], n, new))
+            state[:, :k] = new
+            logits[t, :, :k] += o @ new
+
+    def _back(self, d: str, x: np.ndarray, live: np.ndarray, keep: list, grad: np.ndarray, into: dict) -> None:
+        h, u = HIDDEN, self.w[d + "u"]
+        o = self.w["o"][:, :h] if d == "f" else self.w["o"][:, h:]
+        gx, gu, go = np.zeros_like(self.w[d + "x"]), np.zeros_like(u), np.zeros_like(o)
+        carry = np.zeros((h, x.shape[1]), u.dtype)
+        for t, s, z, r, qn, n, new in reversed(keep):
+            k = live[t]
+            go += grad[t, :, :k] @ new.T
+            g = o.T @ grad[t, :, :k] + carry[:, :k]
             gn = g * z * (1 - n * n)
-            gz = g * (n - state) * z * (1 - z)
-            grs = gn @ u[:, 2 * b :].T
-            gr = grs * state * r * (1 - r)
-            pre = np.concatenate([gz, gr], 1)
-            carry = g * (1 - z) + grs * r + pre @ u[:, : 2 * b].T
-            gu[:, : 2 * b] += state.T @ pre
-            gu[:, 2 * b :] += rs.T @ gn
-            np.add.at(gx, x[t], np.concatenate([pre, gn], 1))
-        into[d + "x"], into[d + "u"], into[d + "b"] = gx, gu, gx.sum(0)
-
-    def positions(self, x: np.ndarray, n: np.ndarray):
-        """Probabilities at every position: [steps, rows, languages]; x is [rows, steps], padded with -1."""
-        f, back = _ordered(x, n)
-        hf = self._run("f", f)
-        hb = _flip(self._run("b", back), n)
-        return _softmax(hf @ self.w["o"][:HIDDEN] + hb @ self.w["o"][HIDDEN:] + self.w["c"])
+            pre = np.concatenate([g * (n - s) * z * (1 - z), gn * qn * r * (1 - r), gn])
+            rec = np.concatenate([pre[: 2 * h], gn * r])
+            carry[:, :k] = g * (1 - z) + u.T @ rec
+            gu += rec @ s.T
+            eye = np.zeros((256, k), u.dtype)
+            eye[x[t, :k], np.arange(k)] = 1
+            gx += pre @ eye.T
+        into[d + "x"], into[d + "u"] = gx, gu
+        into["o"][:, :h] += go if d == "f" else 0
+        into["o"][:, h:] += go if d == "b" else 0
+
+    def _both(self, x: np.ndarray, live: np.ndarray, keep: tuple | None = None) -> np.ndarray:
+        """Probabilities at every position: [steps, languages, rows]."""
+        p = np.empty((x.shape[0], len(self.languages), x.shape[1]), self.w["c"].dtype)
+        p[:] = self.w["c"]
+        for k, d in enumerate("fb"):
+            self._run(d, x, live, p, None if keep is None else keep[k])
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        return p
 
     def gradients(self, x: np.ndarray, n: np.ndarray, label: np.ndarray) -> dict:
-        f, back = _ordered(x, n)
-        kf, kb = [], []
-        hf = self._run("f", f, kf)
-        hb = _flip(self._run("b", back, kb), n)
-        p = _softmax(hf @ self.w["o"][:HIDDEN] + hb @ self.w["o"][HIDDEN:] + self.w["c"])
-        live = (np.arange(x.shape[1])[:, None] < n[None, :])[:, :, None]
-        p[:, np.arange(len(n)), label] -= 1
-        p *= live / np.float32(n.sum())
-        out = {
-            "o": np.concatenate([np.tensordot(hf, p, ([0, 1], [0, 1])), np.tensordot(hb, p, ([0, 1], [0, 1]))]),
-            "c": p.sum((0, 1)),
-        }
-        self._back("f", f, kf, p @ self.w["o"][:HIDDEN].T, out)
-        self._back("b", back, kb, _flip(p @ self.w["o"][HIDDEN:].T, n), out)
+        """Of the mean loss over all positions; x is [steps, rows], rows ordered by length n, longest first."""
+        live = _live(n, len(x))
+        keep: tuple = ([], [])
+        g = self._both(x, live, keep)
+        g[:, label, np.arange(len(n))] -= 1
+        g *= (np.arange(len(x))[:, None] < n)[:, None, :] / n.sum().astype(g.dtype)
+        out = {"o": np.zeros_like(self.w["o"]), "c": g.sum((0, 2))[:, None]}
+        for k, d in enumerate("fb"):
+            self._back(d, x, live, keep[k], g, out)
         return out
 
-    def fit(self, x: np.ndarray, n: np.ndarray, label: np.ndarray, seed: int = 11) -> "Network":
-        """Adam over batches that hold as many segments of each language."""
+    def fit(self, raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, seed: int = 11) -> "Network":
+        """Adam; every step takes as many windows of each language, from places chosen at random in all of its texts."""
         rng = np.random.default_rng(seed)
-        of = [np.flatnonzero(label == k) for k in range(len(self.languages))]
+        lo, n, *_, text = windows(offsets, TRAIN_STEP)
+        of = [np.flatnonzero(label[text] == k) for k in range(len(self.languages))]
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(w) for k, w in self.w.items()}
-        each = max(1, BATCH // len(of))
         for step in range(1, STEPS + 1):
-            rows = np.concatenate([rng.choice(i, each) for i in of])
-            g = self.gradients(x[rows, : n[rows].max()], n[rows], label[rows])
+            rows = np.concatenate([rng.choice(i, EACH) for i in of])
+            rows = rows[np.argsort(-n[rows], kind="stable")]
+            g = self.gradients(_steps(raw, lo[rows], n[rows]), n[rows], label[text[rows]])
             rate = RATE * (1 - 0.9 * step / STEPS)
             for k in self.w:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -151,114 +146,79 @@ class Network:
                 self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def pooled(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Sum over its positions of each segment's probabilities."""
-        out = np.empty((len(n), len(self.languages)))
-        order = np.argsort(n, kind="stable")
-        for i in range(0, len(n), 8192):
-            rows = order[i : i + 8192]
-            longest = int(n[rows].max())
-            p = self.positions(x[rows, :longest], n[rows])
-            p *= (np.arange(longest)[:, None] < n[rows][None, :])[:, :, None]
-            out[rows] = p.sum(0, dtype=np.float64)
+    def pooled(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mean probabilities over all positions of each text [texts, languages]; zeros where a text has no bytes."""
+        lo, n, before, own, text = windows(offsets)
+        sums = np.zeros((len(lo), len(self.languages)))
+        order = np.argsort(-n, kind="stable")
+        i = 0
+        while i < len(order):
+            rows = order[i : i + min(8192, max(64, (1 << 20) // int(n[order[i]])))]
+            i += len(rows)
+            x = _steps(raw, lo[rows], n[rows])
+            p = self._both(x, _live(n[rows], len(x)))
+            at = np.arange(len(x))[:, None]
+            p *= ((at >= before[rows]) & (at < before[rows] + own[rows]))[:, None, :]
+            sums[rows] = p.sum(0, dtype=np.float64).T
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            out[some] = np.add.reduceat(sums, np.searchsorted(text, some)) / np.diff(offsets)[some, None]
         return out
 
 
-def _ordered(x: np.ndarray, n: np.ndarray):
-    f = np.ascontiguousarray(np.where(x < 0, _BOUNDARY, x).T)
-    return f, _flip(f, n)
+def _steps(raw: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bytes of the windows [steps, rows], in lower case and with every blank alike; what follows a window's end is not read."""
+    at = lo + np.arange(int(n.max()))[:, None]
+    return _TABLE[raw[np.minimum(at, len(raw) - 1)]].astype(np.intp)
+
 
+def _live(n: np.ndarray, steps: int) -> np.ndarray:
+    """How many of the rows, longest first, are longer than t."""
+    return len(n) - np.searchsorted(n[::-1], np.arange(steps), side="right")
 
-def _flip(a: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Each row's first n steps in reverse order; the padding stays behind."""
-    t = np.arange(a.shape[0])[:, None]
-    at = np.where(t < n[None, :], n[None, :] - 1 - t, t)
-    return a[at, np.arange(a.shape[1])[None, :]]
 
+def _sample(rows: DataFrame) -> list:
+    """(lang, text) of at most TRAIN_DOCS distinct texts and TRAIN_BYTES bytes of each language, of the least hashes.
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+    Twice as many as that are let through by their hash before a row moves, so no task gets all rows of a language.
+    """
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    place = F.shiftrightunsigned("h", 1).cast("double") / float(1 << 63)
+    some = rows.join(F.broadcast(sizes), "lang").where(place <= 2.0 * TRAIN_DOCS / F.col("n")).withColumn("place", place)  # bounded: a row a language
+    some = some.dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("place", "h")
+    some = some.withColumns({"k": F.row_number().over(order), "bytes": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    got = some.where((F.col("k") <= TRAIN_DOCS) & (F.col("bytes") <= TRAIN_BYTES)).select("lang", "text").collect()
+    return sorted((r.lang, r.text) for r in got)
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn) -> Network | None:
-    """Fits on at most ``TRAIN_DOCS`` distinct texts of each language, chosen by their hash, and ``TRAIN_WORDS`` of their words."""
-    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    """Fits on a bounded sample of the labelled rows (see ``TRAIN_DOCS``, ``TRAIN_BYTES``); None where there is none."""
+    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(F.col(text_col).cast("string")) > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h")
     )
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS).select("lang", "h")
-    chosen = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # bounded: TRAIN_DOCS a language
-    got = sorted((r.lang, r.text) for r in chosen.select("lang", "text").collect())
-    languages = sorted({lang for lang, _ in got})
-    xs, ns, labels = [], [], []
-    for k, lang in enumerate(languages):
-        texts = [t for one, t in got if one == lang]
-        raw, offsets = kernels.string_views(pa.array(texts, pa.large_string()))
-        _, begin, end, _ = kernels.hash_words(raw, offsets, _TABLE)
-        pick = np.random.default_rng(k).permutation(len(begin))[:TRAIN_WORDS]
-        if len(pick):
-            x, n, _ = segments(raw, begin[pick], end[pick])
-            xs.append(x)
-            ns.append(n)
-            labels.append(np.full(len(n), k))
-    if not xs:
+    got = _sample(rows)
+    if not got:
         return None
-    present = sorted({int(y[0]) for y in labels})
-    net = Network([languages[k] for k in present])
-    label = np.searchsorted(present, np.concatenate(labels))
-    return net.fit(np.concatenate(xs), np.concatenate(ns), label)
-
-
-class _Cache:
-    """Word hash -> row of pooled sums, for one worker; emptied when full."""
-
-    def __init__(self):
-        self.row: dict[int, int] = {}
-        self.sums = np.zeros((CACHE, 0))
-        self.owner = None
-
-
-_cache = _Cache()
-
-
-def _predict(net: Network, stamp: str, text_at: int, width: int):
-    c = len(net.languages)
-
-    def word_sums(raw, h, begin, end):
-        if _cache.owner != stamp:
-            _cache.owner, _cache.row, _cache.sums = stamp, {}, np.zeros((CACHE, c + 1))
-        unique, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(_cache.row) + len(unique) > CACHE:
-            _cache.row = {}
-            if len(unique) > len(_cache.sums):
-                _cache.sums = np.zeros((len(unique), c + 1))
-        slot = np.fromiter(map(_cache.row.get, unique.tolist(), [-1] * len(unique)), np.int64, len(unique))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            x, n, word = segments(raw, begin[at[new]], end[at[new]])
-            p = net.pooled(x, n)
-            slot[new] = np.arange(len(_cache.row), len(_cache.row) + len(new))
-            sums = np.zeros((len(new), c + 1))
-            np.add.at(sums, word, np.column_stack([p, n]))
-            _cache.sums[slot[new]] = sums
-            _cache.row.update(zip(unique[new].tolist(), slot[new].tolist(), strict=True))
-        return _cache.sums[slot[back]]
+    languages = sorted({lang for lang, _ in got})
+    label = np.searchsorted(languages, [lang for lang, _ in got])
+    raw, offsets = kernels.string_views(pa.array([t for _, t in got], pa.large_string()))
+    net = Network(languages).fit(raw, offsets, label)
+    best = net.pooled(raw, offsets).max(1)
+    chance = 1 / len(languages)
+    net.least = chance + LEAST_SHARE * max(0.0, float(np.quantile(best, 0.01)) - chance) - 1e-6
+    return net
 
+
+def _predict(net: Network, text_at: int, width: int):
     def run(batches):
         for batch in batches:
             for part in kernels.slices(batch, batch.schema.names[text_at], 1 << 20):
                 raw, offsets = kernels.string_views(part.column(text_at))
-                h, begin, end, first = kernels.hash_words(raw, offsets, _TABLE)
-                total = np.zeros((part.num_rows, c + 1))
-                if len(h):
-                    total = np.diff(np.concatenate([np.zeros((1, c + 1)), np.cumsum(word_sums(raw, h, begin, end), axis=0)])[first], axis=0)
-                p = total[:, :c] / np.maximum(total[:, c:], 1)
-                best = p.argmax(1)
-                some = np.diff(first) > 0
-                lang = [net.languages[k] if s else None for k, s in zip(best.tolist(), some.tolist(), strict=True)]
+                p = net.pooled(raw, offsets)
+                some = np.diff(offsets) > 0
+                lang = [net.languages[k] if s else None for k, s in zip(p.argmax(1).tolist(), some.tolist(), strict=True)]
                 score = np.where(some, np.round(np.clip(p.max(1), 0, 1), 6), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:width], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=batch.schema.names
@@ -271,10 +231,9 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
     """``docs`` with a struct ``language`` (lang, score) at the end (``language_1``, ... if docs has that name).
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned.
-    Every byte of every text is labelled; texts of any length are fine; equal texts get equal answers.
+    Every byte of every text is labelled; texts of any length are fine; scores are rounded to six places,
+    so that equal texts get equal answers beside other texts too.
     """
-    from pyspark.sql import types as T
-
     ship_package(docs.sparkSession)
     k, name = 0, "language"
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -284,9 +243,8 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
     out = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
     out = out.select("*", F.lit(None).cast("string").alias("lf_lang"), F.lit(0.0).alias("lf_score"))
     if net is not None:
-        digest = str(hash(tuple(float(w.sum()) for w in net.w.values())))
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-        out = out.mapInArrow(kernels.tidied(_predict(net, digest, names.index(text), len(names))), schema)
+        out = out.mapInArrow(kernels.tidied(_predict(net, names.index(text), len(names))), schema)
     known = F.col(text).rlike(r"\p{L}") & F.col("lf_lang").isNotNull()
     answer = F.struct(
         F.when(known, F.col("lf_lang")).otherwise("und").alias("lang"), F.when(known, F.col("lf_score")).otherwise(0.0).alias("score")

@@ -36,6 +36,8 @@ SMALL = 8
 BLOCK = 4096
 #: members of a block whose full sets meet in one unit
 SETS = 512
+#: proposals of one nearest class that are confirmed in one unit
+PROPOSALS = 64
 #: bytes of the bit matrix that a unit counts shared shingles with; beyond, sets are intersected pair by pair
 BITS = 96 << 20
 
@@ -411,11 +413,11 @@ def _settled(near: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFr
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The proposals (a, its nearest b) that are links: a unit for each b, or for some SETS proposals of one b.
+    """The proposals (a, its nearest b) that are links: a unit for each b, or for some PROPOSALS proposals of one b.
 
     The set of b travels once to each unit, that of a once for each proposal, of which it makes about one.
     """
-    hubs = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SETS).select("b", F.ceil(F.col("n") / SETS).alias("k"))
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > PROPOSALS).select("b", F.ceil(F.col("n") / PROPOSALS).alias("k"))
     part = F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1)))
     units = pairs.join(hubs, "b", "left").select(F.xxhash64("b", part).alias("unit"), "a", "b")
     need = units.select("unit", F.explode(F.array("a", "b")).alias("cid")).distinct()

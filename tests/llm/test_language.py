@@ -10,15 +10,14 @@ def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = language.Network(["a", "b", "c"])
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    n = np.array([3, 6, 5])
-    x = rng.integers(1, 256, (3, 6)).astype(np.int16)
-    x[np.arange(6)[None, :] >= n[:, None]] = -1
+    n = np.array([6, 5, 3])
+    x = rng.integers(1, 256, (6, 3))
     label = np.array([0, 2, 1])
 
     def loss():
-        p = net.positions(x, n)
+        p = net._both(x, language._live(n, 6))
         live = np.arange(6)[:, None] < n[None, :]
-        return -(np.log(p[:, np.arange(3), label]) * live).sum() / n.sum()
+        return -(np.log(p[:, label, np.arange(3)]) * live).sum() / n.sum()
 
     g = net.gradients(x, n, label)
     for k, w in net.w.items():
@@ -66,48 +65,66 @@ def test_edges(spark):
     assert {r.language_1.lang for r in language.identify(df, None).collect()} == {"und"}
 
 
-def test_every_position_counts():
-    """Cached and cut segments give the sums that reading each word afresh gives."""
+def plain(net, raw):
+    """The network as its definition says: byte after byte of one text, in both directions."""
+    h = language.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    x = language._TABLE[raw]
+    states = {}
+    for d in "fb":
+        s, out, u = np.zeros(h), np.zeros((len(x), h)), net.w[d + "u"].astype(float)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            a = net.w[d + "x"][:, x[t]].astype(float)
+            z, r = sigmoid(a[:h] + u[:h] @ s), sigmoid(a[h : 2 * h] + u[h : 2 * h] @ s)
+            n = np.tanh(a[2 * h :] + r * (u[2 * h :] @ s))
+            s = s + z * (n - s)
+            out[t] = s
+        states[d] = out
+    e = np.exp(np.concatenate([states["f"], states["b"]], 1) @ net.w["o"].T + net.w["c"][:, 0])
+    return (e / e.sum(1, keepdims=True)).mean(0)
+
+
+def test_every_position_counts_as_the_definition_says():
+    """Texts that fit a window against the plain recurrences; the states cross blanks. Longer texts against their windows."""
     import pyarrow as pa
 
     from larkfield.llm import kernels
 
     net = language.Network(["a", "b"])
-    texts = ["one two one " + "z" * 100, "two", ""]
+    texts = ["one two one " + "z" * 100, "two", "", "\u65e5\u672c \u00e9" * 9, "ab " * 700]
     raw, offsets = kernels.string_views(pa.array(texts))
-    _, begin, end, first = kernels.hash_words(raw, offsets, language._TABLE)
-    x, n, word = language.segments(raw, begin, end)
-    want = np.zeros((len(begin), 2))
-    np.add.at(want, word, net.pooled(x, n))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([None] * 3, pa.string()), pa.array([0.0] * 3)], names=["c0", "lf_lang", "lf_score"])
-    got = next(language._predict(net, "t", 0, 1)(iter([batch])))
-    for r in range(2):
-        p = want[first[r] : first[r + 1]].sum(0)
-        assert abs(got.column(2)[r].as_py() - (p / p.sum()).max()) < 1e-5
-    assert sum(n[word == 3]) == 100 + 2 * 5
-
-
-def test_long_words_are_cut_between_characters():
-    from larkfield.llm import kernels
-    import pyarrow as pa
-
-    words = ["x" * 23 + "\u00e9" * 20, "\u65e5\u672c\u8a9e" * 40, "a", "z" * 100, "y" * 22 + "\U0001f600" * 9]
-    raw, offsets = kernels.string_views(pa.array([" ".join(words)]))
-    _, begin, end, _ = kernels.hash_words(raw, offsets, language._TABLE)
-    word, lo, n = language._pieces(raw, begin, end)
-    pieces = [bytes(raw[a : a + k]).decode() for a, k in zip(lo, n, strict=True)]
-    assert n.max() <= language.SEGMENT
-    assert ["".join(p for p, w in zip(pieces, word, strict=True) if w == k) for k in range(len(words))] == words
+    got = net.pooled(raw, offsets)
+    for k in (0, 1, 3):
+        assert np.abs(got[k] - plain(net, raw[offsets[k] : offsets[k + 1]])).max() < 1e-5
+    assert got[2].sum() == 0
+    long = raw[offsets[4] :]
+    want, step, c = 0, language.STEP, language.CONTEXT
+    lo, n, before, own, text = language.windows(np.array([0, len(long)]))
+    assert own.sum() == len(long) == (lo + before + own)[-1] and set(text) == {0} and before[1] == c
+    for k in range(len(lo)):
+        piece = long[lo[k] : lo[k] + n[k]]
+        p = net._both(language._TABLE[piece].astype(int)[:, None], np.ones(n[k], int))[:, :, 0]
+        want = want + p[before[k] : before[k] + own[k]].sum(0)
+    assert np.abs(got[4] - want / len(long)).max() < 1e-5
+    alone = net.pooled(raw[offsets[1] : offsets[2]], np.array([0, offsets[2] - offsets[1]]))
+    assert np.round(alone[0], 6).tolist() == np.round(got[1], 6).tolist()
+
+
+def test_the_sample_is_bounded_and_of_distinct_texts(spark, monkeypatch):
+    """The network is fitted on TRAIN_DOCS distinct texts of TRAIN_BYTES bytes at most, however often one of them occurs."""
+    df = spark.createDataFrame([(k, f"only{k}", "en") for k in range(9)] + [(20, "y" * 90, "de"), (21, "z", "de")], "doc_id long, text string, lang string")
+    df = df.unionByName(df).unionByName(df.where("doc_id = 0"))
+    rows = df.withColumn("h", language.F.xxhash64("text"))
+    assert len(language._sample(rows)) == 11
+    monkeypatch.setattr(language, "TRAIN_DOCS", 4)
+    got = language._sample(rows)
+    assert len(got) == len(set(got)) == 6
+    monkeypatch.setattr(language, "TRAIN_BYTES", 50)
+    assert all(len(t) <= 50 for _, t in language._sample(rows))
 
 
-def test_copies_take_no_places_of_other_texts(spark, monkeypatch):
-    """The network is fitted on TRAIN_DOCS distinct texts, however often one of them occurs."""
-    monkeypatch.setattr(language, "TRAIN_DOCS", 4)
-    df = spark.createDataFrame([(k, f"only{k}", "en") for k in range(6)], "doc_id long, text string, lang string")
-    least = df.orderBy(language.F.xxhash64("text")).limit(1)
-    for _ in range(4):
-        least = least.unionByName(least)
-    seen = []
-    monkeypatch.setattr(language.Network, "fit", lambda self, x, n, label: seen.append(len(x)) or self)
-    language.train(df.unionByName(least), "doc_id", "text", "lang", language.F.lit(True))
-    assert seen == [4]
+def test_the_least_probability_follows_the_number_of_languages(spark):
+    df = spark.createDataFrame([(k, f"the words {k} of it", "en") for k in range(8)], "doc_id long, text string, lang string")
+    assert language.train(df, "doc_id", "text", "lang", language.F.lit(True)).least <= 1
+    two = df.unionByName(spark.createDataFrame([(k, f"und das {k} wort ist", "de") for k in range(20, 28)], df.schema))
+    assert 0.5 < language.train(two, "doc_id", "text", "lang", language.F.lit(True)).least < 0.65

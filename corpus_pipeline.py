@@ -12,17 +12,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larkfield.llm import decontaminate, language, mixing, near_dedup, pii
 from larkfield.runtime import Scratch, read_table
 
-#: a document whose best language is less likely than this is no prose of any learned language
-LEAST_LANGUAGE = 0.3
 NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a likely language. lang stays as given; where it is null it is filled in."""
+    """Drops documents without a letter or without a likely language. lang stays as given; where it is null it is filled in.
+
+    What is likely follows from the labelled texts (``language.LEAST_SHARE``). Where no row has a label, nothing
+    can be learned, and all documents with a letter stay.
+    """
     net = language.train(docs, "doc_id", "text", "lang", ~language.held_out())
+    if net is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     out = language.identify(docs, net)
     found = F.col(out.columns[-1])
-    kept = out.where((found["lang"] != "und") & (found["score"] >= LEAST_LANGUAGE))
+    kept = out.where((found["lang"] != "und") & (found["score"] >= net.least))
     return kept.withColumn("lang", F.coalesce("lang", found["lang"])).select(*docs.columns)
 
 

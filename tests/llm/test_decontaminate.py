@@ -51,6 +51,11 @@ def test_same_as_brute_force(spark):
         m = r.match_1
         ones = int(np.unpackbits(np.frombuffer(m.hit, np.uint8)).sum()) if m.hit else 0
         assert (m.n_words, ones, m["items"], m.longest) == brute(r.text, items), r.doc_id
+        assert [x["item"] for x in m.matches] == m["items"]
+        for x in m.matches:  # where it says, and no longer
+            v = [words(t) for i, t in items if str(i) == x["item"]]
+            same = [w[x.item_at :][: x.words] == words(r.text)[x.at :][: x.words] and len(w) >= x.item_at + x.words for w in v]
+            assert any(same) and x.words <= m.longest
     kept = {r.doc_id for r in d.decontaminate(a, b).collect()}
     assert kept == {i for i, t in docs if not brute(t, items)[1]}
 
@@ -63,7 +68,7 @@ def test_blocks_and_shards_give_the_same(spark, monkeypatch):
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(str, d.benchmark_matches(a, b).collect()))
     monkeypatch.setattr(d, "BLOCK_CHARS", 100)
-    assert len(d.test_blocks(b, "item_id", "text", 10)) > 3
+    assert len(list(d.test_blocks(b, "item_id", "text", 10))) > 3
     assert sorted(map(str, d.benchmark_matches(a, b).collect())) == one
 
 
@@ -81,10 +86,32 @@ def test_suffix_array_is_sorted():
     depth = 9
     words = np.concatenate([rng.integers(0, 3, 400), np.zeros(depth + 2, np.int64)])
     sa = d.suffix_array(words, np.arange(400), 4, depth)
+    # as far as the first 0, that is a word of no item, as it ends every match
     keys = [tuple(words[p : p + depth]) for p in sa]
+    keys = [k[: k.index(0) + 1] if 0 in k else k for k in keys]
     assert keys == sorted(keys) and sorted(sa) == list(range(400))
 
 
+def test_every_test_suffix_gets_its_longest_match():
+    rng = random.Random(5)
+    text = lambda n: [rng.choice("abcd") for _ in range(n)]
+    items = [text(n) for n in (12, 3, 30)]
+    test = d.TestSide([1, 2, 3], [" ".join(w) for w in items], 10)
+    shard = text(150) + items[2][5:25] + ["unknown"] + text(150)
+    raw, offsets = d.kernels.string_views(d.pa.array([" ".join(shard)]))
+    h, *_ = d.kernels.hash_words(raw, offsets, d.kernels.ALNUM_WORDS)
+    ids = {int(w): k + 1 for k, w in enumerate(test.vocabulary)}
+    padded = np.array([ids.get(int(w), 0) for w in h] + [0] * (test.depth + 3), np.int64)
+    sa = d.suffix_array(padded, np.arange(len(h) + 1), test.base, test.depth)
+    best, where = d.longest_matches(padded, sa, test)
+    k = 0
+    for item in items:
+        for i in range(len(item)):
+            want = max(n for n in range(len(item) - i + 1) if any(shard[p : p + n] == item[i : i + n] for p in range(len(shard))))
+            assert best[k] == want and shard[where[k] :][:want] == item[i : i + want]
+            k += 1
+
+
 def test_query_digest(spark, sf):
     from larkfield.llm import registry
 

@@ -2,15 +2,20 @@
 
 Fixed patterns give the base spans. Beyond them, candidate spans are voted on by regex, gazetteer and
 context labelers; expectation-maximisation over the counts of all vote patterns estimates how reliable
-each labeler is, and the resulting soft labels train a logistic span classifier in numpy. Candidates that
-the classifier accepts are added; base spans always stay. The corpus is scanned twice, without a shuffle
-of texts: what the driver gets is one count for each vote pattern (3 ** labelers at most) and about
+each labeler is. The model is identified: a labeler's votes are right with one probability, which begins
+at what the labeler is meant to be and stays above chance, an abstention says nothing, and base spans that
+the labelers see beside the candidates count as personal. So a candidate that nothing speaks for is
+never taken, in small tables and in large ones. The soft labels train a logistic span classifier in numpy, which
+begins as the labelers' own weights and learns from shapes and neighbours what these leave open. Candidates
+that the classifier accepts are added; base spans always stay. The corpus is scanned twice, without a shuffle
+of texts: what the driver gets is one count for each vote pattern (2 * 3 ** labelers at most) and about
 ``TRAIN_SPANS`` distinct candidates with their counts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +40,35 @@ _DIGIT = re.compile(r"[0-9]")
 
 _CANDIDATE = re.compile(
     r"(?P<contact>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,12})"
-    r"|(?P<number>(?<![0-9A-Za-z.])\(?[0-9](?:[\x20().-]?[0-9]){6,40}(?![0-9A-Za-z]))"
+    r"|(?P<number>(?<![0-9A-Za-z.])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,40}(?![0-9A-Za-z]))"
     r"|(?P<person>\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?)"
+    r"|(?<=[Nn]ame:\x20)(?P<named>[A-Z][a-z]{1,30}\x20[A-Z][a-z]{1,30})"
 )
-_MAYBE = re.compile(r"[0-9]{2}|\bM(?:r|rs|s|me)\b|\bDr\b|\bProf\b|\bHerr\b|\bFrau\b|\bSra?\b|[\[(]at[\])]")
+_MAYBE = re.compile(r"[0-9]{2}|\bM(?:r|rs|s|me)\b|\bDr\b|\bProf\b|\bHerr\b|\bFrau\b|\bSra?\b|[\[(]at[\])]|[Nn]ame:")
 _NEAR = re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|whatsapp|telefon|tél|teléfono|contact|mail|email|e-mail|card|visa|iban|account|konto|ssn|passport|name)\b", re.I)
 _NOT_NEAR = re.compile(r"(?:\b(?:version|license|licence|isbn|issn|page|chapter|section|figure|table|year|copyright|total|sum|price|step|line)\b|[$€£#=\"'])\W*$", re.I)
-#: gazetteers: given names, and leading digits of card numbers
+#: gazetteers where no others are given: given names, and leading digits of card numbers
 NAMES = frozenset("anna ben carlos claire david elena emma felix hans ines jan jean john jose juan julia klaus laura louis lucia maria marie mark martin mary michael paul peter pierre robert sarah sofia thomas".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
-LABELERS = ("phone shape", "card shape", "plain number", "names", "issuers", "near cue", "other cue")
+#: names that a gazetteer may hold, as it travels to every task
+MOST_NAMES = 500_000
+#: labelers, with how often they are meant to be right
+LABELERS = {
+    "address shape": 0.98, "phone shape": 0.9, "check digit": 0.97, "plain number": 0.85, "names": 0.92, "title or field": 0.88,
+    "issuers": 0.7, "near cue": 0.9, "other cue": 0.9,
+}
+#: votes that a labeler's meant reliability counts for, and candidates that the meant share counts for
+WEIGHT, SHARE, SHARE_WEIGHT = 20.0, 0.3, 20.0
+#: bounds of a labeler's reliability, and of the share of candidates that are personal (narrow, so that many decoys don't outvote labelers)
+RIGHT, PERSONAL = (0.55, 0.99), (0.2, 0.4)
+
+
+def load_names(spark: SparkSession, path: str) -> frozenset:
+    """A gazetteer of given names from text files, a name a line; MOST_NAMES at most, else ValueError."""
+    names = spark.read.text(path).select(F.lower(F.trim("value")).alias("n")).where("n != ''").distinct().limit(MOST_NAMES + 1).collect()
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} names")
+    return frozenset(r.n for r in names)
 
 
 def luhn(digits: str) -> bool:
@@ -93,21 +117,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        yield start, KINDS.index(m.lastgroup), end
+        yield start, KINDS.index("person" if m.lastgroup == "named" else m.lastgroup), end
 
 
-def votes(text: str, start: int, kind: int, end: int) -> int:
+def votes(text: str, start: int, kind: int, end: int, names: frozenset = NAMES) -> int:
     """The labelers' votes as digits to base 3: 0 abstains, 1 says personal, 2 says not."""
     span = text[start:end]
     digits = "".join(c for c in span if c in "0123456789")
     before, name = text[max(0, start - 40) : start], KINDS[kind]
+    number = name in ("number", "card", "phone")
     out = [
-        1 if name == "contact" or re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", span) else 0,
-        1 if 13 <= len(digits) <= 19 else 0,
-        2 if name == "number" and (len(digits) < 9 or len(set(digits)) < 3) else 0,
-        (1 if any(w.lower() in NAMES for w in re.findall(r"[A-Za-z]+", span)) else 0) if name == "person" else 0,
-        (1 if digits.startswith(ISSUERS) else 2) if name == "number" and len(digits) in (13, 15, 16) else 0,
-        1 if _NEAR.search(before) or name == "person" else 0,
+        1 if name in ("contact", "email") else 0,
+        1 if number and re.fullmatch(r"(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", span) else 0,
+        (1 if luhn(digits) else 2) if number and not span.startswith("+") and 12 <= len(digits) <= 19 else 0,
+        2 if number and (len(digits) < 9 or len(set(digits)) < 3) else 0,
+        1 if name == "person" and any(w.lower() in names for w in re.findall(r"[^\W\d_]+", span)) else 0,
+        1 if name == "person" else 0,
+        (1 if digits.startswith(ISSUERS) else 2) if number and len(digits) in (13, 15, 16) else 0,
+        1 if name != "person" and _NEAR.search(before) else 0,
         2 if _NOT_NEAR.search(before) else 0,
     ]
     code = 0
@@ -116,6 +143,11 @@ def votes(text: str, start: int, kind: int, end: int) -> int:
     return code
 
 
+def cast(code: int) -> list[int]:
+    """The digits of ``votes``, one for each labeler."""
+    return [code // 3 ** (len(LABELERS) - 1 - k) % 3 for k in range(len(LABELERS))]
+
+
 def features(text: str, start: int, kind: int, end: int) -> list[int]:
     """Hashed features of a span: kind, shape, length, digits and the words beside it."""
     span = text[start:end]
@@ -123,82 +155,116 @@ def features(text: str, start: int, kind: int, end: int) -> list[int]:
     n = sum(c in "0123456789" for c in span)
     left = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start])[-1:]
     right = re.findall(r"[^\W\d_]+", text[end : end + 24])[:1]
-    cue = [f"cue{bool(_NEAR.search(text[max(0, start - 40) : start]))}", f"not{bool(_NOT_NEAR.search(text[max(0, start - 40) : start]))}"]
-    names = [f"kind{kind}", f"shape{shape}", f"digits{n}", f"first{span[:1] if n else ''}", *(f"l{w.lower()}" for w in left), *(f"r{w.lower()}" for w in right), *cue]
-    import zlib
-
+    names = [f"kind{kind}", f"shape{shape}", f"digits{n}", f"first{span[:1] if n else ''}", *(f"l{w.lower()}" for w in left), *(f"r{w.lower()}" for w in right)]
     return sorted({zlib.crc32(x.encode()) % FEATURES for x in names})
 
 
-def reliabilities(counts: dict[int, int], rounds: int = 50):
-    """EM over vote patterns: (prior, [P(vote | personal), P(vote | not)] for each labeler, posterior of each pattern)."""
-    codes = np.array(sorted(counts))
-    weight = np.array([counts[c] for c in codes.tolist()], float)
-    v = np.stack([codes // 3 ** (len(LABELERS) - 1 - k) % 3 for k in range(len(LABELERS))], axis=1)
-    yes, no = (v == 1).sum(1), (v == 2).sum(1)
-    post = (yes + 0.5) / (yes + no + 1)  # the majority to begin with, as which class is personal is by convention
-    prior, table = 0.5, np.ones((len(LABELERS), 2, 3)) / 3
+def reliabilities(counts: dict[tuple[int, bool], int], rounds: int = 50):
+    """EM over counts of (vote pattern, whether it is a base span's): (share, reliability of each labeler, posterior of each pattern).
+
+    The share is that of the candidates; base spans are personal for sure.
+    """
+    keys = sorted(counts)
+    weight = np.array([counts[k] for k in keys], float)
+    sure = np.array([base for _, base in keys])
+    v = np.array([cast(c) for c, _ in keys])
+    sign = np.where(v == 1, 1.0, np.where(v == 2, -1.0, 0.0))
+    meant = np.array(list(LABELERS.values()))
+    met = weight * (sure | ((v > 0).sum(1) > 1))  # a vote alone says nothing about how often it is right
+    share, right = SHARE, meant
     for _ in range(rounds):
-        prior = float(np.clip((weight * post).sum() / weight.sum(), 0.01, 0.99))
-        for k in range(len(LABELERS)):
-            for c, p in enumerate((post, 1 - post)):
-                got = np.array([(weight * p * (v[:, k] == x)).sum() for x in range(3)]) + 1
-                table[k, c] = got / got.sum()
-        like = [np.log(q) + sum(np.log(table[k, c, v[:, k]]) for k in range(len(LABELERS))) for c, q in enumerate((prior, 1 - prior))]
-        post = 1 / (1 + np.exp(np.clip(like[1] - like[0], -50, 50)))
-    return prior, table, dict(zip(codes.tolist(), post.tolist(), strict=True))
-
-
-def fit_spans(rows: list[tuple[list[int], float, float]], rounds: int = 200) -> np.ndarray:
-    """Logistic regression on (features, soft label, weight); the last weight is the bias."""
-    w = np.zeros(FEATURES + 1)
-    flat = np.concatenate([[*f, FEATURES] for f, _, _ in rows]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(f) + 1 for f, _, _ in rows])
-    y, share = np.array([p for _, p, _ in rows]), np.array([n for *_, n in rows], float)
-    share /= share.sum()
-    step = np.zeros_like(w)
+        score = np.log(share / (1 - share)) + sign @ np.log(right / (1 - right))
+        post = np.where(sure, 1.0, 1 / (1 + np.exp(-score)))
+        open_ = weight * ~sure
+        share = float(np.clip((open_ @ post + SHARE * SHARE_WEIGHT) / (open_.sum() + SHARE_WEIGHT), *PERSONAL))
+        good = met @ np.where(v == 1, post[:, None], np.where(v == 2, 1 - post[:, None], 0.0))
+        right = np.clip((good + meant * WEIGHT) / (met @ (v > 0) + WEIGHT), *RIGHT)
+    score = np.log(share / (1 - share)) + sign @ np.log(right / (1 - right))
+    return share, dict(zip(LABELERS, right.tolist(), strict=True)), dict(zip([c for c, base in keys if not base], (1 / (1 + np.exp(-score)))[~sure].tolist(), strict=True))
+
+
+def _slots(feats: list[int], code: int) -> list[int]:
+    """Places of a span's weights: its features, a place for each vote, and the bias."""
+    return [*feats, *(FEATURES + 2 * k + v - 1 for k, v in enumerate(cast(code)) if v), FEATURES + 2 * len(LABELERS)]
+
+
+def fit_spans(rows: list[tuple[list[int], int, float, float]], share: float, right: dict[str, float], rounds: int = 200) -> np.ndarray:
+    """Logistic regression on (features, votes, soft label, weight), from the labelers' weights on and drawn to these."""
+    start = np.zeros(FEATURES + 2 * len(LABELERS) + 1)
+    for k, r in enumerate(right.values()):
+        start[FEATURES + 2 * k : FEATURES + 2 * k + 2] = np.log(r / (1 - r)) * np.array([1, -1])
+    start[-1] = np.log(share / (1 - share))
+    w, step = start.copy(), np.zeros_like(start)
+    slots = [_slots(f, code) for f, code, _, _ in rows]
+    flat, row = np.concatenate(slots).astype(np.int64), np.repeat(np.arange(len(rows)), [len(x) for x in slots])
+    y, part = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
+    part /= part.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[flat], len(rows)), -30, 30)))
-        grad = np.bincount(flat, ((p - y) * share)[row], len(w)) + 1e-4 * w
-        step = 0.9 * step - 1.0 * grad
+        grad = np.bincount(flat, ((p - y) * part)[row], len(w)) + 1e-3 * (w - start)
+        step = 0.9 * step - 0.2 * grad
         w += step
     return w
 
 
+class SpanModel:
+    """The classifier's weights, with the gazetteer that the votes need, and the labelers' reliabilities as a report."""
+
+    def __init__(self, weights: np.ndarray, share: float, right: dict[str, float], names: frozenset = NAMES):
+        self.weights, self.share, self.right, self.names = weights, share, right, names
+
+    def probability(self, text: str, start: int, kind: int, end: int) -> float:
+        x = self.weights[_slots(features(text, start, kind, end), votes(text, start, kind, end, self.names))].sum()
+        return float(1 / (1 + np.exp(-x)))
+
+
 def _texts(batches, text_at: int):
     for batch in batches:
         for part in kernels.slices(batch, batch.schema.names[text_at], SCAN_BYTES):
             yield part, part.column(text_at).to_pylist()
 
 
-def _gather(batches):
-    for part, texts in _texts(batches, 0):
-        code, feats = [], []
-        for text in texts:
-            if text:
-                for s, kind, e in candidates(text, base_spans(text)):
-                    code.append(votes(text, s, kind, e))
-                    feats.append(features(text, s, kind, e))
-        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(feats, pa.list_(pa.int32()))], names=["votes", "features"])
+def _gather(names: frozenset):
+    def run(batches):
+        for part, texts in _texts(batches, 0):
+            code, base, feats = [], [], []
+            for text in texts:
+                if text:
+                    sure = base_spans(text)
+                    for s, kind, e in candidates(text, sure):
+                        code.append(votes(text, s, kind, e, names))
+                        base.append(False)
+                        feats.append(features(text, s, kind, e))
+                    for s, kind, e in sure:
+                        code.append(votes(text, s, kind, e, names))
+                        base.append(True)
+                        feats.append([])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code, pa.int32()), pa.array(base, pa.bool_()), pa.array(feats, pa.list_(pa.int32()))], names=["votes", "base", "features"]
+            )
+
+    return run
 
 
-def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
-    """Weights of the span classifier; None where the corpus has no candidates."""
+def train(docs: DataFrame, text_col: str = "text", names: frozenset = NAMES) -> SpanModel | None:
+    """The span classifier; None where the corpus has no candidates. names: a gazetteer of given names, in lower case."""
     ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "pii")
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(kernels.tidied(_gather), "votes int, features array<int>")
-    found = scratch.save(found.groupBy("votes", "features").agg(F.count("*").alias("n")), "spans")
-    rows = found.groupBy("votes").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # 3 ** 7 rows at most
-    if not rows:
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(kernels.tidied(_gather(names)), "votes int, base boolean, features array<int>")
+    found = scratch.save(found.groupBy("votes", "base", "features").agg(F.count("*").alias("n")), "spans")
+    rows = found.groupBy("votes", "base").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # 2 * 3 ** labelers rows at most
+    if all(r.base for r in rows):
+        scratch.close()
         return None
-    _, _, post = reliabilities({r.votes: r.n for r in rows})
-    part = min(1.0, TRAIN_SPANS / sum(r.kinds for r in rows))  # of the distinct candidates, chosen by hash
-    sample = found.where(F.pmod(F.xxhash64("features", "votes"), F.lit(1 << 30)) < int((1 << 30) * part)).collect()
+    share, right, post = reliabilities({(r.votes, r.base): r.n for r in rows})
+    part = min(1.0, TRAIN_SPANS / sum(r.kinds for r in rows if not r.base))  # of the distinct candidates, chosen by hash
+    sample = found.where(~F.col("base") & (F.pmod(F.xxhash64("features", "votes"), F.lit(1 << 30)) < int((1 << 30) * part))).collect()
     scratch.close()
-    return fit_spans(sorted((list(r.features), post[r.votes], r.n) for r in sample)) if sample else None
+    weights = fit_spans(sorted((list(r.features), r.votes, post[r.votes], r.n) for r in sample) or [([], 0, share, 1.0)], share, right)
+    return SpanModel(weights, share, right, names)
 
 
-def _apply(weights, text_at: int, width: int):
+def _apply(model: SpanModel | None, text_at: int, width: int):
     kind_of = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -206,10 +272,8 @@ def _apply(weights, text_at: int, width: int):
             spans, cleaned = [], []
             for text in texts:
                 found = base_spans(text) if text else []
-                if weights is not None and text:
-                    for s, kind, e in candidates(text, list(found)):
-                        if weights[features(text, s, kind, e)].sum() + weights[FEATURES] >= np.log(ACCEPT / (1 - ACCEPT)):
-                            found.append((s, kind, e))
+                if model is not None and text:
+                    found += [(s, kind, e) for s, kind, e in candidates(text, list(found)) if model.probability(text, s, kind, e) >= ACCEPT]
                     found.sort()
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
                 cleaned.append(redact(text, found) if found else text)
@@ -230,7 +294,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_pii(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, model: SpanModel | None, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``pii`` (``pii_1``, ... if docs has that name): spans of (start, kind, end), and redacted.
 
     kind is a place in ``KINDS``; starts count code points, ends are exclusive, order is by start and then
@@ -247,7 +311,7 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text"
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     out = out.select("*", none.alias("lf_spans"), F.lit(None).cast("string").alias("lf_clean"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
-    out = out.mapInArrow(kernels.tidied(_apply(weights, names.index(text), len(names))), schema)
+    out = out.mapInArrow(kernels.tidied(_apply(model, names.index(text), len(names))), schema)
     answer = F.struct(F.col("lf_spans").alias("spans"), F.col("lf_clean").alias("redacted"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], answer.alias(name))
 
@@ -264,4 +328,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(docs, train(docs)).select(
         "doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)],
         F.sha2(_joined(F.filter(s, lambda x: x["kind"] < 4)), 256).alias("base_sha256"), _joined(s).alias("spans"),
+        F.size(s).cast("long").alias("n_spans"),
     )

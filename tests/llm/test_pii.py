@@ -44,24 +44,63 @@ def test_em_finds_reliable_labelers():
     for _ in range(20_000):
         truth = rng.random() < 0.4
         votes = [0] * len(pii.LABELERS)
-        for k, right in ((0, 0.95), (1, 0.9), (5, 0.6)):
+        for k, right in ((0, 0.95), (1, 0.9), (5, 0.65)):
             if rng.random() < 0.8:
                 votes[k] = 1 if truth == (rng.random() < right) else 2
         code = 0
         for v in votes:
             code = 3 * code + v
-        counts[code] = counts.get(code, 0) + 1
-    prior, table, post = pii.reliabilities(counts)
-    assert abs(prior - 0.4) < 0.06
-    right = lambda k: table[k, 0, 1] / (table[k, 0, 1] + table[k, 0, 2])
-    assert abs(right(0) - 0.95) < 0.05 and right(0) > right(5)
+        counts[(code, False)] = counts.get((code, False), 0) + 1
+    share, right, post = pii.reliabilities(counts)
+    got = list(right.values())
+    assert abs(share - 0.4) < 0.06 and abs(got[0] - 0.95) < 0.05 and abs(got[1] - 0.9) < 0.05 and abs(got[5] - 0.65) < 0.1
     assert all(0 <= p <= 1 for p in post.values())
 
 
-def test_classifier_learns_the_votes():
-    rows = [([1, 5], 0.95, 40), ([2, 5], 0.03, 60)]
-    w = pii.fit_spans(rows)
-    assert w[[1, 5]].sum() + w[-1] > 1 and w[[2, 5]].sum() + w[-1] < -1
+def test_a_candidate_that_nothing_speaks_for_is_never_taken():
+    for n in (1, 100, 10**7):
+        share, _, post = pii.reliabilities({(0, False): n, (1, True): n})
+        assert share <= 0.5 and post[0] < pii.ACCEPT
+    right = dict(pii.LABELERS)
+    w = pii.fit_spans([([1, 5], 0, 0.95, 40), ([2, 5], 0, 0.03, 60)], 0.3, right)
+    assert w[pii._slots([1, 5], 0)].sum() > w[pii._slots([2, 5], 0)].sum()
+
+
+YES = ["call 555-010-9999 today", "my phone is (555) 010-9999", "write to jane.doe [at] example [dot] org", "Dr. Maria Lopez said", "name: Peter Huber, yes"]
+NO = ["order 4929 1234 5678 9013 came", "version 1234567 of it", "ISBN 9781234567897 here", "the sum 5555555555 again", "in 2019 2020 2021 2022 it was"]
+
+
+def test_planted_spans_and_decoys_at_any_size(spark):
+    """The same spans whether the corpus is small or large, and whatever decoys outnumber what."""
+    schema = "doc_id long, text string"
+    for yes, no, plain in ((1, 1, 0), (40, 1, 50), (1, 60, 10), (30, 30, 30)):
+        texts = YES * yes + NO * no + ["and no data at all"] * plain + ["mail a@b.co or +1 (555) 010-9999", "4111 1111 1111 1111"]
+        df = spark.createDataFrame(list(enumerate(texts)), schema)
+        model = pii.train(df)
+        got = {r.text: [s.kind for s in r.pii.spans] for r in pii.find_pii(df, model).collect()}
+        assert all(len(got[t]) == 1 and got[t][0] > 3 for t in YES), (yes, no, [t for t in YES if not got[t]])
+        assert all(got[t] == [] for t in NO), (yes, no, [t for t in NO if got[t]])
+        # by brute force: every span that the model accepts of every candidate, and the base spans
+        for r in pii.find_pii(df, model).collect():
+            base = brute(r.text)
+            added = [(s, k, e) for s, k, e in pii.candidates(r.text, base) if model.probability(r.text, s, k, e) >= pii.ACCEPT]
+            assert [(s.start, s.kind, s.end) for s in r.pii.spans] == sorted(base + added)
+        assert set(model.right) == set(pii.LABELERS)
+
+
+def test_names_from_a_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "names.txt").write_text("Xyzzy\n\n  Quux \n")
+    names = pii.load_names(spark, str(tmp_path))
+    assert names == {"xyzzy", "quux"}
+    df = spark.createDataFrame([(1, "so Dr. Xyzzy Blue said"), (2, "so Dr. Maria Blue said")], "doc_id long, text string")
+    got = {r.doc_id: len(r.pii.spans) for r in pii.find_pii(df, pii.train(df, names=names)).collect()}
+    assert got == {1: 1, 2: 0}
+    monkeypatch.setattr(pii, "MOST_NAMES", 1)
+    try:
+        pii.load_names(spark, str(tmp_path))
+        raise AssertionError
+    except ValueError:
+        pass
 
 
 def test_operator(spark):

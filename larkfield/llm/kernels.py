@@ -37,17 +37,10 @@ SPACE_WORDS = byte_table(_SPACE)
 #: words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z (A-Z fold before the class applies)
 ALNUM_WORDS = byte_table([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
-_POW: np.ndarray = np.ones(1, U64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        size = max(n, 2 * len(_POW), 256)
-        p = np.full(size, U64(0x9E6C63D0876A9A47), U64)
-        p[0] = 1
-        _POW = np.cumprod(p, dtype=U64)
-    return _POW
+#: base of the word hash, and its powers over one block of bytes
+_BASE, _BLOCK = 0x9E6C63D0876A9A47, 1 << 15
+_POW = np.cumprod(np.r_[U64(1), np.full(_BLOCK, U64(_BASE), U64)], dtype=U64)
+_INVERSE = np.cumprod(np.r_[U64(1), np.full(_BLOCK, U64(pow(_BASE, -1, 1 << 64)), U64)], dtype=U64)
 
 
 def string_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,36 +88,46 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     Returns (hash of each word, byte start, byte end, first word of each text plus the total).
     A word never spans two texts. Hashes are 64-bit and the same on every machine.
     """
-    n_docs = len(offsets) - 1
-    if not len(raw):
+    n = len(raw)
+    if not n:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, U64), z, z, np.zeros(n_docs + 1, np.int64)
+        return np.zeros(0, U64), z, z, np.zeros(len(offsets), np.int64)
     t = table[raw]
     word = t != 0
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    starts_doc = offsets[:-1]
-    starts_doc = starts_doc[starts_doc < len(raw)]
-    first[starts_doc] = word[starts_doc]
-    begin = np.flatnonzero(first)
-    if not len(begin):
-        return np.zeros(0, U64), begin, begin, np.zeros(n_docs + 1, np.int64)
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    ends_doc = offsets[1:] - 1
-    ends_doc = ends_doc[ends_doc >= 0]
-    last[ends_doc] = word[ends_doc]
-    end = np.flatnonzero(last) + 1
-    at = np.arange(len(raw), dtype=np.int64)
-    inside = at[word]
-    length = end - begin
-    inside -= np.repeat(begin, length)
-    values = t[word].astype(U64) * _powers(int(length.max()))[inside]
-    edges = np.zeros(len(begin), np.int64)
-    np.cumsum(length[:-1], out=edges[1:])
-    sums = np.add.reduceat(values, edges)
-    h = splitmix(sums ^ (length.astype(U64) << U64(56)))
-    return h, begin, end, np.searchsorted(begin, offsets)
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    edge = np.concatenate([[0] * int(word[0]), edge, [n] * int(word[-1])]).astype(np.int64)
+    begin, end = edge[0::2], edge[1::2]
+    inner = np.unique(offsets[(offsets > 0) & (offsets < n)])
+    inner = inner[word[inner] & word[inner - 1]]  # a text that ends where the next begins, without a blank
+    if len(inner):
+        begin, end = np.sort(np.concatenate([begin, inner])), np.sort(np.concatenate([end, inner]))
+    return _hash_spans(t, begin, end), begin, end, np.searchsorted(begin, offsets)
+
+
+def _hash_spans(t: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of t[begin:end] for each span: the sum of its bytes times powers of a base, from differences of running sums.
+
+    Powers start anew with every block, so that few of them are needed; a span over several blocks is summed block by block.
+    """
+    n = len(t)
+    values = t.astype(U64)
+    for i in range(0, n, _BLOCK):
+        values[i : i + _BLOCK] *= _POW[: min(_BLOCK, n - i)]
+    running = np.zeros(n + 1, U64)
+    np.cumsum(values, out=running[1:])
+    at, block = begin % _BLOCK, begin // _BLOCK
+    stop = np.minimum(end, (block + 1) * _BLOCK)
+    sums = (running[stop] - running[begin]) * _INVERSE[at]
+    over = np.flatnonzero(stop < end)
+    scale = _POW[_BLOCK - at[over]]  # what the base's power is at the next block's first byte
+    while len(over):
+        start = stop[over]
+        stop[over] = np.minimum(end[over], start + _BLOCK)
+        sums[over] += (running[stop[over]] - running[start]) * scale
+        scale = scale * _POW[_BLOCK]
+        more = stop[over] < end[over]
+        over, scale = over[more], scale[more]
+    return splitmix(sums ^ ((end - begin).astype(U64) << U64(56)))
 
 
 _MULT = splitmix(np.arange(1, 65, dtype=U64)) | U64(1)

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from larkfield.llm import kernels, lm_score as lm
 from larkfield.runtime import Scratch
@@ -10,59 +11,114 @@ ROWS = [(1, "the cat sat on the mat the end"), (2, None), (3, ""), (4, " \n\t"),
 
 
 def parts(text):
-    raw, offsets = kernels.string_views(pa.array([text]))
+    raw, offsets = kernels.string_views(pa.array([text], pa.string()))
     h, begin, end, first = kernels.hash_words(raw, offsets, kernels.SPACE_WORDS)
-    return h, lm.ending(raw, begin, end), first
+    return h, lm.ending(raw, begin, end) if len(h) else np.zeros(0, np.int64), first
+
+
+def network(v, weights, text):
+    """log P(symbol | both sides) of every token, one at a time, as the definition says."""
+    h, kinds, _ = parts(text)
+    symbols, *_ = v.encode(h, kinds)
+    out = []
+    for t in range(len(h)):
+        near = [symbols[t + k] if 0 <= t + k < len(h) else v.pad for k in (-3, -2, -1, 1, 2, 3)]
+        hidden = np.tanh(np.concatenate([weights["v"][s] for s in near]).astype(float) @ weights["m"] + weights["b"])
+        z = hidden @ weights["o"] + weights["c"]
+        c = v.cls[symbols[t]]
+        lo, hi = v.begin[c], v.begin[c + 1]
+        y = weights["u"][lo:hi] @ hidden + weights["p"][lo:hi]
+        out.append(z[c] - np.log(np.exp(z).sum()) + y[symbols[t] - lo] - np.log(np.exp(y).sum()))
+    return np.array(out)
+
+
+def small(monkeypatch, listed=50, counted=50):
+    monkeypatch.setattr(lm, "LISTED", listed)
+    monkeypatch.setattr(lm, "COUNTED", counted)
 
 
 def test_gradients_match_differences():
-    rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) for k, v in lm.start().items()}
-    x, y = rng.integers(0, lm.CLASSES + 1, (9, 2 * lm.SIDE)), rng.integers(0, lm.CLASSES, 9)
-    loss = lambda: -lm.forward(w, x)[1][np.arange(9), y].mean()
-    before = {k: v.copy() for k, v in w.items()}
-    state = {"t": 0, "m": {k: np.zeros_like(v) for k, v in w.items()}, "v": {k: np.zeros_like(v) for k, v in w.items()}}
-    lm.train_on(w, x, y, state)
-    grad = {k: state["m"][k] * 10 for k in w}
-    w.update(before)
-    for k in w:
-        for i in np.argsort(-np.abs(grad[k]).ravel())[:3]:
-            at = np.unravel_index(i, w[k].shape)
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, 300).astype(np.uint64)
+    v = lm.Vocabulary(words, np.arange(300, 0, -1), rng.integers(0, lm.ENDINGS, 300), np.full(lm.ENDINGS, 9000.0))
+    w = {k: rng.normal(0, 0.2, x.shape) + x for k, x in lm.start(v).items()}
+    x, y = rng.integers(0, v.pad + 1, (60, 2 * lm.SIDE)), rng.integers(0, v.pad, 60)
+
+    def loss():
+        hidden = np.tanh(w["v"][x].reshape(60, -1) @ w["m"] + w["b"])
+        return -lm.log_probabilities(w, v, hidden, y).mean()
+
+    for k, grad in lm.gradients(w, v, x, y).items():
+        if k == "v":
+            rows, part = grad
+            grad = np.zeros_like(w["v"])
+            grad[rows] = part
+        for i in np.argsort(-np.abs(grad).ravel())[:3]:
+            at = np.unravel_index(i, grad.shape)
             keep, eps = w[k][at], 1e-5
             w[k][at] = keep + eps
             up = loss()
             w[k][at] = keep - eps
             down = loss()
             w[k][at] = keep
-            assert abs((up - down) / (2 * eps) - grad[k][at]) < 1e-4, k
-
-
-def test_scores_are_sums_over_both_sides(spark):
-    """Every token by hand: its class from the six neighbours, and the word within its class."""
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    vocabulary = lm.count_words(df.select("text"), Scratch(spark, "t"))
-    weights = lm.train(df.select("text"), vocabulary)
-    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in ROWS]), pa.array([0] * len(ROWS)), pa.array([0.0] * len(ROWS))], names=["c0", "n", "log"])
-    got = pa.Table.from_batches(lm._score(vocabulary, weights, 0, 1)(iter([batch])))
-    for r, (_, text) in enumerate(ROWS):
-        h, by_ending, first = parts(text or "")
-        classes, inner = vocabulary.look_up(h, by_ending)
-        total = 0.0
-        for t in range(min(len(h), 50)):
-            near = [classes[t + k] if 0 <= t + k < len(h) else lm.CLASSES for k in (-3, -2, -1, 1, 2, 3)]
-            a = weights["b"] + sum(weights["e"][k][c] for k, c in enumerate(near))
-            z = np.tanh(a) @ weights["o"] + weights["c"]
-            total += z[classes[t]] - np.log(np.exp(z).sum()) + inner[t]
-        assert got.column(1)[r].as_py() == len(h)
-        if len(h) <= 50:
-            assert abs(got.column(2)[r].as_py() - total) < 1e-2
-
-
-def test_words_within_a_class_add_up_to_one(spark):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    v = lm.count_words(df.select("text"), Scratch(spark, "t"))
-    for c in set(v.classes.tolist()):
-        assert abs(sum(math.exp(p) for p in v.log_word[v.classes == c]) - 1) < 1e-6
+            assert abs((up - down) / (2 * eps) - grad[at]) < 1e-4, k
+
+
+@pytest.mark.parametrize("listed,counted", [(8192, 1 << 19), (20, 60), (20, 20)])
+def test_scores_are_those_of_the_definition(spark, monkeypatch, listed, counted):
+    """Every token by hand from its six neighbours, and every word that isn't listed by its own count, with or without a join."""
+    small(monkeypatch, listed, counted)
+    texts = [" ".join(f"w{j}" for j in range(200) for _ in range(1 + (j % 7 == k) + (j > 190))) for k in range(6)] + ["w1 w2 rare", "rare w3 w3"]
+    rows = ROWS[:5] + [(10 + k, t) for k, t in enumerate(texts)] + [(10, texts[0]), (99, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm._counted(df.select("text"), Scratch(spark, "t"))
+    n, kind = {}, {}
+    for r in counts.collect():
+        n[r.word], kind[r.word] = r.n, r.ending
+    v = lm._listed(counts)
+    order = sorted(n, key=lambda w: (-n[w], w))
+    assert v.lookup.keys[:-1].view(np.int64).tolist() == order[:counted]
+    rest = np.zeros(lm.ENDINGS)
+    for w in order[listed:]:
+        rest[kind[w]] += n[w]
+    weights = lm.train(df.select("text"), v)
+    monkeypatch.setattr(lm, "train", lambda texts, vocabulary: weights)
+    got = [(r.doc_id, r.lm.log_prob, r.lm.n_tokens) for r in lm.score_documents(df).collect()]
+    assert len(got) == len(rows)
+    for i, p, tokens in got:
+        text = dict(rows)[i] or ""
+        h, _, _ = parts(text)
+        own = sum(math.log(n[w] / rest[kind[w]]) for w in h.view(np.int64).tolist() if w not in order[:listed])
+        assert tokens == len(h) and abs(p - network(v, weights, text).sum() - own) < 0.05
+
+
+def test_all_words_add_up_to_one():
+    rng = np.random.default_rng(1)
+    words, kinds, counts = rng.integers(0, 2**63, 90).astype(np.uint64), rng.integers(0, lm.ENDINGS, 90), np.sort(rng.integers(1, 50, 90))[::-1]
+    totals = np.bincount(kinds, counts, lm.ENDINGS)
+    for listed in (10, 90):
+        keep, lm.LISTED = lm.LISTED, listed
+        try:
+            v = lm.Vocabulary(words, counts, kinds, totals)
+        finally:
+            lm.LISTED = keep
+        w = {k: (rng.normal(0, 0.2, x.shape) + x).astype(np.float32) for k, x in lm.start(v).items()}
+        hidden = np.tanh(rng.normal(0, 1, (1, lm.HIDDEN))).astype(np.float32)
+        symbols, share, missing = v.encode(words, kinds)
+        p = lm.log_probabilities(w, v, np.repeat(hidden, 90, 0), symbols) + share
+        # kinds without unlisted words have a symbol too, of half a token at most
+        empty = [s for k, s in enumerate(v.rest) if not any(kinds[listed:] == k)]
+        more = np.exp(lm.log_probabilities(w, v, np.repeat(hidden, len(empty), 0), np.array(empty, int))).sum() if empty else 0
+        assert abs(np.exp(p).sum() + more - 1) < 1e-4 and not missing.any()
+
+
+def test_lookup_finds_all_keys_and_no_others():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64) & np.uint64(0xFF00000000FFFFFF))  # many share their first bits
+    table = lm.Lookup(keys)
+    assert table.find(keys).tolist() == list(range(len(keys)))
+    assert (table.find(keys + np.uint64(1 << 40)) == -1).all()
+    assert (lm.Lookup(np.zeros(0, np.uint64)).find(keys) == -1).all()
 
 
 def test_edges(spark):
@@ -77,113 +133,41 @@ def test_edges(spark):
     assert lm.score_documents(spark.createDataFrame([], df.schema)).collect() == []
 
 
-def test_training_helps(spark):
-    """Held-out text of the tables is likelier after training than before."""
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
-    v = lm.count_words(df, Scratch(spark, "t"))
-    trained, fresh = lm.train(df, v), lm.start()
-    text = next(r.text for r in df.limit(400).collect() if len(r.text) > 3000)
-    h, by_ending, first = parts(text)
-    classes, _ = v.look_up(h, by_ending)
-    x = lm.contexts(classes, first)
-    mean = lambda w: lm.forward(w, x)[1][np.arange(len(x)), classes].mean()
-    assert mean(trained) > mean(fresh) + 0.5
-
-
-def test_words_that_are_not_listed_keep_their_own_count(spark, monkeypatch):
-    """Exactly the most frequent words are listed, ties included, and the rest is scored by its own counts."""
-    monkeypatch.setattr(lm, "VOCABULARY", 50)
-    texts = [" ".join(f"w{j}" for j in range(200) for _ in range(1 + (j % 7 == k) + (j > 190))) for k in range(6)] + ["w1 w2 rare", "rare w3 w3"]
-    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (99, texts[0])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    counts = lm._counted(df.select("text"), Scratch(spark, "t"))
-    n = {r.word: r.n for r in counts.collect()}
-    v = lm._listed(counts)
-    assert v.words.view(np.int64).tolist() == sorted(sorted(n, key=lambda w: (-n[w], w))[:50], key=lambda w: w % 2**64)
-    weights = lm.train(df.select("text"), v)
-    got = {(r.doc_id, r.lm.log_prob) for r in lm.score_documents(df).collect()}
-    assert len(got) == len(rows) - 1
-    rest = np.zeros(lm.CLASSES)
-    for w, c in {(w, c) for _, text in rows for w, c in _unlisted(v, text)}:
-        rest[c] += n[w]
-    for i, p in got:
-        text = dict(rows)[i]
-        own = sum(math.log(n[w] / rest[c]) for w, c in _unlisted(v, text))
-        assert abs(p - network(v, weights, text).sum() - own) < 1e-2
-
-
-def _unlisted(v, text):
-    h, by_ending, _ = parts(text)
-    return [(w, lm.OWN + e) for w, e, known in zip(h.view(np.int64).tolist(), by_ending.tolist(), v.find(h)[1], strict=True) if not known]
-
-
-def network(v, weights, text):
-    """log P(class) + log P(output | class) of every token, one at a time."""
-    h, by_ending, first = parts(text)
-    classes, _ = v.look_up(h, by_ending)
-    own, outputs, _ = v.targets(h, classes)
-    x, near, out = lm.contexts(classes, first), lm.contexts(own, first, 0), []
-    for t in range(len(h)):
-        a = weights["b"] + sum(weights["e"][k][x[t, k]] + weights.words["v"][near[t, k]] @ weights.words["m"][k] for k in range(2 * lm.SIDE))
-        z = np.tanh(a) @ weights["o"] + weights["c"]
-        lo, hi = v.begin[classes[t]], v.begin[classes[t] + 1]
-        y = weights.words["u"][lo:hi] @ np.tanh(a) + weights.words["p"][lo:hi]
-        out.append(z[classes[t]] - np.log(np.exp(z).sum()) + y[outputs[t] - lo] - np.log(np.exp(y).sum()))
-    return np.array(out)
+def test_training_helps_on_texts_it_has_not_seen(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    seen, unseen = df.where("doc_id % 5 > 0").select("text"), df.where("doc_id % 5 = 0").limit(80).collect()
+    v = lm.count_words(df.select("text"), Scratch(spark, "t"))
+    trained, fresh = lm.train(seen, v), lm.start(v)
+    mean = lambda w: np.concatenate([network(v, w, r.text[:4000]) for r in unseen]).mean()
+    assert mean(trained) > mean(fresh) + 0.15
 
 
 def test_every_document_trains(spark, monkeypatch):
-    """Whatever their hashes, all tokens of all rows are trained on in each round, copies included."""
-    df = spark.range(40).selectExpr("concat('word', id, ' and then some') AS text")
-    df = df.where("pmod(xxhash64(text), 16) > 1").limit(5)
+    """Whatever their hashes, all tokens of all rows may be masked, copies included; with one in one, all are predicted."""
+    monkeypatch.setattr(lm, "MASK", 1)
+    df = spark.range(40).selectExpr("concat('word', id, ' and then some') AS text").limit(5)
     df = df.unionByName(df.limit(1))
     v = lm.count_words(df, Scratch(spark, "t"))
-    rows = df.toArrow().to_batches()
-    got = pa.Table.from_batches(lm._local_training(v, lm.start())(iter(rows)))
+    got = pa.Table.from_batches(lm._local_training(v, lm.start(v), 0)(iter(df.toArrow().to_batches())))
     assert set(got.column("seen").to_pylist()) == {24.0}
-    trained, fresh = lm.train(df, v), lm.start()
-    assert all(np.abs(trained[k] - fresh[k]).max() > 0.005 for k in lm.SHAPES)
-
+    trained, fresh = lm.train(df, v), lm.start(v)
+    assert all(np.abs(trained[k] - fresh[k]).max() > 0.005 for k in "ocup")  # one step: the others follow these
 
-def test_gradients_of_words_match_differences():
-    rng = np.random.default_rng(3)
-    sizes = np.where(np.arange(lm.CLASSES) < lm.OWN, 1, 5)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    words = {"v": rng.normal(0, 0.3, (30, lm.EMBEDDING)), "m": rng.normal(0, 0.3, (6, lm.EMBEDDING, lm.HIDDEN)), "u": rng.normal(0, 0.3, (begin[-1], lm.HIDDEN)), "p": rng.normal(0, 0.3, begin[-1])}
-    words["v"][0] = 0
-    w = {k: v.astype(np.float64) for k, v in lm.start().items()}
-    x, y, near = rng.integers(0, lm.CLASSES + 1, (40, 6)), rng.integers(0, lm.CLASSES, 40), rng.integers(0, 30, (40, 6))
-    outputs = begin[y] + rng.integers(0, 5, 40) % sizes[y]
 
-    def loss():
-        h, z = lm.forward(w, x, sum(words["v"][near[:, k]] @ words["m"][k] for k in range(6)))
-        return -(z[np.arange(40), y] + lm.within(words, begin, h, y, outputs)[0]).mean()
-
-    both = {**w, **words}
-    before = {k: v.copy() for k, v in both.items()}
-    state = {"t": 0, "m": {k: np.zeros_like(v) for k, v in w.items()}, "v": {k: np.zeros_like(v) for k, v in w.items()}, "words": {k: np.zeros_like(v) for k, v in words.items()}}
-    lm.train_on(w, x, y, state, words, begin, near, outputs)
-    for k in both:  # the first step of Adagrad has the gradient's sign, and its sum the square
-        grad = state["m"][k] * 10 if k in w else np.sign(before[k] - both[k]) * np.sqrt(state["words"][k])
-        both[k][...] = before[k]
-        state["m" if k in w else "words"][k] = grad
-    for k in both:
-        grad = state["m" if k in w else "words"][k]
-        for i in np.argsort(-np.abs(grad).ravel())[:3]:
-            at = np.unravel_index(i, grad.shape)
-            keep, eps = both[k][at], 1e-5
-            both[k][at] = keep + eps
-            up = loss()
-            both[k][at] = keep - eps
-            down = loss()
-            both[k][at] = keep
-            assert abs((up - down) / (2 * eps) - grad[at]) < 1e-4, k
+def test_garbled_text_scores_below_what_it_was_made_of(spark):
+    """Documents of the table against themselves with their words in another order: the same words, so only contexts tell."""
+    rng = np.random.default_rng(0)
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and len(r.text.split()) > 60]
+    texts = ["the cat sat on the mat and the dog lay by the door " * 6, "a man and a woman went to the sea in a boat " * 6] * 150
+    garbled = [" ".join(rng.permutation(t.split())) for t in texts[:2]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + garbled)] + [(10_000 + r.doc_id, r.text) for r in docs[:200]], "doc_id long, text string")
+    got = {r.doc_id: r.lm.per_token for r in lm.score_documents(df).collect()}
+    assert got[0] > got[300] + 0.2 and got[1] > got[301] + 0.2
 
 
-def test_context_chooses_among_words_of_one_ending(spark):
-    """Two words of like frequency and ending: the one that fits its neighbours is likelier."""
-    common = " ".join(f"f{k}" for k in range(lm.OWN)) + " "
-    texts = [common * 4 + ("redding kaffing sunning " if k % 2 else "bluding kuffing mooning ") * 2 for k in range(4000)]
+def test_context_chooses_among_words_of_one_kind(spark):
+    """Two words of like frequency: the one that fits its neighbours is likelier."""
+    texts = ["so it is and was and will be " * 2 + ("redding kaffing sunning " if k % 2 else "bluding kuffing mooning ") * 2 for k in range(6000)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
     v = lm.count_words(df, Scratch(spark, "t"))
     weights = lm.train(df, v)

@@ -362,11 +362,10 @@ def _score(vocabulary: Vocabulary, weights: dict, text_at: int, width: int, with
 def _with_rest(out: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds log n(word) of every word in lf_rest to its row's lf_log.
 
-    Such a word is at most one in COUNTED of all tokens, so no key of the join is heavy; those that occur once add
-    nothing and go at the join. Rows that are alike in all columns are summed together: their number divides again.
+    Such a word is at most one in COUNTED of all tokens, so no key of the join is heavy. Rows that are alike in all columns are summed together: their number divides again.
     """
     words = out.where(F.size("lf_rest") > 0).select("lf_row", F.explode("lf_rest").alias("word"))
-    sums = words.join(counts.where("n > 1").select("word", F.log("n").alias("lf_n")), "word").groupBy("lf_row").agg(F.sum("lf_n").alias("lf_sum"))
+    sums = words.join(counts.select("word", F.log("n").alias("lf_n")), "word").groupBy("lf_row").agg(F.sum("lf_n").alias("lf_sum"))
     times = out.groupBy("lf_row").agg(F.count("*").alias("lf_times")).where("lf_times > 1")
     share = F.coalesce(F.col("lf_sum"), F.lit(0.0)) / F.coalesce("lf_times", F.lit(1))
     return out.join(sums, "lf_row", "left").join(times, "lf_row", "left").withColumn("lf_log", F.col("lf_log") + share)

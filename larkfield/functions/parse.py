@@ -16,6 +16,7 @@ ALIASES = (
     ("monitor", "Monitor"), ("observe", "Monitor"), ("观察", "Monitor"),
     ("noaction", "NoAction"), ("no action", "NoAction"), ("无需处置", "NoAction"), ("无需", "NoAction"), ("none", "NoAction"),
 )
+# How a scale of dispositions, and a disposition's label, are written.
 _SCALE = r"(?i)(处置等级|disposition)\s*(说明|对照|表|scale|options|legend)"
 _LABEL = r"(?i)(处置等级|处置预判|处置建议|disposition|rating)\s*[*\s]*[:\-\x{2010}-\x{2015}\x{ff1a}][\s*]*([^\s*|，,。;；]+)"
 VERDICTS = ("pass", "revise", "block")

@@ -1,7 +1,7 @@
 """Text functions: normalisation, tokens, query terms, chunks, snippets, labels and identifiers.
 
-Column functions stay in the JVM. Only full NFKC folding and sentence packing need Python, and then run as
-Arrow UDFs.
+Column functions stay in the JVM, folding of compatibility characters included. Only full NFKC (composition, and
+characters that become several) and sentence packing need Python, and then run as Arrow UDFs.
 """
 
 from __future__ import annotations
@@ -32,13 +32,31 @@ QUERY_FILLER_ZH = (
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 
 
+def _folds() -> tuple[str, str]:
+    """(characters, what they become): those that NFKC turns into one other character, such as full-width forms."""
+    plane = (chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000)
+    pairs = [(c, n) for c in plane if len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c]
+    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
+
+
+FOLD_FROM, FOLD_TO = _folds()
+
+
+def fold(text: Column) -> Column:
+    """``text`` with every character that NFKC turns into one other as that other; plain text is returned as it is.
+
+    Sequences that compose and characters that become several are left alone; ``normalize_nfkc`` folds these too.
+    """
+    return F.when(F.rlike(text, F.lit("[^\\x00-\\x7F]")), F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
-    """Lower case, runs of white space as one space, stripped; null is empty. For text that is NFKC already."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+    """Folded, lower case, runs of white space as one space, stripped; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(fold(F.coalesce(text, F.lit("")))), r"(?U)\s+", " "))
 
 
 def normalize_text(text: str | None) -> str:
-    """NFKC, lower case, white space folded: the rule that ``normalize`` follows on NFKC text."""
+    """NFKC, lower case, white space folded: the rule that ``normalize`` follows where no character becomes several."""
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip()
 
 
@@ -56,9 +74,9 @@ def normalize_nfkc(text: Column | str) -> Column:
 def tokenize(text: Column, normal: bool = False) -> Column:
     """Tokens of a text: characters and neighbouring pairs of each CJK run, then ASCII words that are no stop words.
 
-    Lower case is all that tokens need of ``normalize``, as white space only separates them.
+    Folding and lower case are all that tokens need of ``normalize``, as white space only separates them.
     """
-    text = text if normal else F.lower(F.coalesce(text, F.lit("")))
+    text = text if normal else F.lower(fold(F.coalesce(text, F.lit(""))))
     words = F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
     runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]+"), F.lit(0))
 
@@ -74,7 +92,7 @@ def tokenize(text: Column, normal: bool = False) -> Column:
 
 def query_terms(text: Column) -> Column:
     """Distinct tokens that may serve as evidence: fillers become spaces, two characters at least."""
-    clean = F.regexp_replace(normalize(text), "|".join(sorted(QUERY_FILLER_ZH, key=QUERY_FILLER_ZH.index)), " ")
+    clean = F.regexp_replace(normalize(text), "|".join(QUERY_FILLER_ZH), " ")
     return F.filter(F.array_distinct(tokenize(clean)), lambda w: (F.length(w) >= 2) & ~w.isin(QUERY_FILLER_EN))
 
 
@@ -82,9 +100,13 @@ def has_cjk(text: Column) -> Column:
     return F.rlike(text, F.lit("[一-鿿]"))
 
 
+# Fixed value: where a sentence ends.
+SENTENCE_END = r"(?<=[。！？；!?;])|(?<=\.\s)|\n+"
+
+
 def sentences(text: str) -> list[str]:
     """Split after terminators (those of CJK text, ``! ? ;``, a full stop and white space) and at line ends."""
-    pieces = re.split(r"(?<=[。！？；!?;])|(?<=\.\s)|\n+", text or "")
+    pieces = re.split(SENTENCE_END, text or "")
     return [p for p in map(str.strip, pieces) if p]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkfield.functions.text import text_of
 from larkfield.operators.filters import contains_any, count_contained
+from larkfield.runtime import Scratch
 
 
 def gate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -22,19 +23,37 @@ def gate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     )
 
 
-def dedupe_exact(docs: DataFrame, order_col: str = "doc_id", text_col: str = "text", provenance: Iterable[str] = ("source",), max_chars: int | None = None) -> DataFrame:
-    """The first row of each stripped text, with ``text_sha256`` and ``also_seen_in``: id and provenance of every later one, in order.
+def copies(docs: DataFrame, order_col: str = "doc_id", text_col: str = "text", provenance: Iterable[str] = ("source",)) -> DataFrame:
+    """(text_sha256, first, order_col, provenance): a row for every document that isn't blank, with the first id of its text.
 
-    Blank texts vanish. Texts are cut to ``max_chars`` only after hashing. A group's later rows travel as
-    ids and provenance without text.
+    Only ids and provenance move. A text that a third of the documents share is one row of a small table on the other side of
+    the join, so Spark splits its copies over tasks.
+    """
+    text = text_of(F.col(text_col))
+    keyed = docs.select(F.sha2(text, 256).alias("text_sha256"), order_col, *provenance).where(text != "")
+    first = keyed.groupBy("text_sha256").agg(F.min(order_col).alias("first"))
+    first = Scratch(docs.sparkSession, "copies").save(first, "first")  # a plain table, so that the join can be split
+    return keyed.join(first, "text_sha256").select("text_sha256", "first", order_col, *provenance)
+
+
+def dedupe_exact(
+    docs: DataFrame, order_col: str = "doc_id", text_col: str = "text", provenance: Iterable[str] = ("source",), max_chars: int | None = None, with_copies: bool = False
+) -> DataFrame:
+    """The first row of each stripped text, with ``text_sha256``; the copies themselves are rows of ``copies``.
+
+    Blank texts vanish. Texts are cut to ``max_chars`` only after hashing. A row is kept where its id is the least of its
+    text, so copies are compared by text and id and never meet in one task. ``with_copies`` also gathers each
+    text's later rows in ``also_seen_in`` (id and provenance, in order): for corpora whose groups fit a row.
     """
     text = text_of(F.col(text_col))
     keyed = docs.withColumn("text_sha256", F.sha2(text, 256)).where(text != "")
-    later = keyed.groupBy("text_sha256").agg(
-        F.min(order_col).alias("_first"), F.array_sort(F.collect_list(F.struct(order_col, *provenance))).alias("_all")
-    )
-    out = keyed.join(later, "text_sha256").where(F.col(order_col) == F.col("_first"))
-    out = out.withColumn("also_seen_in", F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0)))).drop("_first", "_all").dropDuplicates(["text_sha256"])
+    first = keyed.groupBy("text_sha256").agg(F.min(order_col).alias(order_col))
+    out = keyed.join(first, ["text_sha256", order_col], "left_semi").dropDuplicates(["text_sha256", order_col]).select(*docs.columns, "text_sha256")
+    if with_copies:
+        later = copies(docs, order_col, text_col, provenance).where(F.col(order_col) != F.col("first"))
+        seen = later.groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct(order_col, *provenance))).alias("also_seen_in"))
+        empty = F.array().cast(seen.schema["also_seen_in"].dataType)
+        out = out.join(seen, "text_sha256", "left").withColumn("also_seen_in", F.coalesce("also_seen_in", empty))
     return out if max_chars is None else out.withColumn(text_col, F.substring(text, 1, max_chars))
 
 
@@ -83,8 +102,20 @@ def best_piece(pieces: DataFrame, group: str, score: Column, position: str, keep
 
 
 def spaced_sample(docs: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """``n`` rows at equal distances in each group's order, ends included; all rows of smaller groups."""
-    w = Window.partitionBy(by).orderBy(order)
-    rows = docs.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(n - 1, 1))).cast("int"))
-    return rows.where((F.col("_n") <= n) | F.array_contains(places, F.col("_i"))).drop("_i", "_n")
+    """``n`` rows at equal distances in each group's order, ends included; all rows of smaller groups. Rows of one order are one place.
+
+    Places come from counts: keys are dealt by range, each task numbers its own, and what stands before a task is
+    summed over tasks. So a group that holds a third of the rows is numbered by many tasks.
+    """
+    keys = docs.select(by, order).where(F.col(order).isNotNull()).distinct().repartitionByRange(F.col(by).asc_nulls_first(), order)
+    keys = Scratch(docs.sparkSession, "sample").save(keys.withColumn("_p", F.spark_partition_id()), "keys")
+    sizes = keys.groupBy(by, "_p").agg(F.count("*").alias("_c"))  # a row a group and task
+    group = Window.partitionBy(by)
+    sizes = sizes.withColumns({"_n": F.sum("_c").over(group), "_before": F.sum("_c").over(group.orderBy("_p")) - F.col("_c")}).withColumnRenamed(by, "_by")
+    placed = keys.withColumn("_k", F.row_number().over(Window.partitionBy("_p", by).orderBy(order))).join(
+        sizes.withColumnRenamed("_p", "_q"), (F.col("_p") == F.col("_q")) & F.col(by).eqNullSafe(F.col("_by"))
+    )
+    at = F.col("_before") + F.col("_k") - 1
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(n - 1, 1))).cast("long"))
+    chosen = placed.where((F.col("_n") <= n) | F.array_contains(places, at)).select(F.col(by).alias("_by"), F.col(order).alias("_order"))
+    return docs.join(chosen, F.col(by).eqNullSafe(F.col("_by")) & (F.col(order) == F.col("_order")), "left_semi")

@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 
 from larkfield.functions.vector import is_valid
 from larkfield.operators.lexical import ranked
-from larkfield.runtime import ship_package
+from larkfield.runtime import Scratch, ship_package
 
 CANDIDATES, LEAST = 30, 0.15
 #: query vectors that are held at once
 BLOCK = 4096
+#: scores that a task holds at once
+CELLS = 1 << 22
 
 
 def validity(vectors: DataFrame, vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
@@ -41,17 +43,19 @@ def _nearest(ids: pa.Array, matrix: np.ndarray, most: int):
             order = np.argsort(key, kind="stable")  # ties go to the lesser id, as every further sort is stable
             values = np.asarray(rows.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(fits), matrix.shape[1])[order]
             key = key[order]
-            scores = np.round(values @ matrix.T, 6)
-            scores[np.isnan(scores)] = -np.inf
-            for q in range(len(matrix)):
-                top = np.argsort(-scores[:, q], kind="stable")[:most]
-                s, i = scores[top, q], key[top]
-                if best_id[q] is not None:
-                    s, i = np.concatenate([best_score[q], s]), np.concatenate([best_id[q], i])
-                    by_id = np.argsort(i, kind="stable")
-                    top = by_id[np.argsort(-s[by_id], kind="stable")[:most]]
-                    s, i = s[top], i[top]
-                best_score[q], best_id[q] = s, i
+            step = max(1, CELLS // len(matrix))
+            for at in range(0, len(values), step):
+                scores, names = np.round(values[at : at + step] @ matrix.T, 6), key[at : at + step]
+                scores[np.isnan(scores)] = -np.inf
+                for q in range(len(matrix)):
+                    top = np.argsort(-scores[:, q], kind="stable")[:most]
+                    s, i = scores[top, q], names[top]
+                    if best_id[q] is not None:
+                        s, i = np.concatenate([best_score[q], s]), np.concatenate([best_id[q], i])
+                        by_id = np.argsort(i, kind="stable")
+                        top = by_id[np.argsort(-s[by_id], kind="stable")[:most]]
+                        s, i = s[top], i[top]
+                    best_score[q], best_id[q] = s, i
         for q in range(len(matrix)):
             if best_id[q] is not None and len(best_id[q]):
                 yield pa.RecordBatch.from_arrays(
@@ -83,6 +87,9 @@ def dense_top(
             part = asked.where((F.size("v") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow()
             matrix = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, width)
             ids = part.column("query_id").combine_chunks()
-            found = found.unionByName(rows.mapInArrow(_nearest(ids, matrix, most), schema))
+            part = rows.mapInArrow(_nearest(ids, matrix, most), schema)
+            if blocks > 1:  # so the driver holds one block at a time
+                part = Scratch(vectors.sparkSession, "dense").save(part, "block")
+            found = found.unionByName(part)
     top = ranked(found, "dense_score", most=most, name="dense_rank")
     return top.where(F.col("dense_score") > max(0.0, least))

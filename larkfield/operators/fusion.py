@@ -49,7 +49,7 @@ def hybrid_search(
 
     A query without any gated lexical hit returns nothing, however close a vector may be.
     """
-    lexical = bm25(queries, docs, candidates, id_col=id_col, text_col=text_col, title_col=title_col)
+    lexical = bm25(queries, docs, candidates, id_col=id_col, text_col=text_col, title_col=title_col, most=candidate_k)
     # a few rows a query, read by the dense branch and by the fusion: written once rather than scored again
     lexical = Scratch(docs.sparkSession, "lexical").save(ranked(lexical, "bm25_score", most=candidate_k, name="bm25_rank"), "ranked")
     if vectors is None:

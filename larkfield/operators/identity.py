@@ -85,12 +85,24 @@ def dictionary_scan(texts: DataFrame, words: Iterable[str], id_col: str = "doc_i
     return texts.select(F.col(id_col), F.explode(found).alias("word"))
 
 
-def exact_records(rows: DataFrame, keys: dict[str, str], order: Iterable[str], template: Column | None = None, demo: Column | None = None, top_k: int = 5) -> DataFrame:
-    """Rows whose normalised keys equal the wanted ones; no templates, demonstration rows last. A blank key finds nothing."""
+def holds(rows: DataFrame, column: str, wanted: str) -> Column:
+    """Whether a column, or one of its values where it is an array, is ``wanted`` after normalisation."""
+    if dict(rows.dtypes)[column].startswith("array"):
+        return F.exists(F.col(column), lambda x: normalize(x.cast("string")) == wanted)
+    return normalize(F.col(column).cast("string")) == wanted
+
+
+def exact_records(rows: DataFrame, keys: dict[str | tuple[str, ...], str], order: Iterable[str], template: Column | None = None, demo: Column | None = None, top_k: int = 5) -> DataFrame:
+    """Rows whose normalised keys equal the wanted ones; no templates, demonstration rows last. A blank key finds nothing.
+
+    A key may be several columns, of which one has to hold the value; columns may be arrays.
+    """
     out = rows
-    for column, wanted in keys.items():
-        wanted = normalize_text(wanted)
-        out = out.where(normalize(F.col(column).cast("string")) == wanted if wanted else F.lit(False))
+    for columns, wanted in keys.items():
+        wanted, any_of_them = normalize_text(wanted), F.lit(False)
+        for column in (columns,) if isinstance(columns, str) else columns:
+            any_of_them = any_of_them | F.coalesce(holds(rows, column, wanted), F.lit(False))
+        out = out.where(any_of_them if wanted else F.lit(False))
     if template is not None:
         out = out.where(~template)
     return out.orderBy(F.lit(False) if demo is None else demo, *order).limit(max(top_k, 0))

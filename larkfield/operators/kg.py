@@ -58,9 +58,15 @@ def match_symptoms(
 
 
 def related_crops(names: DataFrame, crops: DataFrame) -> DataFrame:
-    """(name, crop) where either holds the other; both sides are dictionaries, so the smaller one is broadcast by the planner."""
-    either = F.contains("name", F.col("crop")) | F.contains("crop", F.col("name"))
-    return names.select("name").distinct().join(crops.select("crop").distinct(), either & (F.col("name") != "") & (F.col("crop") != ""))
+    """(name, crop) where either holds the other, by equi-joins on what a name holds: all of its parts."""
+    a, b = names.select("name").where("name <> ''").distinct(), crops.select("crop").where("crop <> ''").distinct()
+
+    def parts(c: str):
+        at = F.sequence(F.lit(1), F.length(c))
+        return F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.col(c).substr(i, n))))))
+
+    within = a.select("name", parts("name").alias("crop")).join(b, "crop").select("name", "crop")
+    return within.unionByName(b.select("crop", parts("crop").alias("name")).join(a, "name").select("name", "crop")).distinct()
 
 
 def profile_text(rows: DataFrame, most: int = 12) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from larkfield.functions.text import chunk_udf, query_terms, snippet
 from larkfield.operators import corpus, domain, filters, fusion, identity, kg
-from larkfield.operators.terms import Dictionary, expand_queries
+from larkfield.operators.terms import expand_queries
 
 #: kinds that need a more specific question before anything is done with them
 FOLLOW_UP = {
@@ -41,7 +41,7 @@ def dataset_provenance(docs: DataFrame) -> DataFrame:
 class KnowledgeBase:
     """documents: doc_id, source, kind, title, text and whichever metadata columns there are; the other tables are optional."""
 
-    def __init__(self, documents: DataFrame, vectors: DataFrame | None = None, dictionary: Dictionary | None = None, symptoms: DataFrame | None = None):
+    def __init__(self, documents: DataFrame, vectors: DataFrame | None = None, dictionary: DataFrame | None = None, symptoms: DataFrame | None = None):
         self.documents, self.vectors, self.dictionary, self.symptoms = documents, vectors, dictionary, symptoms
 
     @classmethod
@@ -50,15 +50,10 @@ class KnowledgeBase:
         from larkfield.operators.dense import validity
 
         version = version or store.current()
-        tables = {}
-        for name in ("vectors", "symptoms"):
-            try:
-                tables[name] = store.read(name, version)
-            except Exception:
-                tables[name] = None
-        if tables["vectors"] is not None and not validity(tables["vectors"]).first()["usable"]:
-            tables["vectors"] = None
-        return cls(store.read("documents", version), tables["vectors"], None, tables["symptoms"])
+        vectors, terms, symptoms = (store.read(name, version) if store.has(name, version) else None for name in ("vectors", "terms", "symptoms"))
+        if vectors is not None and not validity(vectors).first()["usable"]:
+            vectors = None
+        return cls(store.read("documents", version), vectors, terms, symptoms)
 
     def search(self, queries: DataFrame, top_k: int = 5, sources=None, kinds=None, lang=None, meta=None, ids=None, expand: bool = True) -> DataFrame:
         """Hits of queries (query_id, query_text, perhaps query_vector) among the candidates that the filters allow."""
@@ -103,9 +98,26 @@ class KnowledgeBase:
         return identity.exact_records(rows, {"site_id": site_id}, ["doc_id"], template, F.col("source") == "seed", top_k)
 
     def equipment_manual(self, device_id: str, fault_code: str, top_k: int = 5) -> DataFrame:
-        """A device's own records; its type alone finds nothing."""
+        """Records of a device, named by id, alias or model, and a fault; its type alone finds nothing."""
         rows = self.documents.where("kind = 'equipment_manual'")
-        return identity.exact_records(rows, {"device_id": device_id, "fault_code": fault_code}, ["doc_id"], None, F.col("source") == "seed", top_k)
+        held = lambda *names: tuple(c for c in names if c in rows.columns)
+        device = held("device_id", "device_ids", "device_aliases", "device_model", "model", "model_id")
+        return identity.exact_records(rows, {device: device_id, held("fault_code", "fault_codes"): fault_code}, ["doc_id"], None, F.col("source") == "seed", top_k)
+
+    def parents(self, queries_hits: DataFrame) -> DataFrame:
+        """(query_id, parent_id, doc_id, kind) of all documents that share a parent with a hit (query_id, doc_id)."""
+        parent = self.documents.select("doc_id", "parent_id").where("parent_id <> ''")
+        asked = queries_hits.join(parent, "doc_id").select("query_id", "parent_id").distinct()
+        return asked.join(self.documents.select("parent_id", "doc_id", "kind"), "parent_id").select("query_id", "parent_id", "doc_id", "kind")
+
+    def diagnosis_evidence(self, hits: DataFrame) -> DataFrame:
+        """(query_id, identity, names, score, evidence): what supports each identity of hits (query_id, identity, doc_id, score), best first."""
+        rows = hits.join(self.documents.select("doc_id", "title", "kind"), "doc_id")
+        piece = F.struct((-F.col("score")).alias("o"), "doc_id", "kind", "title")
+        out = rows.groupBy("query_id", "identity").agg(  # a query's hits, of which there are as many as were asked for
+            F.max("score").alias("score"), F.array_sort(F.collect_set("title")).alias("names"), F.array_sort(F.collect_set(piece)).alias("e")
+        )
+        return out.select("query_id", "identity", "names", "score", F.transform("e", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["kind"].alias("kind"))).alias("evidence"))
 
     def diagnose(self, queries: DataFrame, top_k: int = 5, ids=None) -> DataFrame:
         """Symptom matches of the graph and text hits of diagnostic kinds that words support, fused by identity."""

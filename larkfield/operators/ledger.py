@@ -31,10 +31,9 @@ def past_context(log: DataFrame, site: str, as_of: str | None, order: str, same:
     rows = log.where("status <> 'pending'")
     if as_of is not None:
         rows = rows.where(F.col("resolved_date").isNotNull() & (F.col("resolved_date") <= as_of))
-    rows = rows.withColumn("same_site", F.col("site") == site)
-    newest = Window.partitionBy("same_site").orderBy(F.desc(order))
-    most = F.when(F.col("same_site"), same).otherwise(other)
-    return rows.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= most).drop("_k")
+    own = F.coalesce(F.col("site") == site, F.lit(False))
+    last = lambda which, most: rows.where(which).withColumn("same_site", own).orderBy(F.desc(order)).limit(most)
+    return last(own, same).unionByName(last(~own, other))  # each task sends its newest few, not its log
 
 
 def receipts(ledger: DataFrame, tasks: DataFrame, order: str = "seq") -> DataFrame:

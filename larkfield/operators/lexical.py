@@ -1,12 +1,24 @@
-"""Lexical retrieval: corpus statistics, BM25 scores, the lexical gate and ranks, for many queries at once."""
+"""Lexical retrieval: corpus statistics, BM25 scores, the lexical gate and ranks, for many queries at once.
+
+Queries are a bounded set and documents are not. So no document's terms are joined with the queries': a block
+of queries travels to the documents, with the weights of its terms, and every document is scored where it lies.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from larkfield.functions.text import query_terms, tokenize
+from larkfield.runtime import Scratch, ship_package
 
 K1, B = 1.5, 0.75
+#: queries that travel at once; every block is one more pass over the documents
+BLOCK = 2048
+#: scores that a task holds at once
+CELLS = 1 << 22
 
 
 def with_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
@@ -28,31 +40,100 @@ def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return long.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+class _Block:
+    """Some queries by term: the terms, their weights, and which queries hold each of them."""
+
+    def __init__(self, asked: pa.Table, tokens: DataFrame):
+        """``asked`` has query_id, term and informs; ``tokens`` is what the statistics are counted over, in one pass."""
+        asked = asked.combine_chunks()
+        ids, terms = (asked.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        self.ids, self.terms = ids.dictionary, terms.dictionary
+        at = terms.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        self.query, self.informs = ids.indices.to_numpy()[order], asked.column("informs").to_numpy()[order].astype(float)
+        self.begin = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
+        # one row more, of the empty term, counts all documents and their lengths
+        wanted = tokens.sparkSession.createDataFrame([(t,) for t in ["", *self.terms.to_pylist()]], "term string")
+        length = F.greatest(F.size("tokens"), F.lit(1)).alias("dl")
+        held = tokens.select(length, F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"))
+        found = held.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()  # a row a term of the block
+        df = {r.term: r.df for r in found}
+        n, total = df.pop("", 0), sum(r.dl for r in found if r.term == "")
+        self.mean = total / n if n else 1.0
+        counts = np.array([df.get(t, 0) for t in self.terms.to_pylist()], float)
+        self.idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
+
+
+def _scorer(block: _Block, most: int | None, gate: bool):
+    width, queries = len(block.terms), len(block.ids)
+
+    def scored(part: pa.RecordBatch):
+        lists = part.column(1)
+        size, rows = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), part.num_rows
+        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=block.terms), -1).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(rows), size)
+        pair, tf = np.unique((doc * width + at)[at >= 0], return_counts=True)
+        d, t = pair // width, pair % width
+        weight = block.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(size, 1)[d] / block.mean))
+        n = block.begin[t + 1] - block.begin[t]
+        which = np.repeat(np.arange(len(t)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.begin[t], n)
+        cell = d[which] * queries + block.query[place]
+        score = np.bincount(cell, weight[which], rows * queries).reshape(rows, queries)
+        informs = np.bincount(cell, block.informs[place], rows * queries).reshape(rows, queries) > 0
+        keep = score > 0
+        if gate:
+            keep &= informs
+        if most is not None and rows > most:
+            held = np.where(keep, score, 0)
+            keep &= held >= np.partition(held, rows - most, axis=0)[rows - most] - 1e-6  # ties stay for the ids to decide
+        row, q = np.nonzero(keep)
+        return pa.RecordBatch.from_arrays(
+            [block.ids.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], names=["query_id", "doc_id", "bm25_score"]
+        )
+
+    def run(batches):
+        step = max(1, CELLS // max(queries, 1))
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                yield scored(batch.slice(i, step))
+
+    return run
+
+
 def bm25(
     queries: DataFrame, docs: DataFrame, candidates: DataFrame | None = None, query_id: str = "query_id", query_text: str = "query_text",
-    id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, gate: bool = True,
+    id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, gate: bool = True, most: int | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, bm25_score), rounded to six places, of every candidate that shares a term.
 
     Statistics come from all of ``docs``; ``candidates`` (a subset by ``id_col``) only limits what is scored.
-    With ``gate`` a document has to hold one informative term of the query at least.
+    With ``gate`` a document has to hold one informative term of the query at least. ``most`` says that no more than
+    so many of the best are wanted for each query: each batch then gives these, and ``ranked`` has to follow.
     """
+    spark = docs.sparkSession
+    ship_package(spark)
     asked = queries.select(
         F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokenize(F.col(query_text)))).alias("term"),
         query_terms(F.col(query_text)).alias("informative"),
     )
     asked = asked.select("query_id", "term", F.array_contains("informative", F.col("term")).alias("informs"))
     tokens = with_tokens(docs, id_col, text_col, title_col)
-    rows = postings(tokens, asked)
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    rows = tokens
     if candidates is not None:
-        rows = rows.join(candidates.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # df and the one-row statistics are small beside the postings; the size check is the planner's
-    scored = rows.join(df, "term").crossJoin(F.broadcast(corpus_stats(tokens))).select("doc_id", "term", (idf * weight).alias("part"))
-    out = scored.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("bm25_score"), F.max("informs").alias("informs"))
-    return (out.where("informs") if gate else out).drop("informs")
+        if {text_col, title_col or text_col} <= set(candidates.columns):
+            rows = with_tokens(candidates, id_col, text_col, title_col)
+        else:
+            rows = with_tokens(docs.join(candidates.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col, title_col)
+    fields = [T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("bm25_score", T.DoubleType())]
+    blocks, out = max(1, -(-queries.count() // BLOCK)), None
+    for k in range(blocks):
+        block = _Block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow(), tokens)
+        part = rows.mapInArrow(_scorer(block, most, gate), T.StructType(fields))
+        if blocks > 1:  # so the driver holds one block at a time
+            part = Scratch(spark, "bm25").save(part, "block")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 def ranked(scores: DataFrame, score: Column | str, by: str = "query_id", tie: str = "doc_id", most: int | None = None, name: str = "rank") -> DataFrame:

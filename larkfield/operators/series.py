@@ -8,7 +8,7 @@ import random
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from larkfield.runtime import ship_package
@@ -59,21 +59,37 @@ def coverage_gap(rows: DataFrame, by: str, ts: str, start: Column) -> DataFrame:
 
 
 def window_stats(rows: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
-    """Latest value, mean to two places, least, greatest and sum of each group."""
+    """Latest value, mean to two places, least, greatest, sum and number of each group."""
     return rows.groupBy(*by).agg(
-        F.max_by(value, order).alias("latest"), F.round(F.avg(value), 2).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.round(F.sum(value), 2).alias("total")
+        F.max_by(value, order).alias("latest"), F.round(F.avg(value), 2).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"),
+        F.round(F.sum(value), 2).alias("total"), F.count(value).alias("n"),
     )
 
 
-def parse_window(start: str, end: str, most: int = MOST_DAYS) -> tuple[date, date]:
-    """The dates of a closed window; bad dates, inverted and too long windows have no data."""
-    try:
-        s, e = date.fromisoformat(str(start)), date.fromisoformat(str(end))
-    except ValueError as bad:
-        raise NoDataError(f"window {start} ~ {end}: {bad}") from bad
-    if e < s or (e - s).days + 1 > most:
-        raise NoDataError(f"window {start} ~ {end}: " + ("it ends before it starts" if e < s else f"over {most} days"))
-    return s, e
+def cumulative(rows: DataFrame, by: list[str], day: str, value: str) -> DataFrame:
+    """Adds ``so_far``: the sum of a group's values up to each day, to two places (one row a day; a group is a channel's window)."""
+    upto = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("so_far", F.round(F.sum(value).over(upto), 2))
+
+
+def window_problem(start: Column, end: Column, most: int = MOST_DAYS) -> Column:
+    """Why a closed window of ISO dates has no data; null where it is fine."""
+    iso = lambda c: F.when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.try_to_date(c, "yyyy-MM-dd"))
+    first, last = iso(start), iso(end)
+    return (
+        F.when(first.isNull() | last.isNull(), "no date")
+        .when(last < first, "it ends before it starts")
+        .when(F.datediff(last, first) >= most, f"over {most} days")
+    )
+
+
+def window_days(spark: SparkSession, start: str, end: str, most: int = MOST_DAYS) -> DataFrame:
+    """(day) for every day of a closed window; NoDataError for bad dates, inverted and too long windows."""
+    row = spark.range(1).select(F.lit(str(start)).alias("s"), F.lit(str(end)).alias("e"))
+    problem = row.select(window_problem(F.col("s"), F.col("e"), most)).first()[0]
+    if problem:
+        raise NoDataError(f"window {start} ~ {end}: {problem}")
+    return row.select(F.explode(F.sequence(F.col("s").cast("date"), F.col("e").cast("date"))).alias("day"))
 
 
 def validate_as_of(day: str, today: date) -> str:
@@ -113,8 +129,7 @@ def weather_day(site: str, day: date) -> dict:
 
 def _days(spark: SparkSession, start: str, end: str) -> DataFrame:
     ship_package(spark)
-    s, e = parse_window(start, end)
-    return spark.sql(f"SELECT explode(sequence(DATE '{s}', DATE '{e}', INTERVAL 1 DAY)) AS day")
+    return window_days(spark, start, end)
 
 
 def sensor_readings(requests: DataFrame, start: str, end: str) -> DataFrame:

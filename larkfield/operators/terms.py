@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larkfield.functions.text import label_pattern, normalize_text
-from larkfield.runtime import ship_package
+from larkfield.functions.text import label_pattern, normalize
+from larkfield.operators.identity import alias_index
 
 # Descriptions of symptoms that stand for each other in queries.
 SYMPTOMS = (
@@ -23,65 +20,69 @@ SYMPTOMS = (
 )
 
 
-class Dictionary:
-    """Labels of terms: ``terms`` maps a term to its labels in order."""
-
-    def __init__(self, terms: dict[str, Sequence[str]]):
-        self.labels = {t: list(dict.fromkeys(labels)) for t, labels in terms.items()}
-        self.index: dict[str, str] = {}
-        for term in sorted(terms, key=lambda t: not t.startswith("crop:")):
-            for label in self.labels[term]:
-                key = normalize_text(label)
-                if len(key) >= 2:
-                    self.index.setdefault(key, term)
-        self.keys = sorted(self.index, key=lambda k: (-len(k), k))
-
-    def lookup(self, label: str) -> str | None:
-        return self.index.get(normalize_text(label))
-
-    def expand(self, label: str) -> list[str]:
-        term = self.lookup(label)
-        return self.labels[term] if term else [label]
-
-    def expand_query(self, query: str, max_terms: int = 4) -> str:
-        """The query and what it may also be called: symptom groups, then terms, longest labels first, without overlaps."""
-        text = normalize_text(query)
-        added: list[str] = []
-
-        def add(labels: Iterable[str]) -> None:
-            for label in labels:
-                if normalize_text(label) not in text and label not in added:
-                    added.append(label)
-
-        for group in SYMPTOMS:
-            if any(re.search(label_pattern(w), text) for w in group):
-                add(group)
-        spans: list[tuple[int, int]] = []
-        used: set[str] = set()
-        for key in self.keys:
-            if len(used) >= max_terms:
-                break
-            term = self.index[key]
-            if term in used or key not in text:
-                continue
-            for m in re.finditer(label_pattern(key), text):
-                if all(m.end() <= s or e <= m.start() for s, e in spans):
-                    spans.append(m.span())
-                    used.add(term)
-                    add(self.labels[term])
-                    break
-        return " ".join([query, *added[: max_terms * 3]])
-
-
-def expand_queries(queries: DataFrame, dictionary: Dictionary, text_col: str = "query_text", max_terms: int = 4) -> DataFrame:
-    """Every query expanded; the dictionary travels with the function, so it has to be a small one."""
-    ship_package(queries.sparkSession)
-
-    @F.pandas_udf(T.StringType())
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: dictionary.expand_query(t or "", max_terms))
-
-    return queries.withColumn(text_col, run(F.col(text_col)))
+def dictionary(spark: SparkSession, terms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(term_id, lang, label, ord) of terms with their labels in order."""
+    rows = [(t, "", label, k) for t, labels in terms.items() for k, label in enumerate(labels)]
+    return spark.createDataFrame(rows, "term_id string, lang string, label string, ord int")
+
+
+def _named(text: Column, word: Column) -> Column:
+    """Places (from 1) where text holds word as a whole: ASCII words don't go on to either side."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: text.substr(i, F.length(word)) == word)
+    ascii_at = lambda at: F.rlike(text.substr(at, F.lit(1)), F.lit("[a-z0-9]"))
+    joins = lambda edge, at: F.rlike(edge, F.lit("[a-z0-9]")) & ascii_at(at)
+    return F.filter(places, lambda i: ~((i > 1) & joins(F.substring(word, 1, 1), i - 1)) & ~joins(F.substring(word, -1, 1), i + F.length(word)))
+
+
+def occurrences(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, text, key, term_id, spans): every label of a dictionary that a normalised query names, with its places.
+
+    Labels meet queries by their first two characters, so no query is tried against all labels. A label of
+    several terms belongs to a crop first, then to the least order.
+    """
+    index = alias_index(labels, preferred=F.startswith("term_id", F.lit("crop:"))).select(F.col("norm_label").alias("key"), "term_id")
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(2))))
+    near = queries.select("query_id", "text", F.explode(heads).alias("head")).join(index.withColumn("head", F.substring("key", 1, 2)), "head")
+    near = near.where(F.contains("text", F.col("key"))).withColumn("at", _named(F.col("text"), F.col("key"))).where(F.size("at") > 0)
+    spans = F.transform("at", lambda i: F.struct(i.alias("s"), (i + F.length("key")).alias("e")))
+    return near.select("query_id", "text", "key", "term_id", spans.alias("spans"))
+
+
+def _chosen(found: Column, most: int) -> Column:
+    """The terms of the longest labels, each label at its places that no longer one covers; a term counts once."""
+    State = "struct<used:array<string>,taken:array<struct<s:int,e:int>>>"
+
+    def step(held: Column, label: Column) -> Column:
+        free = F.filter(label["spans"], lambda x: ~F.exists(held["taken"], lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+        new = (F.size(free) > 0) & ~F.array_contains(held["used"], label["term_id"]) & (F.size(held["used"]) < most)
+        return F.when(new, F.struct(F.concat(held["used"], F.array(label["term_id"])).alias("used"), F.concat(held["taken"], free).alias("taken")).cast(State)).otherwise(held)
+
+    return F.aggregate(found, F.struct(F.array().alias("used"), F.array().alias("taken")).cast(State), step, lambda held: held["used"])
+
+
+def expand_queries(queries: DataFrame, labels: DataFrame, text_col: str = "query_text", max_terms: int = 4) -> DataFrame:
+    """Every query followed by what it may also be called, ``3 * max_terms`` labels at most, each once.
+
+    First come symptoms that stand for one that the query names, then the labels of the terms that it names, of at
+    most ``max_terms`` terms, the longest names first; what the query holds already isn't added. ``labels`` is a dictionary
+    (term_id, lang, label, ord). A null query is empty; rows that repeat a query_id count as one query.
+    """
+    asked = queries.select("query_id", normalize(F.col(text_col)).alias("text")).dropDuplicates(["query_id"])
+    order = F.struct((-F.length("key")).alias("n"), "key", "term_id", "spans")
+    terms = occurrences(asked, labels).groupBy("query_id", "text").agg(F.array_sort(F.collect_list(order)).alias("found"))  # a query's own words
+    terms = terms.select("query_id", "text", F.posexplode(_chosen(F.col("found"), max_terms)).alias("k", "term_id"))
+    more = terms.join(labels.select("term_id", "ord", "label"), "term_id").where(~F.contains("text", normalize(F.col("label"))) & (F.trim("label") != ""))
+    more = more.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ord", "label"))), lambda x: x["label"]).alias("more"))
+    text = F.col("text")
+    groups = [
+        F.when(F.rlike(text, F.lit("|".join(map(label_pattern, group)))), F.filter(F.array(*map(F.lit, group)), lambda x: ~F.contains(text, x))).otherwise(F.array().cast("array<string>"))
+        for group in SYMPTOMS
+    ]
+    added = asked.join(more, "query_id", "left").select("query_id", F.slice(F.array_distinct(F.concat(*groups, F.coalesce("more", F.array().cast("array<string>")))), 1, 3 * max_terms).alias("lf_added"))
+    own = F.coalesce(F.col(text_col), F.lit(""))
+    out = queries.join(added, "query_id", "left")
+    out = out.withColumn(text_col, F.when(F.size("lf_added") > 0, F.concat_ws(" ", own, F.array_join("lf_added", " "))).otherwise(own))
+    return out.select(*queries.columns)
 
 
 def terms_from_entities(entities: DataFrame) -> DataFrame:

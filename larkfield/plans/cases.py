@@ -32,9 +32,8 @@ def coverage_gap(spark, sf):
 def window_stats(spark, sf):
     day = F.date_format("ts", "yyyy-MM-dd")
     rows = _events(spark, sf).withColumn("day", day).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return rows.groupBy("event_type", "day").agg(
-        F.max_by("cents", F.struct("ts", "event_id")).alias("latest"), F.min("cents").alias("least"), F.max("cents").alias("greatest"), F.sum("cents").alias("total"), F.count("*").alias("n")
-    )
+    out = series.window_stats(rows, ["event_type", "day"], "cents", F.struct("ts", "event_id"))
+    return out.select("event_type", "day", "latest", "least", "greatest", F.col("total").cast("long").alias("total"), "n")
 
 
 def latest_per_key(spark, sf):

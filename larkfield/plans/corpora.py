@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkfield.functions import text as tx
 from larkfield.functions.vector import hash_embed
-from larkfield.operators import corpus, identity, kg, terms
+from larkfield.operators import corpus, identity, kg, series, terms
 from larkfield.plans.retrieval import GROUPS, _MASK, sql_tokens
 from larkfield.runtime import Scratch, read_table
 
 #: words of the invented prose that stand in for topical vocabulary
 PRODUCTION, HEALTH = ("heit", "ción"), ("eaux", "thing")
 CROPS, TERMS, STRONG = ("oing", "eneux"), ("tion", "ment", "keit", "anan", "erer"), ("keit", "ment")
+_ASCII = "".join(map(chr, range(0x21, 0x7F)))
 WORDS = ("the", "thing", "under", "license", "version", "public", "apache", "gnu", "general", "token")
 
 
@@ -31,16 +32,44 @@ def doc_catalog(spark, sf):
 
 
 def dedupe_exact(spark, sf):
-    return corpus.dedupe_exact(_docs(spark, sf)).select(
-        "doc_id", "text_sha256", F.size("also_seen_in").cast("long").alias("n_later"), F.array_join(F.transform("also_seen_in", lambda x: x["doc_id"].cast("string")), ",").alias("later")
-    )
+    return corpus.dedupe_exact(_docs(spark, sf)).select("doc_id", "text_sha256")
+
+
+def exact_copies(spark, sf):
+    """Every document with the first of its text."""
+    return corpus.copies(_docs(spark, sf)).select("doc_id", "first", "source")
 
 
 def dedupe_provenance_filter(spark, sf):
     """Kept documents that source src3 holds, be it by a later copy."""
-    kept = corpus.dedupe_exact(_docs(spark, sf))
-    seen = F.array_union(F.array("source"), F.transform("also_seen_in", lambda x: x["source"]))
-    return kept.where(F.array_contains(seen, "src3")).select("doc_id", "source")
+    held = corpus.copies(_docs(spark, sf)).where("source = 'src3'").select(F.col("first").alias("doc_id")).distinct()
+    return corpus.dedupe_exact(_docs(spark, sf).select("doc_id", "source", "text")).join(held, "doc_id", "left_semi").select("doc_id", "source")
+
+
+def full_width_tokens(spark, sf):
+    """Tokens of the documents written in full-width letters: those of the plain text."""
+    wide = F.translate("text", _ASCII, "".join(chr(ord(c) + 0xFEE0) for c in _ASCII))
+    return _docs(spark, sf).select("doc_id", F.array_join(F.slice(tx.tokenize(wide), 1, 50), " ").alias("tokens"))
+
+
+def label_places(spark, sf):
+    """Label matches of the dictionary in passages: how many places each has."""
+    labels = terms.dictionary(spark, {w: [w] for w in WORDS})
+    asked = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tx.normalize(F.col("text")).alias("text"))
+    return terms.occurrences(asked, labels).select("query_id", F.col("key").alias("word"), F.size("spans").cast("long").alias("n"))
+
+
+def site_pairs(spark, sf):
+    """Nations and regions whose names hold each other's letters: the related-crops join by parts of names."""
+    n = read_table(spark, sf, "nation").select(F.col("n_name").alias("name"))
+    return kg.related_crops(n, n.select(F.substring("name", 1, 3).alias("crop")))
+
+
+def cumulative_daily(spark, sf):
+    """Order counts of a day and so far, by priority."""
+    rows = read_table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderdate").agg(F.count("*").alias("n"))
+    out = series.cumulative(rows, ["o_orderpriority"], "o_orderdate", "n")
+    return out.select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("so_far").cast("long").alias("so_far"))
 
 
 def quality_gate(spark, sf):
@@ -127,13 +156,7 @@ def exact_lookup(spark, sf):
 
 
 def alias_components(spark, sf):
-    """Residues of customers and orders that orders of like residue tie together: a small graph for its recursive SQL."""
-    pairs = read_table(spark, sf, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 97).cast("string")).alias("a"), F.concat(F.lit("o"), (F.col("o_orderkey") % 1013).cast("string")).alias("b")).where("substring(a, 2) % 3 = substring(b, 2) % 3")
-    return identity.alias_groups(pairs.distinct(), Scratch(spark, "alias"))
-
-
-def alias_components_whole(spark, sf):
-    """Customers and orders by whole keys over the whole table. It has no SQL; tests hold it against brute force."""
+    """Customers and orders by whole keys over the whole table."""
     pairs = read_table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("b"))
     return identity.alias_groups(pairs.distinct(), Scratch(spark, "alias"))
 
@@ -163,7 +186,7 @@ def hash_embeddings(spark, sf):
 
 def expanded_queries(spark, sf):
     """Greedy expansion of passages from a small dictionary, so there is no SQL."""
-    d = terms.Dictionary({"crop:a": ["the", "tion"], "b": ["and", "ation", "inge"], "c": ["of the", "oft"]})
+    d = terms.dictionary(spark, {"crop:a": ["the", "tion"], "b": ["and", "ation", "inge"], "c": ["of the", "oft"]})
     asked = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return terms.expand_queries(asked, d).select("query_id", "query_text")
 
@@ -178,7 +201,13 @@ SQL = {
     "doc_profile": "SELECT source, lang, count(*) AS n_docs FROM documents GROUP BY 1, 2",
     "doc_catalog": """WITH k AS (SELECT source, lang, count(*) AS n, sum(CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END) AS bad FROM documents d GROUP BY 1, 2)
 SELECT source, CAST(sum(n) AS BIGINT) AS n_docs, string_agg(lang || '=' || n, ',' ORDER BY lang || '=' || n) AS kinds, CAST(sum(bad) AS BIGINT) AS n_flagged FROM k GROUP BY 1""",
-    "dedupe_exact": f"WITH {_DEDUPE} SELECT doc_id, h AS text_sha256, CAST(len(ids) - 1 AS BIGINT) AS n_later, array_to_string(ids[2:], ',') AS later FROM g",
+    "dedupe_exact": f"WITH {_DEDUPE} SELECT doc_id, h AS text_sha256 FROM g",
+    "exact_copies": f"WITH {_DEDUPE} SELECT unnest(ids) AS doc_id, doc_id AS first, unnest(sources) AS source FROM g",
+    "full_width_tokens": f"SELECT doc_id, array_to_string(t[1:50], ' ') AS tokens FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)",
+    "label_places": f"SELECT query_id, word, count(*) AS n FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark) WHERE word IN ({', '.join(repr(w) for w in WORDS)}) GROUP BY 1, 2",
+    "site_pairs": "SELECT DISTINCT a.n_name AS name, substr(b.n_name, 1, 3) AS crop FROM nation a, nation b WHERE contains(a.n_name, substr(b.n_name, 1, 3)) OR contains(substr(b.n_name, 1, 3), a.n_name)",
+    "cumulative_daily": """SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(sum(n) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS BIGINT) AS so_far
+  FROM (SELECT o_orderpriority, o_orderdate, count(*) AS n FROM orders GROUP BY 1, 2)""",
     "dedupe_provenance_filter": f"WITH {_DEDUPE} SELECT doc_id, sources[1] AS source FROM g WHERE list_contains(sources, 'src3')",
     "quality_gate": f"""SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(CASE WHEN {_STRIP.format(t="coalesce(text, '')")} = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_blank,
   CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_no_id, CAST(count(*) - count(DISTINCT doc_id) - max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_duplicate_ids,
@@ -206,9 +235,8 @@ SELECT key, min(p_partkey) AS p_partkey FROM (SELECT * FROM a UNION ALL SELECT *
     "disjunctive_match": "SELECT p_partkey, count(*) AS n_lines FROM (SELECT DISTINCT p_partkey, l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_partkey UNION SELECT p_partkey, l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_suppkey) GROUP BY 1",
     "ambiguous_scope": "SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_scopes, count(DISTINCT o_orderpriority) > 1 AS refused FROM orders GROUP BY 1",
     "exact_lookup": "SELECT p_partkey, p_brand, p_size FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_size > 25, p_partkey LIMIT 5",
-    "alias_components": """WITH RECURSIVE p AS (SELECT DISTINCT 'c' || (o_custkey % 97) AS a, 'o' || (o_orderkey % 1013) AS b FROM orders WHERE (o_custkey % 97) % 3 = (o_orderkey % 1013) % 3),
-e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS name, b AS other FROM e UNION SELECT r.name, e.b FROM r JOIN e ON e.a = r.other)
-SELECT name, least(name, min(other)) AS group_id FROM r GROUP BY name""",
+    # an order has one customer, so a customer's group is its orders; its own name sorts first
+    "alias_components": "SELECT DISTINCT 'c' || o_custkey AS name, 'c' || o_custkey AS group_id FROM orders UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders",
     "kg_profile": """WITH v AS (SELECT p_brand AS entity, 'crops' AS relation, p_type AS v, p_partkey AS ord FROM part UNION ALL SELECT p_brand, 'parts', CAST(p_size AS VARCHAR), p_partkey FROM part),
 f AS (SELECT entity, relation, v, min(ord) AS o FROM v GROUP BY 1, 2, 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY entity, relation ORDER BY o, v) AS k FROM f),
@@ -216,4 +244,4 @@ l AS (SELECT entity, relation, string_agg(v, ', ' ORDER BY o, v) AS zh, string_a
 SELECT entity, string_agg(relation || ': ' || zh || ' / ' || en, chr(10) ORDER BY relation) AS text FROM l GROUP BY 1""",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, count(DISTINCT k) AS n_values FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "alias_components_whole", "chunk_docs", "hash_embeddings", "expanded_queries"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "chunk_docs", "hash_embeddings", "expanded_queries"]}

@@ -45,7 +45,7 @@ def informative_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark, sf, candidates=None, most=5, name="rank"):
-    scores = lexical.bm25(_asked(spark, sf), _docs(spark, sf), candidates)
+    scores = lexical.bm25(_asked(spark, sf), _docs(spark, sf), candidates, most=most)
     return lexical.ranked(scores, "bm25_score", most=most, name=name)
 
 
@@ -113,9 +113,10 @@ def best_snippet(spark: SparkSession, sf: str) -> DataFrame:
     hits = _bm25(spark, sf)
     text = F.col("text")
     at = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / 280).cast("int"))
-    pieces = _docs(spark, sf).select("doc_id", F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), text.substr(i * 280 + 1, F.lit(320)).alias("piece")))).alias("p")).select("doc_id", "p.pos", "p.piece")
     asked = _asked(spark, sf).select("query_id", query_terms(F.col("query_text")).alias("terms"))
-    rows = pieces.join(hits, "doc_id").join(asked, "query_id").withColumn("shared", F.size(F.array_intersect("terms", tokenize(F.col("piece")))).cast("long"))
+    pieces = F.transform(at, lambda i: F.struct(i.alias("pos"), text.substr(i * 280 + 1, F.lit(320)).alias("piece")))
+    held = _docs(spark, sf).join(hits, "doc_id").select("query_id", "doc_id", F.explode(pieces).alias("p")).select("query_id", "doc_id", "p.pos", "p.piece")
+    rows = held.join(asked, "query_id").withColumn("shared", F.size(F.array_intersect("terms", tokenize(F.col("piece")))).cast("long"))
     best = corpus.best_piece(rows.withColumn("hit", F.struct("query_id", "doc_id")), "hit", F.col("shared"), "pos")
     return best.select("query_id", "doc_id", F.col("pos").cast("long").alias("pos"), "shared", F.sha2("piece", 256).alias("piece_sha256"))
 

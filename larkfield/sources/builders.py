@@ -106,7 +106,7 @@ def qa_english(parts: dict[str, DataFrame], production, health, least: int = 25)
         rows = rows.where((F.col("q") != "") & (F.greatest(F.length("a"), F.length("w")) >= least) & ~excluded(F.lower("q"), F.lower("a"), production, health))
         out = rows if out is None else out.unionByName(rows)
     docs = out.select("dataset", F.concat_ws(":", F.lit("qa_en"), "dataset", "row").alias("doc_id"), F.col("q").alias("title"), F.concat_ws("\n", "q", "a", F.nullif(F.col("w"), F.lit(""))).alias("text"))
-    docs = dedupe_exact(docs, provenance=("dataset",))
+    docs = dedupe_exact(docs, provenance=("dataset",), with_copies=True)
     meta = F.create_map(F.lit("dataset"), "dataset", F.lit("also_seen_in"), F.array_join(F.array_distinct(F.transform("also_seen_in", lambda x: x["dataset"])), ","))
     return docs.select(*document(F.col("doc_id"), "qa_en", F.lit("qa_pair"), F.col("title"), F.col("text"), F.lit("en"), None, meta))
 

@@ -14,6 +14,10 @@ from larkfield.operators.dense import validity
 from larkfield.operators.corpus import gate
 
 
+#: seconds after which a lock counts as left by a crash
+STALE = 6 * 3600
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -34,9 +38,11 @@ class Store:
 
     @contextmanager
     def lock(self) -> Iterator[None]:
-        """One build at a time: creating the lock file fails where it exists."""
+        """One build at a time: creating the lock file fails where it exists. A lock older than STALE is one that a crash left."""
         path = self._path(f"{self.root}/LOCK")
         self._fs.mkdirs(self._path(self.root))
+        if self._fs.exists(path) and time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000 > STALE:
+            self._fs.delete(path, False)
         if not self._fs.createNewFile(path):
             raise RuntimeError(f"{self.root} is being built")
         try:
@@ -66,16 +72,25 @@ class Store:
                 if failed:
                     raise ValueError(f"the staged version failed: {failed}")
                 self._put(f"{base}/manifest.json", json.dumps({"version": 1, **manifest}, ensure_ascii=False, sort_keys=True))
-                self._put(f"{self.root}/CURRENT.new", version)
-                old = self._path(f"{self.root}/CURRENT")
-                if self._fs.exists(old):
-                    self._fs.delete(old, False)
-                self._fs.rename(self._path(f"{self.root}/CURRENT.new"), old)
+                self._point(version)
             except BaseException:
                 self._fs.delete(self._path(base), True)
                 raise
             return version
 
+    def _point(self, version: str) -> None:
+        """Replaces the pointer by one rename, which raises if it fails: there is no moment without a pointer."""
+        self._put(f"{self.root}/CURRENT.new", version)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        renames = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(renames, 1)
+        how[0] = renames.OVERWRITE
+        path = self._fs.makeQualified(self._path(f"{self.root}/CURRENT.new"))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf).rename(path, self._fs.makeQualified(self._path(f"{self.root}/CURRENT")), how)
+
+    def has(self, table: str, version: str | None = None) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{version or self.current()}/{table}"))
+
     def read(self, table: str, version: str | None = None) -> DataFrame:
         version = version or self.current()
         if version is None:
@@ -95,11 +110,7 @@ def standard_checks(store: Store, version: str) -> list[str]:
     out = []
     row = gate(store.read("documents", version)).first().asDict()
     out += [f"{k}={v}" for k, v in row.items() if (k == "n_docs" and not v) or (k != "n_docs" and v)]
-    try:
-        vectors = store.read("vectors", version)
-    except Exception:
-        return out
-    if not validity(vectors).first()["usable"]:
+    if store.has("vectors", version) and not validity(store.read("vectors", version)).first()["usable"]:
         out.append("vectors")
     return out
 

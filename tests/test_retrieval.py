@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkfield.operators import corpus, dense, evaluation, filters, fusion, identity, kg, lexical
-from larkfield.operators.terms import Dictionary, enrich, expand_queries, terms_from_cards, terms_from_entities
+from larkfield.operators.terms import dictionary, enrich, expand_queries, terms_from_cards, terms_from_entities
 from larkfield.runtime import Scratch
 
 
@@ -72,7 +72,7 @@ def test_dense_threshold_follows_the_cut(spark):
 
 def test_dedupe_keeps_provenance(spark):
     rows = [(3, " same　", "b"), (1, "same", "a"), (2, "\n", "a"), (4, "other", "c"), (5, None, "c"), (6, "same", "d")]
-    got = {r.doc_id: r for r in corpus.dedupe_exact(spark.createDataFrame(rows, "doc_id int, text string, source string"), max_chars=3).collect()}
+    got = {r.doc_id: r for r in corpus.dedupe_exact(spark.createDataFrame(rows, "doc_id int, text string, source string"), max_chars=3, with_copies=True).collect()}
     assert set(got) == {1, 4} and [(x.doc_id, x.source) for x in got[1].also_seen_in] == [(3, "b"), (6, "d")] and got[4].text == "oth"
 
 
@@ -137,11 +137,24 @@ def test_kg_tables(spark):
 
 
 def test_query_expansion(spark):
-    d = Dictionary({"crop:tomato": ["tomato", "番茄"], "d1": ["late blight", "晚疫病"], "d2": ["blight", "疫病"]})
-    assert d.expand_query("tomato late blight") == "tomato late blight 晚疫病 番茄"
-    assert d.expand_query("tomatoes") == "tomatoes" and "yellowing" in d.expand_query("chlorosis on leaves")
-    assert d.lookup("TOMATO ") == "crop:tomato" and d.expand("nope") == ["nope"]
-    assert expand_queries(ask(spark, "blight"), d).first().query_text == "blight 疫病"
+    d = dictionary(spark, {"crop:tomato": ["tomato", "番茄"], "d1": ["late blight", "晚疫病"], "d2": ["blight", "疫病"], "d3": ["Tomato late blight", "x y"], "m": ["mosaic", "a1", "a2"], "r": ["rust", "b1"]})
+    cases = {
+        "late blight of Tomato": "late blight of Tomato 晚疫病 番茄", "tomatoes": "tomatoes", "blight": "blight 疫病", "trust": "trust",
+        # every place of a long name is taken, so the shorter ones inside it add nothing, wherever they stand
+        "tomato late blight and tomato late blight": "tomato late blight and tomato late blight x y",
+        "late blight, blight": "late blight, blight 晚疫病 疫病", "番茄ｍｏｓａｉｃ": "番茄ｍｏｓａｉｃ a1 a2 tomato",
+        "chlorosis on leaves": "chlorosis on leaves yellowing 黄化", "": "",
+    }
+    got = expand_queries(ask(spark, *cases, None).withColumn("other", F.lit(1)), d)
+    assert got.columns == ["query_id", "query_text", "other"]
+    assert [r.query_text for r in got.orderBy("query_id").collect()] == [*cases.values(), ""]
+    four = expand_queries(ask(spark, "mosaic rust blight"), d, max_terms=1).first().query_text
+    assert four == "mosaic rust blight 疫病"
+
+
+def test_full_width_text_is_found(spark):
+    d = spark.createDataFrame([(1, "late blight"), (2, "ｌａｔｅ　ｂｌｉｇｈｔ"), (3, "early rot")], "doc_id int, text string")
+    assert {r.doc_id for r in lexical.bm25(ask(spark, "ＬＡＴＥ blight"), d).collect()} == {1, 2}
 
 
 def test_term_sources(spark):

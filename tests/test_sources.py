@@ -183,7 +183,7 @@ def test_downloads(tmp_path):
 
 def test_knowledge_base(spark, tmp_path):
     from larkfield.operators.knowledge import KnowledgeBase, dataset_provenance
-    from larkfield.operators.terms import Dictionary
+    from larkfield.operators.terms import dictionary
 
     rows = [
         ("a", "cards", "symptom", "late blight", "tomato leaves show water-soaked spots. " * 30 + "The stem turns brown.", "late blight", None, None, None, "ref-a"),
@@ -195,7 +195,7 @@ def test_knowledge_base(spark, tmp_path):
     store = publish.Store(spark, str(tmp_path / "kb"))
     store.publish({"documents": docs}, {})
     kb = KnowledgeBase.open(store)
-    kb.dictionary = Dictionary({"t": ["番茄", "tomato"]})
+    kb.dictionary = dictionary(spark, {"t": ["番茄", "tomato"]})
     kb.symptoms = spark.createDataFrame([("late blight", 1, "water-soaked spots"), ("rust", 2, "orange dust")], "entity string, symptom_id int, symptom string")
     q = spark.createDataFrame([(1, "番茄 brown stem"), (2, "moon travel")], "query_id int, query_text string")
     got = kb.evidence(q).orderBy("query_id", "rank").collect()

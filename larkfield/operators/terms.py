@@ -26,7 +26,7 @@ def dictionary(spark: SparkSession, terms: Mapping[str, Sequence[str]]) -> DataF
     return spark.createDataFrame(rows, "term_id string, lang string, label string, ord int")
 
 
-def _named(text: Column, word: Column) -> Column:
+def named(text: Column, word: Column) -> Column:
     """Places (from 1) where text holds word as a whole: ASCII words don't go on to either side."""
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: text.substr(i, F.length(word)) == word)
     ascii_at = lambda at: F.rlike(text.substr(at, F.lit(1)), F.lit("[a-z0-9]"))
@@ -43,7 +43,7 @@ def occurrences(queries: DataFrame, labels: DataFrame) -> DataFrame:
     index = alias_index(labels, preferred=F.startswith("term_id", F.lit("crop:"))).select(F.col("norm_label").alias("key"), "term_id")
     heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(2))))
     near = queries.select("query_id", "text", F.explode(heads).alias("head")).join(index.withColumn("head", F.substring("key", 1, 2)), "head")
-    near = near.where(F.contains("text", F.col("key"))).withColumn("at", _named(F.col("text"), F.col("key"))).where(F.size("at") > 0)
+    near = near.where(F.contains("text", F.col("key"))).withColumn("at", named(F.col("text"), F.col("key"))).where(F.size("at") > 0)
     spans = F.transform("at", lambda i: F.struct(i.alias("s"), (i + F.length("key")).alias("e")))
     return near.select("query_id", "text", "key", "term_id", spans.alias("spans"))
 
@@ -125,3 +125,9 @@ def enrich(labels: DataFrame, cache: DataFrame) -> DataFrame:
     """Adds the labels of a cached thesaurus (lang, label, other_lang, other_label) to terms that exist; a null other_label is a cached miss."""
     hit = labels.join(cache.where("other_label is not null"), ["lang", "label"]).select("term_id", F.col("other_lang").alias("lang"), F.col("other_label").alias("label"), (F.col("ord") + 1).alias("ord"))
     return labels.unionByName(hit.select(*labels.columns)).groupBy("term_id", "lang", "label").agg(F.min("ord").alias("ord"))
+
+
+def thesaurus_labels(preferred: DataFrame, alternative: DataFrame) -> DataFrame:
+    """(term_id, lang, label): the preferred and alternative labels of a thesaurus, each once."""
+    columns = ("term_id", "lang", "label")
+    return preferred.select(*columns).unionByName(alternative.select(*columns)).distinct()

@@ -36,12 +36,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder of our own is made and set.
+    Only where the session names none and all of it runs in one process (tests) a folder of our own is made and set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if named:
         return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="larkfield-")
     atexit.register(shutil.rmtree, own, True)
     sc.setCheckpointDir(f"file://{own}")

@@ -138,6 +138,90 @@ def test_agronomy(spark):
     ], "doc_id string, kind string, title string, text string, crops array<string>")
     q = spark.createDataFrame([(1, "tomato irrigation management", ["tomato"])], "query_id int, query_text string, crops array<string>")
     assert [(r.doc_id, r.crop_scope) for r in domain.agronomy(q, d).collect()] == [("a", "crop_matched")]
+    decoys = spark.createDataFrame([(f"x{k}", "qa_pair", "irrigation management", "cucumber irrigation management: avoid irrigation irrigation", ["cucumber"]) for k in range(60)], d.schema)
+    assert [r.doc_id for r in domain.agronomy(q, d.unionByName(decoys)).collect()] == ["a"]
+    both = spark.createDataFrame([(1, "tomato irrigation management", ["tomato"]), (2, "how to treat tomato rot and irrigation", ["tomato"]), (3, "irrigation after transplanting", None)], q.schema)
+    cards = spark.createDataFrame([("d1", ["tomato rot"], ["tomato"]), ("d2", ["rot"], ["maize"])], "disease_id string, names array<string>, crops array<string>")
+    assert {tuple(r) for r in domain.named_diseases(both.where("crops is not null"), cards).collect()} == {(2, "d1", "tomato")}
+    plans = spark.createDataFrame([("p1", "treatment", None, "d1", ["rot"], "tomato"), ("p2", "treatment", None, "d2", ["rot"], "maize")], "doc_id string, kind string, parent_id string, disease_id string, names array<string>, host string")
+    docs = d.unionByName(spark.createDataFrame([("p1", "treatment", "t", "spray it", ["tomato"])], d.schema))
+    got = {(r.query_id, r.doc_id, r.crop_scope) for r in domain.agronomy(both, docs, cards=cards, plans=plans).collect()}
+    assert got == {(1, "a", "crop_matched"), (2, "p1", "crop_matched")}
+
+
+def test_cards_of_documents(spark):
+    cards = spark.createDataFrame([("c1", "d1", ["rot"], "rice", False), ("c2", "d2", ["rot", "wilt"], "maize", False), ("c3", "d3", ["wilt"], "maize", True)], "doc_id string, disease_id string, names array<string>, host string, demo boolean")
+    asked = spark.createDataFrame([(1, None, "rot"), (2, None, "wilt"), (3, "d1", None), (4, "c3", None), (5, "no", "no")], "query_id int, disease_id string, name string")
+    assert {tuple(r) for r in domain.anchor_cards(asked, cards).collect()} == {(2, "c2"), (3, "c1"), (4, "c3")}
+    docs = spark.createDataFrame([("a", "d1", None, None), ("b", "zz", "p", None), ("c", None, "q", "e"), ("d", None, None, None)], "doc_id string, disease_id string, parent_id string, entity string")
+    anchors, links = spark.createDataFrame([("p", "d2")], "parent_id string, disease_id string"), spark.createDataFrame([("e", "d3")], "entity string, disease_id string")
+    assert {tuple(r) for r in domain.document_cards(docs, cards, anchors, links).collect()} == {("a", "d1"), ("b", "d2"), ("c", "d3")}
+
+
+def test_scenarios(spark):
+    got = spark.createDataFrame([("s1", "close", "Monitor", "all is dry"), ("s2", "plan", "Soon", "x")], "scenario string, action string, disposition string, notes string")
+    want = spark.createDataFrame([("s1", ["close"], ["Monitor"], ["dry"]), ("s2", ["close"], ["Soon"], ["wet"]), ("s3", ["close"], ["Soon"], [])], "scenario string, actions array<string>, dispositions array<string>, keywords array<string>")
+    assert {(r.scenario, r.passed, len(r.missing)) for r in domain.scenario_checks(got, want).collect()} == {("s1", True, 0), ("s2", False, 1), ("s3", False, 0)}
+
+
+def test_a_case_runs_waits_and_resumes(spark, tmp_path):
+    from larkfield.operators import runner
+    from larkfield.sources.checkpoints import Checkpoints
+
+    steps = {"screen": lambda s: {"perception_state": {"anomaly_screen": "odd"}}, "approval": lambda s: {"case_status": "approved"}, "execute": lambda s: {"final_decision": s["note"]}}
+    after = {"screen": "approval", "approval": "execute", "execute": runner.END}
+    held = Checkpoints(spark, str(tmp_path / "c"))
+    run = runner.CaseRunner(steps, lambda n, s: after[n], held, waits=("approval",), settings={"dry_run": True})
+    seen = []
+    assert [n for n, _ in run.run("t1", "screen", runner.initial_state("S", "2024-01-01", note="n"), lambda n, s: seen.append(n))] == ["screen"] == seen
+    assert held.exists("t1") and not held.exists("t2")
+    other = runner.CaseRunner(steps, lambda n, s: after[n], held, settings={"dry_run": False})
+    with pytest.raises(ValueError):
+        list(other.resume("t1"))
+    out = list(run.resume("t1", {"note": "changed"}))
+    assert [n for n, _ in out] == ["approval", "execute"] and out[-1][1]["final_decision"] == "changed" and out[-1][1]["perception_state"] == {"perception_rounds": 0, "anomaly_screen": "odd"}
+    assert not held.exists("t1")
+    with pytest.raises(LookupError):
+        list(run.resume("t1"))
+    held.save("t3", "x", {}, "s")
+    held.clear_all()
+    assert held.rows().count() == 0
+    with pytest.raises(RuntimeError):
+        list(runner.CaseRunner({"a": lambda s: {}}, lambda n, s: "a", most=3).run("t", "a", {}))
+
+
+def test_reports(spark, tmp_path):
+    from larkfield.operators import reports
+    from larkfield.operators.cases import STATE
+
+    p, d = ("seen", "odd", "high", True, 1), ("", "", "", "", "", 0)
+    rows = [("S/1", "", "2024-01-02", "", "", p, d, ("notes", "", "", "wo", "", "", "", True, "", 1, 1, 0), None, "do it", "executed"), ("S2", "", "2024-01-02", "", "", None, None, None, None, "", "running")]
+    states = spark.createDataFrame(rows, STATE)
+    got = {(r.case, r.path): r.text for r in reports.files(states).collect()}
+    assert {path for case, path in got if case == "S2"} == {"complete_report.md"} and got[("S/1", "1_perception/report.md")] == "seen" and ("S/1", "2_diagnosis/report.md") not in got
+    whole = got[("S/1", "complete_report.md")]
+    assert whole.startswith("# 维护决策报告：S/1") and whole.index("## 维护决策单") < whole.index("## 一、感知") < whole.index("## 三、协调决策") and "二、诊断" not in whole
+    reports.write_tree(states, str(tmp_path / "r"))
+    assert (tmp_path / "r" / "case=S_1" / "file=complete_report.md").is_dir()
+    t = spark.createDataFrame([(None,), ([],), (["a", "b"],)], "r array<string>").select(reports.resources_text(F.col("r")).alias("t")).collect()
+    assert [r.t for r in t] == ["资源未登记", "无可用资源", "a、b"]
+    f = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "path string, length long, modificationTime string")
+    assert reports.fingerprint(f).first() == reports.fingerprint(f.orderBy(F.desc("path"))).first() != reports.fingerprint(f.limit(1)).first()
+
+
+def test_manuals(spark, tmp_path):
+    from larkfield.sources import manuals
+
+    texts = {"one": "\ufeff---\nname: One\n# no: field\n\nurl: http://x: y\nname: Two\n---\n\nBody --- here\n", "two": "no head", "three": "---\nname: open"}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "SKILL.md").write_text(text, encoding="utf-8")
+    got = {r.name: (r.meta, r.body) for r in manuals.read_manuals(spark, str(tmp_path)).collect()}
+    assert got == {"one": ({"name": "Two", "url": "http://x: y"}, "Body --- here"), "two": ({}, "no head"), "three": ({}, "---\nname: open")}
+    assert manuals.load_skill(manuals.read_manuals(spark, str(tmp_path)), " TWO ") == "no head"
+    with pytest.raises(KeyError):
+        manuals.load_skill(manuals.read_manuals(spark, str(tmp_path)), "four")
+
 
 
 def test_diagnosis(spark):

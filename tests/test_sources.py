@@ -208,3 +208,40 @@ def test_knowledge_base(spark, tmp_path):
     assert d[0].identity == "late blight" and kb.probe(["watering", "moon"]) == ["moon"]
     p = spark.createDataFrame([("a", "D1", [("D2", "x"), ("d1", "y")])], "doc_id string, dataset string, also_seen_in array<struct<dataset:string,doc_id:string>>")
     assert {tuple(r) for r in dataset_provenance(p).collect()} == {("a", "D1", "a"), ("a", "D2", "x")}
+
+
+def test_a_failed_rename_leaves_the_old_pointer(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("a", "s", "k", "x")], "doc_id string, source string, kind string, text string")
+    store = publish.Store(spark, str(tmp_path / "kb"))
+    first = store.publish({"documents": docs}, {})
+    assert store.publish({"documents": docs}, {}) != first
+    old = store.current()
+
+    def fails(version):
+        raise OSError("no rename")
+
+    monkeypatch.setattr(store, "_point", fails)
+    with pytest.raises(OSError):
+        store.publish({"documents": docs}, {})
+    assert store.current() == old and store.read("documents").count() == 1 and not (tmp_path / "kb" / "LOCK").exists()
+    (tmp_path / "kb" / "LOCK").write_text("")
+    with pytest.raises(RuntimeError), store.lock():
+        pass
+    monkeypatch.setattr(publish, "STALE", -1)
+    with store.lock():
+        pass
+
+
+def test_a_version_opens_with_its_dictionary(spark, tmp_path):
+    from larkfield.operators.knowledge import KnowledgeBase
+    from larkfield.operators.terms import dictionary
+
+    docs = spark.createDataFrame([("a", "s", "equipment_manual", "t", "tomato pump", "m-1", ["P9"], "F1")], "doc_id string, source string, kind string, title string, text string, device_model string, device_aliases array<string>, fault_code string")
+    store = publish.Store(spark, str(tmp_path / "kb"))
+    store.publish({"documents": docs, "terms": dictionary(spark, {"t": ["番茄", "tomato"]})}, {})
+    kb = KnowledgeBase.open(store)
+    assert kb.vectors is None and kb.symptoms is None
+    q = spark.createDataFrame([(1, "番茄 pump")], "query_id int, query_text string")
+    assert [r.doc_id for r in kb.search(q).collect()] == ["a"]
+    found = lambda device: [r.doc_id for r in kb.equipment_manual(device, "f1").collect()]
+    assert found(" M-1") == ["a"] and found("p9") == ["a"] and found("pump") == [] and found("") == []

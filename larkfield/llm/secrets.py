@@ -17,8 +17,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run of [0-9a-f]+ that has 32 characters at least
 KINDS = ("assign", "access", "hex", "model")
-#: what the models judge: runs of these characters with a digit and a letter, 20 characters or more
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: what the models judge: runs of these characters, 16 or more
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 THRESHOLD = 12.0
 SMOOTHING = 0.5
 SAMPLES = 4000
@@ -57,6 +57,9 @@ def _samples(spark: SparkSession) -> DataFrame:
         F.concat_ws("-", word(30), word(31), number, word(32)),
         F.upper(F.concat_ws("_", word(40), word(41), word(42), number)),
         F.concat_ws("/", word(50), word(51), word(52), F.concat(word(53), number)),
+        F.concat(word(60), word(61), word(62)), F.concat(F.initcap(word(63)), word(64), word(65)), F.upper(F.concat(word(66), word(67), word(68))),
+        F.concat_ws("-", word(70), word(71), word(72)), F.repeat(F.substring(F.lit("-=_+"), (n % 4 + 1).cast("int"), F.lit(1)), (n % 40 + 16).cast("int")),
+        F.lpad(F.abs(F.xxhash64(F.lit(80), n)).cast("string"), 18, "7"),
     )
     ids = spark.range(SAMPLES)
     pick = lambda options, label: ids.select(F.explode(options).alias("text"), F.lit(label).alias("random"))

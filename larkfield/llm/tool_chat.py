@@ -2,8 +2,8 @@
 
 A message is text, or JSON: an assistant's ``{"content"?, "tool_calls": [{"id", "name", "arguments", "after"?}]}``
 or a tool's ``{"tool_call_id", "content"}``. Calls and results meet in a hash join on conversation and
-identifier; ``after`` names calls that must come first, and rounds of joins peel the calls off in
-topological order; arguments are checked against schemas; every message and call becomes one line of
+identifier; ``after`` names calls that must come first, and calls are put in topological order: inside their
+conversation where it names few, else by rounds of joins that peel off a level each; arguments are checked against schemas; every message and call becomes one line of
 canonical JSON (keys sorted, no spaces, arguments by way of VARIANT, which keeps keys sorted). Output is one
 row a line with the keys that order it, so no task ever holds a whole conversation. All DataFrame functions.
 """
@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larkfield.runtime import Scratch, read_table
 
+#: constraints of a conversation that are ordered inside one row; with more, by joins
+FEW = 64
+
 #: tool -> parameter -> (JSON type, required)
 SCHEMAS = {
     "search": {"query": ("string", True), "limit": ("integer", False)},
@@ -65,13 +68,48 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, call_id, level): the topological level of each call; null for calls on or behind a cycle.
 
     A call without predecessors has level 0, any other one more than the highest before it. Names of calls
-    that don't exist are no constraint. Each round settles one level.
+    that don't exist are no constraint. ``conv_id`` must not be null. A conversation with FEW constraints at most is ordered in
+    one row; each round over the others settles one level.
     """
     nodes = calls.select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct()
     edges = scratch.save(edges.join(nodes.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]), "edges")
-    if not edges.limit(1).count():
+    if edges.isEmpty():
         return nodes.withColumn("level", F.lit(0))
+    size = scratch.save(edges.groupBy("conv_id").agg(F.count("*").alias("n")), "sizes")
+    few = _ordered(edges.join(size.where(F.col("n") <= FEW).select("conv_id"), "conv_id", "left_semi"))
+    many = size.where(F.col("n") > FEW).select("conv_id")
+    known = few
+    if not many.isEmpty():
+        large = lambda rows: rows.join(many, "conv_id", "left_semi")
+        known = known.unionByName(_peeled(large(nodes), scratch.save(large(edges), "edges"), scratch))
+    rows = nodes.join(known.withColumn("known", F.lit(True)), ["conv_id", "call_id"], "left")
+    return rows.select("conv_id", "call_id", F.when(F.col("known").isNull(), F.lit(0)).otherwise(F.col("level")).alias("level"))
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of all calls that edges name, by relaxing a conversation's edges as often as it has calls.
+
+    The level of a call on or behind a cycle then reaches the number of calls, which no other's does.
+    """
+    rows = edges.groupBy("conv_id").agg(F.collect_list(F.struct("needs", "call_id")).alias("e"))  # FEW at most
+    names = F.array_distinct(F.concat(F.transform("e", lambda x: x["needs"]), F.transform("e", lambda x: x["call_id"])))
+    rows = rows.select("conv_id", "e", names.alias("names"))
+
+    def relaxed(held: Column, _: Column) -> Column:
+        best = lambda call: F.aggregate(
+            F.filter("e", lambda x: x["call_id"] == call), F.lit(0), lambda most, x: F.greatest(most, F.element_at(held, x["needs"]) + 1)
+        )
+        return F.transform_values(held, lambda call, level: F.greatest(level, best(call)))
+
+    start = F.map_from_entries(F.transform("names", lambda n: F.struct(n.alias("key"), F.lit(0).alias("value"))))
+    done = F.aggregate(F.sequence(F.lit(1), F.size("names")), start, relaxed)
+    out = rows.select("conv_id", F.size("names").alias("n"), F.explode(done).alias("call_id", "level"))
+    return out.select("conv_id", "call_id", F.when(F.col("level") < F.col("n"), F.col("level")).alias("level"))
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same by rounds: each takes the calls that wait for none that is left."""
     done = scratch.save(nodes.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
     level, left = 0, edges
     while True:
@@ -115,14 +153,16 @@ def format_chat(
     )
     given = parsed.where(is_result).select("conv_id", "turn", F.col("result.tool_call_id").alias("call_id"), F.coalesce("result.content", F.lit("")).alias("content"))
     made, given = scratch.save(made, "calls"), scratch.save(given, "results")
+    named = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))  # null conversations are one
     key = [F.col("conv_id"), F.col("call_id")]
     first = Window.partitionBy(*key)
     made = made.withColumn("rank", F.row_number().over(first.orderBy("turn", "seq", "name", "arguments")))
     given = given.withColumn("rank", F.row_number().over(first.orderBy("turn", "content")))
-    order = levels(made.where("call_id is not null"), scratch)
+    order = levels(made.where("call_id is not null").select(named.alias("conv_id"), "call_id", "after"), scratch)
+    made = made.withColumn("named", named)
     m, g, o = made.alias("m"), given.where("rank = 1").alias("g"), order.alias("o")
     linked = m.join(g, F.col("m.conv_id").eqNullSafe(F.col("g.conv_id")) & (F.col("m.call_id") == F.col("g.call_id")) & (F.col("m.rank") == 1), "left")
-    linked = linked.join(o, F.col("m.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("m.call_id") == F.col("o.call_id")), "left")
+    linked = linked.join(o, (F.col("m.named") == F.col("o.conv_id")) & (F.col("m.call_id") == F.col("o.call_id")), "left")
     why = _valid(F.col("m.name"), F.col("m.arguments"), schemas)
     status = (
         F.when(F.col("m.call_id").isNotNull() & (F.col("m.rank") > 1), "duplicate")

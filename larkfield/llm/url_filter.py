@@ -83,15 +83,15 @@ def judge_urls(
         found = html_links(pages, url_col, html_col)
         links = found if links is None else links.unionByName(found)
     judged = named.withColumn("lf_host", host_of(url)).withColumn("lf_path", path_of(url))
-    judged = judged.withColumn("lf_rule", decide(F.col("lf_host"), F.col("lf_path"), rules)).withColumn("lf_node", F.xxhash64(node_of(url)))
+    judged = judged.withColumn("lf_rule", decide(F.col("lf_host"), F.col("lf_path"), rules)).withColumn("lf_node", F.md5(node_of(url)))
     blocked = F.lit(False)
     if links is not None:
         scratch = Scratch(spark, "urls")
         ends = scratch.save(links.where("source is not null and target is not null").distinct(), "links")
-        node = lambda c: F.when(F.instr(c, "://") > 0, F.xxhash64(node_of(F.col(c))))
+        node = lambda c: F.when(F.instr(c, "://") > 0, F.md5(node_of(F.col(c))))
         groups = connected_components(ends.select(node("source").alias("a"), node("target").alias("b")), scratch)
         urls = ends.select(F.explode(F.array("source", "target")).alias("u")).where(F.instr("u", "://") > 0).distinct()
-        explicit = urls.select(F.xxhash64(node_of(F.col("u"))).alias("node"), decide(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
+        explicit = urls.select(F.md5(node_of(F.col("u"))).alias("node"), decide(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
         bad = groups.join(explicit.where("v = 'block'"), "node").select("root").distinct()
         bad = groups.join(bad, "root").select(F.col("node").alias("lf_node"), F.lit(True).alias("lf_bad")).distinct()
         judged = judged.join(bad, "lf_node", "left")

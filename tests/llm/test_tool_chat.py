@@ -121,3 +121,34 @@ def test_query_keeps_every_message(spark, sf):
     for r in out:
         m = rows[(r.conv_id, r.turn)]
         assert json.loads(r.line) == {"content": m.text, "role": m.role, "turn": m.turn}
+
+
+def test_null_conversations_are_ordered_like_others(spark):
+    from tests.llm.test_tool_chat import ROWS
+
+    rows = [(None, *r[1:]) for r in ROWS if r[0] == 1]
+    schema = "conv_id long, turn long, role string, text string, line string"
+    other = sorted((r.turn or 0, r.seq, r.level, r.kind, r.call_id or "", r.status) for r in tool_chat.format_chat(spark.createDataFrame([r for r in ROWS if r[0] == 1], schema)).collect())
+    got = tool_chat.format_chat(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.turn or 0, r.seq, r.level, r.kind, r.call_id or "", r.status) for r in got) == other and {r.conv_id for r in got} == {None}
+
+
+def test_both_ways_of_ordering_agree(spark, monkeypatch):
+    """Random constraints with cycles: inside a row, by rounds, and by their definition."""
+    import random
+
+    from larkfield.runtime import Scratch
+
+    rng = random.Random(3)
+    calls = [(f"c{c}", f"k{k}", [f"k{rng.randrange(n + 1)}" if rng.random() < 0.1 else f"k{rng.randrange(k)}" for _ in range(rng.randrange(3)) if k]) for c in range(30) for n in [rng.choice((1, 4, 9))] for k in range(n)]
+    df = spark.createDataFrame(calls, "conv_id string, call_id string, after array<string>")
+    few = {tuple(r) for r in tool_chat.levels(df, Scratch(spark, "t")).select("conv_id", "call_id", "level").collect()}
+    monkeypatch.setattr(tool_chat, "FEW", 2)
+    assert {tuple(r) for r in tool_chat.levels(df, Scratch(spark, "t")).select("conv_id", "call_id", "level").collect()} == few
+    after = {(c, k): [x for x in a if (c, x) in {(p, q) for p, q, _ in calls}] for c, k, a in calls}
+    level = {}
+    for _ in range(20):
+        for (c, k), need in after.items():
+            if (c, k) not in level and all((c, x) in level for x in need):
+                level[(c, k)] = max([level[(c, x)] + 1 for x in need], default=0)
+    assert few == {(c, k, level.get((c, k))) for c, k in after}

@@ -19,7 +19,7 @@ HEX = r"[0-9a-f]{32,}"  # a run of [0-9a-f]+ that has 32 characters at least
 KINDS = ("assign", "access", "hex", "model")
 #: what the models judge: runs of these characters, 16 or more
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-THRESHOLD = 12.0
+THRESHOLD = 15.0
 SMOOTHING = 0.5
 SAMPLES = 4000
 

@@ -9,12 +9,43 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "dedupe_exact", "disjunctive_match", "settlement", "doc_catalog", "dictionary_scan", "best_snippet", "window_stats", "router_branches"])
+@pytest.mark.parametrize("name", ["dedupe_exact", "exact_copies", "stratified_sample", "last_n_context", "label_places", "site_pairs", "disjunctive_match", "settlement", "doc_catalog", "dictionary_scan", "window_stats", "router_branches"])
 def test_no_python_and_no_pairs(spark, sf, name):
     p = plan(catalog.QUERIES[name](spark, sf))
     assert not re.search("Python|Arrow|Pandas|CartesianProduct", p)
 
 
+def test_documents_are_scored_where_they_lie(spark, sf):
+    """No join of a document's terms with the queries', and nothing but the best of each batch is shuffled."""
+    p = plan(catalog.QUERIES["bm25_topk"](spark, sf))
+    assert "Join" not in p and p.count("Exchange") == 1 and p.count("MapInArrow") == 1 and "hashpartitioning(query_id" in p
+    from larkfield.operators import lexical
+
+    d = spark.createDataFrame([(k, "red blue") for k in range(500)], "doc_id int, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "red")], "query_id int, query_text string")
+    assert lexical.bm25(q, d).count() == 500
+    d = spark.createDataFrame([(k, "red " * (1 + k % 50) + "blue") for k in range(500)], "doc_id int, text string").coalesce(1)
+    assert lexical.bm25(q, d, most=5).count() < 100  # each batch gives its five best, with ties
+
+
+def test_copies_samples_and_lessons_stay_spread(spark, sf):
+    p = plan(catalog.QUERIES["dedupe_exact"](spark, sf))
+    assert "collect_list" not in p
+    p = plan(catalog.QUERIES["last_n_context"](spark, sf))
+    assert "Window" not in p and p.count("TakeOrderedAndProject") == 2
+    p = plan(catalog.QUERIES["stratified_sample"](spark, sf))
+    assert "Window [row_number() windowspecdefinition(_p" in p
+
+
+def test_blocks_of_queries_give_the_same(spark, sf, monkeypatch):
+    from larkfield.operators import lexical
+
+    whole = sorted(map(str, catalog.QUERIES["bm25_topk"](spark, sf).collect()))
+    monkeypatch.setattr(lexical, "BLOCK", 30)
+    monkeypatch.setattr(lexical, "CELLS", 2000)
+    assert sorted(map(str, catalog.QUERIES["bm25_topk"](spark, sf).collect())) == whole
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     from larkfield.operators import filters
 
@@ -45,6 +76,6 @@ def test_alias_components_over_whole_keys(spark, sf):
     for r in rows:
         x, y = sorted((find(f"c{r.o_custkey}"), find(f"o{r.o_orderkey}")))
         root[y] = x
-    got = {r.name: r.group_id for r in catalog.QUERIES["alias_components_whole"](spark, sf).collect()}
+    got = {r.name: r.group_id for r in catalog.QUERIES["alias_components"](spark, sf).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert len(got) == len({r.o_custkey for r in rows}) + len({r.o_orderkey for r in rows})

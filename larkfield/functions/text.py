@@ -42,12 +42,26 @@ def _folds() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folds()
 
 
+def _ranges(characters: str, gap: int = 64) -> str:
+    """A regex class that holds the characters, and the ones between any two of them less than ``gap`` apart."""
+    codes, out = sorted(map(ord, characters)), []
+    for c in codes:
+        if out and c - out[-1][1] < gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_MAY_FOLD = _ranges(FOLD_FROM)
+
+
 def fold(text: Column) -> Column:
-    """``text`` with every character that NFKC turns into one other as that other; plain text is returned as it is.
+    """``text`` with every character that NFKC turns into one other as that other; any other text is returned as it is.
 
     Sequences that compose and characters that become several are left alone; ``normalize_nfkc`` folds these too.
     """
-    return F.when(F.rlike(text, F.lit("[^\\x00-\\x7F]")), F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text)
+    return F.when(F.rlike(text, F.lit(_MAY_FOLD)), F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text)
 
 
 def normalize(text: Column) -> Column:

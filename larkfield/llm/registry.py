@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkfield.llm import decontaminate, derived, language, line_quality, lm_score, mixing, near_dedup, pii, secrets, tool_chat, url_filter
+from larkfield.llm import decontaminate, derived, language, line_quality, lm_score, merkle, mixing, near_dedup, pii, secrets, tool_chat, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     **derived.QUERIES,
 }
 SQL = {
@@ -23,5 +24,6 @@ SQL = {
     "op8_near_dedup": near_dedup.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
     **derived.SQL,
 }

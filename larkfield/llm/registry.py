@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkfield.llm import decontaminate, derived, language, line_quality, lm_score, merkle, mixing, near_dedup, pii, secrets, tool_chat, url_filter
+from larkfield.llm import decontaminate, derived, language, line_quality, lm_score, merkle, mixing, near_dedup, pii, secrets, tool_chat, url_filter, vector_codes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
     **derived.QUERIES,
 }
 SQL = {
@@ -25,5 +26,6 @@ SQL = {
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
     **derived.SQL,
 }

@@ -1,19 +1,21 @@
 """Queries whose inputs are made from the tables by SQL functions, so that a method decides rows that the tables leave to rules.
 
+They are fixtures: of the tables only the ids are read, and the texts are made up from them.
+
 The tables hold no tool calls, no links between pages, and few secrets that no pattern finds. Here conversations turn
-into calls with results and constraints, and pages into redirects, by rules that SQL repeats.
+into calls with results and constraints, and pages into redirects or sites with notices, by rules that SQL repeats.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkfield.llm import secrets, tool_chat, url_filter
+from larkfield.llm import html_text, secrets, tool_chat, url_filter
 from larkfield.runtime import read_table
 
 
 def derived_secrets(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with a token behind it: for even ids the hash of its text in base 64, else an identifier. (doc_id, found)"""
+    """Every document with a token behind it: for even ids a hash of the id in base 64, else an identifier. (doc_id, found)"""
     docs = read_table(spark, sf, "documents")
     token = F.base64(F.unhex(F.substring(F.sha2(F.concat(F.lit("k"), F.col("doc_id").cast("string")), 256), 1, 36)))
     name = F.concat(F.lit("report_of_section_"), F.col("doc_id").cast("string"))
@@ -43,7 +45,18 @@ def derived_redirects(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge_urls(rows, rules, html_col=None, redirects=links).select("page_id", F.col("url_verdict.verdict").alias("verdict"))
 
 
-QUERIES = {"derived_secrets": derived_secrets, "derived_tool_calls": derived_tool_calls, "derived_redirects": derived_redirects}
+def derived_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as articles of seven hosts that end with a notice: on nine pages of ten of hosts 0 to 4, on each second page of the others. (page_id, text)"""
+    pages = read_table(spark, sf, "pages").select("page_id").distinct()
+    own = F.concat(F.lit("<p>page number "), F.col("page_id").cast("string"), F.lit(" has a text of its own about "), F.col("page_id").cast("string"), F.lit("</p>"))
+    notice = F.concat(F.lit("<p>all that host "), (F.col("page_id") % 7).cast("string"), F.lit(" shows may be read by anyone who cares to</p>"))
+    shown = F.when(F.col("page_id") % 7 < 5, F.col("page_id") % 10 > 0).otherwise(F.col("page_id") % 2 == 0)
+    html = F.concat(F.lit("<article>"), own, F.when(shown, notice).otherwise(""), F.lit("</article>"))
+    made = pages.select("page_id", F.concat(F.lit("http://h"), (F.col("page_id") % 7).cast("string"), F.lit(".com/")).alias("url"), html.alias("html"))
+    return html_text.main_text(made).select("page_id", "text")
+
+
+QUERIES = {"derived_secrets": derived_secrets, "derived_tool_calls": derived_tool_calls, "derived_redirects": derived_redirects, "derived_boilerplate": derived_boilerplate}
 SQL = {
     "derived_secrets": "SELECT doc_id, doc_id % 2 = 0 AS found FROM documents",
     # a run of consecutive turns is a chain: a call's level is its place in the run
@@ -58,4 +71,7 @@ s AS (SELECT n, CASE WHEN n % 7 <> 0 AND (n - 1) IN (SELECT n FROM p) THEN 0 ELS
 g AS (SELECT n, sum(new) OVER (ORDER BY n) AS g FROM s),
 b AS (SELECT g, count(*) AS size, bool_or(n % 21 = 0) AS bad FROM g GROUP BY g)
 SELECT page_id, CASE WHEN b.bad THEN 'block' ELSE 'allow' END AS verdict FROM pages JOIN g ON g.n = page_id JOIN b ON b.g = g.g""",
+    "derived_boilerplate": """SELECT page_id, 'page number ' || page_id || ' has a text of its own about ' || page_id ||
+  CASE WHEN page_id % 7 > 4 AND page_id % 2 = 0 THEN chr(10) || chr(10) || 'all that host ' || page_id % 7 || ' shows may be read by anyone who cares to' ELSE '' END AS text
+FROM (SELECT DISTINCT page_id FROM pages)""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkfield.llm import decontaminate, derived, language, line_quality, lm_score, merkle, mixing, near_dedup, pii, secrets, tool_chat, url_filter, vector_codes
+from larkfield.llm import decontaminate, derived, html_text, language, line_quality, lm_score, merkle, mixing, near_dedup, pii, secrets, tool_chat, url_filter, vector_codes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_html_text": html_text.op13_html_text,
     **derived.QUERIES,
 }
 SQL = {

@@ -48,7 +48,7 @@ def derived_redirects(spark: SparkSession, sf: str) -> DataFrame:
 def derived_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as articles of seven hosts that end with a notice: on nine pages of ten of hosts 0 to 4, on each second page of the others. (page_id, text)"""
     pages = read_table(spark, sf, "pages").select("page_id").distinct()
-    own = F.concat(F.lit("<p>page number "), F.col("page_id").cast("string"), F.lit(" has a text of its own about "), F.col("page_id").cast("string"), F.lit("</p>"))
+    own = F.concat(F.lit("<p>page number "), F.col("page_id").cast("string"), F.lit(" has a text of its own about "), F.array_join(F.array_repeat(F.col("page_id").cast("string"), 9), " and "), F.lit("</p>"))
     notice = F.concat(F.lit("<p>all that host "), (F.col("page_id") % 7).cast("string"), F.lit(" shows may be read by anyone who cares to</p>"))
     shown = F.when(F.col("page_id") % 7 < 5, F.col("page_id") % 10 > 0).otherwise(F.col("page_id") % 2 == 0)
     html = F.concat(F.lit("<article>"), own, F.when(shown, notice).otherwise(""), F.lit("</article>"))
@@ -71,7 +71,7 @@ s AS (SELECT n, CASE WHEN n % 7 <> 0 AND (n - 1) IN (SELECT n FROM p) THEN 0 ELS
 g AS (SELECT n, sum(new) OVER (ORDER BY n) AS g FROM s),
 b AS (SELECT g, count(*) AS size, bool_or(n % 21 = 0) AS bad FROM g GROUP BY g)
 SELECT page_id, CASE WHEN b.bad THEN 'block' ELSE 'allow' END AS verdict FROM pages JOIN g ON g.n = page_id JOIN b ON b.g = g.g""",
-    "derived_boilerplate": """SELECT page_id, 'page number ' || page_id || ' has a text of its own about ' || page_id ||
+    "derived_boilerplate": """SELECT page_id, 'page number ' || page_id || ' has a text of its own about ' || array_to_string(list_transform(range(9), lambda i: page_id), ' and ') ||
   CASE WHEN page_id % 7 > 4 AND page_id % 2 = 0 THEN chr(10) || chr(10) || 'all that host ' || page_id % 7 || ' shows may be read by anyone who cares to' ELSE '' END AS text
 FROM (SELECT DISTINCT page_id FROM pages)""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkfield.functions.text import normalize
 from larkfield.operators.dense import dense_top
+from larkfield.operators.inverted import Index
 from larkfield.operators.lexical import bm25, ranked
 from larkfield.runtime import Scratch
 
@@ -43,13 +44,17 @@ def fuse(lexical: DataFrame, dense: DataFrame, top_k: int, titles: DataFrame | N
 
 def hybrid_search(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame | None = None, candidates: DataFrame | None = None, top_k: int = 5,
-    candidate_k: int = 30, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None,
+    candidate_k: int = 30, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, index: Index | None = None,
 ) -> DataFrame:
     """Filter, gate, rank by BM25 and cosine, fuse, cut. ``queries`` has query_id, query_text and perhaps query_vector.
 
-    A query without any gated lexical hit returns nothing, however close a vector may be.
+    A query without any gated lexical hit returns nothing, however close a vector may be. With an ``index`` of the
+    documents no text is read.
     """
-    lexical = bm25(queries, docs, candidates, id_col=id_col, text_col=text_col, title_col=title_col, most=candidate_k)
+    if index is None:
+        lexical = bm25(queries, docs, candidates, id_col=id_col, text_col=text_col, title_col=title_col, most=candidate_k)
+    else:
+        lexical = index.bm25(queries, candidates, id_col=id_col, most=candidate_k)
     # a few rows a query, read by the dense branch and by the fusion: written once rather than scored again
     lexical = Scratch(docs.sparkSession, "lexical").save(ranked(lexical, "bm25_score", most=candidate_k, name="bm25_rank"), "ranked")
     if vectors is None:

@@ -40,6 +40,26 @@ def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return long.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _counter(terms: pa.Array):
+    """Of a task's documents, how many hold each term; row -1 has their number and the sum of their lengths."""
+
+    def run(batches):
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            lists = batch.column(0)
+            n, total = n + batch.num_rows, total + int(np.maximum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), 1).sum())
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            held = np.unique(doc[at >= 0].astype(np.int64) * len(terms) + at[at >= 0])
+            df += np.bincount(held % max(1, len(terms)), minlength=len(terms))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], n)), pa.array(np.append(np.zeros(len(some), np.int64), total))], names=["term", "df", "dl"]
+        )
+
+    return run
+
+
 class _Block:
     """Some queries by term: the terms, their weights, and which queries hold each of them."""
 
@@ -52,15 +72,11 @@ class _Block:
         order = np.argsort(at, kind="stable")
         self.query, self.informs = ids.indices.to_numpy()[order], asked.column("informs").to_numpy()[order].astype(float)
         self.begin = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
-        # one row more, of the empty term, counts all documents and their lengths
-        wanted = tokens.sparkSession.createDataFrame([(t,) for t in ["", *self.terms.to_pylist()]], "term string")
-        length = F.greatest(F.size("tokens"), F.lit(1)).alias("dl")
-        held = tokens.select(length, F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"))
-        found = held.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()  # a row a term of the block
+        found = tokens.select("tokens").mapInArrow(_counter(self.terms), "term int, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()  # a row a term of the block
         df = {r.term: r.df for r in found}
-        n, total = df.pop("", 0), sum(r.dl for r in found if r.term == "")
+        n, total = df.pop(-1, 0), sum(r.dl for r in found)
         self.mean = total / n if n else 1.0
-        counts = np.array([df.get(t, 0) for t in self.terms.to_pylist()], float)
+        counts = np.array([df.get(t, 0) for t in range(len(self.terms))], float)
         self.idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
 
 

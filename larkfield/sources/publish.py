@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +15,7 @@ from larkfield.operators.dense import validity
 from larkfield.operators.corpus import gate
 
 
-#: seconds after which a lock counts as left by a crash
+#: seconds without a sign of its owner after which a lock counts as left by a crash
 STALE = 6 * 3600
 
 
@@ -37,41 +38,75 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     @contextmanager
-    def lock(self) -> Iterator[None]:
-        """One build at a time: creating the lock file fails where it exists. A lock older than STALE is one that a crash left."""
-        path = self._path(f"{self.root}/LOCK")
+    def lock(self) -> Iterator[Callable[[], None]]:
+        """One build at a time: creating the lock file fails where it exists. Gives a function that renews the lock.
+
+        The file names its owner. A lock that was not renewed for STALE seconds is one that a crash left, and may be
+        taken over; the earlier owner then finds another name in it, and raises instead of going on.
+        """
+        path, owner = f"{self.root}/LOCK", uuid.uuid4().hex
         self._fs.mkdirs(self._path(self.root))
-        if self._fs.exists(path) and time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000 > STALE:
-            self._fs.delete(path, False)
-        if not self._fs.createNewFile(path):
+        if self._fs.exists(self._path(path)) and time.time() - self._fs.getFileStatus(self._path(path)).getModificationTime() / 1000 > STALE:
+            self._fs.delete(self._path(path), False)
+        if not self._fs.createNewFile(self._path(path)):
             raise RuntimeError(f"{self.root} is being built")
+        self._put(path, owner)
+
+        def renew() -> None:
+            if self._get(path) != owner:
+                raise RuntimeError(f"the lock of {self.root} was taken over")
+            self._put(path, owner)
+
         try:
-            yield
+            yield renew
+            renew()
         finally:
-            self._fs.delete(path, False)
+            if self._get(path) == owner:
+                self._fs.delete(self._path(path), False)
 
     def current(self) -> str | None:
-        path = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(path):
+        text = self._get(f"{self.root}/CURRENT")
+        return text.strip() if text else None
+
+    def _get(self, path: str) -> str | None:
+        if not self._fs.exists(self._path(path)):
             return None
-        stream = self._fs.open(path)
+        stream = self._fs.open(self._path(path))
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def publish(self, tables: dict[str, DataFrame], manifest: dict, checks: Callable[["Store", str], list[str]] | None = None) -> str:
-        """Writes a version, checks it as read back, then moves the pointer; readers keep the old version on any failure."""
-        with self.lock():
+    def publish(
+        self, tables: dict[str, DataFrame], manifest: dict, checks: Callable[["Store", str], list[str]] | None = None,
+        keep: Iterable[str] = (), writers: dict[str, Callable[[str], object]] | None = None,
+    ) -> str:
+        """Writes a version, checks it as read back, then moves the pointer; readers keep the old version on any failure.
+
+        Tables named in ``keep`` are unchanged: the new version refers to the files of the current one, and nothing of
+        them is read or written. ``writers`` write what is no single table, such as an index, under the path they get.
+        """
+        with self.lock() as lease:
             version = f"v{time.time_ns()}"
             base = f"{self.root}/{version}"
             try:
+                places = {name: f"{version}/{name}" for name in [*tables, *(writers or {})]}
+                held = self.places()
+                if missing := [name for name in keep if name not in held]:
+                    raise FileNotFoundError(f"the current version has no {missing}")
+                places |= {name: held[name] for name in keep}
                 for name, df in tables.items():
                     df.write.parquet(f"{base}/{name}")
+                    lease()
+                for name, write in (writers or {}).items():
+                    write(f"{base}/{name}")
+                    lease()
+                self._put(f"{base}/tables.json", json.dumps(places, sort_keys=True))
                 failed = (checks or standard_checks)(self, version)
                 if failed:
                     raise ValueError(f"the staged version failed: {failed}")
                 self._put(f"{base}/manifest.json", json.dumps({"version": 1, **manifest}, ensure_ascii=False, sort_keys=True))
+                lease()
                 self._point(version)
             except BaseException:
                 self._fs.delete(self._path(base), True)
@@ -88,14 +123,35 @@ class Store:
         path = self._fs.makeQualified(self._path(f"{self.root}/CURRENT.new"))
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf).rename(path, self._fs.makeQualified(self._path(f"{self.root}/CURRENT")), how)
 
-    def has(self, table: str, version: str | None = None) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/{version or self.current()}/{table}"))
+    def places(self, version: str | None = None) -> dict[str, str]:
+        """Where the tables of a version are, by name: its own, and those it shares with earlier versions."""
+        version = version or self.current()
+        text = self._get(f"{self.root}/{version}/tables.json") if version else None
+        return json.loads(text) if text else {}
 
-    def read(self, table: str, version: str | None = None) -> DataFrame:
+    def place(self, table: str, version: str | None = None) -> str:
         version = version or self.current()
         if version is None:
             raise FileNotFoundError(f"nothing is published under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{version}/{table}")
+        return f"{self.root}/{self.places(version).get(table, f'{version}/{table}')}"
+
+    def has(self, table: str, version: str | None = None) -> bool:
+        return self._fs.exists(self._path(self.place(table, version)))
+
+    def read(self, table: str, version: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(self.place(table, version))
+
+    def unused(self, keep: int = 2) -> list[str]:
+        """Folders of tables and versions that none of the ``keep`` newest versions, nor the current one, refers to."""
+        versions = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
+        kept = {*versions[-keep:], self.current()}
+        used = {place for v in kept for place in self.places(v).values()}
+        out = []
+        for v in versions:
+            tables = [f"{v}/{s.getPath().getName()}" for s in self._fs.listStatus(self._path(f"{self.root}/{v}")) if s.isDirectory()]
+            if v not in kept:
+                out += [t for t in tables if t not in used] if any(t in used for t in tables) else [v]
+        return out
 
     def _put(self, path: str, text: str) -> None:
         out = self._fs.create(self._path(path), True)

@@ -13,7 +13,7 @@ from larkfield.operators.corpus import mask
 from larkfield.operators.fusion import rrf
 from larkfield.operators.identity import ambiguous, any_of, first_rank, link_with_fallback
 from larkfield.operators.lexical import bm25, ranked
-from larkfield.operators.terms import named
+from larkfield.operators.scan import find_labels
 
 # Phrase groups of management topics, growth stages and actions.
 TOPICS = (
@@ -98,14 +98,15 @@ def prefilter(pairs: DataFrame) -> DataFrame:
 def named_diseases(questions: DataFrame, cards: DataFrame) -> DataFrame:
     """(query_id, disease_id, crop): cards of a question's crops whose name the question holds, with or without the crop's name.
 
-    ``questions`` has query_id, query_text and crops; ``cards`` has disease_id, names and crops. They meet by crop.
+    ``questions`` has query_id, query_text and crops; ``cards`` has disease_id, names and crops. Automata over the cards'
+    names find those that a question holds, and the two meet by name and crop.
     """
-    q = questions.select("query_id", normalize(F.col("query_text")).alias("text"), F.explode("crops").alias("crop"))
-    c = cards.select("disease_id", F.explode("crops").alias("crop"), F.col("names").alias("c_names"))
-    rows = q.join(c, "crop").select("query_id", "disease_id", "crop", "text", F.explode("c_names").alias("name"))
+    c = cards.select("disease_id", F.explode("crops").alias("crop"), "names").select("disease_id", "crop", F.explode("names").alias("name"))
     name = normalize(F.col("name"))
-    rows = rows.select("query_id", "disease_id", "crop", "text", F.explode(F.array(name, F.trim(_without(name, F.array("crop"))))).alias("label")).where("length(label) >= 2")
-    return rows.where(F.size(named(F.col("text"), F.col("label"))) > 0).select("query_id", "disease_id", "crop").distinct()
+    c = c.select("disease_id", "crop", F.explode(F.array(name, F.trim(_without(name, F.array("crop"))))).alias("label")).where("length(label) >= 2").distinct()
+    q = find_labels(questions.select("query_id", "crops", F.col("query_text").alias("text")), c)
+    q = q.select("query_id", "crops", F.explode(F.array_distinct(F.transform("found", lambda x: x["label"]))).alias("label")).select("query_id", "label", F.explode("crops").alias("crop"))
+    return q.join(c, ["label", "crop"]).select("query_id", "disease_id", "crop").distinct()
 
 
 def agronomy(

@@ -77,7 +77,8 @@ def ambiguous(matches: DataFrame, by: str, scope: str) -> DataFrame:
 def dictionary_scan(texts: DataFrame, words: Iterable[str], id_col: str = "doc_id", text_col: str = "text", bounded: bool = True) -> DataFrame:
     """(id, word): the dictionary words that each normalised text names, longest alternatives first.
 
-    One alternation over the whole dictionary, so a text is read once; the dictionary is a short list.
+    One alternation over the whole dictionary, so a text is read once; the dictionary is a short list. ``scan`` has automata
+    for dictionaries that are tables.
     """
     ordered = sorted({normalize_text(w) for w in words if w}, key=lambda w: (-len(w), w))
     pattern = "|".join(label_pattern(w) if bounded else w for w in ordered) or "(?!)"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkfield.functions.text import label_pattern, normalize
 from larkfield.operators.identity import alias_index
+from larkfield.operators.scan import find_labels
 
 # Descriptions of symptoms that stand for each other in queries.
 SYMPTOMS = (
@@ -26,26 +27,18 @@ def dictionary(spark: SparkSession, terms: Mapping[str, Sequence[str]]) -> DataF
     return spark.createDataFrame(rows, "term_id string, lang string, label string, ord int")
 
 
-def named(text: Column, word: Column) -> Column:
-    """Places (from 1) where text holds word as a whole: ASCII words don't go on to either side."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: text.substr(i, F.length(word)) == word)
-    ascii_at = lambda at: F.rlike(text.substr(at, F.lit(1)), F.lit("[a-z0-9]"))
-    joins = lambda edge, at: F.rlike(edge, F.lit("[a-z0-9]")) & ascii_at(at)
-    return F.filter(places, lambda i: ~((i > 1) & joins(F.substring(word, 1, 1), i - 1)) & ~joins(F.substring(word, -1, 1), i + F.length(word)))
-
-
 def occurrences(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """(query_id, text, key, term_id, spans): every label of a dictionary that a normalised query names, with its places.
 
-    Labels meet queries by their first two characters, so no query is tried against all labels. A label of
-    several terms belongs to a crop first, then to the least order.
+    Automata over the whole dictionary find them in one reading of each query. A label of several terms belongs to a
+    crop first, then to the least order.
     """
     index = alias_index(labels, preferred=F.startswith("term_id", F.lit("crop:"))).select(F.col("norm_label").alias("key"), "term_id")
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(2))))
-    near = queries.select("query_id", "text", F.explode(heads).alias("head")).join(index.withColumn("head", F.substring("key", 1, 2)), "head")
-    near = near.where(F.contains("text", F.col("key"))).withColumn("at", named(F.col("text"), F.col("key"))).where(F.size("at") > 0)
-    spans = F.transform("at", lambda i: F.struct(i.alias("s"), (i + F.length("key")).alias("e")))
-    return near.select("query_id", "text", "key", "term_id", spans.alias("spans"))
+    found = find_labels(queries.select("query_id", "text"), index, label_col="key")
+    held = found.select("query_id", "text", "found", F.explode(F.array_distinct(F.transform("found", lambda x: x["label"]))).alias("key"))
+    mine = F.filter("found", lambda x: x["label"] == F.col("key"))
+    spans = F.transform(mine, lambda x: F.struct((x["start"] + 1).alias("s"), (x["end"] + 1).alias("e")))
+    return held.join(index, "key").select("query_id", "text", "key", "term_id", spans.alias("spans"))
 
 
 def _chosen(found: Column, most: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkfield.functions import text as tx
 from larkfield.functions.vector import hash_embed
-from larkfield.operators import corpus, identity, kg, series, terms
+from larkfield.operators import corpus, identity, kg, scan, series, terms
 from larkfield.plans.retrieval import GROUPS, _MASK, sql_tokens
 from larkfield.runtime import Scratch, read_table
 
@@ -103,6 +103,26 @@ def dictionary_scan(spark, sf):
     return identity.dictionary_scan(_docs(spark, sf), WORDS)
 
 
+def label_scan(spark, sf):
+    """Every word of the documents and every pair of neighbouring words of the passages as labels, all of their places in all documents."""
+    words = lambda t: F.explode(F.array_distinct(F.regexp_extract_all(tx.normalize(F.col(t)), F.lit("[a-z0-9]{2,}"), F.lit(0))))
+    one = _docs(spark, sf).select(words("text").alias("label"))
+    pieces = F.split(tx.normalize(F.col("text")), " ")
+    both = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.concat_ws(" ", F.regexp_extract(F.element_at("p", i), "[a-z0-9]+$", 0), F.regexp_extract(F.element_at("p", i + 1), "^[a-z0-9]+", 0)))
+    two = read_table(spark, sf, "benchmark").select(pieces.alias("p")).where("size(p) > 1").select(F.explode(both).alias("label")).where(F.rlike("label", F.lit("^[a-z0-9]+ [a-z0-9]+$")))
+    found = scan.find_labels(_docs(spark, sf).select("doc_id", "text"), one.unionByName(two))
+    longest = F.array_max(F.transform("found", lambda x: F.struct(F.length(x["label"]).alias("n"), x["label"].alias("label"))))["label"]
+    rows = found.where("size(found) > 0")
+    label = F.transform("found", lambda x: x["label"])
+    return rows.select("doc_id", F.size("found").cast("long").alias("n_places"), F.size(F.array_distinct(label)).cast("long").alias("n_labels"), longest.alias("longest"))
+
+
+def entity_scan(spark, sf):
+    """Parts as entities, each word of their names a label: which brands of parts a document's words name, the longest first."""
+    names = read_table(spark, sf, "part").select(F.col("p_brand").alias("entity"), F.explode(F.split("p_name", " ")).alias("label"))
+    return scan.find_entities(_docs(spark, sf), names).withColumn("rank", F.col("rank").cast("long"))
+
+
 def text_functions(spark, sf):
     t = F.col("text")
     return _docs(spark, sf).select(
@@ -220,6 +240,19 @@ FROM (SELECT *, {' + '.join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in TERM
     "stratified_sample": """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT source, doc_id FROM r WHERE n <= 7 OR list_contains(list_transform(range(0, 7), lambda k: CAST(round_even(k * (n - 1) / 6.0, 0) AS BIGINT)), i)""",
     "union_sources": "SELECT 'documents' AS origin, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents UNION ALL SELECT 'pages', count(*), CAST(sum(length(html)) AS BIGINT) FROM pages",
+    "label_scan": """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
+b AS (SELECT string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS p FROM benchmark),
+l AS (SELECT DISTINCT unnest(list_transform(range(1, len(p)), lambda i: regexp_extract(p[i], '[a-z0-9]+$') || ' ' || regexp_extract(p[i + 1], '^[a-z0-9]+'))) AS label FROM b),
+two AS (SELECT label FROM l WHERE regexp_full_match(label, '[a-z0-9]+ [a-z0-9]+')),
+f AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS label FROM d),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(p)), lambda i: regexp_extract(p[i], '[a-z0-9]+$') || ' ' || regexp_extract(p[i + 1], '^[a-z0-9]+'))) AS label FROM (SELECT doc_id, string_split(t, ' ') AS p FROM d)),
+a AS (SELECT * FROM f WHERE length(label) >= 2 UNION ALL SELECT * FROM g WHERE label IN (SELECT label FROM two))
+SELECT doc_id, count(*) AS n_places, count(DISTINCT label) AS n_labels, arg_max(label, lpad(CAST(length(label) AS VARCHAR), 9, '0') || label) AS longest FROM a GROUP BY doc_id""",
+    "entity_scan": """WITH n AS (SELECT DISTINCT p_brand AS entity, unnest(string_split(p_name, ' ')) AS label FROM part),
+k AS (SELECT DISTINCT label FROM n WHERE length(label) >= 2),
+h AS (SELECT doc_id, label FROM documents, k WHERE contains(lower(text), label)),
+e AS (SELECT doc_id, entity, label FROM h JOIN n USING (label) QUALIFY row_number() OVER (PARTITION BY doc_id, entity ORDER BY length(label) DESC, label) = 1)
+SELECT doc_id, entity, label, row_number() OVER (PARTITION BY doc_id ORDER BY length(label) DESC, entity) AS rank FROM e QUALIFY rank <= 10""",
     "dictionary_scan": f"SELECT DISTINCT doc_id, w AS word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) WHERE w IN ({', '.join(repr(w) for w in WORDS)})",
     "text_functions": f"""WITH d AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS l, {_STRIP.format(t='text')} AS s FROM documents)
 SELECT doc_id, CASE WHEN length(l) <= 100 THEN l ELSE substr(l, 1, 99) || '…' END AS snippet, CASE WHEN length(s) <= 60 THEN s ELSE substr(s, 1, 59) || '…' END AS clip,

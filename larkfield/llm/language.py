@@ -20,6 +20,8 @@ HIDDEN = 8
 STEP, CONTEXT = 480, 32
 #: labelled documents of each language that the network is fitted on at most, and bytes of these
 TRAIN_DOCS, TRAIN_BYTES = 200, 4 << 20
+#: characters of a text that the network may be fitted on; no more than four bytes each
+TRAIN_PIECE = TRAIN_BYTES // TRAIN_DOCS // 4
 #: steps, windows of each language in a step, their bytes
 STEPS, EACH, TRAIN_STEP, RATE = 300, 16, 96, 0.02
 #: of the way from chance to what the least certain texts of the sample get, where a text counts as no language's
@@ -179,22 +181,25 @@ def _live(n: np.ndarray, steps: int) -> np.ndarray:
 
 
 def _sample(rows: DataFrame) -> list:
-    """(lang, text) of at most TRAIN_DOCS distinct texts and TRAIN_BYTES bytes of each language, of the least hashes.
+    """(lang, text) of at most TRAIN_DOCS distinct texts of each language, of the least hashes; of a long one a piece.
 
-    Twice as many as that are let through by their hash before a row moves, so no task gets all rows of a language.
+    A text gives TRAIN_PIECE characters from a place that its hash says, or all it has: so a language's texts together stay
+    below TRAIN_BYTES, and no text, however long, leaves others out. Twice as many as that are let through by their
+    hash before a row moves, so no task gets all rows of a language.
     """
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
     place = F.shiftrightunsigned("h", 1).cast("double") / float(1 << 63)
+    length = F.length("text")
+    start = F.pmod("h", F.greatest(length - TRAIN_PIECE, F.lit(0)) + 1).cast("int") + 1
     some = rows.join(F.broadcast(sizes), "lang").where(place <= 2.0 * TRAIN_DOCS / F.col("n")).withColumn("place", place)  # bounded: a row a language
-    some = some.dropDuplicates(["lang", "h"])
+    some = some.select("lang", "h", "place", F.col("text").substr(start, F.lit(TRAIN_PIECE)).alias("text")).dropDuplicates(["lang", "h"])
     order = Window.partitionBy("lang").orderBy("place", "h")
-    some = some.withColumns({"k": F.row_number().over(order), "bytes": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    got = some.where((F.col("k") <= TRAIN_DOCS) & (F.col("bytes") <= TRAIN_BYTES)).select("lang", "text").collect()
+    got = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS).select("lang", "text").collect()
     return sorted((r.lang, r.text) for r in got)
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, may_learn) -> Network | None:
-    """Fits on a bounded sample of the labelled rows (see ``TRAIN_DOCS``, ``TRAIN_BYTES``); None where there is none."""
+    """Fits on a bounded sample of the labelled rows (see ``TRAIN_DOCS``, ``TRAIN_PIECE``); None where there is none."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(F.col(text_col).cast("string")) > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h")
     )

@@ -111,7 +111,7 @@ def test_every_position_counts_as_the_definition_says():
 
 
 def test_the_sample_is_bounded_and_of_distinct_texts(spark, monkeypatch):
-    """The network is fitted on TRAIN_DOCS distinct texts of TRAIN_BYTES bytes at most, however often one of them occurs."""
+    """The network is fitted on TRAIN_DOCS distinct texts, of each a piece of TRAIN_PIECE characters at most, however often one of them occurs."""
     df = spark.createDataFrame([(k, f"only{k}", "en") for k in range(9)] + [(20, "y" * 90, "de"), (21, "z", "de")], "doc_id long, text string, lang string")
     df = df.unionByName(df).unionByName(df.where("doc_id = 0"))
     rows = df.withColumn("h", language.F.xxhash64("text"))
@@ -119,7 +119,7 @@ def test_the_sample_is_bounded_and_of_distinct_texts(spark, monkeypatch):
     monkeypatch.setattr(language, "TRAIN_DOCS", 4)
     got = language._sample(rows)
     assert len(got) == len(set(got)) == 6
-    monkeypatch.setattr(language, "TRAIN_BYTES", 50)
+    monkeypatch.setattr(language, "TRAIN_PIECE", 50)
     assert all(len(t) <= 50 for _, t in language._sample(rows))
 
 
@@ -128,3 +128,13 @@ def test_the_least_probability_follows_the_number_of_languages(spark):
     assert language.train(df, "doc_id", "text", "lang", language.F.lit(True)).least <= 1
     two = df.unionByName(spark.createDataFrame([(k, f"und das {k} wort ist", "de") for k in range(20, 28)], df.schema))
     assert 0.5 < language.train(two, "doc_id", "text", "lang", language.F.lit(True)).least < 0.65
+
+
+def test_a_long_text_leaves_no_other_out(spark):
+    """One text of five megabytes, of the least hash of its language, takes one place of the sample and no more."""
+    short = [("en", f"a short text {i}") for i in range(20)] + [("de", f"ein kurzer Text {i}") for i in range(20)]
+    df = spark.createDataFrame([*short, ("en", "long words of one text " * 250_000)], "lang string, text string")
+    rows = df.selectExpr("lang", "text", "CASE WHEN length(text) > 1000 THEN 1L ELSE xxhash64(text) END AS h")
+    got = language._sample(rows)
+    assert len(got) == 41 and {t for _, t in got} >= {t for _, t in short}
+    assert max(len(t) for _, t in got) == language.TRAIN_PIECE and sum(len(t.encode()) for _, t in got) < 2 * language.TRAIN_BYTES

@@ -23,9 +23,13 @@ SHARD_BYTES = 6 << 20
 
 
 class TestSide:
-    """The items of one block as numbers, with their windows."""
+    """The items of one block as numbers, with their windows. Items of one text are matched once; ``ids`` has all of theirs."""
 
     def __init__(self, ids: list, texts: list, window: int):
+        by_text: dict[str, list] = {}
+        for i, text in zip(ids, texts, strict=True):
+            by_text.setdefault(text, []).append(i)
+        ids, texts = [sorted({i for i in x if i is not None}) for x in by_text.values()], list(by_text)
         raw, offsets = kernels.string_views(pa.array(texts, pa.large_string()))
         h, _, _, first = kernels.hash_words(raw, offsets, kernels.ALNUM_WORDS)
         self.window = window
@@ -161,9 +165,9 @@ def _scan(test: TestSide, text_at: int, width: int):
                 np.maximum.at(most, of, longest)
                 found: dict[int, dict] = {}
                 for r, at, k, n in zip(of.tolist(), place.tolist(), which.tolist(), longest.tolist(), strict=True):
-                    item, mine = test.ids[test.item[k]], found.setdefault(r, {})
+                    item, mine = int(test.item[k]), found.setdefault(r, {})
                     match = (-n, int(at - start[r]), int(k - test.start[k]))
-                    if item is not None and match < mine.get(item, (1,)):
+                    if match < mine.get(item, (1,)):
                         mine[item] = match
                 bits_was, matches_was, most_was = (part.column(width + k).to_pylist() for k in (1, 2, 3))
                 bits, matches = [], []
@@ -172,7 +176,7 @@ def _scan(test: TestSide, text_at: int, width: int):
                         n = int(first[r + 1] - first[r])
                         now = np.packbits(hit[start[r] : start[r] + n])
                         bits.append((now | np.frombuffer(bits_was[r], np.uint8)).tobytes() if bits_was[r] else now.tobytes())
-                        all_of = found[r]
+                        all_of = {i: match for item, match in found[r].items() for i in test.ids[item]}
                         for m in matches_was[r] or ():
                             all_of[m["item"]] = min(all_of.get(m["item"], (1,)), (-m["words"], m["at"], m["item_at"]))
                         matches.append([{"item": i, "at": a, "item_at": b, "words": -n} for i, (n, a, b) in sorted(all_of.items())])
@@ -231,7 +235,7 @@ def benchmark_matches(
 
 def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
     """The items, a block at a time; a block, not the whole table, is what the driver and one broadcast may hold."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_CHARS))
     for k in range(blocks):

@@ -47,18 +47,49 @@ def decide(host: Column, path: Column, rules) -> Column:
     return chain
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    pieces = F.slice(F.split(path, "/"), 2, 1 << 20)
+    last = F.element_at(pieces, -1)
+
+    def step(held, s):
+        up = F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+        return F.when(s == ".", held).when(s == "..", up).otherwise(F.concat(held, F.array(s)))
+
+    kept = F.aggregate(pieces, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The url that a link of a page at ``base`` leads to; ``&amp;`` counts as ``&``.
+
+    Absolute ones stay; those that begin with ``//`` keep the page's scheme, those with ``/`` its host, those with ``?`` its path,
+    those with ``#`` lead to the page, and others replace what follows the last ``/`` of its path. ``.`` and ``..`` are resolved.
+    """
+    t = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
+    site = F.concat(F.regexp_extract(base, "^[^:]*://", 0), host_of(base))
+    query = lambda x: F.regexp_extract(x, "[?].*$", 0)
+    bare = F.regexp_extract(t, "^[^?#]*", 0)
+    folder = F.regexp_extract(F.concat(F.when(F.startswith(path_of(base), F.lit("/")), "").otherwise("/"), path_of(base)), "^.*/", 0)
+    return (
+        F.when(F.rlike(t, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), t)
+        .when(F.startswith(t, F.lit("//")), F.concat(F.regexp_extract(base, "^[^:]*:", 0), t))
+        .when(F.startswith(t, F.lit("/")), F.concat(site, _without_dots(bare), query(t)))
+        .when(F.startswith(t, F.lit("?")), F.concat(site, path_of(base), t))
+        .when((t == "") | F.startswith(t, F.lit("#")), base)
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, bare)), query(t)))
+    )
+
+
 def html_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(source, target) urls of canonical links and meta refreshes; targets that start with / belong to the page's host."""
+    """(source, target) urls of canonical links and meta refreshes, resolved against the page's url."""
     html = F.col(html_col)
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     meta = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>]+)"
     few = pages.where(html.contains("canonical") | html.contains("refresh") | F.rlike(html, F.lit("(?i)canonical|refresh")))
     target = F.explode(F.array_distinct(F.concat(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), F.regexp_extract_all(html, F.lit(meta), F.lit(1)))))
-    found = few.select(F.col(url_col).cast("string").alias("source"), target.alias("target"))
-    full = F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), "target")).when(
-        F.startswith("target", F.lit("/")), F.concat(F.lit("http://"), host_of(F.col("source")), "target")
-    ).otherwise(F.col("target"))
-    return found.select("source", full.alias("target"))
+    found = few.select(F.col(url_col).cast("string").alias("source"), target.alias("target")).where("instr(source, '://') > 0")
+    return found.select("source", resolve(F.col("source"), F.col("target")).alias("target"))
 
 
 def judge_urls(
@@ -115,8 +146,13 @@ x AS (
     regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
     regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)', 1))) AS t
   FROM p WHERE contains(url, '://')),
-y AS (SELECT source, CASE WHEN starts_with(t, '//') THEN 'http:' || t
-  WHEN starts_with(t, '/') THEN 'http://' || regexp_extract(substr(source, instr(source, '://') + 3), '^[^/?#]*') || t ELSE t END AS t FROM x),
+z AS (SELECT source, trim(replace(t, '&amp;', '&')) AS t, regexp_extract(source, '^[^:]*://') || translate(regexp_extract(substr(source, instr(source, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS site,
+  regexp_extract(substr(source, instr(source, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM x),
+f AS (SELECT *, CASE WHEN starts_with(t, '/') THEN regexp_extract(t, '^[^?#]*') ELSE regexp_extract(CASE WHEN starts_with(path, '/') THEN path ELSE '/' || path END, '^.*/') || regexp_extract(t, '^[^?#]*') END AS full_path FROM z),
+w AS (SELECT *, list_reduce(list_transform(string_split(full_path, '/')[2:], lambda s: [s]), lambda a, s: CASE s[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE list_concat(a, s) END, CAST([] AS VARCHAR[])) AS kept FROM f),
+v AS (SELECT *, '/' || array_to_string(kept, '/') || CASE WHEN regexp_matches(full_path, '/[.]{1,2}$') AND len(kept) > 0 THEN '/' ELSE '' END || regexp_extract(t, '[?].*$') AS rest FROM w),
+y AS (SELECT source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN regexp_extract(source, '^[^:]*:') || t
+  WHEN starts_with(t, '/') THEN site || rest WHEN starts_with(t, '?') THEN site || path || t WHEN t = '' OR starts_with(t, '#') THEN source ELSE site || rest END AS t FROM v),
 u AS (SELECT url FROM p WHERE url IS NOT NULL UNION SELECT source FROM y UNION SELECT t FROM y),
 h AS (
   SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),

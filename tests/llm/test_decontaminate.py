@@ -118,3 +118,19 @@ def test_query_digest(spark, sf):
     rows = registry.QUERIES["op9_decontaminate"](spark, sf).collect()
     clean = next(r for r in rows if not r.contaminated)
     assert clean.items_sha256 == hashlib.sha256(b"").hexdigest() and clean.n_hit == 0
+
+
+def test_items_of_one_text_are_matched_once(spark):
+    """5,000 items of one short text against a document that holds it 1,000 times, and equal rows of one item."""
+    import time
+
+    from larkfield.llm import decontaminate as d
+
+    docs = spark.createDataFrame([(1, "yes " * 1000), (2, "no")], "doc_id int, text string")
+    bench = spark.createDataFrame([(str(i), "yes") for i in range(5000)] + [("0", "yes")] * 5000 + [(None, "yes")], "item_id string, text string")
+    test = next(iter(d.test_blocks(bench, "item_id", "text", 10)))
+    assert len(test.ids) == 1 and len(test.ids[0]) == 5000 and test.depth == 1
+    began = time.time()
+    got = {r.doc_id: r.match for r in d.benchmark_matches(docs, bench).collect()}
+    assert time.time() - began < 20
+    assert got[1]["items"] == sorted(map(str, range(5000))) and got[2]["items"] == [] and got[1]["longest"] == 1

@@ -70,3 +70,33 @@ def test_links_in_html(spark):
 
 def test_empty(spark):
     assert u.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_links_resolve_as_browsers_do(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    bases = ["http://h.com/a/x.html", "https://H.com", "http://h.com?q=1", "http://h.com/a/b/../c/?x=/y#z"]
+    targets = ["y.html", "../y", "./y/", "../../../y", "/a/../b", "?p=2", "#top", "//other.org/x", "https://o.org/./k", "y?a=../b", "..", ".", "a/b/c", "y&amp;z", "mailto:x@y"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    for r in df.select("b", "t", u.resolve(F.col("b"), F.col("t")).alias("r")).collect():
+        want = urljoin(r.b.replace("H.com", "h.com"), r.t.replace("&amp;", "&"))
+        assert r.r.split("#")[0].replace("H.com", "h.com").rstrip("/") == want.split("#")[0].rstrip("/"), (r.b, r.t, r.r, want)
+
+
+def test_relative_links_block_and_sql_agrees(spark):
+    import duckdb
+
+    pages = [
+        (1, "http://h.com/a/x.html", '<link rel="canonical" href="y.html">'), (2, "http://spam.net/b", '<link rel="canonical" href="http://h.com/a/y.html">'),
+        (3, "http://h.com/a/b/z", '<link rel=canonical href="../y.html">'), (4, "http://h.com/q", '<meta http-equiv=refresh content="0; url=?k=1&amp;l=2">'),
+        (5, "http://h.com/q?k=1&l=2", '<link rel="canonical" href="//spam.net/b">'), (6, "http://k.com", '<link rel="canonical" href="a/./b/..">'), (7, "http://k.com/a/", None), (8, "http://k.com/c", '<link rel="canonical" href="#">'),
+    ]
+    out = u.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r.page_id: r.url_verdict.verdict for r in out.collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert {r[0]: r[4] for r in con.execute(u.OP10_SQL).fetchall()} == got

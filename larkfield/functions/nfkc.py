@@ -93,6 +93,11 @@ _EACH = "(?s)."
 _STATE = "struct<done:string,starter:string,held:string,last:int>"
 
 
+def _named(**fields: Column) -> Column:
+    """A struct whose names are part of it; aliases inside may be lost where a column is grouped or ordered by."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def _let(value: Column, then) -> Column:
     """``then`` of a value that is computed once, however often ``then`` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -107,23 +112,23 @@ def _general(piece: Column) -> Column:
     each = F.regexp_extract_all(piece, F.lit(_EACH), F.lit(0))
     apart = F.array_join(F.transform(each, lambda c: F.coalesce(_lookup(c, _WHOLE, 1), c)), "")
     chars = F.regexp_extract_all(apart, F.lit(_EACH), F.lit(0))
-    classed = F.transform(chars, lambda c: F.struct(F.coalesce(_lookup(c, _MARKS, 1).cast("int"), F.lit(0)).alias("k"), c.alias("c")))
+    classed = F.transform(chars, lambda c: _named(k=F.coalesce(_lookup(c, _MARKS, 1).cast("int"), F.lit(0)), c=c))
     # a character of class 0 begins a run; marks are ordered within theirs
     run = lambda all_of, i: F.size(F.filter(F.slice(all_of, 1, i + 1), lambda y: y["k"] == 0))
-    numbered = _let(classed, lambda all_of: F.transform(all_of, lambda x, i: F.struct(run(all_of, i).alias("run"), x["k"].alias("k"), i.alias("i"), x["c"].alias("c"))))
+    numbered = _let(classed, lambda all_of: F.transform(all_of, lambda x, i: _named(run=run(all_of, i), k=x["k"], i=i, c=x["c"])))
 
     def step(s: Column, x: Column) -> Column:
         near = (s["starter"] != "") & ((s["held"] == "") | (s["last"] < x["k"]))
 
         def after(one: Column) -> Column:
-            composed = F.struct(s["done"].alias("done"), one.alias("starter"), s["held"].alias("held"), s["last"].alias("last"))
-            begins = F.struct(F.concat(s["done"], s["starter"], s["held"]).alias("done"), x["c"].alias("starter"), F.lit("").alias("held"), F.lit(0).alias("last"))
-            stays = F.struct(s["done"].alias("done"), s["starter"].alias("starter"), F.concat(s["held"], x["c"]).alias("held"), x["k"].alias("last"))
+            composed = _named(done=s["done"], starter=one, held=s["held"], last=s["last"])
+            begins = _named(done=F.concat(s["done"], s["starter"], s["held"]), starter=x["c"], held=F.lit(""), last=F.lit(0))
+            stays = _named(done=s["done"], starter=s["starter"], held=F.concat(s["held"], x["c"]), last=x["k"])
             return F.when(one.isNotNull(), composed).when(x["k"] == 0, begins).otherwise(stays).cast(_STATE)
 
         return _let(F.when(near, _composed(s["starter"], x["c"])), after)
 
-    none = F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.lit("").alias("held"), F.lit(0).alias("last")).cast(_STATE)
+    none = _named(done=F.lit(""), starter=F.lit(""), held=F.lit(""), last=F.lit(0)).cast(_STATE)
     return F.aggregate(F.array_sort(numbered), none, step, lambda s: F.concat(s["done"], s["starter"], s["held"]))
 
 

@@ -57,87 +57,73 @@ _COARSE = "[" + ranges({*FOLD_FROM, *_FOLLOW, *_SEVERAL}, 64) + "]"
 _GAP = "\x00"  # between the entries of a table of strings; no key has it
 
 
-def _table(table: dict[str, object]) -> tuple[str, Column]:
-    keys, text = list(table), ""
-    return _GAP + _GAP.join(keys) + _GAP, F.split(F.lit(_GAP.join(str(v) for v in table.values())), _GAP)
+def _text(value: str) -> str:
+    """A SQL string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\0", "\\u0000") + "'"
 
 
-def _lookup(key: Column, table: dict, width: int) -> Column:
-    """The value of ``key``, a string of ``width`` characters, as a string; null where the table has none."""
-    keys, values = _table(table)
-    at = F.instr(F.lit(keys), F.concat(F.lit(_GAP), key, F.lit(_GAP)))
-    # entries have one width, so a key's place tells its number
-    return F.when(at > 0, F.element_at(values, F.floor((at - 1) / (width + 1)).cast("int") + 1))
+def _lookup(key: str, table: dict, width: int) -> str:
+    """The value of ``key``, a string of ``width`` characters, as a string; null where the table has none.
 
-
-def _code(c: Column) -> Column:
-    """The code point of a character, where it is a jamo or a syllable of Hangul."""
-    return F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")
-
-
-_SYLLABLES = "".join(map(chr, range(_HANGUL, _HANGUL + 11172)))
-
-
-def _composed(starter: Column, c: Column) -> Column:
-    """What two characters compose to, or null."""
-    l, v = _code(starter) - _L, _code(c) - _V
-    s, t = _code(starter) - _HANGUL, _code(c) - _T
-    lv = F.when(l.between(0, _COUNTS[0] - 1) & v.between(0, _COUNTS[1] - 1), (l * _COUNTS[1] + v) * _COUNTS[2])
-    lvt = F.when(s.between(0, 11171) & (s % _COUNTS[2] == 0) & t.between(1, _COUNTS[2] - 1), s + t)
-    hangul = F.coalesce(lv, lvt)
-    jamo = F.rlike(c, F.lit(f"[\\x{{{_V:x}}}-\\x{{{_T + _COUNTS[2] - 1:x}}}]"))
-    return F.when(jamo, F.when(hangul.isNotNull(), F.lit(_SYLLABLES).substr(hangul.cast("int") + 1, F.lit(1)))).otherwise(_lookup(F.concat(starter, c), _PAIRS, 2))
+    Entries have one width, so a key's place tells its number. The lists of values are constants that are folded once.
+    """
+    keys, values = _text(_GAP + _GAP.join(table) + _GAP), _text(_GAP.join(map(str, table.values())))
+    found = f"instr({keys}, concat('\\u0000', {key}, '\\u0000'))"
+    return _let(found, "place", f"CASE WHEN place > 0 THEN element_at(split({values}, '\\u0000'), CAST((place - 1) / {width + 1} AS INT) + 1) END")
 
 
-_EACH = "(?s)."
-_STATE = "struct<done:string,starter:string,held:string,last:int>"
+def _let(value: str, name: str, then: str) -> str:
+    """``then`` with ``name`` for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
 
 
-def _named(**fields: Column) -> Column:
-    """A struct whose names are part of it; aliases inside may be lost where a column is grouped or ordered by."""
-    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
-
-
-def _let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` names it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+_SYLLABLES = "".join(map(chr, range(_HANGUL, _HANGUL + 11172)))
 
 
-def _normal(piece: Column) -> Column:
-    """NFKC of a piece: decomposed, ordered by combining class, composed. A letter and its one mark compose at once."""
-    return F.coalesce(F.when(F.length(piece) == 2, _lookup(piece, _PAIRS, 2)), _general(piece))
+def _code(c: str) -> str:
+    """The code point of a character, where it is a jamo or a syllable of Hangul."""
+    return f"CAST(conv(hex(encode({c}, 'UTF-16BE')), 16, 10) AS BIGINT)"
 
 
-def _general(piece: Column) -> Column:
-    each = F.regexp_extract_all(piece, F.lit(_EACH), F.lit(0))
-    apart = F.array_join(F.transform(each, lambda c: F.coalesce(_lookup(c, _WHOLE, 1), c)), "")
-    chars = F.regexp_extract_all(apart, F.lit(_EACH), F.lit(0))
-    classed = F.transform(chars, lambda c: _named(k=F.coalesce(_lookup(c, _MARKS, 1).cast("int"), F.lit(0)), c=c))
+def _composed(starter: str, c: str) -> str:
+    """What two characters compose to, or null."""
+    a, b = _code(starter), _code(c)
+    lv = f"CASE WHEN a BETWEEN {_L} AND {_L + _COUNTS[0] - 1} AND b BETWEEN {_V} AND {_V + _COUNTS[1] - 1} THEN ((a - {_L}) * {_COUNTS[1]} + b - {_V}) * {_COUNTS[2]}"
+    lvt = f"WHEN a BETWEEN {_HANGUL} AND {_HANGUL + 11171} AND (a - {_HANGUL}) % {_COUNTS[2]} = 0 AND b BETWEEN {_T + 1} AND {_T + _COUNTS[2] - 1} THEN a - {_HANGUL} + b - {_T} END"
+    hangul = _let(_let(a, "a", _let(b, "b", f"{lv} {lvt}")), "h", f"CASE WHEN h IS NOT NULL THEN substr({_text(_SYLLABLES)}, CAST(h AS INT) + 1, 1) END")
+    jamo = _text(f"[\\x{{{_V:x}}}-\\x{{{_T + _COUNTS[2] - 1:x}}}]")
+    return f"CASE WHEN {c} RLIKE {jamo} THEN {hangul} ELSE {_lookup(f'concat({starter}, {c})', _PAIRS, 2)} END"
+
+
+def _general(piece: str) -> str:
+    """NFKC of a piece: decomposed, ordered by combining class, composed."""
+    each = "regexp_extract_all({}, '(?s).', 0)"
+    apart = f"array_join(transform({each.format(piece)}, c -> coalesce({_lookup('c', _WHOLE, 1)}, c)), '')"
+    classed = f"transform({each.format(apart)}, c -> named_struct('k', coalesce(CAST({_lookup('c', _MARKS, 1)} AS INT), 0), 'c', c))"
     # a character of class 0 begins a run; marks are ordered within theirs
-    run = lambda all_of, i: F.size(F.filter(F.slice(all_of, 1, i + 1), lambda y: y["k"] == 0))
-    numbered = _let(classed, lambda all_of: F.transform(all_of, lambda x, i: _named(run=run(all_of, i), k=x["k"], i=i, c=x["c"])))
+    numbered = _let(classed, "all_of", "transform(all_of, (x, i) -> named_struct('run', size(filter(slice(all_of, 1, i + 1), y -> y.k = 0)), 'k', x.k, 'i', i, 'c', x.c))")
+    kind = "struct<done:string,starter:string,held:string,last:int>"
+    one = f"CASE WHEN s.starter <> '' AND (s.held = '' OR s.last < x.k) THEN {_composed('s.starter', 'x.c')} END"
+    composed = "named_struct('done', s.done, 'starter', one, 'held', s.held, 'last', s.last)"
+    begins = "named_struct('done', concat(s.done, s.starter, s.held), 'starter', x.c, 'held', '', 'last', 0)"
+    stays = "named_struct('done', s.done, 'starter', s.starter, 'held', concat(s.held, x.c), 'last', x.k)"
+    step = _let(one, "one", f"CAST(CASE WHEN one IS NOT NULL THEN {composed} WHEN x.k = 0 THEN {begins} ELSE {stays} END AS {kind})")
+    none = f"CAST(named_struct('done', '', 'starter', '', 'held', '', 'last', 0) AS {kind})"
+    return f"aggregate(array_sort({numbered}), {none}, (s, x) -> {step}, s -> concat(s.done, s.starter, s.held))"
 
-    def step(s: Column, x: Column) -> Column:
-        near = (s["starter"] != "") & ((s["held"] == "") | (s["last"] < x["k"]))
 
-        def after(one: Column) -> Column:
-            composed = _named(done=s["done"], starter=one, held=s["held"], last=s["last"])
-            begins = _named(done=F.concat(s["done"], s["starter"], s["held"]), starter=x["c"], held=F.lit(""), last=F.lit(0))
-            stays = _named(done=s["done"], starter=s["starter"], held=F.concat(s["held"], x["c"]), last=x["k"])
-            return F.when(one.isNotNull(), composed).when(x["k"] == 0, begins).otherwise(stays).cast(_STATE)
+def _full() -> str:
+    """A function in SQL: a text whose single characters are folded, in full NFKC. A letter and its one mark compose at once."""
+    normal = f"coalesce(CASE WHEN length(p) = 2 THEN {_lookup('p', _PAIRS, 2)} END, {_general('p')})"
+    pieces = f"transform(regexp_extract_all(t, {_text(_PIECES)}, 0), p -> CASE WHEN p RLIKE {_text(_ODD)} THEN {normal} ELSE p END)"
+    return f"t -> CASE WHEN t RLIKE {_text(_ODD)} THEN array_join({pieces}, '') ELSE t END"
 
-        return _let(F.when(near, _composed(s["starter"], x["c"])), after)
 
-    none = _named(done=F.lit(""), starter=F.lit(""), held=F.lit(""), last=F.lit(0)).cast(_STATE)
-    return F.aggregate(F.array_sort(numbered), none, step, lambda s: F.concat(s["done"], s["starter"], s["held"]))
+#: parsed in one go where it is used, as building it from column functions takes a second
+_FULL = _full()
 
 
 def nfkc(text: Column) -> Column:
     """NFKC of a text; null stays null. Texts that need nothing are returned as they are."""
-
-    def full(folded: Column) -> Column:
-        pieces = F.regexp_extract_all(folded, F.lit(_PIECES), F.lit(0))
-        whole = F.array_join(F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(_ODD)), _normal(p)).otherwise(p)), "")
-        return F.when(F.rlike(folded, F.lit(_ODD)), whole).otherwise(folded)
-
-    return F.when(F.rlike(text, F.lit(_COARSE)), _let(F.translate(text, FOLD_FROM, FOLD_TO), full)).otherwise(text)
+    full = F.element_at(F.call_function("transform", F.array(F.translate(text, FOLD_FROM, FOLD_TO)), F.expr(_FULL)), 1)
+    return F.when(F.rlike(text, F.lit(_COARSE)), full).otherwise(text)

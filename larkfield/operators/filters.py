@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkfield.functions import nested
 from larkfield.functions.text import normalize, normalize_text
 
 
@@ -26,11 +27,13 @@ def meta_table(docs: DataFrame, id_col: str, keys: Iterable[str]) -> DataFrame:
 def allowed(
     docs: DataFrame, columns: Mapping[str, Iterable[str] | str | None] | None = None,
     meta: Mapping[str, Iterable[str] | str] | None = None, ids: Iterable | DataFrame | None = None, id_col: str = "doc_id",
+    nested_col: str = "meta",
 ) -> DataFrame:
     """The candidates: and over keys, or within a key. None means no filter, an empty list lets nothing through.
 
     ``columns`` compares plain columns exactly. ``meta`` compares normalised values of scalar or array
-    columns, and a row without the key never matches. ``ids`` may be a DataFrame with the column ``id_col``.
+    columns, and a row without the key never matches. Where ``nested_col`` is a variant, keys that are no columns are
+    dotted paths in it (``measurements.EC.value``), and what copies of a text keep counts too. ``ids`` may be a DataFrame with the column ``id_col``.
     """
     out = docs
     for key, wanted in (columns or {}).items():
@@ -39,6 +42,9 @@ def allowed(
             out = out.where(F.col(key).isin(values) if values else F.lit(False))
     kinds = dict(docs.dtypes)
     for key, wanted in (meta or {}).items():
+        if key not in kinds and kinds.get(nested_col) == "variant":
+            out = out.where(nested.holds(F.col(nested_col), key, wanted))
+            continue
         values = [normalize_text(v) for v in ([wanted] if isinstance(wanted, str) else wanted)]
         if not values:
             out = out.where(F.lit(False))

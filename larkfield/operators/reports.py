@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkfield.operators.digest import set_digest
+
 # Folders, files, headings and fields of a report's parts, and the labels of its head.
 PARTS = (
     ("1_perception", "一、感知", ("perception_report", "anomaly_screen"), (("report.md", "感知报告", "perception_state.perception_report"), ("anomaly_screen.md", "异常初筛", "perception_state.anomaly_screen"))),
@@ -68,6 +70,5 @@ def report_or_marker(report: Column) -> Column:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row: a digest over (path, length, modificationTime) of files, whatever their order."""
-    one = F.sha2(F.concat_ws("|", "path", "length", F.col("modificationTime").cast("string")), 256)
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ""), 256).alias("digest"), F.count("*").alias("n_files"))  # a listing of files
+    """One row: a digest over (path, length, modificationTime) of files, whatever their order; tasks send sums, no listing."""
+    return set_digest(files, ["path", "length", "modificationTime"]).select("digest", F.col("n").alias("n_files"))

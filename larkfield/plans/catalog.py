@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkfield.plans import cases, corpora, retrieval
+from larkfield.plans import cases, corpora, retrieval, tables
 
-QUERIES: dict = {**retrieval.QUERIES, **corpora.QUERIES, **cases.QUERIES}
-SQL: dict = {**retrieval.SQL, **corpora.SQL, **cases.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **corpora.QUERIES, **cases.QUERIES, **tables.QUERIES}
+SQL: dict = {**retrieval.SQL, **corpora.SQL, **cases.SQL, **tables.SQL}

@@ -1,8 +1,13 @@
-"""Extension: ledgers as streams. Batch reads of the same folders are the reference semantics."""
+"""Ledgers as streams: first records of keys, and a sink to a ledger table that a replayed batch doesn't change."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from larkfield.sources.ledger_table import LedgerTable
 
 
 def ledger_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -16,3 +21,12 @@ def first_of_each(rows: DataFrame, keys: list[str], time: str, late: str = "1 da
 
 def windowed(rows: DataFrame, time: str, by: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     return rows.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def to_ledger(rows: DataFrame, table: LedgerTable, order: Sequence[Column], name: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that appends each batch once: the batch's number is committed with its rows, under the stream's name.
+
+    A batch that Spark runs again, as it failed after the commit, adds nothing. ``checkpoint`` belongs to the name: with a
+    new checkpoint numbers begin anew, so that a stream needs a new name as well; stored keys are still not repeated.
+    """
+    return rows.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: table.append(batch, order, stream=name, batch=number) and None)

@@ -10,7 +10,7 @@ STATE = (
     "site_of_interest string, site_type string, as_of string, site_context string, resource_context string, "
     "perception_state struct<perception_report:string,anomaly_screen:string,anomaly_level:string,has_anomaly:boolean,perception_rounds:int>, "
     "diagnosis_state struct<diagnosis_report:string,severity:string,confidence:string,rationale:string,recommended_checks:string,diagnosis_rounds:int>, "
-    "coordination_state struct<coordination_notes:string,next_action:string,decision_reason:string,work_order:string,safety_review:string,safety_verdict:string,approval:string,approved:boolean,rollback_plan:string,"
+    "coordination_state struct<coordination_notes:string,coordination_history:string,next_action:string,decision_reason:string,work_order:string,safety_review:string,safety_verdict:string,approval:string,approved:boolean,rollback_plan:string,"
     "coordinator_rounds:int,safety_rounds:int,rollback_rounds:int>, "
     "execution_state struct<dispatch_log:string,execution_status:string,execution_report:string,needs_followup:boolean>, final_decision string, case_status string"
 )

@@ -195,12 +195,19 @@ def test_reports(spark, tmp_path):
     from larkfield.operators.cases import STATE
 
     p, d = ("seen", "odd", "high", True, 1), ("", "", "", "", "", 0)
-    rows = [("S/1", "", "2024-01-02", "", "", p, d, ("notes", "", "", "wo", "", "", "", True, "", 1, 1, 0), None, "do it", "executed"), ("S2", "", "2024-01-02", "", "", None, None, None, None, "", "running")]
+    rows = [("S/1", "", "2024-01-02", "", "", p, d, ("notes", "one\ntwo", "", "", "wo", "", "", "yes", True, "", 1, 1, 0), None, "do it", "executed"), ("S2", "", "2024-01-02", "", "", None, None, None, None, "", "running")]
     states = spark.createDataFrame(rows, STATE)
     got = {(r.case, r.path): r.text for r in reports.files(states).collect()}
     assert {path for case, path in got if case == "S2"} == {"complete_report.md"} and got[("S/1", "1_perception/report.md")] == "seen" and ("S/1", "2_diagnosis/report.md") not in got
     whole = got[("S/1", "complete_report.md")]
     assert whole.startswith("# 维护决策报告：S/1") and whole.index("## 维护决策单") < whole.index("## 一、感知") < whole.index("## 三、协调决策") and "二、诊断" not in whole
+    parts = ["## 维护决策单\n\ndo it", "## 一、感知\n\n### 感知报告\nseen\n\n### 异常初筛\nodd", "## 三、协调决策\n\n### 中枢决策记录\none\ntwo\n\n### 维护工单\nwo\n\n### 审批\nyes"]
+    assert whole == "# 维护决策报告：S/1\n\n基准日期：2024-01-02\n案件状态：executed\n" + "\n\n".join(parts) + "\n"
+    assert got[("S2", "complete_report.md")] == "# 维护决策报告：S2\n\n基准日期：2024-01-02\n案件状态：running\n\n"
+    assert got[("S/1", "3_coordination/decisions.md")] == "one\ntwo" and {p for c, p in got if c == "S/1" and p.startswith("3")} == {"3_coordination/decisions.md", "3_coordination/work_order.md"}
+    ill = spark.createDataFrame([("S3", "", "d", "", "", None, ("", "high", None, "why", "", 0), None, None, "", "")], STATE)
+    ill = {r.path: r.text for r in reports.files(ill).collect()}
+    assert ill["2_diagnosis/severity.md"] == "严重度：high\n置信度：\n\nwhy" and "### 严重度与依据\n严重度：high；置信度：\n\nwhy" in ill["complete_report.md"] and "2_diagnosis/report.md" not in ill
     reports.write_tree(states, str(tmp_path / "r"))
     assert (tmp_path / "r" / "case=S_1" / "file=complete_report.md").is_dir()
     t = spark.createDataFrame([(None,), ([],), (["a", "b"],)], "r array<string>").select(reports.resources_text(F.col("r")).alias("t")).collect()
@@ -233,7 +240,7 @@ def test_diagnosis(spark):
 def test_states(spark):
     from larkfield.operators import cases
 
-    full = ("s", "field", "2024-01-01", "", "", ("rep", "screen", "high", True, 1), ("", "", None, "", None, 1), ("n", "close", "", "wo", None, "pass", "ok", None, "", 1, 0, 0), None, "f", "closed_no_action")
+    full = ("s", "field", "2024-01-01", "", "", ("rep", "screen", "high", True, 1), ("", "", None, "", None, 1), ("n", "n", "close", "", "wo", None, "pass", "ok", None, "", 1, 0, 0), None, "f", "closed_no_action")
     df = spark.createDataFrame([full], cases.STATE)
     r = cases.respond(cases.project_state(df)).first()
     assert r.severity == "high" and r.description == "screen" and r.coordination.approved is False and r.execution.status == "" and r.perception.has_anomaly

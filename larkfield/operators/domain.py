@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larkfield.functions.text import label_pattern, normalize, snippet
 from larkfield.operators.corpus import mask
 from larkfield.operators.fusion import rrf
-from larkfield.operators.identity import ambiguous, any_of, first_rank, link_with_fallback
+from larkfield.operators.identity import alias_groups, ambiguous, any_of, first_rank, link_with_fallback
 from larkfield.operators.lexical import bm25, ranked
 from larkfield.operators.scan import find_labels
+from larkfield.runtime import Scratch
 
+# Names of rice that count as one crop, whatever the dictionary says.
+RICE = ("水稻", "rice", "paddy", "sali paddy", "kharif paddy")
 # Phrase groups of management topics, growth stages and actions.
 TOPICS = (
     ("浇水", "灌溉", "灌水", "滴灌", "水分", "水肥", "watering", "irrigation", "irrigate"),
@@ -54,6 +57,37 @@ def crops_match(own: Column, wanted: Column) -> Column:
     return (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(own, wanted), F.lit(False))
 
 
+def crop_groups(labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name, group_id): normalised names of crops, those of one crop under one id.
+
+    Only terms of crops count (``crop:`` alone or after a prefix) of a dictionary (term_id, label). Terms that share
+    a name are one crop, and so are the names of rice.
+    """
+    terms = labels.where(F.startswith("term_id", F.lit("crop:")) | F.contains("term_id", F.lit(":crop:"))).select("term_id", normalize(F.col("label")).alias("b")).where("b <> ''")
+    pairs = terms.join(terms.groupBy("term_id").agg(F.min("b").alias("a")), "term_id").select("a", "b")
+    rice = labels.sparkSession.createDataFrame([(RICE[0], name) for name in RICE], "a string, b string")
+    return alias_groups(pairs.unionByName(rice), scratch)
+
+
+def crop_as_group(rows: DataFrame, col: str, groups: DataFrame | None) -> DataFrame:
+    """``rows`` with the id of the crop's group in place of its name, or with its normalised name where it has none."""
+    if groups is None:
+        return rows
+    named = rows.withColumn(col, F.when(F.col(col).isNotNull(), normalize(F.col(col))))
+    known = groups.select(F.col("name").alias("lf_name"), F.col("group_id").alias("lf_group"))
+    return named.join(known, F.col(col) == F.col("lf_name"), "left").withColumn(col, F.coalesce("lf_group", col)).drop("lf_name", "lf_group")
+
+
+def crops_as_groups(rows: DataFrame, key: str, col: str, groups: DataFrame | None) -> DataFrame:
+    """The same for an array of crops; ``key`` tells the rows apart. Null arrays become empty, null names vanish."""
+    if groups is None:
+        return rows
+    held = crop_as_group(rows.select(key, F.explode(col).alias("lf_crop")).where("lf_crop is not null"), "lf_crop", groups)
+    held = held.groupBy(key).agg(F.collect_set("lf_crop").alias("lf_crops"))  # the crops of one row
+    out = rows.join(held, key, "left").withColumn(col, F.coalesce("lf_crops", F.array().cast("array<string>")))
+    return out.select(*rows.columns)
+
+
 def management_features(docs: DataFrame, text_col: str = "text", title_col: str = "title") -> DataFrame:
     """Adds topics, stages, action, title_topics and rate: what a text is about, as bit masks and flags."""
     body, title = normalize(F.col(text_col)), normalize(F.col(title_col))
@@ -150,12 +184,13 @@ def link_cards(entities: DataFrame, cards: DataFrame) -> DataFrame:
     return link_with_fallback(by_alias.select("entity", "disease_id"), by_name.select("entity", "disease_id"), "entity", "disease_id")
 
 
-def treatments(asked: DataFrame, plans: DataFrame) -> DataFrame:
+def treatments(asked: DataFrame, plans: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, refused) for asked (query_id, parent_id, disease_id, names array, crop) over management plans.
 
     A plan matches by parent, disease or name, has to declare a host, and has to share the asked crop. Without
-    a crop, plans of several hosts are refused as a whole.
+    a crop, plans of several hosts are refused as a whole. With ``groups`` (``crop_groups``) names of one crop are one host.
     """
+    asked, plans = crop_as_group(asked, "crop", groups), crop_as_group(plans, "host", groups)
     named = asked.withColumn("name", F.explode_outer("names"))
     p = plans.where(F.col("kind").isin("management", "treatment") & F.col("host").isNotNull()).withColumn("name", F.explode_outer("names"))
     found = any_of(named, p.select("doc_id", "parent_id", "disease_id", "name"), "query_id", "doc_id", [("parent_id", "parent_id"), ("disease_id", "disease_id"), ("name", "name")])

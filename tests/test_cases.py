@@ -231,6 +231,26 @@ def test_manuals(spark, tmp_path):
 
 
 
+def test_crop_names_of_one_group(spark):
+    from larkfield.runtime import Scratch
+
+    labels = spark.createDataFrame([("crop:1", "Tomato"), ("crop:1", "番茄"), ("crop:2", "番茄"), ("crop:2", "西红柿"), ("crop:3", "Rice"), ("crop:3", "oryza"), ("card:9", "tomato"), ("card:9", "rice"), ("kg:crop:4", "corn"), ("crop:5", " ")], "term_id string, label string")
+    groups = domain.crop_groups(labels, Scratch(spark, "crops"))
+    held = {}
+    for r in groups.collect():
+        held.setdefault(r.group_id, set()).add(r.name)
+    assert sorted(map(sorted, held.values())) == [["corn"], ["kharif paddy", "oryza", "paddy", "rice", "sali paddy", "水稻"], sorted(["tomato", "番茄", "西红柿"])]
+    asked = spark.createDataFrame([(1, "d", "番茄"), (2, "d", "PADDY"), (3, "d", None), (4, "e", None), (5, "d", "wheat")], "query_id int, disease_id string, crop string").selectExpr("*", "cast(null as string) parent_id", "array(cast(null as string)) names")
+    plans = spark.createDataFrame([("p1", "d", "西红柿"), ("p2", "d", "tomato"), ("p3", "d", "oryza"), ("p4", "e", "rice"), ("p5", "e", "水稻"), ("p6", "d", "Wheat")], "doc_id string, disease_id string, host string").selectExpr("*", "'treatment' kind", "cast(null as string) parent_id", "array(cast(null as string)) names")
+    got = {}
+    for r in domain.treatments(asked, plans, groups).collect():
+        got.setdefault((r.query_id, r.refused), set()).add(r.doc_id)
+    assert got == {(1, False): {"p1", "p2"}, (2, False): {"p3"}, (3, True): {"p1", "p2", "p3", "p6"}, (4, False): {"p4", "p5"}, (5, False): {"p6"}}
+    rows = spark.createDataFrame([(1, ["番茄", "x"]), (2, []), (3, None), (4, ["西红柿", "TOMATO", None])], "doc_id int, crops array<string>")
+    one = next(g for g, names in held.items() if "tomato" in names)
+    assert {r.doc_id: None if r.crops is None else sorted(r.crops) for r in domain.crops_as_groups(rows, "doc_id", "crops", groups).collect()} == {1: sorted([one, "x"]), 2: [], 3: [], 4: [one]}
+
+
 def test_diagnosis(spark):
     g = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, identity string, rank int")
     h = spark.createDataFrame([(1, "y", 1), (1, "y", 2), (1, "z", 3)], "query_id int, identity string, rank int")

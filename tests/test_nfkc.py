@@ -4,6 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from larkfield.functions import text as tx
+from larkfield.functions import nfkc as nfkc_module
 from larkfield.functions.nfkc import _FOLLOW, _PLACES, nfkc
 
 
@@ -36,3 +37,21 @@ def test_tokens_meet_whatever_the_form(spark):
     a, b = [tuple(r) for r in df.select(tx.tokenize(F.col("t")), tx.query_terms(F.col("t")), tx.normalize(F.col("t"))).collect()]
     assert a == b and "fine" in a[0] and a[2] == tx.normalize_text(forms[0])
     assert "Python" not in df.select(tx.normalize(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_are_short(spark):
+    """A plan holds no tables of characters, and what makes a text is in it once."""
+    p = spark.range(1).select(tx.tokenize(F.concat(F.lit("once"), F.col("id").cast("string"))).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert len(p) < 10_000 and p.count("once") == 1
+
+
+def test_letters_taken_apart(spark):
+    texts = ["Caf\u00e9 \uac01 \u1e69\ufb01", "plain", "\U000105c9\u00e9", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", nfkc_module.nfd(F.col("t")).alias("n"))
+    assert {r.i: r.n for r in df.collect()} == {i: t and unicodedata.normalize("NFD", t) for i, t in enumerate(texts)}
+
+
+def test_characters_that_python_does_not_know(spark):
+    """They stay, and cut what is composed, as unassigned ones do."""
+    texts = ["\U0001ccd6e\u0301", "e\u0301\u0897e\u0301\ufb01", "e\u0897\u0301", "\u0897", "\U000105d2\u0307", "\U0001f600e\u0301"]
+    assert held(spark, texts) == {i: unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}

@@ -66,3 +66,17 @@ def test_questions_and_cards_meet_by_name(spark):
     cards = spark.range(2000).selectExpr("concat('d', id) AS disease_id", "array(concat('tomato rot', id)) AS names", "array('tomato') AS crops")
     asked = spark.createDataFrame([(1, "what of rot17?", ["tomato"]), (2, "tomato rot3", ["rice"])], "query_id int, query_text string, crops array<string>")
     assert [tuple(r) for r in domain.named_diseases(asked, cards).collect()] == [(1, "d17", "tomato")]
+
+
+@pytest.mark.parametrize("chars, size", [(50, 1 << 20), (1 << 20, 40)])
+def test_blocks_are_read_with_their_own_labels(spark, case, monkeypatch, chars, size):
+    """Many blocks, or labels in many pieces, give what brute force finds; labels with words make no shards."""
+    texts, labels = case
+    monkeypatch.setattr(scan, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(scan, "SHARD_CHARS", size)
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r.doc_id: [tuple(p) for p in r.found] for r in scan.find_labels(t, spark.createDataFrame([(x,) for x in labels], "label string")).collect()}
+    assert got == {i: brute(x, labels) for i, x in enumerate(texts)}
+    monkeypatch.setattr(scan, "shards", lambda *a: pytest.fail("a shard goes to all texts"))
+    found = scan.find_labels(t, spark.createDataFrame([("late blight",), ("ab",)], "label string"))
+    assert {r.doc_id: [tuple(p) for p in r.found] for r in found.collect()} == {i: brute(x, ["late blight", "ab"]) for i, x in enumerate(texts)}

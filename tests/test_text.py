@@ -83,3 +83,18 @@ def test_vectors(spark):
     assert list(r) == [[0.6, 0.8], [0.0, 0.0], False, True, False, 25.0]
     assert vector.hashed_vector("a b c") == vector.hashed_vector("ABC") and abs(sum(x * x for x in vector.hashed_vector("abc")) - 1) < 1e-9
     assert sum(vector.hashed_vector("")) == 0 and vector.hash_embed_name() == "hashing-512-2-3"
+
+
+def test_hashed_vectors_of_many_texts(spark, monkeypatch):
+    """The same as one at a time, in small output batches whatever the input's."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b c", "ABC", "", None, "a", "\x00\x00a", "x\U0010ffff\u756a\u8304 \ufb01", "late blight " * 50] * 3
+    want = [vector.hashed_vector(t) for t in texts]
+    assert np.array_equal(vector.hashed_vectors(texts), np.array(want)) and vector.hashed_vectors([]).shape == (0, 512)
+    assert np.array_equal(vector.hashed_vectors(texts, 16, (4,)), np.array([vector.hashed_vector(t, 16, (4,)) for t in texts]))
+    parts = list(vector._slices(pa.array(["x" * 1000] * 3000)))
+    assert sum(map(len, parts)) == 3000 and max(map(len, parts)) <= 256
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    assert {r.i: r.v for r in df.select("i", vector.hash_embed("t").alias("v")).collect()} == dict(enumerate(want))

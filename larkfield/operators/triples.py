@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 PARTS = ("subject", "predicate", "object", "lang")
 # The predicates of a thesaurus' preferred and alternative labels.
 PREFERRED, ALTERNATIVE = "skos:prefLabel", "skos:altLabel"
+#: triples whose concepts one task joins
+TASK_ROWS = 250_000
 
 
 def _bound(triples: DataFrame, pattern: Sequence[str]) -> DataFrame:
@@ -70,7 +72,12 @@ def concept_labels(triples: DataFrame, asked: DataFrame, langs: Sequence[str]) -
     they are. Each row comes once; labels that no concept has get one row with nulls, as a thesaurus' cache keeps what it missed.
     """
     want = asked.select("label", "lang").distinct()
-    named = either(*[match(triples, [("?concept", p, "?label")], want) for p in (PREFERRED, ALTERNATIVE)]).distinct()
+    # stated numbers of partitions, as Spark merges those that are small once compressed, however many rows they sort
+    parts = max(1, -(-triples.count() // TASK_ROWS))
+    labels = either(*[_bound(triples, ("?concept", p, "?label")) for p in (PREFERRED, ALTERNATIVE)]).withColumn("_salt", F.pmod(F.xxhash64("concept"), F.lit(parts)))
+    salted = want.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))  # a label may have a share of all concepts
+    named = labels.repartition(parts, "label", "_salt").join(salted.repartition(parts, "label", "_salt").hint("merge"), ["label", "_salt"]).drop("_salt")
     preferred = _bound(triples, ("?concept", PREFERRED, "?other_label", "?other_lang")).where(F.col("other_lang").isin(*langs))
-    found = named.join(preferred, "concept").select("label", "lang", "other_lang", "other_label").distinct()
+    both = named.repartition(parts, "concept").join(preferred.repartition(parts, "concept").hint("merge"), "concept")
+    found = both.select("label", "lang", "other_lang", "other_label").distinct()
     return want.join(found, ["label", "lang"], "left")

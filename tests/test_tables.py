@@ -201,3 +201,17 @@ def test_paged_source(spark, service):
 def test_native(spark, sf, name):
     p = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop|collect_list", p)
+
+
+def test_tasks_of_concept_labels_are_bounded(spark, monkeypatch):
+    """Concepts are joined in as many partitions as there are rows for, and none of these are merged."""
+    from larkfield.operators import triples
+
+    monkeypatch.setattr(triples, "TASK_ROWS", 100)
+    rows = [(f"c{k}", p, f"{p}{k % 7}", "en") for k in range(400) for p in (triples.PREFERRED, triples.ALTERNATIVE)]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string, lang string")
+    asked = spark.createDataFrame([(f"{triples.ALTERNATIVE}3", "en"), ("none", "en")], "label string, lang string")
+    out = triples.concept_labels(t, asked, ["en"])
+    dealt = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in x and ", 8)" in x]
+    assert sum("hashpartitioning(concept" in x for x in dealt) == 2 and sum("hashpartitioning(label" in x for x in dealt) == 2
+    assert sorted(map(tuple, out.collect()), key=str) == [("none", "en", None, None), (f"{triples.ALTERNATIVE}3", "en", "en", f"{triples.PREFERRED}3")]

@@ -15,7 +15,7 @@ CANDIDATES, LEAST = 30, 0.15
 #: query vectors that are held at once
 BLOCK = 4096
 #: scores that a task holds at once
-CELLS = 1 << 22
+CELLS = 1 << 19
 
 
 def validity(vectors: DataFrame, vector_col: str = "embedding", dim: int | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ of queries travels to the documents, with the weights of its terms, and every do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,8 +19,8 @@ from larkfield.runtime import Scratch, ship_package
 K1, B = 1.5, 0.75
 #: queries that travel at once; every block is one more pass over the documents
 BLOCK = 2048
-#: scores that a task holds at once
-CELLS = 1 << 22
+#: scores that a task holds at once, and tokens of the documents that it scores at once, but for longer documents
+CELLS, TOKENS = 1 << 19, 1 << 18
 
 
 def with_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
@@ -40,12 +42,23 @@ def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return long.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _slices(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of ``rows`` at most, whose lists in a column have ``TOKENS`` values, or of one row that has more."""
+    ends = np.cumsum(pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        room = (ends[at - 1] if at else 0) + TOKENS
+        n = max(1, min(rows, int(np.searchsorted(ends, room, "right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def _counter(terms: pa.Array):
     """Of a task's documents, how many hold each term; row -1 has their number and the sum of their lengths."""
 
     def run(batches):
         df, n, total = np.zeros(len(terms), np.int64), 0, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, 0, whole.num_rows)):
             lists = batch.column(0)
             n, total = n + batch.num_rows, total + int(np.maximum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), 1).sum())
             at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
@@ -111,8 +124,8 @@ def _scorer(block: _Block, most: int | None, gate: bool):
     def run(batches):
         step = max(1, CELLS // max(queries, 1))
         for batch in batches:
-            for i in range(0, batch.num_rows, step):
-                yield scored(batch.slice(i, step))
+            for part in _slices(batch, 1, step):
+                yield scored(part)
 
     return run
 

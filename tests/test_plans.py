@@ -79,3 +79,14 @@ def test_alias_components_over_whole_keys(spark, sf):
     got = {r.name: r.group_id for r in catalog.QUERIES["alias_components"](spark, sf).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert len(got) == len({r.o_custkey for r in rows}) + len({r.o_orderkey for r in rows})
+
+
+def test_documents_are_scored_in_slices_of_bounded_tokens():
+    import pyarrow as pa
+
+    from larkfield.operators import lexical
+
+    lists = [["a"] * n for n in (100_000, 100_000, 100_000, 600_000, 0, 5)] + [None] + [["b"]] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "tokens"])
+    parts = [p.column(0).to_pylist() for p in lexical._slices(batch, 1, 1000)]
+    assert sum(parts, []) == list(range(len(lists))) and parts[:3] == [[0, 1], [2], [3]] and max(map(len, parts)) == 1000

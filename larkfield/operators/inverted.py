@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from larkfield.functions.text import query_terms, tokenize
-from larkfield.operators.lexical import B, BLOCK, K1, with_tokens
+from larkfield.operators.lexical import B, BLOCK, K1, listed, with_words
 from larkfield.runtime import Scratch, ship_package
 
 #: documents of a block; a posting list is never longer
@@ -43,7 +43,7 @@ def part(tf, dl, mean: float):
 
 
 def _cut(size: int):
-    """(doc_id, tokens) becomes posting lists, and with a null term the ids and lengths of each block."""
+    """(doc_id, text, tokens) of ``with_words`` becomes posting lists, and with a null term the ids and lengths of each block."""
 
     def lists(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         tokens = rows.column(1).combine_chunks()
@@ -73,8 +73,8 @@ def _cut(size: int):
 
     def run(batches):
         held, n, block = [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            at = 0
+        for part, tokens in (piece for batch in batches for piece in listed(batch, size)):
+            batch, at = pa.RecordBatch.from_arrays([part.column("doc_id"), tokens], names=["doc_id", "tokens"]), 0
             while at < batch.num_rows:
                 piece = batch.slice(at, size - n)
                 held.append(piece)
@@ -106,7 +106,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     for name, kind in _LISTS:
         schema = schema.add(name, T._parse_datatype_string(kind))
     schema = schema.add("ids", T.ArrayType(docs.schema[id_col].dataType))
-    raw = scratch.save(with_tokens(docs, id_col, text_col, title_col).mapInArrow(_cut(block_docs), schema), "blocks")
+    raw = scratch.save(with_words(docs, id_col, text_col, title_col).mapInArrow(_cut(block_docs), schema), "blocks")
     blocks = raw.where("term IS NULL")
     blocks.select("block", "ids", "dls").write.parquet(f"{path}/blocks")
     lists = raw.where("term IS NOT NULL").drop("ids").withColumn("bucket", _bucket(buckets))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from larkfield.functions.text import query_terms, tokenize
+from larkfield.functions.text import plain, plain_words, query_terms, tokenize
 from larkfield.runtime import Scratch, ship_package
 
 K1, B = 1.5, 0.75
@@ -23,10 +23,23 @@ BLOCK = 2048
 CELLS, TOKENS = 1 << 19, 1 << 18
 
 
+def _whole(text_col: str, title_col: str | None) -> Column:
+    return F.concat_ws("\n", title_col, text_col) if title_col else F.col(text_col)
+
+
 def with_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
     """(doc_id, tokens) of the title, a line end and the text."""
-    text = F.concat_ws("\n", title_col, text_col) if title_col else F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), tokenize(text).alias("tokens"))
+    return docs.select(F.col(id_col).alias("doc_id"), tokenize(_whole(text_col, title_col)).alias("tokens"))
+
+
+def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, *carried: str) -> DataFrame:
+    """(doc_id, text, tokens, carried) for tasks in Python: a plain text as it is, which ``listed`` cuts up, or the tokens of any other.
+
+    One string moves far faster than its tokens one by one.
+    """
+    text = F.coalesce(_whole(text_col, title_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *carried).withColumn("_plain", plain(F.col("text")))
+    return rows.select("doc_id", F.when(F.col("_plain"), F.col("text")).alias("text"), F.when(~F.col("_plain"), tokenize(F.col("text"))).alias("tokens"), *carried)
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -42,9 +55,15 @@ def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return long.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def _slices(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of ``rows`` at most, whose lists in a column have ``TOKENS`` values, or of one row that has more."""
-    ends = np.cumsum(pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+def _slices(batch: pa.RecordBatch, column: int, rows: int, text: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of ``rows`` at most, whose lists in a column have ``TOKENS`` values, or of one row that has more.
+
+    Four bytes of a column ``text`` count as one more value.
+    """
+    size = pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if text is not None:
+        size = size + pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False) // 4
+    ends = np.cumsum(size)
     at = 0
     while at < batch.num_rows:
         room = (ends[at - 1] if at else 0) + TOKENS
@@ -53,14 +72,21 @@ def _slices(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[pa.Record
         at += n
 
 
+def listed(batch: pa.RecordBatch, rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """A batch of ``with_words`` in pieces, each with the tokens of its rows."""
+    names = batch.schema.names
+    for part in _slices(batch, names.index("tokens"), rows or batch.num_rows, names.index("text")):
+        words, tokens = plain_words(part.column("text")), part.column("tokens").cast(pa.list_(pa.string()))
+        yield part, words if tokens.null_count == len(tokens) else pc.coalesce(tokens, words)
+
+
 def _counter(terms: pa.Array):
     """Of a task's documents, how many hold each term; row -1 has their number and the sum of their lengths."""
 
     def run(batches):
         df, n, total = np.zeros(len(terms), np.int64), 0, 0
-        for batch in (part for whole in batches for part in _slices(whole, 0, whole.num_rows)):
-            lists = batch.column(0)
-            n, total = n + batch.num_rows, total + int(np.maximum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), 1).sum())
+        for lists in (tokens for batch in batches for _, tokens in listed(batch)):
+            n, total = n + len(lists), total + int(np.maximum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False), 1).sum())
             at = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
             doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             held = np.unique(doc[at >= 0].astype(np.int64) * len(terms) + at[at >= 0])
@@ -76,8 +102,8 @@ def _counter(terms: pa.Array):
 class _Block:
     """Some queries by term: the terms, their weights, and which queries hold each of them."""
 
-    def __init__(self, asked: pa.Table, tokens: DataFrame):
-        """``asked`` has query_id, term and informs; ``tokens`` is what the statistics are counted over, in one pass."""
+    def __init__(self, asked: pa.Table, words: DataFrame):
+        """``asked`` has query_id, term and informs; ``words`` is what the statistics are counted over, in one pass."""
         asked = asked.combine_chunks()
         ids, terms = (asked.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
         self.ids, self.terms = ids.dictionary, terms.dictionary
@@ -85,7 +111,7 @@ class _Block:
         order = np.argsort(at, kind="stable")
         self.query, self.informs = ids.indices.to_numpy()[order], asked.column("informs").to_numpy()[order].astype(float)
         self.begin = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
-        found = tokens.select("tokens").mapInArrow(_counter(self.terms), "term int, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()  # a row a term of the block
+        found = words.select("text", "tokens").mapInArrow(_counter(self.terms), "term int, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()  # a row a term of the block
         df = {r.term: r.df for r in found}
         n, total = df.pop(-1, 0), sum(r.dl for r in found)
         self.mean = total / n if n else 1.0
@@ -93,79 +119,128 @@ class _Block:
         self.idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
 
 
-def _scorer(block: _Block, most: int | None, gate: bool):
-    width, queries = len(block.terms), len(block.ids)
-
-    def scored(part: pa.RecordBatch):
-        lists = part.column(1)
-        size, rows = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), part.num_rows
-        at = pc.fill_null(pc.index_in(lists.flatten(), value_set=block.terms), -1).to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(rows), size)
-        pair, tf = np.unique((doc * width + at)[at >= 0], return_counts=True)
-        d, t = pair // width, pair % width
-        weight = block.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(size, 1)[d] / block.mean))
-        n = block.begin[t + 1] - block.begin[t]
-        which = np.repeat(np.arange(len(t)), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.begin[t], n)
-        cell = d[which] * queries + block.query[place]
-        score = np.bincount(cell, weight[which], rows * queries).reshape(rows, queries)
-        informs = np.bincount(cell, block.informs[place], rows * queries).reshape(rows, queries) > 0
+def _best(score: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """Where the ``most`` best scores of each group stand, and what ties with the last of them: the ids decide."""
+    order = np.lexsort((-score, group))
+    score, group = score[order], group[order]
+    last = np.minimum(np.searchsorted(group, group) + most, np.searchsorted(group, group, "right")) - 1
+    return order[score >= score[last] - 1e-6]
+
+
+def _scores(block: _Block, lists: pa.ListArray, gate: bool) -> np.ndarray:
+    """Scores of some documents (rows) for the block's queries (columns); 0 where nothing is shared, or nothing that passes the gate."""
+    width, queries, rows = len(block.terms), len(block.ids), len(lists)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=block.terms), -1).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(rows), size)
+    pair, tf = np.unique((doc * width + at)[at >= 0], return_counts=True)
+    d, t = pair // width, pair % width
+    weight = block.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(size, 1)[d] / block.mean))
+    n = block.begin[t + 1] - block.begin[t]
+    which = np.repeat(np.arange(len(t)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.begin[t], n)
+    cell = d[which] * queries + block.query[place]
+    score = np.bincount(cell, weight[which], rows * queries).reshape(rows, queries)
+    if gate:
+        score[np.bincount(cell, block.informs[place], rows * queries).reshape(rows, queries) == 0] = 0
+    return score
+
+
+def _scorer(block: _Block, most: int | None, gate: bool, by: str | None = None):
+    def scored(part: pa.RecordBatch, lists: pa.ListArray):
+        score, rows = _scores(block, lists, gate), part.num_rows
         keep = score > 0
-        if gate:
-            keep &= informs
-        if most is not None and rows > most:
-            held = np.where(keep, score, 0)
-            keep &= held >= np.partition(held, rows - most, axis=0)[rows - most] - 1e-6  # ties stay for the ids to decide
+        if most is not None and by is None and rows > most:
+            keep &= score >= np.partition(score, rows - most, axis=0)[rows - most] - 1e-6  # ties stay for the ids to decide
         row, q = np.nonzero(keep)
-        return pa.RecordBatch.from_arrays(
-            [block.ids.take(pa.array(q)), part.column(0).take(pa.array(row)), pa.array(score[row, q])], names=["query_id", "doc_id", "bm25_score"]
-        )
+        if most is not None and by is not None:
+            group = part.column(by).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            best = _best(score[row, q], group[row] * len(block.ids) + q, most)
+            row, q = row[best], q[best]
+        held = [block.ids.take(pa.array(q)), part.column("doc_id").take(pa.array(row)), pa.array(score[row, q])]
+        return pa.RecordBatch.from_arrays(held + ([part.column(by).take(pa.array(row))] if by else []), names=["query_id", "doc_id", "bm25_score"] + ([by] if by else []))
 
     def run(batches):
-        step = max(1, CELLS // max(queries, 1))
+        step = max(1, CELLS // max(len(block.ids), 1))
         for batch in batches:
-            for part in _slices(batch, 1, step):
-                yield scored(part)
+            for part, lists in listed(batch, step):
+                yield scored(part, lists)
 
     return run
 
 
-def bm25(
-    queries: DataFrame, docs: DataFrame, candidates: DataFrame | None = None, query_id: str = "query_id", query_text: str = "query_text",
-    id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, gate: bool = True, most: int | None = None,
-) -> DataFrame:
-    """(query_id, doc_id, bm25_score), rounded to six places, of every candidate that shares a term.
+def _passing(block: _Block):
+    """Of a task's documents, how many pass the gate of each query."""
 
-    Statistics come from all of ``docs``; ``candidates`` (a subset by ``id_col``) only limits what is scored.
-    With ``gate`` a document has to hold one informative term of the query at least. ``most`` says that no more than
-    so many of the best are wanted for each query: each batch then gives these, and ``ranked`` has to follow.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
+    def run(batches):
+        n = np.zeros(len(block.ids), np.int64)
+        for batch in batches:
+            for _, lists in listed(batch, max(1, CELLS // max(len(block.ids), 1))):
+                n += (_scores(block, lists, True) > 0).sum(axis=0)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(some)), pa.array(n[some])], names=["query_id", "n"])
+
+    return run
+
+
+def _asked(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """(query_id, term, informs)."""
     asked = queries.select(
         F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokenize(F.col(query_text)))).alias("term"),
         query_terms(F.col(query_text)).alias("informative"),
     )
-    asked = asked.select("query_id", "term", F.array_contains("informative", F.col("term")).alias("informs"))
-    tokens = with_tokens(docs, id_col, text_col, title_col)
-    rows = tokens
-    if candidates is not None:
-        if {text_col, title_col or text_col} <= set(candidates.columns):
-            rows = with_tokens(candidates, id_col, text_col, title_col)
-        else:
-            rows = with_tokens(docs.join(candidates.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col, title_col)
-    fields = [T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("bm25_score", T.DoubleType())]
+    return asked.select("query_id", "term", F.array_contains("informative", F.col("term")).alias("informs"))
+
+
+def _over_blocks(queries: DataFrame, asked: DataFrame, words: DataFrame, rows: DataFrame, task, fields: list[T.StructField]) -> DataFrame:
+    """What ``task`` makes of the rows for each block of queries; statistics are those of ``words``."""
+    spark = words.sparkSession
     blocks, out = max(1, -(-queries.count() // BLOCK)), None
     for k in range(blocks):
-        block = _Block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow(), tokens)
-        part = rows.mapInArrow(_scorer(block, most, gate), T.StructType(fields))
+        block = _Block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow(), words)
+        part = rows.mapInArrow(task(block), T.StructType(fields))
         if blocks > 1:  # so the driver holds one block at a time
             part = Scratch(spark, "bm25").save(part, "block")
         out = part if out is None else out.unionByName(part)
+    return out
+
+
+def bm25(
+    queries: DataFrame, docs: DataFrame, candidates: DataFrame | None = None, query_id: str = "query_id", query_text: str = "query_text",
+    id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, gate: bool = True, most: int | None = None, by: str | None = None,
+) -> DataFrame:
+    """(query_id, doc_id, bm25_score), rounded to six places, of every candidate that shares a term.
+
+    Statistics come from all of ``docs``; ``candidates`` (a subset by ``id_col``) only limits what is scored.
+    With ``gate`` a document has to hold one informative term of the query at least. ``most`` says that no more than
+    so many of the best are wanted for each query: each batch then gives these, and ``ranked`` has to follow. With ``by``,
+    a column of what is scored that comes along, they are wanted for each query and value of it.
+    """
+    ship_package(docs.sparkSession)
+    carried = [by] if by else []
+    words = with_words(docs, id_col, text_col, title_col)
+    if candidates is None:
+        limited = docs
+    elif {text_col, title_col or text_col, *carried} <= set(candidates.columns):
+        limited = candidates
+    else:
+        limited = docs.join(candidates.select(id_col).distinct(), id_col, "left_semi")
+    rows = with_words(limited, id_col, text_col, title_col, *carried)
+    fields = [T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("bm25_score", T.DoubleType())]
+    fields += [T.StructField(c, rows.schema[c].dataType) for c in carried]
+    out = _over_blocks(queries, _asked(queries, query_id, query_text), words, rows, lambda block: _scorer(block, most, gate, by), fields)
     return out.withColumn("bm25_score", F.round("bm25_score", 6))
 
 
-def ranked(scores: DataFrame, score: Column | str, by: str = "query_id", tie: str = "doc_id", most: int | None = None, name: str = "rank") -> DataFrame:
+def gated(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query_text", id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
+    """(query_id, n): how many documents pass the gate of each query, counted where they lie."""
+    ship_package(docs.sparkSession)
+    words = with_words(docs, id_col, text_col, title_col)
+    fields = [T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("n", T.LongType())]
+    return _over_blocks(queries, _asked(queries, query_id, query_text), words, words, _passing, fields).groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def ranked(scores: DataFrame, score: Column | str, by: str | list[str] = "query_id", tie: str = "doc_id", most: int | None = None, name: str = "rank") -> DataFrame:
     """Adds a rank from 1 by falling score within ``by``, ties by rising ``tie``; keeps the first ``most``."""
     order = Window.partitionBy(by).orderBy(F.desc(score) if isinstance(score, str) else score.desc(), F.col(tie))
     out = scores.withColumn(name, F.row_number().over(order))

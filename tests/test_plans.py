@@ -90,3 +90,18 @@ def test_documents_are_scored_in_slices_of_bounded_tokens():
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "tokens"])
     parts = [p.column(0).to_pylist() for p in lexical._slices(batch, 1, 1000)]
     assert sum(parts, []) == list(range(len(lists))) and parts[:3] == [[0, 1], [2], [3]] and max(map(len, parts)) == 1000
+
+
+def test_texts_go_to_tasks_whole(spark, sf):
+    """No token of a plain text is made in the JVM, one by one, for the searches that scan and for the index."""
+    from larkfield.operators import lexical
+
+    d = spark.createDataFrame([(1, "Red café"), (2, "番茄 red"), (3, None), (4, "the")], "doc_id int, text string")
+    rows = {r.doc_id: (r.text, r.tokens) for r in lexical.with_words(d).collect()}
+    assert rows == {1: ("Red café", None), 2: (None, ["番", "茄", "番茄", "red"]), 3: ("", None), 4: ("the", None)}
+    batch = lexical.with_words(d.coalesce(1)).toArrow().combine_chunks().to_batches()[0]
+    assert [t for _, lists in lexical.listed(batch, 3) for t in lists.to_pylist()] == [["red", "caf"], ["番", "茄", "番茄", "red"], [], []]
+    q = spark.createDataFrame([(1, "red 番茄")], "query_id int, query_text string")
+    assert {r.doc_id for r in lexical.bm25(q, d).collect()} == {1, 2}
+    p = plan(catalog.QUERIES["bm25_filtered_topk"](spark, sf))
+    assert "CASE WHEN _plain" in p

@@ -98,3 +98,18 @@ def test_hashed_vectors_of_many_texts(spark, monkeypatch):
     assert sum(map(len, parts)) == 3000 and max(map(len, parts)) <= 256
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
     assert {r.i: r.v for r in df.select("i", vector.hash_embed("t").alias("v")).collect()} == dict(enumerate(want))
+
+
+def test_plain_words_are_the_tokens(spark):
+    """What the class leaves plain separates tokens and nothing else, beside any neighbour; other texts are not plain."""
+    import pyarrow as pa
+
+    code = [*range(0x80, 0x700), *range(0x1E00, 0x2600), *range(0x3000, 0x3100), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF60)]
+    rows = [f"The Ab{chr(c)}cD {chr(c)}x9 of{chr(c)}" for c in code] + ["", "a b", "Z", "e\u0301x", "İx", "番茄 leaf", "x\u0000y", "of", "é", "ÄB"]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, v string")
+    got = df.select("k", "v", tx.plain(F.col("v")).alias("p"), tx.tokenize(F.col("v")).alias("t")).collect()
+    plain = [r for r in got if r.p]
+    assert len(plain) > 180 and not {"e\u0301x", "İx", "番茄 leaf"} & {r.v for r in plain}
+    assert tx.plain_words(pa.array([r.v for r in plain])).to_pylist() == [r.t for r in plain]
+    assert tx.plain_words(pa.array(["x", "A1 b", None, "y z", "is"]).slice(1)).to_pylist() == [["a1", "b"], [], ["y", "z"], []]
+    assert tx.plain_words(pa.array([], pa.string())).to_pylist() == []

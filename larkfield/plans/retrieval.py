@@ -89,8 +89,7 @@ def bm25_empty_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical_gate(spark: SparkSession, sf: str) -> DataFrame:
-    scores = lexical.bm25(_asked(spark, sf), _docs(spark, sf))
-    return scores.groupBy("query_id").agg(F.count("*").alias("n_candidates"))
+    return lexical.gated(_asked(spark, sf), _docs(spark, sf)).withColumnRenamed("n", "n_candidates")
 
 
 def _vectors(spark, sf):

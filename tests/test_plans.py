@@ -105,3 +105,13 @@ def test_texts_go_to_tasks_whole(spark, sf):
     assert {r.doc_id for r in lexical.bm25(q, d).collect()} == {1, 2}
     p = plan(catalog.QUERIES["bm25_filtered_topk"](spark, sf))
     assert "CASE WHEN _plain" in p
+
+
+def test_the_gate_is_counted_in_tasks(spark, sf):
+    p = plan(catalog.QUERIES["lexical_gate"](spark, sf))
+    assert "bm25_score" not in p
+    from larkfield.operators import lexical
+
+    d = spark.createDataFrame([(k, "red blue" if k % 2 else "plant blue") for k in range(500)], "doc_id int, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "red plant"), (2, "blue"), (3, "none"), (4, "plant")], "query_id int, query_text string")
+    assert {r.query_id: r.n for r in lexical.gated(q, d).collect()} == {1: 250, 2: 500}

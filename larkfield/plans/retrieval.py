@@ -145,9 +145,10 @@ def grouped_top3_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Sources as entities: scores relative to the query's best, the three best of each weighted 0.7, 0.2, 0.1."""
     from pyspark.sql import Window
 
-    scores = lexical.bm25(_asked(spark, sf), _docs(spark, sf), gate=False)
-    part = scores.withColumn("part", F.round(F.col("bm25_score") / F.max("bm25_score").over(Window.partitionBy("query_id")), 6)).where("part >= 0.05")
-    return identity.weighted_best(part.join(_docs(spark, sf).select("doc_id", "source"), "doc_id"), ["query_id", "source"], "part")
+    scores = lexical.bm25(_asked(spark, sf), _docs(spark, sf), gate=False, most=3, by="source")  # parts rank as scores do
+    best = lexical.ranked(scores, "bm25_score", ["query_id", "source"], most=3, name="place")
+    part = best.withColumn("part", F.round(F.col("bm25_score") / F.max("bm25_score").over(Window.partitionBy("query_id")), 6)).where("part >= 0.05")
+    return identity.weighted_best(part, ["query_id", "source"], "part")
 
 
 def identity_rrf(spark: SparkSession, sf: str) -> DataFrame:

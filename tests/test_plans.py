@@ -115,3 +115,16 @@ def test_the_gate_is_counted_in_tasks(spark, sf):
     d = spark.createDataFrame([(k, "red blue" if k % 2 else "plant blue") for k in range(500)], "doc_id int, text string").coalesce(1)
     q = spark.createDataFrame([(1, "red plant"), (2, "blue"), (3, "none"), (4, "plant")], "query_id int, query_text string")
     assert {r.query_id: r.n for r in lexical.gated(q, d).collect()} == {1: 250, 2: 500}
+
+
+def test_the_best_of_each_group_are_cut_in_tasks(spark, sf):
+    p = plan(catalog.QUERIES["grouped_top3_weighted"](spark, sf))
+    assert "Join" not in p and "source" in p
+    from larkfield.operators import lexical
+
+    d = spark.createDataFrame([(k, "red " * (1 + k // 3) + "blue", "abc"[k % 3] if k % 3 else None) for k in range(300)], "doc_id int, text string, source string").coalesce(1)
+    q = spark.createDataFrame([(1, "red")], "query_id int, query_text string")
+    every = lexical.bm25(q, d).join(d, "doc_id")
+    best = lambda rows: sorted(map(str, lexical.ranked(rows.select("query_id", "doc_id", "bm25_score", "source"), "bm25_score", ["query_id", "source"], most=3).collect()))
+    few = lexical.bm25(q, d, most=3, by="source")
+    assert few.count() < 60 and best(few) == best(every) and len(best(few)) == 9

@@ -128,3 +128,16 @@ def test_the_best_of_each_group_are_cut_in_tasks(spark, sf):
     best = lambda rows: sorted(map(str, lexical.ranked(rows.select("query_id", "doc_id", "bm25_score", "source"), "bm25_score", ["query_id", "source"], most=3).collect()))
     few = lexical.bm25(q, d, most=3, by="source")
     assert few.count() < 60 and best(few) == best(every) and len(best(few)) == 9
+
+
+def test_full_width_tokens_of_whole_texts(spark, tmp_path):
+    """Every token of a document, however many it has, in the code as in its SQL."""
+    import duckdb
+
+    rows = [(n, " ".join(f"The W{i}," for i in range(n))) for n in (0, 1, 50, 51, 3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {n: " ".join(f"w{i}" for i in range(n)) for n, _ in rows}
+    assert {r.doc_id: r.tokens for r in catalog.QUERIES["full_width_tokens"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.execute(catalog.SQL["full_width_tokens"]).fetchall()) == want
